@@ -16,6 +16,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words to take of every document so that sources come to their target weights."""
+    from lorecraft.llm.mixing import plan_mix
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return plan_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, shuffled into 8 shards whose row counts differ by one at most."""
+    from lorecraft.llm.sharding import external_shuffle
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text).cast("bigint") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    )
+    return external_shuffle(docs, shards=8)
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and what they decode to, as digests."""
     from lorecraft.llm.pieces import encode_decode
@@ -40,6 +59,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_mix": op3_mix,
+        "op10_shards": op10_shards,
         "op8_pieces": op8_pieces,
         "op9_token_counts": op9_token_counts,
     }
