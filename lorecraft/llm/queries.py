@@ -35,6 +35,26 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return external_shuffle(docs, shards=8)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from four fifths of the documents."""
+    from lorecraft.llm.language_id import identify, split_of, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (split_of("doc_id", 5) == 0).alias("held_out"))
+    model = train(docs.where(~F.col("held_out")))
+    return identify(docs, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every text, learned from the labels of four fifths of the documents."""
+    from lorecraft.llm.language_id import split_of
+    from lorecraft.llm.quality import score, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (split_of("doc_id", 5) == 0).alias("held_out"))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = train(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    return score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and what they decode to, as digests."""
     from lorecraft.llm.pieces import encode_decode
@@ -60,9 +80,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_mix": op3_mix,
-        "op10_shards": op10_shards,
+        "op5_language": op5_language,
+        "op6_quality": op6_quality,
         "op8_pieces": op8_pieces,
         "op9_token_counts": op9_token_counts,
+        "op10_shards": op10_shards,
     }
 
 
