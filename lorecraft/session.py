@@ -25,9 +25,14 @@ def session(name: str = "lorecraft", cores: str = "*", **conf: str) -> SparkSess
     return builder.config(map=settings).getOrCreate()
 
 
+#: Bytes of an Arrow batch sent to a Python worker: texts may be long, workers are many.
+BATCH_BYTES = "8m"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that lack it (once for each context)."""
+    """Make this package importable in Python workers that lack it, and bound their batches."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if getattr(sc, "_lorecraft_shipped", False):
         return
     target = Path(tempfile.mkdtemp(prefix="lorecraft-")) / "lorecraft-src.zip"
