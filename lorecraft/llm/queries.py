@@ -16,6 +16,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_vector_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of near-duplicate vectors with equal labels."""
+    from lorecraft.llm.vector_dups import vector_duplicates
+
+    return vector_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words to take of every document so that sources come to their target weights."""
     from lorecraft.llm.mixing import plan_mix
@@ -55,6 +62,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates of every document, and which one of it stays."""
+    from lorecraft.llm.near_dups import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and what they decode to, as digests."""
     from lorecraft.llm.pieces import encode_decode
@@ -79,9 +93,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_vector_dups": op1_vector_dups,
         "op3_mix": op3_mix,
         "op5_language": op5_language,
         "op6_quality": op6_quality,
+        "op7_near_dups": op7_near_dups,
         "op8_pieces": op8_pieces,
         "op9_token_counts": op9_token_counts,
         "op10_shards": op10_shards,
