@@ -15,8 +15,10 @@ one: no ids, and the empty text back. Very long words only add rounds.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -188,7 +190,7 @@ class PieceModel:
         ids[spots] = self.byte_id[np.frombuffer(b"".join(utf8), np.uint8)]
         return ids, np.repeat(word, times)
 
-    def encode(self, texts: list[str | None], chars: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def encode(self, texts: list[str | None], chars: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For groups of texts with about ``chars`` characters: flat ids, and the count of each text."""
         at = 0
         while at < len(texts):
@@ -205,8 +207,9 @@ class PieceModel:
             if not words:
                 yield np.zeros(0, np.int32), np.zeros(len(per_text), np.int64)
                 continue
-            distinct: dict[str, int] = {}
-            code = np.fromiter((distinct.setdefault(w, len(distinct)) for w in words), np.int64, len(words))
+            distinct: defaultdict[str, int] = defaultdict()
+            distinct.default_factory = distinct.__len__  # a new word gets the next number
+            code = np.array([distinct[w] for w in words], np.int64)
             ids, start = self.encode_words(list(distinct))
             length = np.diff(start)[code]
             end = np.cumsum(length)
@@ -287,7 +290,21 @@ class Pieces:
                     start = end
                 yield pa.array(out, pa.string())
 
-        self._encode, self._decode = encode, decode
+        @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+        def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                sizes, of_ids, of_text = [], [], []
+                for flat, count in model.value.encode(batch.to_pylist()):
+                    ids, start = flat.tolist(), 0
+                    for n in count.tolist():
+                        own = ids[start : start + n]
+                        start += n
+                        sizes.append(n)
+                        of_ids.append(sha256(",".join(map(str, own)).encode()).hexdigest())
+                        of_text.append(sha256(model.value.decode(own).encode()).hexdigest())
+                yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+        self._encode, self._decode, self._digest = encode, decode, digest
 
     def encode(self, text: Column | str) -> Column:
         column = F.col(text) if isinstance(text, str) else text
@@ -296,6 +313,14 @@ class Pieces:
     def decode(self, ids: Column | str) -> Column:
         return self._decode(ids)
 
+    def digest(self, text: Column | str) -> Column:
+        """Of each text: how many ids, and SHA-256 of the ids and of what they decode to.
+
+        For comparing corpora without moving ids: they stay in the Python worker.
+        """
+        column = F.col(text) if isinstance(text, str) else text
+        return self._digest(F.coalesce(column.cast("string"), F.lit("")))
+
 
 def encode_decode(df: DataFrame, model: str, *, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with the ids of each text and the text that they decode to; same-named columns are replaced."""

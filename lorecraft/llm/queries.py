@@ -71,16 +71,11 @@ def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and what they decode to, as digests."""
-    from lorecraft.llm.pieces import encode_decode
+    from lorecraft.llm.pieces import Pieces
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = encode_decode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
-    return done.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    digest = Pieces(spark, f"{TOKENIZERS}/piece_bpe_32k.model").digest("text")
+    return docs.select("doc_id", digest.alias("d")).select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
