@@ -219,8 +219,10 @@ def near_duplicates(df: DataFrame, *, id: str = "doc_id", text: str = "text", th
 
 def drop_near_duplicates(df: DataFrame, *, id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """``df`` with one row of each class: that of its least id (any one of rows that repeat it)."""
-    found = near_duplicates(df, id=id, text=text, threshold=threshold)
-    gone = found.where("NOT kept").select(id).distinct()
-    left = df.join(gone, id, "left_anti")
-    known = left.where(F.col(id).isNotNull()).dropDuplicates([id])
-    return known.unionByName(left.where(F.col(id).isNull()))
+    found = near_duplicates(df, id=id, text=text, threshold=threshold).checkpoint()
+    left = df.join(found.where("NOT kept").select(id).distinct(), id, "left_anti")
+    repeated = found.where(F.col(id).isNotNull()).groupBy(id).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(id)
+    if repeated.isEmpty():
+        return left.select(*df.columns)
+    once = left.join(repeated, id, "left_anti").unionByName(left.join(repeated, id, "left_semi").dropDuplicates([id]))
+    return once.select(*df.columns)

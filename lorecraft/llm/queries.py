@@ -23,6 +23,17 @@ def op1_vector_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every text, learned from the labels of two thirds of the documents."""
+    from lorecraft.llm.language_id import split_of
+    from lorecraft.llm.toxicity import score, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (split_of("doc_id", 3) == 1).alias("held_out"))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = train(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    return score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words to take of every document so that sources come to their target weights."""
     from lorecraft.llm.mixing import plan_mix
@@ -89,6 +100,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_vector_dups": op1_vector_dups,
+        "op2_toxicity": op2_toxicity,
         "op3_mix": op3_mix,
         "op5_language": op5_language,
         "op6_quality": op6_quality,
