@@ -53,6 +53,14 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return external_shuffle(docs, shards=8)
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies among the images drawn of all ``embeddings`` (no table has images of its own)."""
+    from lorecraft.llm.media import image_copies, render_vectors
+
+    images = render_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), vector="embedding")
+    return image_copies(images, id="vec_id")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text, learned from four fifths of the documents."""
     from lorecraft.llm.language_id import identify, split_of, train
@@ -102,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_vector_dups": op1_vector_dups,
         "op2_toxicity": op2_toxicity,
         "op3_mix": op3_mix,
+        "op4_media": op4_media,
         "op5_language": op5_language,
         "op6_quality": op6_quality,
         "op7_near_dups": op7_near_dups,
