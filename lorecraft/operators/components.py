@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     longest path. Rounds end with a checkpoint, which cuts the plan; the driver sees
     one count a round. Loops, repeats and nulls among the edges are ignored.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
+    spark = edges.sparkSession
+    ensure_checkpoint_dir(spark)
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     links = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")).checkpoint()
@@ -28,4 +29,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         moved = new.where("old <> component").count()
         labels = new.select("id", "component")
         if not moved:
+            spark.sparkContext._jvm.System.gc()  # lets the context drop the files of rounds that are over
             return labels
