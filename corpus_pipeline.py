@@ -33,7 +33,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the quality classifier predicts to be good."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    model = quality.train(docs.where(language_id.split_of("doc_id", 5) != 0).select("doc_id", "text").join(labels, "doc_id"))
+    model = quality.train(docs.where(language_id.split_of("doc_id", 5) != 0), labels)
     found = quality.score(docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns}), model, text="_text", threshold=LEAST_QUALITY)
     return found.where("predicted = 1").select(*[F.col(f"_{c}").alias(c) for c in docs.columns])
 

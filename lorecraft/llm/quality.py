@@ -5,10 +5,10 @@ one, runs of a sign are cut to two, and a word equal to the one before it gets a
 sign of its own. Its n-grams of one to four signs give indicators, several for each
 n-gram: whether it occurs, and whether it does so at least once in 400, 60 or 12
 signs. Words' own 1- and 2-grams are indicators too. Indicators are scaled by the
-log ratio of their counts in the two classes, counted over all labelled rows,
-and a hinge-loss model is fitted by dual coordinate descent on a sample of at most
-``per_class`` rows of each class; a logistic curve over margins of rows left out turns
-margins into probabilities.
+log ratio of their counts in the two classes, and a hinge-loss model is fitted by dual
+coordinate descent. Both use a sample of about ``per_class`` labelled rows of each class,
+of whole texts; a logistic curve over margins of rows left out turns margins into
+probabilities, at the classes' shares of all labelled rows.
 
 Every text gets a score; null and empty ones that of a text without indicators.
 Without labelled rows of both classes every score is the share of label 1 (or 1).
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorecraft.llm.chargrams import code_points, grams, groups
+from lorecraft.llm.samples import labelled_sample
 from lorecraft.session import ship_package
 
 SHAPE_BITS, WORD_BITS = 14, 16
@@ -141,12 +142,14 @@ def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost:
     return w, b
 
 
-def fit(texts: list[str], labels: list[int], positive: np.ndarray, negative: np.ndarray, prior: float, *, cost: float = 1.0, smooth: float = 1.0, epochs: int = 20, seed: int = 6) -> QualityModel:
-    """Learn from a sample; class counts and ``prior`` (of label 1) come from all labelled rows."""
-    p, q = positive + smooth, negative + smooth
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    y = np.array(labels)
+def fit(texts: list[str], labels: list[int], prior: float, *, cost: float = 1.0, smooth: float = 1.0, epochs: int = 20, seed: int = 6) -> QualityModel:
+    """Learn from a sample; ``prior`` is the share of label 1 in all labelled rows."""
+    y = np.array(labels, int)
     found = [at for group in groups(texts) for at in indicators(group)]
+    seen = np.full((2, TOTAL), smooth)
+    for at, label in zip(found, labels):
+        seen[label, at] += 1
+    ratio = np.log(seen[1] / seen[1].sum()) - np.log(seen[0] / seen[0].sum())
     if len(set(labels)) < 2:
         share = min(max(prior, 1e-6), 1 - 1e-6)
         return QualityModel(np.zeros(TOTAL), 0.0, np.ones(TOTAL), 1.0, float(np.log(share / (1 - share))))
@@ -182,35 +185,11 @@ def _logistic(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(max(a, 1e-3)), float(b)
 
 
-def train(labelled: DataFrame, *, text: str = "text", label: str = "quality", per_class: int = 3000) -> QualityModel:
-    """A model from the rows of ``labelled`` (text, 0/1 label) whose label is not null."""
-    ship_package(labelled.sparkSession)
-    known = labelled.where(F.col(label).isin(0, 1)).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label"))
-
-    def class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rows = np.zeros((2, TOTAL), np.int64), np.zeros(2, np.int64)
-        for batch in batches:
-            y, at_row = batch.column(1).to_pylist(), 0
-            for group in groups(batch.column(0).to_pylist()):
-                for at in indicators(group):
-                    seen[y[at_row], at] += 1
-                    rows[y[at_row]] += 1
-                    at_row += 1
-        for k in (0, 1):
-            at = np.flatnonzero(seen[k])
-            yield pa.record_batch({"label": np.full(len(at) + 1, k, np.int32), "feature": np.r_[at, -1], "n": np.r_[seen[k][at], rows[k]]})
-
-    table = known.mapInArrow(class_counts, "label int, feature bigint, n bigint").groupBy("label", "feature").agg(F.sum("n").alias("n")).toPandas()
-    seen, rows = np.zeros((2, TOTAL)), np.zeros(2)
-    for k in (0, 1):
-        own = table[table.label == k]
-        inside = own[own.feature >= 0]
-        seen[k, inside.feature.to_numpy()] = inside.n.to_numpy()
-        rows[k] = own[own.feature < 0].n.sum()
-    prior = rows[1] / rows.sum() if rows.sum() else 1.0
-    share = F.when(F.col("label") == 1, min(1.0, per_class / max(rows[1], 1))).otherwise(min(1.0, per_class / max(rows[0], 1)))
-    sample = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).limit(4 * per_class).collect()
-    return fit([r["text"] for r in sample], [r["label"] for r in sample], seen[1], seen[0], float(prior))
+def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 3000) -> QualityModel:
+    """A model from rows of ``docs`` that have a 0/1 label in ``labels``."""
+    ship_package(docs.sparkSession)
+    texts, marks, rows = labelled_sample(docs, labels, key=key, text=text, label=label, per_class=per_class)
+    return fit(texts, marks, rows.get(1, 0) / max(sum(rows.values()), 1) if rows else 1.0)
 
 
 def score(df: DataFrame, model: QualityModel, *, text: str = "text", threshold: float = 0.3) -> DataFrame:

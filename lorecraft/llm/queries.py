@@ -77,7 +77,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (split_of("doc_id", 5) == 0).alias("held_out"))
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = train(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    model = train(docs.where(~F.col("held_out")), labels)
     return score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
