@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorecraft.llm.chargrams import code_points, grams, groups
+from lorecraft.llm.samples import labelled_sample
 from lorecraft.session import ship_package
 
 BITS = 18
@@ -239,16 +240,11 @@ def fit(texts: list[str], labels: list[int], prior: float, *, epochs: int = 24,
     return model
 
 
-def train(labelled: DataFrame, *, text: str = "text", label: str = "toxic", per_class: int = 2500) -> ToxicityModel:
-    """A model from the rows of ``labelled`` (text, 0/1 label) whose label is not null."""
-    ship_package(labelled.sparkSession)
-    known = labelled.where(F.col(label).isin(0, 1)).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label"))
-    rows = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not rows:
-        return fit([], [], 0.0)
-    share = F.when(F.col("label") == 1, min(1.0, per_class / rows.get(1, 1))).otherwise(min(1.0, per_class / rows.get(0, 1)))
-    sample = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).limit(4 * per_class).collect()
-    return fit([r["text"] for r in sample], [r["label"] for r in sample], rows.get(1, 0) / sum(rows.values()))
+def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 2500) -> ToxicityModel:
+    """A model from rows of ``docs`` that have a 0/1 label in ``labels``."""
+    ship_package(docs.sparkSession)
+    texts, marks, rows = labelled_sample(docs, labels, key=key, text=text, label=label, per_class=per_class)
+    return fit(texts, marks, rows.get(1, 0) / max(sum(rows.values()), 1))
 
 
 def score(df: DataFrame, model: ToxicityModel, *, text: str = "text", threshold: float = 0.7) -> DataFrame:
