@@ -214,12 +214,11 @@ def test_reasoning(spark):
     assert [r[0] for r in c.select(Z.known_candidates(F.col("n"))).collect()] == [["UnName_Entity"], ["x"]]
 
 
-class Failing:
-    def complete(self, prompts):
-        raise RuntimeError("down")
-
-
 def test_models(spark):
+    class Failing:
+        def complete(self, prompts):
+            raise RuntimeError("down")
+
     d = spark.createDataFrame([(0, "say\none two"), (1, None)], "id long, prompt string")
     out = {r["id"]: r["reply"] for r in complete(d, "prompt", "reply", EchoModel).collect()}
     assert out == {0: "one two", 1: None}
