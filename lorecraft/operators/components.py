@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorecraft.session import ensure_checkpoint_dir
+from lorecraft.session import ensure_checkpoint_dir, release
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -28,6 +28,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         new = better.join(target, "c").select("id", "old", "component").checkpoint()
         moved = new.where("old <> component").count()
         labels = new.select("id", "component")
+        del near, better, target, new
+        release(spark)
         if not moved:
-            spark.sparkContext._jvm.System.gc()  # lets the context drop the files of rounds that are over
             return labels

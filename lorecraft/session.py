@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -53,3 +54,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lorecraft-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the context drop shuffle files and checkpoints that no table refers to any more.
+
+    Spark does so when the driver collects garbage, which in a long chain of small jobs
+    may come after the disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
