@@ -139,3 +139,46 @@ def repaired(type_: Column, description: Column, name: Column, allowed: list[str
     """(type, description) with defaults: a type that isn't allowed is UNKNOWN, a missing description a stock sentence."""
     described = F.coalesce(F.nullif(description, F.lit("")), ask(name) if ask else F.concat(F.lit("An entity named "), name, F.lit(".")))
     return F.struct(F.when(type_.isin(allowed), type_).otherwise("UNKNOWN").alias("type"), described.alias("description"))
+
+
+def with_templates(examples: DataFrame, dimension: DataFrame) -> DataFrame:
+    """Examples with the templates of their dataset; a template without a configuration serves all of them."""
+    d = dimension.select(F.col("dataset_name").alias("__d"), F.col("dataset_config_name").alias("__c"), "template_name", "task_type")
+    return examples.join(d, (F.col("dataset") == F.col("__d")) & (F.col("__c").isNull() | F.col("__c").eqNullSafe(F.col("dataset_config")))).drop("__d", "__c")
+
+
+def one_template(examples: DataFrame, key: str, names: list[str], seed: int = 42) -> DataFrame:
+    """``examples`` with one of the template names, by a seeded hash of the key."""
+    at = F.conv(F.substring(hash_order(seed, key), 1, 8), 16, 10).cast("bigint") % len(names)
+    return examples.withColumn("template_name", F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int")))
+
+
+def groups_of_names(replies: DataFrame, entities: DataFrame) -> DataFrame:
+    """(group, id): entities of the name lists that a model grouped; unknown names drop out, of equal names the last entity counts.
+
+    ``replies`` is (reply) of JSON lists of lists of names; what can't be read is no group.
+    """
+    lists = replies.select(F.monotonically_increasing_id().alias("r"), F.from_json(P.json_slice(F.col("reply")), "array<array<string>>").alias("g")).where("g IS NOT NULL")
+    names = lists.select("r", F.posexplode("g").alias("k", "n")).select(F.concat_ws("-", F.col("r").cast("string"), F.col("k").cast("string")).alias("group"), F.explode("n").alias("name"))
+    known = entities.groupBy("name").agg(F.max("id").alias("id"))
+    return names.join(known, "name").select("group", "id").distinct()
+
+
+def distinct_counts(records: DataFrame, question: str = "question", context: str = "context") -> DataFrame:
+    """(questions, contexts): distinct ones; contexts count by their first hundred characters."""
+    start = F.concat(F.substring(F.col(context), 1, 100), F.lit("..."))
+    return records.agg(F.count_distinct(F.col(question)).alias("questions"), F.count_distinct(start).alias("contexts"))
+
+
+def capped(rows: DataFrame, key: str, cap: int, factor: float = 1.0, seed: int = 42) -> DataFrame:
+    """A seeded sample of at most ``cap * factor`` rows."""
+    return rows.orderBy(hash_order(seed, key), key).limit(int(cap * factor))
+
+
+def masked_template(text: str, context: str) -> str:
+    """A template with its context expression replaced by a place to copy it to, and the target after the pipe marker."""
+    from lorecraft.functions.prompts import PIPE
+
+    if context not in text:
+        raise ValueError("the template doesn't hold its context")
+    return text.replace(context, "{{copy_context}}").replace("|||", PIPE)

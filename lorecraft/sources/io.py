@@ -105,3 +105,9 @@ def interactions(rows: DataFrame) -> DataFrame:
     return rows.select(
         "id", F.concat(F.lit("Id: "), field("id"), F.lit("\nType: "), field("type"), F.lit("\nQuestion: "), field("question"), F.lit("\nAnswer: "), field("answer"), F.lit(f"\n{RULE}\n")).alias("block")
     )
+
+
+def write_array(rows: DataFrame, path: str) -> None:
+    """One JSON array in one text file, for datasets small enough for one task; others take ``write_lines``."""
+    one = rows.select(F.to_json(F.struct(*rows.columns)).alias("j")).coalesce(1).agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value"))
+    one.write.text(path)
