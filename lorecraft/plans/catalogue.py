@@ -677,7 +677,7 @@ def max_avg_path(spark, sf_dir):
 # ---- streams and the star schema ----------------------------------------------------------------
 
 
-@query()
+@query(f"WITH {SENTENCES} SELECT name, count(*) AS n, count(DISTINCT doc) AS docs FROM mentions GROUP BY name")
 def stream_upsert_graph(spark, sf_dir):
     from uuid import uuid4
 
