@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Whole texts in one array; a batch of texts is worked on in groups of about this many characters.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 500_000
 
 
 def groups(texts: list[str | None], chars: int = GROUP_CHARS) -> Iterator[list[str]]:

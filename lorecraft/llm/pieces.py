@@ -190,7 +190,7 @@ class PieceModel:
         ids[spots] = self.byte_id[np.frombuffer(b"".join(utf8), np.uint8)]
         return ids, np.repeat(word, times)
 
-    def encode(self, texts: list[str | None], chars: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def encode(self, texts: list[str | None], chars: int = 600_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For groups of texts with about ``chars`` characters: flat ids, and the count of each text."""
         at = 0
         while at < len(texts):

@@ -110,7 +110,7 @@ class ToxicityModel:
         return top_windows(value * first_of_run(hashes, bounds), bounds)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        parts = [curve_of(self.curve, self.windows(group) / self.scale) for group in groups(texts, 1_000_000)]
+        parts = [curve_of(self.curve, self.windows(group) / self.scale) for group in groups(texts, 500_000)]
         return np.concatenate([np.zeros(0), *parts])
 
 
@@ -148,7 +148,7 @@ def fit(texts: list[str], labels: list[int], prior: float, *, epochs: int = 24,
     # distinct words of the sample with their n-grams, and each text as numbers of words
     known: dict[int, int] = {}
     gram_parts, size_parts, text_words = [], [], []
-    for group in groups(texts, 1_000_000):
+    for group in groups(texts, 500_000):
         numbers, owners, hashes, bounds = words_and_grams(group)
         values, first, code = np.unique(hashes, return_index=True, return_inverse=True)
         new = np.array([int(v) not in known for v in values], bool) if len(values) else np.zeros(0, bool)
@@ -232,7 +232,7 @@ def fit(texts: list[str], labels: list[int], prior: float, *, epochs: int = 24,
     value = (embed @ (soft[:, 1] - soft[:, 0])) * WINDOW
     model = ToxicityModel(value.astype(np.float32), np.zeros(TOP + 1), 1.0)
     judge = np.flatnonzero(held) if held.any() else np.arange(len(y))
-    windows = np.concatenate([model.windows(group) for group in groups([texts[i] for i in judge], 1_000_000)])
+    windows = np.concatenate([model.windows(group) for group in groups([texts[i] for i in judge], 500_000)])
     truth = y[judge]
     model.scale = float(max(np.std(windows[:, 0]), 1e-6))
     weight = np.where(truth == 1, prior / max((truth == 1).mean(), 1e-9), (1 - prior) / max((truth == 0).mean(), 1e-9))
