@@ -9,13 +9,21 @@ in order of time, so a run stops as soon as its next point is later than
 every component found so far. Two signatures agree in a component with the
 probability of the weighted Jaccard similarity.
 
-Documents that agree in a whole band are candidates. First every document is
-verified against the least id of each of its buckets and verified links join into
-components; then, in buckets that still hold several components, every pair of
-documents from different components is verified. So no pair that shares a band
-and could join two classes is left out, and a group of thousands of copies
-costs one pair a copy and band. Equal texts are one candidate. With bands of five
-in 25, a pair at 0.8 shares none with probability 5e-5, at 0.9 with 4e-10.
+Documents that agree in a whole band are candidates. In each bucket the document
+that shares most buckets with others is the hub: of a group of edited copies, the
+least edited one. First every document is verified against the hubs of its buckets, and
+verified links join into components. What is left are pairs from different
+components of a bucket. In buckets of at most ``SMALL`` all of them are verified.
+Larger ones get a reference: the runs that most of a sample of their main component
+have. With D the runs that a document and the reference don't have in common,
+documents A and B are a link exactly if D(A) and D(B) share enough runs, a number that
+follows from their sizes. Where none is enough, both are linked to the document next to
+the reference as well, and one verification each says so. Where some is needed, they
+meet on the first runs of D in a common order that puts runs the reference lacks first; the
+more must be shared, the fewer are needed (prefix filtering). So no pair that
+shares a band and could join two classes is left out, and a group of thousands of
+copies costs a few pairs a copy. Equal texts are one candidate. With 25 bands of
+five, a pair at 0.8 shares none with probability 5e-5, at 0.9 with 4e-10.
 
 Rows with a null id or without a word link with nothing and are kept. Repeated
 ids are one document if their texts are equal, and else join one class.
@@ -32,11 +40,15 @@ from pyspark.sql import functions as F
 
 from lorecraft.llm.chargrams import code_points, groups
 from lorecraft.operators.components import connected_components
-from lorecraft.session import ensure_checkpoint_dir, ship_package
+from lorecraft.session import ensure_checkpoint_dir, release, ship_package
 
 WORDS = 5
 BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
+#: Buckets of at most so many documents are worked on pair by pair.
+SMALL = 16
+#: Documents of a component that its reference is made of, about.
+SAMPLED = 64
 
 _alnum: list[np.ndarray] = []
 
@@ -140,7 +152,7 @@ def bands_of(found: np.ndarray) -> np.ndarray:
 def _bands(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         rows: list[list[int] | None] = []
-        for group in groups(batch.to_pylist(), 1_000_000):
+        for group in groups(batch.to_pylist(), 500_000):
             bags = [np.unique(r, return_counts=True) for r in runs_of(group)]
             rows += [b if len(h) else None for (h, _), b in zip(bags, bands_of(signatures(bags)).tolist())]
         yield pa.array(rows, pa.list_(pa.int64()))
@@ -148,11 +160,70 @@ def _bands(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def _elements(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
-        rows = [elements_of(r) for group in groups(batch.to_pylist(), 1_000_000) for r in runs_of(group)]
+        rows = [elements_of(r) for group in groups(batch.to_pylist(), 500_000) for r in runs_of(group)]
         ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
         yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
 
 
+def _pairs_of_small(placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of items of different components in the same bucket."""
+    x = placed.select("bucket", F.col("item").alias("a"), F.col("c").alias("ca"))
+    y = placed.select("bucket", F.col("item").alias("b"), F.col("c").alias("cb"))
+    return x.join(y, "bucket").where("a < b AND ca <> cb").select("a", "b").distinct()
+
+
+def _references(large: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For rows (bucket, item, c): the largest component in each bucket as its ``ref``, and the runs of each ref.
+
+    A reference holds the runs of more than half of about ``SAMPLED`` of its component's
+    documents. Any set would do for right results; this one makes differences small.
+    """
+    sizes = large.select("item", "c").distinct().groupBy("c").agg(F.count(F.lit(1)).alias("m"))
+    refs = large.select("bucket", "c").distinct().join(sizes, "c").groupBy("bucket").agg((-F.max(F.struct("m", (-F.col("c")).alias("c")))["c"]).alias("ref"))
+    of_ref = large.select("item", F.col("c").alias("ref")).distinct().join(refs.select("ref").distinct(), "ref")
+    size = of_ref.groupBy("ref").agg(F.count(F.lit(1)).alias("m"))
+    chosen = of_ref.join(size, "ref").where(F.pmod(F.xxhash64("item", F.lit(5)), F.lit(1 << 30)) < F.lit(SAMPLED) / F.col("m") * (1 << 30)).select("ref", "item")
+    chosen = chosen.checkpoint()
+    votes = chosen.join(sets.select(F.col("id").alias("item"), "e"), "item").select("ref", F.explode("e").alias("run")).groupBy("ref", "run").agg(F.count(F.lit(1)).alias("n"))
+    most = votes.join(chosen.groupBy("ref").agg(F.count(F.lit(1)).alias("m")), "ref").where("2 * n > m")
+    return refs, refs.select("ref").distinct().join(most.groupBy("ref").agg(F.collect_list("run").alias("h")), "ref", "left").select("ref", F.coalesce("h", F.array().cast("array<bigint>")).alias("h"))
+
+
+def _pairs_of_large(known: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of rows (ref, item, c, s, own, gone): sure links (a, b), and pairs (a, b) that may be one.
+
+    ``own`` are the runs that only the document has, ``gone`` those that only the reference
+    has. With d = |own| + |gone| and f = d - r s, r = (1 - t) / (1 + t): two documents are
+    a link exactly if their differences share at least (f(A) + f(B)) / 2 runs.
+    """
+    part = (1 - threshold) / (1 + threshold)
+    known = known.withColumn("f", F.size("own") + F.size("gone") - part * F.col("s"))
+    nearest = known.groupBy("ref").agg(F.min(F.struct("f", "item")).alias("n")).select("ref", F.col("n.item").alias("near"), F.col("n.f").alias("least"))
+    known = known.join(nearest, "ref").withColumn("sure", F.col("f") + F.col("least") <= 1e-9).checkpoint()
+    sure = known.where("sure AND item <> near").select(F.col("near").alias("a"), F.col("item").alias("b"))
+
+    main = known.groupBy("ref", "c").agg(F.max("sure").alias("main"))
+    known = known.join(main, ["ref", "c"])
+    bounds = known.groupBy("ref").agg(F.min(F.when(~F.col("main"), F.col("f"))).alias("stray_least"), F.min(F.when(F.col("main"), F.col("f"))).alias("main_least"))
+    known = known.join(bounds, "ref").where("stray_least IS NOT NULL")
+
+    # strays meet the main component's documents and each other; the latter needs a part of the same prefix
+    need = lambda other: F.greatest(F.ceil((F.col("f") + F.col(other)) / 2 - 1e-9), F.lit(1)).cast("int")
+    first = lambda other: F.when(F.col(other).isNotNull(), F.greatest(F.col("d") - need(other) + 1, F.lit(0))).otherwise(0)
+    known = known.withColumn("d", F.size("own") + F.size("gone")).withColumn("delta", F.concat(F.sort_array("own"), F.sort_array("gone")))
+    strays = known.where("NOT main").withColumn("to_main", first("main_least")).withColumn("to_stray", first("stray_least"))
+    strays = strays.select("ref", "item", "c", "f", "d", "to_main", "to_stray", F.posexplode(F.slice("delta", 1, F.greatest("to_main", "to_stray"))).alias("at", "run")).checkpoint()
+    rest = known.where("main").select("ref", "item", "c", "f", "d", F.explode(F.slice("delta", 1, first("stray_least"))).alias("run"))
+
+    side = lambda rows, n: rows.select("ref", "run", *[F.col(c).alias(f"{c}_{n}") for c in ("item", "c", "f", "d")])
+    possible = (F.col("item_x") != F.col("item_y")) & (F.col("c_x") != F.col("c_y")) & (F.least("d_x", "d_y") >= (F.col("f_x") + F.col("f_y")) / 2 - 1e-9)
+    met = side(strays.where("at < to_main"), "x").join(side(rest, "y"), ["ref", "run"]).where(possible)
+    each = strays.where("at < to_stray")
+    among = side(each, "x").join(side(each, "y"), ["ref", "run"]).where(possible & (F.col("item_x") < F.col("item_y")))
+    both = met.select(F.col("item_x").alias("x"), F.col("item_y").alias("y")).unionByName(among.select(F.col("item_x").alias("x"), F.col("item_y").alias("y")))
+    return sure, both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, *, id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """One row for each row of ``df``: ``id``, ``class_id`` (least id of the class) and ``kept``.
 
@@ -168,47 +239,65 @@ def near_duplicates(df: DataFrame, *, id: str = "doc_id", text: str = "text", th
 
     linkable = signed.where("id IS NOT NULL AND bands IS NOT NULL")
     contents = linkable.groupBy("content").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")).checkpoint()
-    bucketed = contents.select("rep", F.explode("bands").alias("bucket"))
-    shared = bucketed.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "pivot")
-    members = bucketed.join(shared, "bucket").checkpoint()
+    bucketed = contents.select(F.col("rep").alias("item"), F.explode("bands").alias("bucket"))
+    shared = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    member = bucketed.join(shared, "bucket").checkpoint()
+    met = member.groupBy("item").agg(F.sum("n").alias("met"))
+    hubs = member.join(met, "item").groupBy("bucket").agg((-F.max(F.struct("met", (-F.col("item")).alias("i")))["i"]).alias("hub"))
 
-    candidates = members.select("rep").distinct()
-    texts = contents.join(candidates, "rep").select("rep", "content")
+    texts = contents.join(met.select(F.col("item").alias("rep")), "rep").select(F.col("rep").alias("id"), "content")
     sets = (
         rows.where("id IS NOT NULL")
-        .join(texts.select(F.col("rep").alias("id"), "content"), "id")
+        .join(texts, "id")
         .where(F.md5(F.col("text").cast("binary")) == F.col("content"))
-        .dropDuplicates(["content"])
+        .dropDuplicates(["id"])  # rows that repeat an id and its text
         .select("id", elements("text").alias("e"))
         .checkpoint()
     )
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left, right = sets.select(F.col("id").alias("a"), F.col("e").alias("ea")), sets.select(F.col("id").alias("b"), F.col("e").alias("eb"))
-        small, large = F.least(F.size("ea"), F.size("eb")), F.greatest(F.size("ea"), F.size("eb"))
-        both = F.size(F.array_intersect("ea", "eb"))
-        return (
-            pairs.join(right, "b")
-            .join(left, "a")
-            .where((small >= threshold * large) & (both / (small + large - both) >= threshold))
-            .select("a", "b")
-            .checkpoint()
-        )
-
-    stars = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    first = verified(stars)
-    joined = connected_components(first, "a", "b")
-    placed = members.select("bucket", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-    placed = placed.select("bucket", "rep", F.coalesce("component", "rep").alias("c")).checkpoint()
-    parts = placed.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
-    several = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.collect_set("c").alias("cs")).where("parts > 1")
-    apart = placed.join(several.select("bucket", "cs"), "bucket").select("bucket", "rep", "c", F.explode("cs").alias("d")).where("c < d")
-    other = placed.select("bucket", F.col("rep").alias("b"), F.col("c").alias("d"))
-    cross = apart.join(other, ["bucket", "d"]).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-    second = verified(cross.join(stars, ["a", "b"], "left_anti"))
-
-    classes = connected_components(first.unionByName(second), "a", "b")
-    of_content = contents.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("content", F.coalesce("component", "rep").alias("class_id"))
+    release(spark)
+    left, right = sets.select(F.col("id").alias("a"), F.col("e").alias("ea")), sets.select(F.col("id").alias("b"), F.col("e").alias("eb"))
+    similar = F.col("k") / (F.col("sa") + F.col("sb") - F.col("k")) >= threshold
+    measures = [F.size("ea").alias("sa"), F.size("eb").alias("sb"), F.size(F.array_intersect("ea", "eb")).alias("k")]
+
+    stars = member.join(hubs, "bucket").where("item <> hub").select(F.col("hub").alias("a"), F.col("item").alias("b")).distinct()
+    tested = stars.join(right, "b").join(left, "a").select("a", "b", *measures).withColumn("linked", similar).select("a", "b", "linked").checkpoint()
+    release(spark)
+    first = tested.where("linked").select("a", "b")
+    joined = connected_components(first, "a", "b").withColumnRenamed("id", "item")
+    placed = member.select("bucket", "item", "n").join(joined, "item", "left").withColumn("c", F.coalesce("component", "item")).drop("component")
+    several = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
+    placed = placed.join(several, "bucket").checkpoint()
+    release(spark)
+
+    large = placed.where(F.col("n") > SMALL)
+    refs, reference = _references(large, sets)
+    items = large.join(refs, "bucket").select("ref", "item", "c").distinct()
+    known = (
+        items.join(right.withColumnRenamed("b", "item"), "item")
+        .join(reference, "ref")
+        .select("ref", "item", "c", F.size("eb").alias("s"), F.array_except("eb", "h").alias("own"), F.array_except("h", "eb").alias("gone"))
+    )
+    sure, pairs = _pairs_of_large(known, threshold)
+    pairs = _pairs_of_small(placed.where(F.col("n") <= SMALL)).unionByName(pairs).unionByName(sure.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    release(spark)
+    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = (
+        pairs.join(done, ["a", "b"], "left_anti")
+        .join(right, "b")
+        .join(left, "a")
+        .where(F.least(F.size("ea"), F.size("eb")) >= threshold * F.greatest(F.size("ea"), F.size("eb")))
+        .select("a", "b", *measures)
+        .where(similar)
+        .select("a", "b")
+        .checkpoint()
+    )
+    # links found last join components, not documents
+    component = placed.select("item", "c").distinct()
+    between = second.join(component.select(F.col("item").alias("a"), F.col("c").alias("ca")), "a").join(component.select(F.col("item").alias("b"), F.col("c").alias("cb")), "b")
+    merged = connected_components(between.select("ca", "cb"), "ca", "cb").select(F.col("id").alias("c"), F.col("component").alias("whole"))
+    parts = contents.select("rep").join(joined.withColumnRenamed("item", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("c"))
+    classes = parts.join(merged, "c", "left").select("rep", F.coalesce("whole", "c").alias("component"))
+    of_content = contents.join(classes, "rep").select("content", F.col("component").alias("class_id"))
     placed_rows = signed.withColumn("__content", F.when(F.col("id").isNotNull() & F.col("bands").isNotNull(), F.col("content")))
     class_id = F.coalesce("class_id", "id")
     return (
