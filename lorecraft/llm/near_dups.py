@@ -49,6 +49,8 @@ SIZE = BANDS * ROWS
 SMALL = 16
 #: Documents of a component that its reference is made of, about.
 SAMPLED = 64
+#: So few rows of large buckets are worked on in one task, without a shuffle for each step.
+FEW = 20_000
 
 _alnum: list[np.ndarray] = []
 
@@ -197,9 +199,12 @@ def _pairs_of_large(known: DataFrame, threshold: float) -> tuple[DataFrame, Data
     a link exactly if their differences share at least (f(A) + f(B)) / 2 runs.
     """
     part = (1 - threshold) / (1 + threshold)
-    known = known.withColumn("f", F.size("own") + F.size("gone") - part * F.col("s"))
+    known = known.checkpoint()
+    together = (lambda df: df.coalesce(1)) if known.count() <= FEW else (lambda df: df)
+    known = together(known).withColumn("f", F.size("own") + F.size("gone") - part * F.col("s"))
     nearest = known.groupBy("ref").agg(F.min(F.struct("f", "item")).alias("n")).select("ref", F.col("n.item").alias("near"), F.col("n.f").alias("least"))
-    known = known.join(nearest, "ref").withColumn("sure", F.col("f") + F.col("least") <= 1e-9).checkpoint()
+    known = known.join(nearest, "ref").withColumn("sure", F.col("f") + F.col("least") <= 1e-9)
+    known = together(known.checkpoint())
     sure = known.where("sure AND item <> near").select(F.col("near").alias("a"), F.col("item").alias("b"))
 
     main = known.groupBy("ref", "c").agg(F.max("sure").alias("main"))
@@ -212,7 +217,8 @@ def _pairs_of_large(known: DataFrame, threshold: float) -> tuple[DataFrame, Data
     first = lambda other: F.when(F.col(other).isNotNull(), F.greatest(F.col("d") - need(other) + 1, F.lit(0))).otherwise(0)
     known = known.withColumn("d", F.size("own") + F.size("gone")).withColumn("delta", F.concat(F.sort_array("own"), F.sort_array("gone")))
     strays = known.where("NOT main").withColumn("to_main", first("main_least")).withColumn("to_stray", first("stray_least"))
-    strays = strays.select("ref", "item", "c", "f", "d", "to_main", "to_stray", F.posexplode(F.slice("delta", 1, F.greatest("to_main", "to_stray"))).alias("at", "run")).checkpoint()
+    strays = strays.select("ref", "item", "c", "f", "d", "to_main", "to_stray", F.posexplode(F.slice("delta", 1, F.greatest("to_main", "to_stray"))).alias("at", "run"))
+    strays = together(strays.checkpoint())
     rest = known.where("main").select("ref", "item", "c", "f", "d", F.explode(F.slice("delta", 1, first("stray_least"))).alias("run"))
 
     side = lambda rows, n: rows.select("ref", "run", *[F.col(c).alias(f"{c}_{n}") for c in ("item", "c", "f", "d")])
@@ -309,6 +315,7 @@ def near_duplicates(df: DataFrame, *, id: str = "doc_id", text: str = "text", th
 def drop_near_duplicates(df: DataFrame, *, id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """``df`` with one row of each class: that of its least id (any one of rows that repeat it)."""
     found = near_duplicates(df, id=id, text=text, threshold=threshold).checkpoint()
+    release(df.sparkSession)
     left = df.join(found.where("NOT kept").select(id).distinct(), id, "left_anti")
     repeated = found.where(F.col(id).isNotNull()).groupBy(id).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(id)
     if repeated.isEmpty():
