@@ -104,7 +104,12 @@ def fit(
     names = sorted(set(labels))
     model = LanguageModel(names, np.log((1 + rows) / (1 + frequencies)) + 1, np.zeros((1 << BITS, len(names))), np.zeros(len(names)), 1.0)
     rng = np.random.default_rng(seed)
-    data = [(*model.features(c), names.index(y)) for group, ys in _together(texts, labels) for c, y in zip(counts(group), ys) if len(c[0])]
+    data = []
+    for group, ys in _together(texts, labels):
+        for c, y in zip(counts(group), ys):
+            if len(c[0]):
+                at, x = model.features(c)
+                data.append((at.astype(np.int32), x.astype(np.float32), names.index(y)))
     data = [data[i] for i in rng.permutation(len(data))]
     held = data[: len(data) // 6]
     train = data[len(held) :]
@@ -141,7 +146,7 @@ def _together(texts: list[str], labels: list[str]) -> Iterator[tuple[list[str],
         at += len(group)
 
 
-def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", per_language: int = 1500, languages: int = 200) -> LanguageModel:
+def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", per_language: int = 800, languages: int = 200) -> LanguageModel:
     """A model from the rows of ``labelled`` whose text and language are not null."""
     ship_package(labelled.sparkSession)
     known = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))

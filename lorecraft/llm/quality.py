@@ -145,7 +145,7 @@ def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost:
 def fit(texts: list[str], labels: list[int], prior: float, *, cost: float = 1.0, smooth: float = 1.0, epochs: int = 20, seed: int = 6) -> QualityModel:
     """Learn from a sample; ``prior`` is the share of label 1 in all labelled rows."""
     y = np.array(labels, int)
-    found = [at for group in groups(texts) for at in indicators(group)]
+    found = [at.astype(np.int32) for group in groups(texts) for at in indicators(group)]
     seen = np.full((2, TOTAL), smooth)
     for at, label in zip(found, labels):
         seen[label, at] += 1
@@ -158,7 +158,7 @@ def fit(texts: list[str], labels: list[int], prior: float, *, cost: float = 1.0,
     fold = np.zeros(len(y), int)
     fold[order] = np.arange(len(y)) % 4
     scale = lambda at: ratio[at] / max(np.sqrt((ratio[at] ** 2).sum()), 1e-9)
-    rows = [(at, scale(at)) for at in found]
+    rows = [(at, scale(at).astype(np.float32)) for at in found]
     sign = np.where(y == 1, 1.0, -1.0)
     weight = np.where(y == 1, 0.5 / max((y == 1).mean(), 1e-9), 0.5 / max((y == 0).mean(), 1e-9)) * cost
     margins = np.zeros(len(y))
@@ -185,7 +185,7 @@ def _logistic(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(max(a, 1e-3)), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 3000) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 1500) -> QualityModel:
     """A model from rows of ``docs`` that have a 0/1 label in ``labels``."""
     ship_package(docs.sparkSession)
     texts, marks, rows = labelled_sample(docs, labels, key=key, text=text, label=label, per_class=per_class)
