@@ -6,7 +6,9 @@ Harris' measure; the ``features`` strongest of an image are kept. A corner's
 direction is that of the brightness around it, and 256 comparisons of pairs of
 smoothed pixels, turned by that direction, are its descriptor. Each of ``TABLES`` tables
 keys a descriptor by ``KEY_BITS`` of its bits; images with corners that agree in a key and
-differ in at most ``DISTANCE`` bits in all are candidates.
+differ in at most ``DISTANCE`` bits in all are candidates. Tables are met ``PASS`` at a
+time, only corners with such a partner are kept, and pairs are tested ``SLICE`` at a time, so
+more tables take time rather than disk.
 A candidate pair is a copy if at least ``consensus`` of its matching corners agree on
 one shift, turn and scale: every match is tried as the hypothesis, none at random.
 
@@ -19,25 +21,28 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorecraft.llm.linking import link_classes, shared_members
-from lorecraft.session import ensure_checkpoint_dir, ship_package
+from lorecraft.llm.linking import link_classes
+from lorecraft.session import ensure_checkpoint_dir, release, ship_package
 
-BITS, TABLES = 256, 6
-#: Bits of a descriptor in a key: 2 to their power must be large against all corners, or chance makes candidates.
+BITS, TABLES, PASS = 256, 25, 2
+#: Bits of a descriptor in a key: the more of them, the fewer chance meetings to test, and the more tables for the same recall.
 KEY_BITS = 48
 #: Descriptors match if at most so many of their bits differ.
 DISTANCE = 56
 STEP, SCALES, MARGIN = 1.25, 4, 13
 #: A corner as stored: place in the full image, scale, direction, descriptor.
 CORNER = np.dtype([("x", "<f4"), ("y", "<f4"), ("s", "<f4"), ("t", "<f4"), ("d", "u1", BITS // 8)])
-POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+WORDS = ("w0", "w1", "w2", "w3")
+#: Pairs whose corners are fetched at a time: about 3 kB each.
+SLICE = 200_000
 
 
 def _pattern() -> np.ndarray:
@@ -47,8 +52,8 @@ def _pattern() -> np.ndarray:
 
 
 PATTERN = _pattern()
-#: The bits that each table takes, from a fixed seed.
-TAKEN = [np.random.default_rng(9 + t).choice(BITS, KEY_BITS, replace=False) for t in range(TABLES)]
+#: The bits that each table takes: disjoint ones of a permutation of all bits, then of the next.
+TAKEN = [np.random.default_rng(9 + t // (BITS // KEY_BITS)).permutation(BITS)[t % (BITS // KEY_BITS) * KEY_BITS :][:KEY_BITS] for t in range(TABLES)]
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -188,21 +193,20 @@ def corners(image: np.ndarray, features: int) -> np.ndarray:
     return all_[np.sort(np.argsort(-strength, kind="stable")[:features])]
 
 
-def table_keys(found: np.ndarray) -> list[tuple[int, int]]:
-    """The keys of an image's corners in all tables, each once, with a corner that has it."""
-    if not len(found):
-        return []
+def table_keys(found: np.ndarray, tables: range) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of an image's corners in ``tables``, each once, and for each a corner that has it."""
     bits = np.unpackbits(found["d"], axis=1).astype(np.int64)
     weights = 1 << np.arange(KEY_BITS, dtype=np.int64)
-    keys, first = np.unique(np.stack([bits[:, taken] @ weights << 3 | t for t, taken in enumerate(TAKEN)]), return_index=True)
-    return list(zip(keys.tolist(), (first % len(found)).tolist()))
+    keys, first = np.unique(np.concatenate([(bits[:, TAKEN[t]] @ weights) << 5 | t for t in tables]), return_index=True)
+    return keys, first % len(found)
 
 
 def agreeing(a: np.ndarray, b: np.ndarray, distance: int = DISTANCE, pixels: float = 4.0) -> int:
     """How many matching corners of two images agree on one similarity transform."""
     if not len(a) or not len(b):
         return 0
-    far = POPCOUNT[a["d"][:, None] ^ b["d"][None]].sum(2, dtype=np.int64)
+    m, n = (np.ascontiguousarray(x["d"]).view(np.uint64) for x in (a, b))
+    far = np.bitwise_count(m[:, None] ^ n[None]).sum(2, dtype=np.int64)
     i, j = np.arange(len(a)), far.argmin(1)
     ok = (far[i, j] <= distance) & (far.argmin(0)[j] == i)
     m, n = a[i[ok]], b[j[ok]]
@@ -224,7 +228,7 @@ def agreeing(a: np.ndarray, b: np.ndarray, distance: int = DISTANCE, pixels: flo
     return int(votes(refined, 0.02).sum(1).max())
 
 
-def image_copies(df: DataFrame, *, id: str = "id", media: str = "media", features: int = 24, consensus: int = 5) -> DataFrame:
+def image_copies(df: DataFrame, *, id: str = "id", media: str = "media", features: int = 32, consensus: int = 5) -> DataFrame:
     """One row per row of ``df``: ``id``, ``n_corners``, ``class_id`` (least id of the class) and ``kept``."""
     spark = df.sparkSession
     ship_package(spark)
@@ -243,17 +247,22 @@ def image_copies(df: DataFrame, *, id: str = "id", media: str = "media", feature
                 out.append(corners(image, features).tobytes() if image is not None and min(image.shape) > 2 else b"")
             yield pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(out, pa.binary())], names=["content", "corners"])
 
-    @F.arrow_udf("array<struct<bucket:bigint,at:int>>")
-    def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("bucket", pa.int64()), ("at", pa.int32())]))
-        for batch in batches:
-            yield pa.array([[{"bucket": k, "at": i} for k, i in table_keys(np.frombuffer(v.as_py(), CORNER))] for v in batch], kind)
-
-    @F.arrow_udf("struct<w0:bigint,w1:bigint,w2:bigint,w3:bigint>")
-    def words(stored: pa.Array, at: pa.Array) -> pa.Array:
-        found = [np.frombuffer(v.as_py(), CORNER)["d"][i.as_py()].tobytes() for v, i in zip(stored, at)]
-        four = np.frombuffer(b"".join(found), np.int64).reshape(-1, 4)
-        return pa.StructArray.from_arrays([pa.array(four[:, k]) for k in range(4)], names=[f"w{k}" for k in range(4)])
+    def keys(tables: range) -> Callable[..., Column]:
+        @F.arrow_udf("array<struct<bucket:bigint,w0:bigint,w1:bigint,w2:bigint,w3:bigint>>")
+        def keyed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                ends, buckets, words = [0], [np.zeros(0, np.int64)], [np.zeros((0, 4), np.int64)]
+                for value in batch:
+                    found = np.frombuffer(value.as_py(), CORNER)
+                    key, at = table_keys(found, tables)
+                    ends.append(ends[-1] + len(key))
+                    buckets.append(key)
+                    words.append(np.ascontiguousarray(found["d"][at]).view(np.int64))
+                four = np.concatenate(words)
+                rows = pa.StructArray.from_arrays([pa.array(np.concatenate(buckets)), *(pa.array(four[:, k].copy()) for k in range(4))], names=["bucket", *WORDS])
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+        return keyed
 
     @F.arrow_udf("int")
     def agreed(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -262,15 +271,27 @@ def image_copies(df: DataFrame, *, id: str = "id", media: str = "media", feature
     rows = df.select(F.col(id).alias("id"), described(F.col(media)).alias("x")).select("id", "x.*").checkpoint()
     linkable = rows.where((F.col("id").isNotNull()) & (F.length("corners") > 0))
     images = linkable.groupBy("content").agg(F.min("id").alias("item"), F.first("corners").alias("corners")).checkpoint()
-    bucketed = images.select("item", F.explode(keys("corners")).alias("k")).select("item", "k.*")
-    members = shared_members(bucketed).join(images, "item").select("bucket", "item", words("corners", "at").alias("w")).select("bucket", "item", "w.*").checkpoint()
     far = lambda x, y: sum((F.bit_count(F.col(f"w{k}{x}").bitwiseXOR(F.col(f"w{k}{y}"))) for k in range(4)), F.lit(0))
+    met = []
+    for first in range(0, TABLES, PASS):
+        bucketed = images.select("item", F.explode(keys(range(first, min(first + PASS, TABLES)))("corners")).alias("k")).select("item", "k.*")
+        other = bucketed.select("bucket", *[F.col(c).alias(f"{c}_y") for c in ("item", *WORDS)])
+        near = (bucketed["bucket"] == other["bucket"]) & (F.col("item") != F.col("item_y")) & (far("", "_y") <= DISTANCE)
+        met.append(bucketed.join(other, near, "left_semi").checkpoint())
+        release(spark)
+    members = reduce(DataFrame.unionByName, met)
     sides = images.select(F.col("item").alias("a"), F.col("corners").alias("ca")), images.select(F.col("item").alias("b"), F.col("corners").alias("cb"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return pairs.join(sides[1], "b").join(sides[0], "a").where(agreed("ca", "cb") >= consensus).select("a", "b")
-
-    classes = link_classes(members, verified, with_=("w0", "w1", "w2", "w3"), near=lambda x, y: far(x, y) <= DISTANCE).withColumnRenamed("id", "item")
+        pairs, out = pairs.checkpoint(), []
+        slices = max(1, -(-pairs.count() // SLICE))
+        for k in range(slices):
+            some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == k)
+            out.append(some.join(sides[1], "b").join(sides[0], "a").where(agreed("ca", "cb") >= consensus).select("a", "b").checkpoint())
+            release(spark)
+        return reduce(DataFrame.unionByName, out)
+
+    classes = link_classes(members, verified, with_=WORDS, near=lambda x, y: far(x, y) <= DISTANCE).withColumnRenamed("id", "item")
     of_image = images.join(classes, "item", "left").select("content", F.coalesce("component", "item").alias("class_id"))
     keyed = rows.withColumn("content", F.when((F.col("id").isNotNull()) & (F.length("corners") > 0), F.col("content")))
     class_id = F.coalesce("class_id", "id")

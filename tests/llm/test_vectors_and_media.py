@@ -134,3 +134,20 @@ def test_linking_tests_what_could_join(spark):
     links = spark.createDataFrame(sorted(true), "a long, b long")
     got = {r["id"]: r["component"] for r in link_classes(members, lambda pairs: pairs.join(links, ["a", "b"])).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+
+
+def test_turned_copies_are_candidates(spark):
+    def turned(a: np.ndarray, degrees: float) -> np.ndarray:
+        y, x = np.mgrid[:96, :96] - 48.0
+        c, s = np.cos(np.deg2rad(degrees)), np.sin(np.deg2rad(degrees))
+        u, v = np.clip(x * c - y * s + 48, 0, 95), np.clip(x * s + y * c + 48, 0, 95)
+        u0, v0 = np.minimum(u.astype(int), 94), np.minimum(v.astype(int), 94)
+        fu, fv = u - u0, v - v0
+        return np.rint((a[v0, u0] * (1 - fu) + a[v0, u0 + 1] * fu) * (1 - fv) + (a[v0 + 1, u0] * (1 - fu) + a[v0 + 1, u0 + 1] * fu) * fv)
+
+    pairs = {i: (picture(i).astype(float), turned(picture(i).astype(float), 10)) for i in range(40)}
+    true = {i for i, (a, b) in pairs.items() if M.agreeing(M.corners(a, 32), M.corners(b, 32)) >= 5}
+    rows = [(i + 100 * k, pgm(x)) for i, both in pairs.items() for k, x in enumerate(both)]
+    got = {x["id"]: x["class_id"] for x in M.image_copies(spark.createDataFrame(rows, "id long, media binary")).collect()}
+    assert len(true) >= 30 and sum(got[100 + i] == i for i in true) >= 0.75 * len(true)
+    assert all(got[i] == i for i in pairs)
