@@ -47,10 +47,9 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorecraft.llm.sharding import external_shuffle
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = _table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text).cast("bigint") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
-    )
-    return external_shuffle(docs, shards=8)
+    size = (F.octet_length(text).cast("bigint") + 1).alias("size")
+    shuffled = external_shuffle(_table(spark, sf_dir, "documents").select("*", size), shards=8)
+    return shuffled.select("doc_id", size, F.crc32(text.cast("binary")).alias("text_crc32"), "law", "shard", "slot", "grown_shard")
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,21 +1,25 @@
-"""Two-pass external shuffle into shards of equal row counts, in DataFrame operations.
+"""Two-pass external shuffle of whole rows into shards of equal row counts, in DataFrame operations.
 
-Pass one gives every row a seeded hash, writes the rows to the checkpoint folder
-and scatters them uniformly into buckets that fit a task's memory. Pass two
-shuffles each bucket by Fisher-Yates (Spark's ``shuffle`` of an array) and deals
-the buckets, one after the other, to the shards. The position of a row in the
-whole shuffled order decides: shard = position mod shards, slot = position div
-shards. So the law is ``rows``: counts differ by one at most, slots are gapless.
+Pass one gives every row a seeded hash and scatters the rows uniformly into buckets
+that fit a task's memory. Pass two shuffles each bucket by Fisher-Yates (Spark's
+``shuffle`` of an array), deals the buckets, one after the other, to the shards and
+writes these as Parquet. The position of a row in the whole shuffled order decides:
+shard = position mod shards, slot = position div shards. So the law is ``rows``:
+counts differ by one at most, slots are gapless.
 
 Equal rows are counted before the scatter and told apart by their copy number,
-so a row repeated for a third of the table still spreads over all buckets. The
+so a row repeated for a third of the table still spreads over all buckets. Only rows
+whose hash is in a slot that holds equal rows take that way, the others move once. The
 result depends on the rows and the seed only, not on how the input was split.
-Nulls are values like others; an empty table gives an empty result; input
-columns named like a result are replaced. Columns must be orderable (no maps).
+The input is read several times and must give the same rows each time (else an
+error): checkpoint one that doesn't. Nulls are values like others; an empty table gives
+an empty result; input columns named like a result are replaced. Columns must be orderable (no maps).
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,34 +27,41 @@ from pyspark.sql.window import Window
 from lorecraft.session import ensure_checkpoint_dir
 
 RESULTS = ("law", "shard", "slot", "grown_shard")
+#: Slots of row hashes by which rows without equals are told, in a broadcast table.
+SLOTS = 1 << 16
 
 
 def external_shuffle(
-    df: DataFrame, *, shards: int = 8, seed: int = 7, size: str = "size", bucket_bytes: int = 32 << 20
+    df: DataFrame, *, shards: int = 8, seed: int = 7, size: str = "size", bucket_bytes: int = 32 << 20, path: str | None = None
 ) -> DataFrame:
-    """``df`` with ``law``, ``shard`` (0 to ``shards`` - 1), ``slot`` and ``grown_shard`` (null here).
+    """``df`` with ``law``, ``shard`` (0 to ``shards`` - 1), ``slot`` and ``grown_shard`` (null here), read from the shards.
 
     ``size`` names the column with a row's bytes; buckets hold about
-    ``bucket_bytes`` of them (raise it with the input: 1 GiB for 100 TB).
+    ``bucket_bytes`` of them (raise it with the input: 1 GiB for 100 TB). The shards are
+    folders ``shard=0``, ... of ``path``, a new folder beside the checkpoints if None; a
+    shard's files hold its rows by slot, in the order of their names.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    path = path or f"{ensure_checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
     columns = [c for c in df.columns if c not in RESULTS]
-    copies = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
-    rows = (
-        copies.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))))
-        .drop("__n")
-        .withColumn("__hash", F.xxhash64(F.lit(seed), "__copy", *columns))
-        .checkpoint()
-    )
-    total = rows.agg(F.coalesce(F.sum(F.coalesce(F.col(size), F.lit(0)).cast("bigint")), F.lit(0))).first()[0]
+    keyed = df.select(*columns).withColumn("__key", F.xxhash64(F.lit(seed), F.lit(1).cast("bigint"), *columns))
+    total = df.agg(F.coalesce(F.sum(F.coalesce(F.col(size), F.lit(0)).cast("bigint")), F.lit(0))).first()[0]
     buckets = max(1, -(-int(total) // bucket_bytes))
-    placed = rows.withColumn("__bucket", F.pmod(F.col("__hash"), F.lit(buckets)).cast("int"))
+    slot_of = F.pmod("__key", F.lit(SLOTS)).alias("__equal")
+    # at most SLOTS rows; other rows that share a slot with equal ones are counted too, and are once there
+    equal = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(slot_of).distinct().checkpoint()
+    several = equal.count()
+    one = keyed.withColumn("__copy", F.lit(1).cast("bigint")).withColumnRenamed("__key", "__hash")
+    if several:
+        flagged = keyed.withColumn("__equal", slot_of)
+        one = flagged.join(F.broadcast(equal), "__equal", "left_anti").select(*columns, F.col("__key").alias("__hash"), F.lit(1).cast("bigint").alias("__copy"))
+        copies = flagged.join(F.broadcast(equal), "__equal", "left_semi").groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
+        copies = copies.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))))
+        one = one.unionByName(copies.drop("__n").withColumn("__hash", F.xxhash64(F.lit(seed), "__copy", *columns)))
+    placed = one.withColumn("__bucket", F.pmod(F.col("__hash"), F.lit(buckets)).cast("int"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        placed.groupBy("__bucket")
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .select("__bucket", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
-    )
+    counted = placed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__rows")).checkpoint()
+    starts = counted.select("__bucket", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
     record = F.struct("__hash", "__copy", *columns)
     shuffled = (
         # partition = bucket: the generator of each bucket starts from seed + bucket, whatever runs where
@@ -60,10 +71,17 @@ def external_shuffle(
         .select("__bucket", F.posexplode(F.shuffle("__rows", seed)).alias("__at", "__row"))
     )
     position = F.col("__start") + F.col("__at")
-    return shuffled.join(starts, "__bucket").select(
+    # as many rows as buckets: a broadcast, so that rows don't move again
+    dealt = shuffled.join(F.broadcast(starts), "__bucket").select(
         *[F.col("__row")[c].alias(c) for c in columns],
         F.lit("rows").alias("law"),
         (position % shards).cast("int").alias("shard"),
         F.floor(position / shards).cast("bigint").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+    dealt.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    written = spark.read.schema(dealt.schema).parquet(path).select(*dealt.columns)
+    rows = counted.agg(F.coalesce(F.sum("__rows"), F.lit(0))).first()[0]
+    if written.count() != rows:
+        raise ValueError("the input gave other rows when read again; checkpoint it")
+    return written

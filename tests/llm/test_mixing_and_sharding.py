@@ -122,3 +122,16 @@ def test_odd_rows_are_sharded(spark, docs, empty):
     got = shards(both, bucket_bytes=500)
     assert len(got) == both.count() and len({(s, slot) for _, s, slot in got}) == len(got)
     assert shards(empty.select("doc_id", F.lit(1).alias("size"))) == []
+
+
+def test_texts_reach_the_shards(spark, docs, tmp_path):
+    long = spark.createDataFrame([(900, "long " * 400_000, "en", "s9", 9)], SCHEMA)
+    hot = spark.range(500).select(F.lit(901).cast("long").alias("doc_id"), F.lit("hot text").alias("text"), F.lit("en").alias("lang"), F.lit("s9").alias("source"), F.lit(8).cast("long").alias("n_chars"))
+    rows = docs.unionByName(long).unionByName(hot).withColumn("size", F.octet_length(F.coalesce("text", F.lit(""))) + 1)
+    out = external_shuffle(rows, bucket_bytes=100_000, path=f"{tmp_path}/out")
+    key = lambda df: sorted(repr(tuple(r)) for r in df.select(rows.columns).collect())
+    assert key(out) == key(rows)
+    stored = [len(spark.read.parquet(f"{tmp_path}/out/shard={k}").select("text").collect()) for k in range(8)]
+    assert sum(stored) == rows.count() and max(stored) - min(stored) <= 1
+    places = sorted(r["slot"] for r in out.where("doc_id = 901").collect())
+    assert places[0] < out.count() / 8 / 4 and places[-1] > out.count() / 8 * 3 / 4  # copies spread over the order
