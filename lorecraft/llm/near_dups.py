@@ -9,24 +9,24 @@ in order of time, so a run stops as soon as its next point is later than
 every component found so far. Two signatures agree in a component with the
 probability of the weighted Jaccard similarity.
 
-Documents that agree in a whole band are candidates. In each bucket the document
-that shares most buckets with others is the hub: of a group of edited copies, the
-least edited one. First every document is verified against the hubs of its buckets, and
-verified links join into components. What is left are pairs from different
-components of a bucket. In buckets of at most ``SMALL`` all of them are verified.
-Larger ones get a reference: the runs that most of a sample of their main component
-have. With D the runs that a document and the reference don't have in common,
-documents A and B are a link exactly if D(A) and D(B) share enough runs, a number that
-follows from their sizes. Where none is enough, both are linked to the document next to
-the reference as well, and one verification each says so. Where some is needed, they
-meet on the first runs of D in a common order that puts runs the reference lacks first; the
-more must be shared, the fewer are needed (prefix filtering). So no pair that
-shares a band and could join two classes is left out, and a group of thousands of
-copies costs a few pairs a copy. Equal texts are one candidate. With 25 bands of
-five, a pair at 0.8 shares none with probability 5e-5, at 0.9 with 4e-10.
-
-Rows with a null id or without a word link with nothing and are kept. Repeated
-ids are one document if their texts are equal, and else join one class.
+Equal texts are one item; items that agree in a whole band are candidates. In each
+bucket the item that shares most buckets with others is the hub: of a group of edited
+copies, the least edited one. First every item is verified against the greatest hub
+of its buckets, and verified links join into components. What is left are pairs from
+different components of a bucket. In buckets of at most ``SMALL`` all of them that sizes
+don't rule out are verified. Larger ones get a reference: the runs that most of a sample
+of their main component have. With D the runs that an item and the reference don't have
+in common, items A and B are a link exactly if D(A) and D(B) share enough runs, a number
+that follows from their sizes. Where none is enough, both are linked to the item
+next to the reference. Where some are needed, they meet on the first runs of D, rare
+ones first; the more must be shared, the fewer runs can be the first shared one, and
+a meeting so late that too few runs are left is none (prefix and position filters).
+So no pair that shares a band and could join two classes is left out, and a group of
+thousands of copies costs a few pairs a copy. With 25 bands of five, a pair at 0.8
+shares none with probability 5e-5, at 0.9 with 4e-10.
+
+Rows with a null id or without a word link with nothing and are kept. There is a row for
+each input row; rows that repeat an id are in one class, whatever their texts.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorecraft.llm.chargrams import code_points, groups
@@ -49,8 +49,8 @@ SIZE = BANDS * ROWS
 SMALL = 16
 #: Documents of a component that its reference is made of, about.
 SAMPLED = 64
-#: So few rows of large buckets are worked on in one task, without a shuffle for each step.
-FEW = 20_000
+#: Items of a reference that meet one copy of it, about.
+PART = 512
 
 _alnum: list[np.ndarray] = []
 
@@ -151,13 +151,16 @@ def bands_of(found: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _bands(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _marks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         rows: list[list[int] | None] = []
+        sizes: list[int] = []
         for group in groups(batch.to_pylist(), 500_000):
-            bags = [np.unique(r, return_counts=True) for r in runs_of(group)]
+            runs = list(runs_of(group))
+            bags = [np.unique(r, return_counts=True) for r in runs]
             rows += [b if len(h) else None for (h, _), b in zip(bags, bands_of(signatures(bags)).tolist())]
-        yield pa.array(rows, pa.list_(pa.int64()))
+            sizes += map(len, runs)
+        yield pa.StructArray.from_arrays([pa.array(rows, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["bands", "s"])
 
 
 def _elements(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -167,11 +170,20 @@ def _elements(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
 
 
-def _pairs_of_small(placed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of items of different components in the same bucket."""
-    x = placed.select("bucket", F.col("item").alias("a"), F.col("c").alias("ca"))
-    y = placed.select("bucket", F.col("item").alias("b"), F.col("c").alias("cb"))
-    return x.join(y, "bucket").where("a < b AND ca <> cb").select("a", "b").distinct()
+def _pairs_of_small(placed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of items of different components in the same bucket, of sizes that could be a link."""
+    x, y = (placed.select("bucket", *[F.col(c).alias(f"{c}_{n}") for c in ("item", "c", "s")]) for n in "xy")
+    both = x.join(y, "bucket").where((F.col("item_x") < F.col("item_y")) & (F.col("c_x") != F.col("c_y")) & _sizes("s_x", "s_y", threshold))
+    return both.select(F.col("item_x").alias("a"), F.col("item_y").alias("b")).distinct()
+
+
+def _sizes(x: str, y: str, threshold: float) -> Column:
+    return F.least(x, y) >= threshold * F.greatest(x, y)
+
+
+def _spread(small: DataFrame, parts: DataFrame) -> DataFrame:
+    """A row of ``small`` (ref, ...) for each part of its ref: what many rows of one ref are joined with."""
+    return small.join(parts, "ref").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
 
 
 def _references(large: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -186,48 +198,63 @@ def _references(large: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame
     size = of_ref.groupBy("ref").agg(F.count(F.lit(1)).alias("m"))
     chosen = of_ref.join(size, "ref").where(F.pmod(F.xxhash64("item", F.lit(5)), F.lit(1 << 30)) < F.lit(SAMPLED) / F.col("m") * (1 << 30)).select("ref", "item")
     chosen = chosen.checkpoint()
-    votes = chosen.join(sets.select(F.col("id").alias("item"), "e"), "item").select("ref", F.explode("e").alias("run")).groupBy("ref", "run").agg(F.count(F.lit(1)).alias("n"))
+    votes = chosen.join(sets, "item").select("ref", F.explode("e").alias("run")).groupBy("ref", "run").agg(F.count(F.lit(1)).alias("n"))
     most = votes.join(chosen.groupBy("ref").agg(F.count(F.lit(1)).alias("m")), "ref").where("2 * n > m")
     return refs, refs.select("ref").distinct().join(most.groupBy("ref").agg(F.collect_list("run").alias("h")), "ref", "left").select("ref", F.coalesce("h", F.array().cast("array<bigint>")).alias("h"))
 
 
-def _pairs_of_large(known: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Of rows (ref, item, c, s, own, gone): sure links (a, b), and pairs (a, b) that may be one.
+def _pairs_of_large(items: DataFrame, reference: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of rows (ref, item, c): sure links (c, d) of components, and pairs (a, b) of items that may be links.
 
-    ``own`` are the runs that only the document has, ``gone`` those that only the reference
-    has. With d = |own| + |gone| and f = d - r s, r = (1 - t) / (1 + t): two documents are
-    a link exactly if their differences share at least (f(A) + f(B)) / 2 runs.
+    D are the runs that a document and its reference don't have in common, d their number
+    and f = d - r s with r = (1 - t) / (1 + t). Two documents are a link exactly if
+    their Ds share at least (f(A) + f(B)) / 2 runs.
     """
-    part = (1 - threshold) / (1 + threshold)
-    known = known.checkpoint()
-    together = (lambda df: df.coalesce(1)) if known.count() <= FEW else (lambda df: df)
-    known = together(known).withColumn("f", F.size("own") + F.size("gone") - part * F.col("s"))
-    nearest = known.groupBy("ref").agg(F.min(F.struct("f", "item")).alias("n")).select("ref", F.col("n.item").alias("near"), F.col("n.f").alias("least"))
-    known = known.join(nearest, "ref").withColumn("sure", F.col("f") + F.col("least") <= 1e-9)
-    known = together(known.checkpoint())
-    sure = known.where("sure AND item <> near").select(F.col("near").alias("a"), F.col("item").alias("b"))
-
-    main = known.groupBy("ref", "c").agg(F.max("sure").alias("main"))
-    known = known.join(main, ["ref", "c"])
-    bounds = known.groupBy("ref").agg(F.min(F.when(~F.col("main"), F.col("f"))).alias("stray_least"), F.min(F.when(F.col("main"), F.col("f"))).alias("main_least"))
-    known = known.join(bounds, "ref").where("stray_least IS NOT NULL")
-
-    # strays meet the main component's documents and each other; the latter needs a part of the same prefix
-    need = lambda other: F.greatest(F.ceil((F.col("f") + F.col(other)) / 2 - 1e-9), F.lit(1)).cast("int")
+    ratio = (1 - threshold) / (1 + threshold)
+    parts = items.groupBy("ref").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")).checkpoint()
+    dealt = items.join(parts, "ref").withColumn("part", F.pmod(F.xxhash64("item"), "parts")).drop("parts")
+    known = (
+        dealt.join(sets, "item")
+        .join(_spread(reference, parts), ["ref", "part"])
+        .select("ref", "part", "item", "c", F.size("e").alias("s"), F.concat(F.array_except("e", "h"), F.array_except("h", "e")).alias("delta"))
+        .withColumn("d", F.size("delta"))
+        .withColumn("f", F.col("d") - ratio * F.col("s"))
+        .checkpoint()
+    )
+    nearest = known.groupBy("ref").agg(F.min(F.struct("f", "item", "c")).alias("n")).select("ref", F.col("n.c").alias("near"), F.col("n.f").alias("least"))
+    plain = known.drop("delta", "s").join(_spread(nearest, parts), ["ref", "part"]).withColumn("sure", F.col("f") + F.col("least") <= 1e-9).checkpoint()
+    sure = plain.where("sure AND c <> near").select("c", F.col("near").alias("d")).distinct()
+    main = plain.where("sure").select("ref", "c").distinct().withColumn("main", F.lit(True))
+    plain = plain.select("ref", "part", "item", "c", "d", "f").join(_spread(main, parts), ["ref", "part", "c"], "left").withColumn("main", F.coalesce("main", F.lit(False)))
+    bounds = plain.groupBy("ref").agg(F.min(F.when(~F.col("main"), F.col("f"))).alias("stray_least"), F.min(F.when(F.col("main"), F.col("f"))).alias("main_least")).where("stray_least IS NOT NULL")
+
+    # how many of a document's runs, in the common order, can hold the first one that a link shares
+    need = lambda other: F.greatest(F.ceil((F.col("f") + F.col(other)) / 2 - 1e-9), F.lit(1))
     first = lambda other: F.when(F.col(other).isNotNull(), F.greatest(F.col("d") - need(other) + 1, F.lit(0))).otherwise(0)
-    known = known.withColumn("d", F.size("own") + F.size("gone")).withColumn("delta", F.concat(F.sort_array("own"), F.sort_array("gone")))
-    strays = known.where("NOT main").withColumn("to_main", first("main_least")).withColumn("to_stray", first("stray_least"))
-    strays = strays.select("ref", "item", "c", "f", "d", "to_main", "to_stray", F.posexplode(F.slice("delta", 1, F.greatest("to_main", "to_stray"))).alias("at", "run"))
-    strays = together(strays.checkpoint())
-    rest = known.where("main").select("ref", "item", "c", "f", "d", F.explode(F.slice("delta", 1, first("stray_least"))).alias("run"))
-
-    side = lambda rows, n: rows.select("ref", "run", *[F.col(c).alias(f"{c}_{n}") for c in ("item", "c", "f", "d")])
-    possible = (F.col("item_x") != F.col("item_y")) & (F.col("c_x") != F.col("c_y")) & (F.least("d_x", "d_y") >= (F.col("f_x") + F.col("f_y")) / 2 - 1e-9)
-    met = side(strays.where("at < to_main"), "x").join(side(rest, "y"), ["ref", "run"]).where(possible)
+    plain = plain.join(_spread(bounds, parts), ["ref", "part"])
+    plain = plain.withColumn("to_stray", first("stray_least")).withColumn("to_main", F.when(F.col("main"), 0).otherwise(first("main_least")))
+    plain = plain.where("to_stray > 0 OR to_main > 0").select("ref", "item", "c", "d", "f", "main", "to_stray", "to_main").checkpoint()
+
+    # the common order: runs by how many documents of the ref have them in D; those of one document meet nothing
+    runs = known.select("ref", "item", F.explode("delta").alias("run")).join(bounds.select("ref"), "ref")
+    shared = runs.groupBy("ref", "run").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ordered = runs.join(shared, ["ref", "run"]).groupBy("ref", "item").agg(F.sort_array(F.collect_list(F.struct("n", "run"))).alias("shared"))
+    placed = (
+        plain.join(ordered, ["ref", "item"])
+        .select("*", F.posexplode("shared").alias("k", "x"))
+        .select("ref", F.col("x.run").alias("run"), "item", "c", "d", "f", "main", "to_stray", "to_main", (F.col("d") - F.size("shared") + F.col("k")).alias("at"))
+        .where("at < greatest(to_stray, to_main)")
+        .checkpoint()
+    )
+    side = lambda rows, n: rows.select("ref", "run", *[F.col(c).alias(f"{c}_{n}") for c in ("item", "c", "d", "f", "at")])
+    shares = F.greatest((F.col("f_x") + F.col("f_y")) / 2 - 1e-9, F.lit(0.5))
+    possible = (F.col("c_x") != F.col("c_y")) & (F.least(F.col("d_x") - F.col("at_x"), F.col("d_y") - F.col("at_y")) >= shares)
+    strays = placed.where("NOT main")
+    met = side(strays.where("at < to_main"), "x").join(side(placed.where("main AND at < to_stray"), "y"), ["ref", "run"]).where(possible)
     each = strays.where("at < to_stray")
     among = side(each, "x").join(side(each, "y"), ["ref", "run"]).where(possible & (F.col("item_x") < F.col("item_y")))
-    both = met.select(F.col("item_x").alias("x"), F.col("item_y").alias("y")).unionByName(among.select(F.col("item_x").alias("x"), F.col("item_y").alias("y")))
-    return sure, both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    both = met.select("item_x", "item_y").unionByName(among.select("item_x", "item_y"))
+    return sure, both.select(F.least("item_x", "item_y").alias("a"), F.greatest("item_x", "item_y").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, *, id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -239,77 +266,76 @@ def near_duplicates(df: DataFrame, *, id: str = "doc_id", text: str = "text", th
     spark = df.sparkSession
     ship_package(spark)
     ensure_checkpoint_dir(spark)
-    bands, elements = F.arrow_udf(_bands, "array<bigint>"), F.arrow_udf(_elements, "array<bigint>")
+    marks, elements = F.arrow_udf(_marks, "struct<bands:array<bigint>,s:bigint>"), F.arrow_udf(_elements, "array<bigint>")
     rows = df.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
-    signed = rows.select("id", F.md5(F.col("text").cast("binary")).alias("content"), bands("text").alias("bands")).checkpoint()
+    content = F.unhex(F.md5(F.col("text").cast("binary")))
+    signed = rows.select("id", content.alias("content"), marks("text").alias("x")).select("id", "content", "x.*").checkpoint()
 
+    # everything goes by contents: ``item`` numbers them
     linkable = signed.where("id IS NOT NULL AND bands IS NOT NULL")
-    contents = linkable.groupBy("content").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")).checkpoint()
-    bucketed = contents.select(F.col("rep").alias("item"), F.explode("bands").alias("bucket"))
+    contents = linkable.groupBy("content").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("s").alias("s"))
+    contents = contents.withColumn("item", F.monotonically_increasing_id()).checkpoint()
+    bucketed = contents.select("item", "s", F.explode("bands").alias("bucket"))
     shared = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     member = bucketed.join(shared, "bucket").checkpoint()
-    met = member.groupBy("item").agg(F.sum("n").alias("met"))
-    hubs = member.join(met, "item").groupBy("bucket").agg((-F.max(F.struct("met", (-F.col("item")).alias("i")))["i"]).alias("hub"))
+    met = member.groupBy("item", "s").agg(F.sum("n").alias("met"))
+    hubs = member.join(met.drop("s"), "item").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("item")).alias("i"), "s")).alias("hub"))
+    release(spark)
 
-    texts = contents.join(met.select(F.col("item").alias("rep")), "rep").select(F.col("rep").alias("id"), "content")
+    wanted = contents.select("item", "rep", "content").join(met.select("item"), "item").select("item", F.col("rep").alias("id"), "content")
     sets = (
         rows.where("id IS NOT NULL")
-        .join(texts, "id")
-        .where(F.md5(F.col("text").cast("binary")) == F.col("content"))
-        .dropDuplicates(["id"])  # rows that repeat an id and its text
-        .select("id", elements("text").alias("e"))
+        .withColumn("content", content)
+        .join(wanted, ["id", "content"])
+        .dropDuplicates(["id", "content"])  # rows that repeat an id and its text
+        .select("item", elements("text").alias("e"))
         .checkpoint()
     )
     release(spark)
-    left, right = sets.select(F.col("id").alias("a"), F.col("e").alias("ea")), sets.select(F.col("id").alias("b"), F.col("e").alias("eb"))
-    similar = F.col("k") / (F.col("sa") + F.col("sb") - F.col("k")) >= threshold
-    measures = [F.size("ea").alias("sa"), F.size("eb").alias("sb"), F.size(F.array_intersect("ea", "eb")).alias("k")]
 
-    stars = member.join(hubs, "bucket").where("item <> hub").select(F.col("hub").alias("a"), F.col("item").alias("b")).distinct()
-    tested = stars.join(right, "b").join(left, "a").select("a", "b", *measures).withColumn("linked", similar).select("a", "b", "linked").checkpoint()
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b) whose overlap says that they are links."""
+        left, right = (sets.select(F.col("item").alias(n), F.col("e").alias(f"e{n}")) for n in "ab")
+        k = F.size(F.array_intersect("ea", "eb"))
+        return pairs.join(right, "b").join(left, "a").where(k / (F.size("ea") + F.size("eb") - k) >= threshold).select("a", "b").checkpoint()
+
+    # each document and the greatest hub of its buckets
+    hub = member.join(hubs, "bucket").groupBy("item", "s").agg(F.max("hub").alias("hub"))
+    stars = hub.select((-F.col("hub.i")).alias("a"), F.col("item").alias("b"), F.col("hub.s").alias("s_a"), F.col("s").alias("s_b")).where("a <> b").where(_sizes("s_a", "s_b", threshold)).select("a", "b").checkpoint()
+    links = linked(stars)
     release(spark)
-    first = tested.where("linked").select("a", "b")
-    joined = connected_components(first, "a", "b").withColumnRenamed("id", "item")
-    placed = member.select("bucket", "item", "n").join(joined, "item", "left").withColumn("c", F.coalesce("component", "item")).drop("component")
-    several = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
-    placed = placed.join(several, "bucket").checkpoint()
+    # ids of several contents, if any, bring these together as well
+    several = linkable.select("id", "content").groupBy("id").agg(F.min(F.xxhash64("content")).alias("low"), F.max(F.xxhash64("content")).alias("high")).where("low < high").select("id")
+    texts = linkable.join(several, "id").select("id", "content").distinct().join(contents.select("content", "item"), "content").checkpoint()
+    same = texts.groupBy("id").agg(F.min("item").alias("a")).join(texts, "id").select("a", F.col("item").alias("b"))
+    joined = connected_components(links.unionByName(same), "a", "b").withColumnRenamed("id", "item").checkpoint()
+
+    placed = member.join(joined, "item", "left").withColumn("c", F.coalesce("component", "item")).drop("component")
+    open_ = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
+    placed = placed.join(open_, "bucket").checkpoint()
     release(spark)
 
     large = placed.where(F.col("n") > SMALL)
     refs, reference = _references(large, sets)
-    items = large.join(refs, "bucket").select("ref", "item", "c").distinct()
-    known = (
-        items.join(right.withColumnRenamed("b", "item"), "item")
-        .join(reference, "ref")
-        .select("ref", "item", "c", F.size("eb").alias("s"), F.array_except("eb", "h").alias("own"), F.array_except("h", "eb").alias("gone"))
-    )
-    sure, pairs = _pairs_of_large(known, threshold)
-    pairs = _pairs_of_small(placed.where(F.col("n") <= SMALL)).unionByName(pairs).unionByName(sure.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    items = large.join(refs, "bucket").select("ref", "item", "c").distinct().checkpoint()
+    sure, pairs = _pairs_of_large(items, reference, sets, threshold)
+    small = _pairs_of_small(placed.where(F.col("n") <= SMALL), threshold)
+    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = small.unionByName(pairs).distinct().join(done, ["a", "b"], "left_anti").checkpoint()
     release(spark)
-    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = (
-        pairs.join(done, ["a", "b"], "left_anti")
-        .join(right, "b")
-        .join(left, "a")
-        .where(F.least(F.size("ea"), F.size("eb")) >= threshold * F.greatest(F.size("ea"), F.size("eb")))
-        .select("a", "b", *measures)
-        .where(similar)
-        .select("a", "b")
-        .checkpoint()
-    )
+    second = linked(pairs)
+
     # links found last join components, not documents
     component = placed.select("item", "c").distinct()
-    between = second.join(component.select(F.col("item").alias("a"), F.col("c").alias("ca")), "a").join(component.select(F.col("item").alias("b"), F.col("c").alias("cb")), "b")
-    merged = connected_components(between.select("ca", "cb"), "ca", "cb").select(F.col("id").alias("c"), F.col("component").alias("whole"))
-    parts = contents.select("rep").join(joined.withColumnRenamed("item", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("c"))
-    classes = parts.join(merged, "c", "left").select("rep", F.coalesce("whole", "c").alias("component"))
-    of_content = contents.join(classes, "rep").select("content", F.col("component").alias("class_id"))
-    placed_rows = signed.withColumn("__content", F.when(F.col("id").isNotNull() & F.col("bands").isNotNull(), F.col("content")))
+    between = second.join(component.select(F.col("item").alias("a"), "c"), "a").join(component.select(F.col("item").alias("b"), F.col("c").alias("d")), "b").select("c", "d").unionByName(sure)
+    merged = connected_components(between, "c", "d").select(F.col("id").alias("c"), F.col("component").alias("whole"))
+    parts = contents.select("item", "rep", "content").join(joined, "item", "left").select("rep", "content", F.coalesce("component", "item").alias("c"))
+    whole = parts.join(merged, "c", "left").select("rep", "content", F.coalesce("whole", "c").alias("whole")).checkpoint()
+    class_of = whole.groupBy("whole").agg(F.min("rep").alias("class_id"))
+    of_content = whole.join(class_of, "whole").select("content", "class_id")
+    keyed = signed.select("id", F.when(F.col("id").isNotNull() & F.col("bands").isNotNull(), F.col("content")).alias("content"))
     class_id = F.coalesce("class_id", "id")
-    return (
-        placed_rows.join(of_content.withColumnRenamed("content", "__content"), "__content", "left")
-        .select(F.col("id").alias(id), class_id.alias("class_id"), F.coalesce(class_id == F.col("id"), F.lit(True)).alias("kept"))
-    )
+    return keyed.join(of_content, "content", "left").select(F.col("id").alias(id), class_id.alias("class_id"), F.coalesce(class_id == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(df: DataFrame, *, id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:

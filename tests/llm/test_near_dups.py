@@ -82,6 +82,26 @@ def test_against_brute_force(spark, monkeypatch, small):
     assert all(x["kept"] == (x["class_id"] == i) for i, x in got.items())
 
 
+def test_repeated_ids_of_different_texts(spark, rng):
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(100, a), (100, b), (200, a + " more"), (300, b + " more"), (400, c), (100, a), (None, c), (500, "")]
+    got = sorted((x["doc_id"], x["class_id"], x["kept"]) for x in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x["doc_id"])
+    assert got == [(100, 100, True)] * 3 + [(200, 100, False), (300, 100, False), (400, 400, True), (500, 500, True)]
+    left = N.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(x["doc_id"]) for x in left) == ["100", "400", "500", "None"]
+
+
+def test_group_below_the_threshold(spark, monkeypatch):
+    """Hundreds of texts that share bands but mostly aren't links: classes are those of all pairs."""
+    monkeypatch.setattr(N, "PART", 50)
+    r = random.Random(8)
+    base = prose(r, 100)
+    rows = [(i, edited(r, base, r.choice([1, 2, 3, 3, 4, 4, 5]))) for i in range(300)]
+    got = {x["doc_id"]: x["class_id"] for x in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    assert got == want and 20 < len(set(want.values())) < 290
+
+
 def test_odd_rows(spark, docs, empty):
     got = N.near_duplicates(docs).collect()
     assert len(got) == docs.count()
