@@ -8,32 +8,26 @@ from pyspark.sql import functions as F
 from lorecraft.session import ensure_checkpoint_dir, release
 
 
-#: So few edges are joined in one task: no round shuffles then.
-FEW = 500_000
-
-
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``id, component`` for every vertex with an edge to another; a component is its least id.
 
     Each round takes the least label among a vertex and its neighbours and then
     jumps to the label of that label, so rounds grow with the logarithm of the
     longest path. Rounds end with a checkpoint, which cuts the plan; the driver sees
-    one count a round. Few edges make one partition, whose rounds don't shuffle.
+    one count a round.
     Loops, repeats and nulls among the edges are ignored.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     links = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    together = (lambda df: df.coalesce(1)) if links.count() <= FEW else (lambda df: df)
-    links = together(links)
     labels = links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component"))
-    labels = together(labels.checkpoint())
+    labels = labels.checkpoint()
     while True:
         near = links.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
         better = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("c"))
         target = better.select(F.col("id").alias("c"), F.col("c").alias("component"))
-        new = together(better.join(target, "c").select("id", "old", "component").checkpoint())
+        new = better.join(target, "c").select("id", "old", "component").checkpoint()
         moved = new.where("old <> component").count()
         labels = new.select("id", "component")
         del near, better, target, new
