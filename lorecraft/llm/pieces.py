@@ -8,8 +8,13 @@ arrays; words without a pair left drop out. Where a new symbol could start a
 better-ranked pair than the one just merged, only the leftmost pair of that word
 is merged in the round, which keeps the result that of one merge at a time.
 
+Words of more than ``LONG`` symbols are first cut where no piece holds both neighbours,
+which no merge can cross. What is still long takes rounds in order of rank over
+linked symbols: a round touches only the pairs of its rank and their neighbours, so
+the work grows with the length of a word, not with its square.
+
 Characters without a piece become UTF-8 byte pieces. A null text is an empty
-one: no ids, and the empty text back. Very long words only add rounds.
+one: no ids, and the empty text back.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +37,8 @@ from lorecraft.session import ship_package
 SPACE = "▁"
 WORD = re.compile(r" *[^ ]+| +")
 NONE = np.iinfo(np.int32).max
+#: Symbols of a word that is worked on by rank, pair by pair.
+LONG = 256
 
 
 def _mix(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
@@ -84,6 +92,7 @@ class PieceModel:
     unsafe: np.ndarray  # pieces that can start a better pair than themselves
     symbol: np.ndarray  # code point -> symbol, -1 without one
     table: PairTable
+    beside: PairTable  # characters that stand side by side in a piece
     byte_id: np.ndarray  # byte -> id
     size: int
 
@@ -123,6 +132,7 @@ class PieceModel:
             if len(t) == 1:
                 symbol[ord(t)] = i
         symbol[ord(" ")] = symbol[ord(SPACE)]
+        pairs = np.array(sorted({int(symbol[ord(a)]) << 32 | int(symbol[ord(b)]) for t in normal for a, b in zip(t, t[1:])}), np.int64)
         byte_id = np.zeros(256, np.int32)
         out: list[bytes] = []
         for i, t in enumerate(text):
@@ -134,7 +144,7 @@ class PieceModel:
             else:
                 out.append(t.replace(SPACE, " ").encode())
         spaced = np.array([t.startswith(SPACE) and not special[i] for i, t in enumerate(text)])
-        return PieceModel(out, spaced, rank, unsafe, symbol, PairTable(left << 32 | right, merged.astype(np.int32)), byte_id, size)
+        return PieceModel(out, spaced, rank, unsafe, symbol, PairTable(left << 32 | right, merged.astype(np.int32)), PairTable(pairs, np.zeros(len(pairs), np.int32)), byte_id, size)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the words, and where each word starts (with the end as the last)."""
@@ -142,7 +152,30 @@ class PieceModel:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         sym, pos = self.symbol[code], np.arange(len(code), dtype=np.int64)
-        ended: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if not len(sym):
+            return np.zeros(0, np.int32), np.zeros(len(words) + 1, np.int64)
+        part, lasting = word, np.zeros(len(sym), bool)
+        if lengths.max() > LONG:
+            ends = word[1:] != word[:-1]
+            inner = np.flatnonzero((lengths[word[1:]] > LONG) & ~ends)
+            known = (sym[inner] >= 0) & (sym[inner + 1] >= 0)
+            ends[inner] = ~known
+            inner = inner[known]
+            ends[inner] = self.beside.find(sym[inner].astype(np.int64) << 32 | sym[inner + 1]) < 0
+            part = np.r_[0, np.cumsum(ends)].astype(np.int32)
+            lasting = np.bincount(part)[part] > LONG
+        ended = self._rounds(sym[~lasting], pos[~lasting], part[~lasting])
+        if lasting.any():
+            ended.append(self._ranked(sym[lasting], pos[lasting], part[lasting]))
+        sym, pos = (np.concatenate(x) for x in zip(*ended))
+        order = np.argsort(pos, kind="stable")
+        pos = pos[order]
+        ids, word = self._bytes(sym[order], code[pos], word[pos])
+        return ids, np.r_[0, np.cumsum(np.bincount(word, minlength=len(words)))]
+
+    def _rounds(self, sym: np.ndarray, pos: np.ndarray, word: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Rounds over all words at once: each merges the smallest rank of every word."""
+        ended: list[tuple[np.ndarray, np.ndarray]] = []
         while len(sym):
             merged = np.full(len(sym), -1, np.int32)
             inside = np.flatnonzero((word[1:] == word[:-1]) & (sym[1:] >= 0) & (sym[:-1] >= 0))
@@ -153,7 +186,7 @@ class PieceModel:
             best = np.minimum.reduceat(rank, first)
             if not (live := best != NONE).all():
                 stay = np.repeat(live, count)
-                ended.append((sym[~stay], pos[~stay], word[~stay]))
+                ended.append((sym[~stay], pos[~stay]))
                 sym, pos, word, merged, rank = sym[stay], pos[stay], word[stay], merged[stay], rank[stay]
                 best, count = best[live], count[live]
                 if not len(sym):
@@ -169,12 +202,65 @@ class PieceModel:
             stay = np.ones(len(sym), bool)
             stay[at + 1] = False
             sym, pos, word = sym[stay], pos[stay], word[stay]
-        if not ended:
-            return np.zeros(0, np.int32), np.zeros(len(words) + 1, np.int64)
-        sym, pos, word = (np.concatenate(x) for x in zip(*ended))
-        order = np.argsort(pos, kind="stable")
-        ids, word = self._bytes(sym[order], code[pos[order]], word[order])
-        return ids, np.r_[0, np.cumsum(np.bincount(word, minlength=len(words)))]
+        return ended
+
+    def _ranked(self, sym: np.ndarray, pos: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rounds by rank, smallest first, over linked symbols; place ``n`` stands for none."""
+        n = len(sym)
+        sym = np.r_[sym, np.int32(-1)]
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        ends = np.flatnonzero(np.r_[word[1:] != word[:-1], True])
+        after[ends], before[np.r_[0, ends[:-1] + 1]], after[n] = n, n, n
+        merged, rank = np.full(n + 1, -1, np.int32), np.full(n + 1, NONE, np.int32)
+        waiting: dict[int, list[int]] = {}
+        ranks: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            """Look up the pairs that begin at these places, and queue them by rank."""
+            a, b = sym[at], sym[after[at]]
+            found = np.full(len(at), -1, np.int32)
+            known = np.flatnonzero((a >= 0) & (b >= 0))
+            found[known] = self.table.find(a[known].astype(np.int64) << 32 | b[known])
+            merged[at] = found
+            rank[at] = np.where(found >= 0, self.rank[found], NONE)
+            some = at[found >= 0]
+            for k, r in zip(some.tolist(), rank[some].tolist()):
+                if r in waiting:
+                    waiting[r].append(k)
+                else:
+                    waiting[r] = [k]
+                    heappush(ranks, r)
+
+        look(np.arange(n))
+        while ranks:
+            r = heappop(ranks)
+            hit = np.unique(np.array(waiting.pop(r), np.int64))
+            hit = hit[rank[hit] == r]
+            if not len(hit):
+                continue
+            begins = np.r_[True, after[hit[:-1]] != hit[1:]]
+            take = np.ones(len(hit), bool) if begins.all() else (np.arange(len(hit)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]) % 2 == 0
+            if (risky := self.unsafe[merged[hit]]).any():
+                take &= ~risky | np.r_[True, word[hit[1:]] != word[hit[:-1]]]
+            at = hit[take]
+            right = after[at]
+            sym[at] = merged[at]
+            rank[right] = NONE
+            sym[right] = -2
+            after[at] = after[right]
+            before[after[at]] = at
+            left = before[at]
+            look(np.concatenate([at, left[left < n]]))
+            later = hit[~take]
+            later = later[rank[later] == r].tolist()
+            if later:
+                if r in waiting:
+                    waiting[r] += later
+                else:
+                    waiting[r] = later
+                    heappush(ranks, r)
+        stay = sym[:n] != -2
+        return sym[:n][stay], pos[stay]
 
     def _bytes(self, sym: np.ndarray, code: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte pieces in place of symbols that are no piece."""

@@ -8,8 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folder of public vocabulary files; a parameter of the deployment.
-TOKENIZERS = os.environ.get("LORECRAFT_TOKENIZERS", "/opt/tokenizers")
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file: in the folder of ``LORECRAFT_TOKENIZERS``, or in ``public_tokenizers``."""
+    if folder := os.environ.get("LORECRAFT_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,7 +99,7 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorecraft.llm.pieces import Pieces
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    digest = Pieces(spark, f"{TOKENIZERS}/piece_bpe_32k.model").digest("text")
+    digest = Pieces(spark, vocabulary("piece_bpe_32k.model")).digest("text")
     return docs.select("doc_id", digest.alias("d")).select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
@@ -101,7 +108,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorecraft.llm.token_counts import count_tokens
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_tokens(docs, f"{TOKENIZERS}/byte_bpe_50k.json").select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return count_tokens(docs, vocabulary("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,10 +2,12 @@
 
 A byte-level BPE never merges across pre-tokens, so the count of a text is the
 sum, over its distinct pre-tokens, of frequency times the pieces of that
-pre-token. Each Python worker keeps a bounded table of pre-token -> pieces, asks
-the tokenizer only for those it lacks, and never holds the ids of a text.
-The join is local to a batch: shuffling (document, pre-token) rows would move
-more bytes than the corpus has, for the same sums.
+pre-token. Texts are read once, in blocks of about ``BLOCK_CHARS`` characters: a block is its
+distinct pre-tokens, and for each of its texts which of them it has and how often. Of all
+blocks together every distinct pre-token goes to the tokenizer once; the pieces are
+joined to the pre-tokens of the blocks, and each block sums pieces times frequency for
+its texts. Rows (document, pre-token) would be some three times as many as rows (block,
+pre-token); a pre-token that every text has is one row a block, and ids are never kept.
 
 Nulls and empty texts count 0 bytes and 0 tokens. Rows, ties and repeats are
 kept as they come; input columns named like a result are replaced.
@@ -15,15 +17,19 @@ from __future__ import annotations
 
 import json
 import os
-from collections import Counter
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from lorecraft.session import ship_package
+from lorecraft.session import ensure_checkpoint_dir, ship_package
 
 #: Fixed value: the split of byte-level BPE vocabularies of this family.
 PRE_TOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -32,8 +38,9 @@ PRE_TOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p
 STRANGE = regex.compile(
     "[^\u0000-ԯḀ-῿ -⁯₠-₿←-➿　-ヿ一-龥가-힣＀-￯\U0001f300-\U0001f64f]"
 )
-#: Pre-tokens a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Characters of a block of whole texts, about; a longer text is a block of its own.
+BLOCK_CHARS = 4_000_000
+RESULTS = ("n_bytes", "n_tokens", "over_limit")
 
 _counters: dict[str, "PieceCounter"] = {}
 
@@ -55,53 +62,43 @@ class PieceCounter:
             raise ValueError("added tokens with strip or word rules are not supported")
         words = sorted((t["content"] for t in added), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, words))) if words else None
-        self.pieces: dict[str, int] = {}
 
     def split(self, text: str) -> list[str]:
         if STRANGE.search(text):
             return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
         return PRE_TOKEN.findall(text)
 
-    def frequencies(self, text: str) -> tuple[Counter, int]:
-        """Pre-tokens with their frequency, and the number of added tokens found in the text."""
-        if self.added is None or not self.added.search(text):
-            return Counter(self.split(text)), 0
-        parts = self.added.split(text)
-        total: Counter = Counter()
-        for part in parts:
-            total.update(self.split(part))
-        return total, len(parts) - 1
-
-    def learn(self, wanted: set[str]) -> None:
-        new = [w for w in wanted if w not in self.pieces]
-        if len(self.pieces) + len(new) > REMEMBERED:
-            self.pieces.clear()
-            new = list(wanted)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.pieces.update(zip(some, map(len, found)))
-
-    def counts(self, texts: list[str | None], chars: int = 2_000_000) -> list[int]:
+    def pieces(self, words: list[str]) -> list[int]:
+        """Pieces of each pre-token; the ids of at most 20,000 of them are held at a time."""
         out: list[int] = []
-        group: list[tuple[Counter, int]] = []
-        held = 0
+        for at in range(0, len(words), 20_000):
+            out += map(len, self.tokenizer.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False))
+        return out
 
-        def close() -> None:
-            self.learn(set().union(*(f for f, _ in group)))
-            pieces = self.pieces
-            out.extend(sum(n * pieces[w] for w, n in f.items()) + extra for f, extra in group)
-            group.clear()
+    def block(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """Distinct pre-tokens of ``texts``; for each text which ones it has and how often.
 
+        The latter as flat arrays of numbers and frequencies, with the place where each
+        text ends, and the number of added tokens in each text.
+        """
+        known: defaultdict[str, int] = defaultdict()
+        known.default_factory = known.__len__  # a new pre-token gets the next number
+        codes, lengths, extra = [np.zeros(0, np.int64)], [], []
         for text in texts:
-            group.append(self.frequencies(text or ""))
-            held += len(text or "")
-            if held >= chars:
-                close()
-                held = 0
-        if group:
-            close()
-        return out
+            parts = [text or ""] if self.added is None or not text or not self.added.search(text) else self.added.split(text)
+            found = [w for part in parts for w in self.split(part)] if len(parts) > 1 else self.split(parts[0])
+            codes.append(np.fromiter(map(known.__getitem__, found), np.int64, len(found)))
+            lengths.append(len(found))
+            extra.append(len(parts) - 1)
+        size = max(len(known), 1)
+        keys, n = np.unique(np.repeat(np.arange(len(lengths)), lengths) * size + np.concatenate(codes), return_counts=True)
+        return list(known), keys % size, n, np.searchsorted(keys, np.arange(1, len(lengths) + 1) * size), extra
+
+
+def sums(pieces: np.ndarray, at: np.ndarray, n: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The tokens of each text: pieces times frequency, summed up to each end."""
+    total = np.r_[0, np.cumsum(pieces[at] * n)]
+    return np.diff(total[np.r_[0, ends]])
 
 
 def _counter(spec: str) -> PieceCounter:
@@ -111,26 +108,67 @@ def _counter(spec: str) -> PieceCounter:
     return _counters[spec]
 
 
-def count_tokens(df: DataFrame, tokenizer: str, *, text: str = "text", limit: int = 1024) -> DataFrame:
-    """``df`` with ``n_bytes``, ``n_tokens`` and ``over_limit`` (``n_tokens > limit``).
+def count_tokens(df: DataFrame, tokenizer: str, *, text: str = "text", limit: int = 1024, keep: list[str] | None = None) -> DataFrame:
+    """``n_bytes``, ``n_tokens`` and ``over_limit`` (``n_tokens > limit``) beside the columns ``keep``.
 
+    ``keep`` defaults to all columns but the text, so that texts aren't carried along.
     ``tokenizer`` is the path of a byte-level BPE JSON file on the driver; its
     content (of fixed size) is broadcast, so executors need no copy.
     """
-    ship_package(df.sparkSession)
+    spark = df.sparkSession
+    ship_package(spark)
     with open(tokenizer, encoding="utf-8") as f:
-        spec = df.sparkSession.sparkContext.broadcast(f.read())
+        spec = spark.sparkContext.broadcast(f.read())
+    kept = [c for c in (keep if keep is not None else [c for c in df.columns if c != text]) if c not in RESULTS]
+    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = df.select(*kept, F.octet_length(value).cast("bigint").alias("n_bytes"), value.alias("__text"))
+    row = StructType(rows.schema.fields[:-1])
+    numbers = [StructField(c, ArrayType(IntegerType())) for c in ("at", "n", "ends", "extra")]
+    schema = StructType([StructField("block", LongType()), StructField("rows", ArrayType(row)), StructField("words", ArrayType(StringType())), *numbers])
 
-    @F.arrow_udf("bigint")
-    def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(spec.value)
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            yield pa.array(counter.counts(batch.to_pylist()), pa.int64())
-
-    rest = [c for c in df.columns if c not in {"n_bytes", "n_tokens", "over_limit"}]
-    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return df.select(
-        *rest,
-        F.octet_length(value).cast("bigint").alias("n_bytes"),
-        tokens(value).alias("n_tokens"),
-    ).withColumn("over_limit", F.col("n_tokens") > limit)
+            texts, start = batch.column(batch.num_columns - 1).to_pylist(), 0
+            while start < len(texts):
+                stop = start
+                held = 0
+                while stop < len(texts) and held < BLOCK_CHARS:
+                    held += len(texts[stop])
+                    stop += 1
+                words, at, n, ends, extra = counter.block(texts[start:stop])
+                part = batch.slice(start, stop - start)
+                own = pa.StructArray.from_arrays(part.columns[:-1], fields=list(part.schema)[:-1])
+                lists = [pa.array([x], pa.list_(pa.int32())) for x in (at, n, ends, extra)]
+                whole = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
+                yield pa.record_batch([pa.array([number], pa.int64()), whole, pa.array([words], pa.list_(pa.string())), *lists], names=schema.names)
+                number += 1
+                start = stop
+
+    folder = f"{ensure_checkpoint_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    rows.mapInArrow(blocks, schema).write.option("compression", "zstd").parquet(folder)
+    stored = spark.read.schema(schema)
+
+    @F.arrow_udf("int")
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        counter = _counter(spec.value)
+        for batch in batches:
+            yield pa.array(counter.pieces(batch.to_pylist()), pa.int32())
+
+    table = stored.parquet(folder)
+    words = table.select("block", F.posexplode("words").alias("i", "word"))
+    pieces = words.select("word").distinct().select("word", counted("word").alias("pieces"))
+    of_block = words.join(pieces, "word").select("block", "i", "pieces")
+
+    def summed(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = np.zeros(max(len(left), 1), np.int64)
+        held[left.column("i").to_numpy()] = left.column("pieces").to_numpy()
+        at, n, ends, extra = (right.column(c).combine_chunks().flatten().to_numpy() for c in ("at", "n", "ends", "extra"))
+        own = right.column("rows").combine_chunks().flatten()
+        tokens = sums(held, at, n.astype(np.int64), ends) + extra
+        return pa.Table.from_arrays([*own.flatten(), pa.array(tokens, pa.int64())], names=[*row.names, "n_tokens"])
+
+    result = StructType([*table.schema["rows"].dataType.elementType.fields, StructField("n_tokens", LongType())])
+    joined = of_block.groupBy("block").cogroup(stored.parquet(folder).select("block", "rows", "at", "n", "ends", "extra").groupBy("block"))
+    return joined.applyInArrow(summed, result).withColumn("over_limit", F.col("n_tokens") > limit)
