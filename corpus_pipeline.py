@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorecraft.llm import language_id, mixing, near_dups, pieces, quality
-from lorecraft.llm.queries import TOKENIZERS
+from lorecraft.llm.queries import vocabulary
 from lorecraft.session import ensure_checkpoint_dir
 
 #: A document whose likeliest language has less than this probability is no language.
@@ -50,7 +50,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per row: doc_id, source, n_tokens and digests of its ids and of what they decode to."""
-    digest = pieces.Pieces(spark, f"{TOKENIZERS}/piece_bpe_32k.model").digest("text")
+    digest = pieces.Pieces(spark, vocabulary("piece_bpe_32k.model")).digest("text")
     return docs.select("doc_id", "source", digest.alias("d")).select("doc_id", "source", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
