@@ -2,23 +2,31 @@
 
 Unit vectors go to the coarse list of their nearest centroid; what the centroid
 leaves is cut into subspaces, each coded by its nearest of 256 codewords. A query
-probes its own list and those that a neighbour within the threshold could be
-in: a list whose bisector with the own list is nearer than ``spread`` standard
-deviations of a random step of the threshold's length. In a list, distances come
-from a table of query parts against codewords, one lookup a subspace; a member
-stays a candidate unless its distance exceeds the threshold by more than its own
-coding error, so the codes lose no link. Candidates are settled by their cosine in
-double precision.
-
-The model is fitted on a sample of at most 32 vectors a list and broadcast; every
-vector is indexed and every vector is a query. Lists are worked on in blocks of
-members and queries, so a label or list that holds a third of the vectors is only
-more blocks. A block returns link counts and a spanning forest, never all links.
-Equal vectors of a label are one vector with a count.
-
-Vectors that are null, zero, of another length than the commonest, or hold null
-or non-finite components, and those with a null label, link with nothing:
-``n_links`` 0, their own component. Rows that share an id with others join one component.
+probes its own list and those beyond whose border a neighbour within the threshold
+could be. In a list, distances come from a table of query parts against codewords, one
+lookup a subspace; a member stays a candidate unless its distance exceeds the threshold by
+more than its own coding error, so the codes lose no link. Candidates are settled by
+their cosine in double precision. Lists beyond a border are probed from one side only:
+the border is as near to the one vector of a link as the step between them allows to the other.
+
+How far a query looks beyond a border: a step of the threshold's length goes that far in
+the border's direction only if all of it does. ``spread`` (default 3.5) takes that many
+standard deviations of a step with the directions that vectors have around their
+centroids, measured for each pair of lists, so data of few dimensions probe as far as the
+step is long. The sample's own links are a check: ``spread`` doubles until 99 in 100 of
+them are found. ``spread=None`` probes all lists that the triangle inequality leaves,
+which loses no link.
+
+Each length of vectors is indexed on its own: vectors of different lengths never link. The
+models are fitted on a sample of at most ``SAMPLE`` vectors a length and broadcast; lengths with
+at most ``BLOCK`` vectors have one list and no codes. Every vector is indexed and every
+vector is a query. Lists are worked on in blocks of members and queries, so a label or
+list that holds a third of the vectors is only more blocks. A block returns link counts and
+a spanning forest, never all links. Equal vectors of a label are one vector with a count.
+
+Vectors that are null, zero, or hold null or non-finite components, and those with a null
+label, link with nothing: ``n_links`` 0, their own component. Rows that share an id with
+others join one component.
 """
 
 from __future__ import annotations
@@ -30,8 +38,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from lorecraft.operators.components import connected_components
 from lorecraft.session import ensure_checkpoint_dir, ship_package
@@ -39,6 +49,8 @@ from lorecraft.session import ensure_checkpoint_dir, ship_package
 CODEWORDS = 256
 #: Rows of a block of members or queries of a list.
 BLOCK = 2048
+#: Vectors of a length that its model is fitted on, at most.
+SAMPLE = 200_000
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -63,32 +75,69 @@ class Quantizer:
     codewords: list[np.ndarray]  # for each subspace, codeword x its dimensions
     cuts: list[tuple[int, int]]
     radius: float  # distance of unit vectors at the threshold
-    reach: float  # how far beyond its own list's border a query looks
+    apart: np.ndarray  # list x list: distances of centres
+    reach: np.ndarray  # list x list: how far beyond their border a query looks
 
     @staticmethod
-    def fit(x: np.ndarray, lists: int, threshold: float, subspaces: int = 8, spread: float = 3.5, seed: int = 1) -> "Quantizer":
+    def plain(dimension: int, threshold: float) -> "Quantizer":
+        """One list without codes: everything is a candidate."""
+        none = np.zeros((1, 1))
+        return Quantizer(np.zeros((1, dimension)), [], [], math.sqrt(max(0.0, 2 - 2 * threshold)), none, none)
+
+    @staticmethod
+    def fit(x: np.ndarray, lists: int, threshold: float, subspaces: int = 8, spread: float | None = 3.5, seed: int = 1) -> "Quantizer":
         rng = np.random.default_rng(seed)
-        centres = k_means(x, lists, 12, rng)
-        left = x - centres[_nearest(x, centres)]
+        centres = k_means(x, lists, 12 if lists <= 1024 else 4, rng)
+        own = _nearest(x, centres)
+        left = x - centres[own]
         edges = np.linspace(0, x.shape[1], min(subspaces, x.shape[1]) + 1).astype(int)
         cuts = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
         radius = math.sqrt(max(0.0, 2 - 2 * threshold))
-        reach = min(radius, spread * radius / math.sqrt(x.shape[1]))
-        return Quantizer(centres, [k_means(left[:, a:b], CODEWORDS, 8, rng) for a, b in cuts], cuts, radius, reach)
+        apart = np.sqrt(np.maximum((centres**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * centres @ centres.T, 0))
+        model = Quantizer(centres, [k_means(left[:, a:b], CODEWORDS, 8, rng) for a, b in cuts], cuts, radius, apart, np.full(apart.shape, radius))
+        if spread is None:
+            return model
+        # how much of a step goes in the direction between two centres, by the directions of the residuals
+        unit = left / np.maximum(np.linalg.norm(left, axis=1, keepdims=True), 1e-12)
+        turned = centres @ (unit.T @ unit / len(unit))
+        square = (turned * centres).sum(1)
+        along = np.maximum(square[:, None] + square - 2 * turned @ centres.T, 0) / np.maximum(apart, 1e-12) ** 2
+        deviation = radius * np.sqrt(np.maximum(along, 1 / x.shape[1]))
+        some = x[rng.permutation(len(x))[:4096]]
+        i, j = np.nonzero(np.triu(some @ some.T >= threshold, 1))
+        while True:
+            model.reach = np.minimum(radius, spread * deviation)
+            if (model.reach >= radius).all() or not len(i):
+                return model
+            at, _, _, probes = model.encode(some)
+            pairs = np.zeros((len(some), len(centres)), bool)
+            for k, p in enumerate(probes):
+                pairs[k, p] = True
+            if (pairs[i, at[j]] | pairs[j, at[i]]).mean() >= 0.99:
+                return model
+            spread *= 2
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """List, codes, coding error and lists to probe of each unit vector."""
-        square = np.maximum((x * x).sum(1)[:, None] + (self.centres**2).sum(1) - 2 * x @ self.centres.T, 0)
-        own = square.argmin(1)
-        left = x - self.centres[own]
-        codes = np.stack([_nearest(left[:, a:b], w) for (a, b), w in zip(self.cuts, self.codewords)], 1)
-        rest = left - np.concatenate([w[codes[:, s]] for s, w in enumerate(self.codewords)], 1)
-        apart = np.sqrt(np.maximum(((self.centres[own][:, None, :] - self.centres[None]) ** 2).sum(2), 0))
-        probe = square - square[np.arange(len(x)), own][:, None] <= 2 * self.reach * apart + 1e-9
-        return own, codes.astype(np.uint8), np.sqrt((rest * rest).sum(1)), [np.flatnonzero(p) for p in probe]
+        """List, codes, coding error and lists to probe (its own and later ones) of each unit vector."""
+        own, codes, error, probes = [np.zeros(0, np.int64)], [np.zeros((0, len(self.cuts)), np.uint8)], [np.zeros(0)], []
+        step = max(1, 4_000_000 // max(len(self.centres), x.shape[1]))
+        norm = (self.centres**2).sum(1)
+        for some in (x[k : k + step] for k in range(0, len(x), step)):
+            square = np.maximum((some * some).sum(1)[:, None] + norm - 2 * some @ self.centres.T, 0)
+            at = square.argmin(1)
+            left = some - self.centres[at]
+            code = np.stack([_nearest(left[:, a:b], w) for (a, b), w in zip(self.cuts, self.codewords)], 1) if self.cuts else np.zeros((len(some), 0), int)
+            rest = left - np.concatenate([w[code[:, s]] for s, w in enumerate(self.codewords)], 1) if self.cuts else left
+            probe = square - square[np.arange(len(some)), at][:, None] <= 2 * self.reach[at] * self.apart[at] + 1e-9
+            probe &= np.arange(len(self.centres)) >= at[:, None]
+            own.append(at), codes.append(code.astype(np.uint8)), error.append(np.sqrt((rest * rest).sum(1)))
+            probes += [np.flatnonzero(p) for p in probe]
+        return np.concatenate(own), np.concatenate(codes), np.concatenate(error), probes
 
     def candidates(self, queries: np.ndarray, which: int, codes: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, member) that the codes of a list's members don't rule out."""
+        if not self.cuts:
+            return tuple(np.indices((len(queries), len(codes))).reshape(2, -1))
         left = queries - self.centres[which]
         square = np.zeros((len(queries), len(codes)))
         for s, ((a, b), w) in enumerate(zip(self.cuts, self.codewords)):
@@ -114,33 +163,38 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def link_block(model: Quantizer, threshold: float, queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-    """Rows (a, b, n): links of query ``a`` where ``b`` is null, else an edge of the block's forest."""
-    none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="Int64"), "n": pd.Series(dtype="int64")})
-    if not len(queries) or not len(members):
-        return none
+def _units(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).astype(float).reshape(len(raw), -1)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def link_block(model: Quantizer, threshold: float, kind: str, queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+    """Rows (a, b, n): links of vector ``a`` where ``b`` is null, else an edge of the block's forest.
+
+    Queries of the list itself meet each of its members once, from the greater id.
+    """
     which = int(members["list"].iloc[0])
-    q, x = (np.stack([np.frombuffer(v) for v in f["unit"]]) for f in (queries, members))
+    q, x = _units(queries["raw"].tolist(), kind), _units(members["raw"].tolist(), kind)
     codes = np.stack([np.frombuffer(v, np.uint8) for v in members["codes"]])
     error = members["error"].to_numpy()
-    q_id, x_id, copies = queries["rep"].to_numpy(), members["rep"].to_numpy(), members["copies"].to_numpy()
+    q_id, x_id, at_home = queries["item"].to_numpy(), members["item"].to_numpy(), queries["own"].to_numpy() == which
     links = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for at in range(0, len(q), 128):
-        i, j = model.candidates(q[at : at + 128], which, codes, error)
+    step = max(1, min(128, 500_000 // len(x)))
+    for at in range(0, len(q), step):
+        i, j = model.candidates(q[at : at + step], which, codes, error)
         i = i + at
-        off = q_id[i] != x_id[j]
-        i, j = i[off], j[off]
-        near = np.einsum("ij,ij->i", q[i], x[j]) >= threshold
+        once = ~at_home[i] | (q_id[i] > x_id[j])
+        i, j = i[once], j[once]
+        near = [np.einsum("ij,ij->i", q[i[k : k + 65536]], x[j[k : k + 65536]]) >= threshold for k in range(0, len(i), 65536)]
+        near = np.concatenate([np.zeros(0, bool), *near])
         links.append((i[near], j[near]))
     i, j = (np.concatenate(p) for p in zip(*links))
-    if not len(i):
-        return none
-    n = np.bincount(i, weights=copies[j], minlength=len(q)).astype(np.int64)
-    some = np.flatnonzero(n)
+    n = np.r_[np.bincount(i, weights=members["copies"].to_numpy()[j], minlength=len(q)), np.bincount(j, weights=queries["copies"].to_numpy()[i], minlength=len(x))].astype(np.int64)
+    some, both = np.flatnonzero(n), np.r_[q_id, x_id]
     ids, place = np.unique(np.r_[q_id[i], x_id[j]], return_inverse=True)
     root = _roots(place[: len(i)], place[len(i) :], len(ids))
     tree = np.flatnonzero(root != np.arange(len(ids)))
-    counts = pd.DataFrame({"a": q_id[some], "b": pd.array([None] * len(some), "Int64"), "n": n[some]})
+    counts = pd.DataFrame({"a": both[some], "b": pd.array([None] * len(some), "Int64"), "n": n[some]})
     forest = pd.DataFrame({"a": ids[tree], "b": pd.array(ids[root[tree]], "Int64"), "n": np.zeros(len(tree), np.int64)})
     return pd.concat([counts, forest], ignore_index=True)
 
@@ -155,7 +209,7 @@ def _dealt(rows: DataFrame, key: str, side: str, sizes: DataFrame) -> DataFrame:
     own, other = ("members", "queries") if side == "member" else ("queries", "members")
     number = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     dealt = (
-        rows.join(sizes, ["label", "list"])
+        rows.join(sizes, ["label", "length", "list"])
         .withColumn(f"{own}_block", F.pmod(F.xxhash64(key), number(own)).cast("int"))
         .withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), number(other) - 1)))
         .drop("members", "queries")
@@ -163,8 +217,19 @@ def _dealt(rows: DataFrame, key: str, side: str, sizes: DataFrame) -> DataFrame:
     return dealt.select(*[F.col(c).alias(c) for c in dealt.columns])  # both sides come from one table
 
 
+def _model(vectors: DataFrame, size: int, labels: float, threshold: float, spread: float | None) -> Quantizer:
+    """A model of vectors of one length, from a sample; ``labels`` is the mean number of vectors that share a label."""
+    lists = 2 ** round(math.log2(max(math.sqrt(labels) / 4, 4)))
+    wanted = min(SAMPLE, max(32 * lists, 4096))
+    taken = vectors.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) < min(1.0, wanted / size) * (1 << 30)).limit(min(SAMPLE, 2 * wanted)).toArrow()
+    if not len(taken):
+        taken = vectors.limit(1).toArrow()
+    x = taken.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(taken), -1)
+    return Quantizer.fit(x / np.linalg.norm(x, axis=1, keepdims=True), lists, threshold, spread=spread)
+
+
 def vector_duplicates(
-    df: DataFrame, *, id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, most_lists: int = 4096
+    df: DataFrame, *, id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, spread: float | None = 3.5
 ) -> DataFrame:
     """One row per row of ``df``: ``id``, ``n_links``, ``component_id`` and ``kept``.
 
@@ -174,61 +239,64 @@ def vector_duplicates(
     ship_package(spark)
     ensure_checkpoint_dir(spark)
     rows = df.select(F.col(id).cast("bigint").alias("id"), F.col(label).alias("label"), F.col(vector).alias("vector"))
+    kind = "f4" if rows.schema["vector"].dataType.elementType == FloatType() else "f8"
+    if kind == "f8":
+        rows = rows.withColumn("vector", F.col("vector").cast("array<double>"))
     usable = rows.where(F.col("label").isNotNull() & F.col("id").isNotNull() & _usable(F.col("vector")))
-    distinct = usable.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).checkpoint()
-    length = distinct.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not length:
-        return rows.select(F.col("id").alias(id), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    dimension, count = length[0]["d"], length[0]["n"]
-    lists = int(min(most_lists, max(4, 2 ** round(math.log2(max(math.sqrt(count) / 4, 4))))))
-    same = distinct.where(F.size("vector") == dimension)
-    taken = same.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) < min(1.0, 32 * lists / count) * (1 << 30)).select("vector").limit(40 * lists)
-    sample = np.array([r["vector"] for r in taken.collect()], float) if count else np.zeros((0, dimension))
-    if not len(sample):
-        sample = np.array([r["vector"] for r in same.select("vector").limit(1).collect()], float)
-    model = Quantizer.fit(sample / np.linalg.norm(sample, axis=1, keepdims=True), lists, threshold)
-    shared = spark.sparkContext.broadcast(model)
-
-    @F.arrow_udf("struct<unit:binary,list:int,codes:binary,error:double,probes:array<int>>")
+    distinct = usable.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("length", F.size("vector")).withColumn("item", F.monotonically_increasing_id()).checkpoint()
+    counted = distinct.groupBy("length", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("length")
+    large = counted.agg(F.sum("n").alias("n"), (F.sum(F.col("n").cast("double") ** 2) / F.sum("n")).alias("labels")).where(F.col("n") > BLOCK).collect()
+    models = {r["length"]: _model(distinct.where(F.col("length") == r["length"]).select("vector"), r["n"], r["labels"], threshold, spread) for r in large}
+    shared = spark.sparkContext.broadcast(models)
+
+    def model_of(length: int) -> Quantizer:
+        return shared.value[length] if length in shared.value else Quantizer.plain(length, threshold)
+
+    @F.arrow_udf("struct<raw:binary,own:int,codes:binary,error:double,probes:array<int>>")
     def indexed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kinds = (pa.binary(), pa.int32(), pa.binary(), pa.float64(), pa.list_(pa.int32()))
         for batch in batches:
-            parts = []
-            for at in range(0, len(batch), 1000):
-                some = batch.slice(at, 1000)
-                x = some.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(some), dimension)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                own, codes, error, probes = shared.value.encode(x)
-                parts += zip([v.tobytes() for v in x], own.tolist(), [c.tobytes() for c in codes], error.tolist(), [p.tolist() for p in probes])
-            columns = list(zip(*parts)) or [()] * 5
-            kinds = (pa.binary(), pa.int32(), pa.binary(), pa.float64(), pa.list_(pa.int32()))
-            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["unit", "list", "codes", "error", "probes"])
-
-    index = same.withColumn("x", indexed("vector")).select("label", "rep", "copies", "x.*").checkpoint()
-    members = index.select("label", "list", "rep", "copies", "unit", "codes", "error")
-    queries = index.select("label", F.explode("probes").alias("list"), "rep", "unit")
-    sizes = members.groupBy("label", "list").agg(F.count(F.lit(1)).alias("members")).join(queries.groupBy("label", "list").agg(F.count(F.lit(1)).alias("queries")), ["label", "list"])
-    block = ["label", "list", "members_block", "queries_block"]
+            lengths = pc.list_value_length(batch).to_numpy(zero_copy_only=False)
+            out: list[tuple | None] = [None] * len(batch)
+            for length in np.unique(lengths).tolist():
+                at = np.flatnonzero(lengths == length)
+                raw = batch.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(at), length)
+                unit = raw.astype(float)
+                own, codes, error, probes = model_of(length).encode(unit / np.linalg.norm(unit, axis=1, keepdims=True))
+                for k, row in zip(at.tolist(), zip([v.tobytes() for v in raw], own.tolist(), [c.tobytes() for c in codes], error.tolist(), [p.tolist() for p in probes])):
+                    out[k] = row
+            columns = list(zip(*out)) or [()] * 5
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["raw", "own", "codes", "error", "probes"])
+
+    index = distinct.withColumn("x", indexed("vector")).select("label", "length", "item", "copies", "x.*").checkpoint()
+    members = index.select("label", "length", F.col("own").alias("list"), "item", "copies", "raw", "codes", "error")
+    queries = index.select("label", "length", F.explode("probes").alias("list"), "item", "copies", "raw", "own")
+    sizes = members.groupBy("label", "length", "list").agg(F.count(F.lit(1)).alias("members")).join(queries.groupBy("label", "length", "list").agg(F.count(F.lit(1)).alias("queries")), ["label", "length", "list"])
+    block = ["label", "length", "list", "members_block", "queries_block"]
 
     def linked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return link_block(shared.value, threshold, left, right)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="Int64"), "n": pd.Series(dtype="int64")})
+        return link_block(model_of(int(right["length"].iloc[0])), threshold, kind, left, right)
 
     found = (
-        _dealt(queries, "rep", "query", sizes)
+        _dealt(queries, "item", "query", sizes)
         .groupBy(*block)
-        .cogroup(_dealt(members, "rep", "member", sizes).groupBy(*block))
+        .cogroup(_dealt(members, "item", "member", sizes).groupBy(*block))
         .applyInPandas(linked, "a bigint, b bigint, n bigint")
         .checkpoint()
     )
-    links = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    links = found.where("b IS NULL").groupBy(F.col("a").alias("item")).agg(F.sum("n").alias("n"))
     # ids of several vectors, if any, bring their vectors together as well
-    shared_ids = usable.join(distinct, ["label", "vector"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    shared_ids = shared_ids.join(distinct.select(F.col("rep").alias("a")).distinct(), "a", "left_semi")
-    classes = connected_components(found.where("b IS NOT NULL").select("a", "b").unionByName(shared_ids), "a", "b").withColumnRenamed("id", "rep")
-    of_vector = distinct.join(links, "rep", "left").join(classes, "rep", "left").select(
-        F.col("label").alias("__label"),
-        F.col("vector").alias("__vector"),
-        (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"),
+    value = F.xxhash64("label", "vector")
+    several = usable.groupBy("id").agg(F.min(value).alias("low"), F.max(value).alias("high")).where("low < high").select("id")
+    texts = usable.join(several, "id").join(distinct, ["label", "vector"]).select("id", "item").distinct().checkpoint()
+    same = texts.groupBy("id").agg(F.min("item").alias("a")).join(texts, "id").select("a", F.col("item").alias("b"))
+    classes = connected_components(found.where("b IS NOT NULL").select("a", "b").unionByName(same), "a", "b").withColumnRenamed("id", "item")
+    of_vector = distinct.join(links, "item", "left").join(classes, "item", "left").withColumn("component", F.coalesce("component", "item")).checkpoint()
+    least = of_vector.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_vector = of_vector.join(least, "component").select(
+        F.col("label").alias("__label"), F.col("vector").alias("__vector"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
     )
     good = F.col("label").isNotNull() & F.col("id").isNotNull() & _usable(F.col("vector"))
     out = rows.withColumn("__label", F.when(good, F.col("label"))).withColumn("__vector", F.when(good, F.col("vector")))

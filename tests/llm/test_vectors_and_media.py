@@ -46,19 +46,51 @@ def test_vectors_against_brute_force(spark, monkeypatch, block):
     got = {x["vec_id"]: x for x in V.vector_duplicates(df).collect()}
     want = brute(rows)
     found = sum(x["n_links"] for x in got.values())
-    assert found >= 0.98 * sum(n for n, _ in want.values())
-    assert all(got[i]["n_links"] <= n for i, (n, _) in want.items())
-    same = np.mean([got[i]["component_id"] == c for i, (_, c) in want.items()])
-    assert same >= 0.98 and all(x["kept"] == (x["component_id"] == i) for i, x in got.items())
+    assert found == sum(n for n, _ in want.values())
+    assert all(got[i]["n_links"] == n and got[i]["component_id"] == c for i, (n, c) in want.items())
+    assert all(x["kept"] == (x["component_id"] == i) for i, x in got.items())
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(2000, 2008))
 
 
+def test_all_lengths_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 16)
+    r = np.random.default_rng(4)
+    rows = [(i, 0, (r.normal(size=6) + 2).tolist()) for i in range(60)]
+    rows += [(100, 0, [1.0, 0.0, 0.0]), (101, 0, [1.0, 0.01, 0.0]), (102, 1, [1.0, 0.0, 0.0])]
+    rows += [(200 + i, 0, (r.normal(size=3)).tolist()) for i in range(40)]
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in V.vector_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()}
+    assert got == brute(rows)
+
+
+@pytest.mark.parametrize("k", [2, 4, 8, 64])
+def test_probes_find_links_of_data_with_few_dimensions(k):
+    r = np.random.default_rng(k)
+    turn = np.linalg.qr(r.normal(size=(64, 64)))[0][:k]
+    x = r.normal(size=(1500, k))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    step = r.normal(size=x.shape)
+    step -= (step * x).sum(1, keepdims=True) * x
+    step /= np.linalg.norm(step, axis=1, keepdims=True)
+    angle = np.arccos(0.931)
+    y = (np.cos(angle) * x + np.sin(angle) * step) @ turn
+    x = x @ turn
+    sample = np.r_[x[:800], y[800:]]
+    for spread, least in ((3.5, 0.99), (None, 1.0)):
+        q = V.Quantizer.fit(sample, 64, 0.93, spread=spread)
+        (own_x, _, _, at_x), (own_y, _, _, at_y) = q.encode(x), q.encode(y)
+        found = [b in p or a in s for a, b, p, s in zip(own_x, own_y, at_x, at_y)]
+        assert np.mean(found) >= least
+
+
 def test_vector_edges(spark):
     kind = "vec_id long, label int, embedding array<float>"
     assert V.vector_duplicates(spark.createDataFrame([], kind)).count() == 0
     rows = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 0, [1.0, 0.0]), (None, 0, [1.0, 0.0]), (3, 0, [2.0, 0.0])], kind)
     got = sorted((x["vec_id"] or -1, x["n_links"], x["component_id"]) for x in V.vector_duplicates(rows).collect())
     assert got == [(-1, 0, None), (1, 2, 1), (1, 2, 1), (3, 2, 1)]
+    again = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 0, [0.0, 1.0]), (2, 0, [0.1, 1.0])], kind)  # an id of two vectors
+    got = sorted((x["vec_id"], x["n_links"], x["component_id"]) for x in V.vector_duplicates(again).collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (2, 1, 1)]
 
 
 def test_codes_rule_out_no_link():
