@@ -236,7 +236,7 @@ def _pairs_of_large(items: DataFrame, reference: DataFrame, sets: DataFrame, thr
     plain = plain.where("to_stray > 0 OR to_main > 0").select("ref", "item", "c", "d", "f", "main", "to_stray", "to_main").checkpoint()
 
     # the common order: runs by how many documents of the ref have them in D; those of one document meet nothing
-    runs = known.select("ref", "item", F.explode("delta").alias("run")).join(bounds.select("ref"), "ref")
+    runs = known.select("ref", "item", "delta").join(plain.select("ref", "item"), ["ref", "item"]).select("ref", "item", F.explode("delta").alias("run"))
     shared = runs.groupBy("ref", "run").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ordered = runs.join(shared, ["ref", "run"]).groupBy("ref", "item").agg(F.sort_array(F.collect_list(F.struct("n", "run"))).alias("shared"))
     placed = (
