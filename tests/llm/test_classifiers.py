@@ -138,10 +138,40 @@ def test_toxicity_without_both_classes(spark, empty):
 
 def test_windows_do_not_depend_on_neighbours():
     texts = [t or "" for t in ODD] + ["one two", "one, two. one one"]
-    _, _, _, bounds = toxicity.words_and_grams(texts)
+    _, _, _, _, bounds = toxicity.words_and_grams(texts)
     for k, t in enumerate(texts):
         alone = toxicity.words_and_grams([t])
-        assert len(alone[2]) == bounds[k + 1] - bounds[k]
+        assert len(alone[3]) == bounds[k + 1] - bounds[k]
+
+
+def edited(r: random.Random, word: str) -> str:
+    """One letter in the middle changed, left out, put in or swapped."""
+    p, x, kind = r.randrange(1, len(word) - 1), r.choice("abcdefghijklmnopqrstuvwxyz"), r.randrange(4)
+    if kind == 3 and p + 2 < len(word):
+        return word[:p] + word[p + 1] + word[p] + word[p + 2 :]
+    return word[:p] + ["", x, x + word[p]][kind % 3] + word[p + 1 :]
+
+
+def test_misspelt_words_are_found():
+    r = random.Random(12)
+    insults = "idiot moron scum worthless disgusting pathetic loser clown stupid trash".split()
+    texts, marks = [], []
+    for k in range(1200):
+        words, bad = prose(r, r.randint(30, 200)).split(), k % 6 == 0
+        for _ in range(r.randint(2, 6) if bad else 0):
+            words.insert(r.randrange(len(words) + 1), r.choice(insults))
+        texts.append(" ".join(words)), marks.append(int(bad))
+    model = toxicity.fit(texts, marks, 1 / 6)
+    clean = [prose(r, r.randint(30, 200)) for _ in range(150)]
+    misspelt = [" ".join([t, *(edited(r, r.choice(insults)) for _ in range(4))]) for t in clean]
+    assert (model.scores(misspelt) >= 0.7).mean() >= 0.9
+    assert (model.scores(clean) >= 0.7).mean() <= 0.02
+
+
+def test_places_of_grams():
+    numbers, owners, places, hashes, _ = toxicity.words_and_grams(["abcd xy"])
+    found = sorted((int(o), int(p) // toxicity.KINDS, int(p) % toxicity.KINDS) for o, p in zip(owners, places))
+    assert found == sorted([(0, a, 0) for a in range(4)] + [(0, a, 1) for a in range(3)] + [(0, a, 2) for a in range(2)] + [(0, a, 3) for a in range(2)] + [(1, 0, 0), (1, 1, 0), (1, 0, 1)])
 
 
 def test_sample_counts_and_bounds(spark):
