@@ -3,9 +3,9 @@
 Texts are lower-cased and reduced to letters with single gaps; n-grams of one to
 three characters are hashed into ``2**BITS`` features. Document frequencies cover
 all labelled rows. The weights are learned by follow-the-regularised-leader
-with elastic-net penalties on a sample of at most ``per_language`` rows of each of
-the ``languages`` most frequent languages, and a temperature is fitted on the
-part of the sample left out. Scoring reads every text whole.
+with elastic-net penalties on a sample of at most ``per_language`` documents of each
+language, and a temperature is fitted on the part of the sample left out. Every language
+that a labelled row has is learned. Scoring reads every text whole.
 
 A null text, or one without a letter, is ``und`` with score 0. Texts of one or
 two letters get whatever is likeliest, with a low score. Without labelled rows
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorecraft.llm.chargrams import code_points, grams, groups, squeeze
+from lorecraft.llm.samples import labelled_sample
 from lorecraft.session import ship_package
 
 BITS = 16
@@ -146,10 +147,10 @@ def _together(texts: list[str], labels: list[str]) -> Iterator[tuple[list[str],
         at += len(group)
 
 
-def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", per_language: int = 800, languages: int = 200) -> LanguageModel:
+def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 800) -> LanguageModel:
     """A model from the rows of ``labelled`` whose text and language are not null."""
     ship_package(labelled.sparkSession)
-    known = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    known = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).alias("lang"))
 
     def documents_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rows = np.zeros(1 << BITS, np.int64), 0
@@ -166,13 +167,8 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", per_la
     inside = table[table.feature >= 0]
     frequencies[inside.feature.to_numpy()] = inside.n.to_numpy()
     rows = int(table[table.feature < 0].n.sum())
-    frequent = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
-    if not frequent:
-        return fit([], [], frequencies, rows)
-    share = F.create_map(*[F.lit(v) for k, n in frequent.items() for v in (k, min(1.0, per_language / n))])
-    chosen = known.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    sample = chosen.limit(2 * per_language * len(frequent)).collect()
-    return fit([r["text"] for r in sample], [r["lang"] for r in sample], frequencies, rows)
+    texts, names, _ = labelled_sample(known, known.select("key", "lang"), key="key", text="text", label="lang", per_class=per_language)
+    return fit(texts, names, frequencies, rows)
 
 
 def identify(df: DataFrame, model: LanguageModel, *, text: str = "text") -> DataFrame:

@@ -5,10 +5,11 @@ one, runs of a sign are cut to two, and a word equal to the one before it gets a
 sign of its own. Its n-grams of one to four signs give indicators, several for each
 n-gram: whether it occurs, and whether it does so at least once in 400, 60 or 12
 signs. Words' own 1- and 2-grams are indicators too. Indicators are scaled by the
-log ratio of their counts in the two classes, and a hinge-loss model is fitted by dual
-coordinate descent. Both use a sample of about ``per_class`` labelled rows of each class,
-of whole texts; a logistic curve over margins of rows left out turns margins into
-probabilities, at the classes' shares of all labelled rows.
+log ratio of their counts in the two classes, over all labelled rows, and a hinge-loss
+model is fitted by dual coordinate descent on a sample of at most ``per_class`` of them of
+each class, of whole texts. A logistic curve over margins of rows that neither weights
+nor counts have seen turns margins into probabilities, at the classes' shares of all
+labelled rows.
 
 Every text gets a score; null and empty ones that of a text without indicators.
 Without labelled rows of both classes every score is the share of label 1 (or 1).
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorecraft.llm.chargrams import code_points, grams, groups
-from lorecraft.llm.samples import labelled_sample
+from lorecraft.llm.samples import binary_labels, labelled_sample
 from lorecraft.session import ship_package
 
 SHAPE_BITS, WORD_BITS = 14, 16
@@ -142,32 +143,45 @@ def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost:
     return w, b
 
 
-def fit(texts: list[str], labels: list[int], prior: float, *, cost: float = 1.0, smooth: float = 1.0, epochs: int = 20, seed: int = 6) -> QualityModel:
-    """Learn from a sample; ``prior`` is the share of label 1 in all labelled rows."""
+def fit(texts: list[str], labels: list[int], seen: np.ndarray, prior: float, *, cost: float = 1.0, smooth: float = 1.0, epochs: int = 20, seed: int = 6) -> QualityModel:
+    """Learn from a sample.
+
+    ``seen`` counts the rows of each class (0, 1) with each indicator and ``prior`` is the share of
+    label 1, both over all labelled rows, those of the sample among them.
+    """
     y = np.array(labels, int)
-    found = [at.astype(np.int32) for group in groups(texts) for at in indicators(group)]
-    seen = np.full((2, TOTAL), smooth)
-    for at, label in zip(found, labels):
-        seen[label, at] += 1
-    ratio = np.log(seen[1] / seen[1].sum()) - np.log(seen[0] / seen[0].sum())
     if len(set(labels)) < 2:
         share = min(max(prior, 1e-6), 1 - 1e-6)
         return QualityModel(np.zeros(TOTAL), 0.0, np.ones(TOTAL), 1.0, float(np.log(share / (1 - share))))
+    found = [at.astype(np.int32) for group in groups(texts) for at in indicators(group)]
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     fold = np.zeros(len(y), int)
     fold[order] = np.arange(len(y)) % 4
-    scale = lambda at: ratio[at] / max(np.sqrt((ratio[at] ** 2).sum()), 1e-9)
-    rows = [(at, scale(at).astype(np.float32)) for at in found]
     sign = np.where(y == 1, 1.0, -1.0)
     weight = np.where(y == 1, 0.5 / max((y == 1).mean(), 1e-9), 0.5 / max((y == 0).mean(), 1e-9)) * cost
+
+    def ratio_without(rows: np.ndarray) -> np.ndarray:
+        """Log ratio of the classes' counts over all rows but these."""
+        n = seen + smooth
+        for i in rows:
+            n[y[i], found[i]] -= 1
+        n = np.maximum(n, smooth)
+        return np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum())
+
+    def learned(ratio: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, float]:
+        scaled = [(found[i], (ratio[found[i]] / max(np.sqrt((ratio[found[i]] ** 2).sum()), 1e-9)).astype(np.float32)) for i in used]
+        return dual_descent(scaled, sign[used], weight[used], TOTAL, epochs, seed)
+
     margins = np.zeros(len(y))
-    for k in range(4):  # margins of rows that the weights haven't seen
-        used = np.flatnonzero(fold != k)
-        w, b = dual_descent([rows[i] for i in used], sign[used], weight[used], TOTAL, epochs, seed)
-        for i in np.flatnonzero(fold == k):
-            margins[i] = w[rows[i][0]] @ rows[i][1] + b
-    w, b = dual_descent(rows, sign, weight, TOTAL, epochs, seed)
+    for k in range(4):
+        out = np.flatnonzero(fold == k)
+        ratio = ratio_without(out)
+        w, b = learned(ratio, np.flatnonzero(fold != k))
+        part = QualityModel(w * ratio, b, ratio**2, 1.0, 0.0)
+        margins[out] = [part.margin(found[i]) for i in out]
+    ratio = ratio_without(np.zeros(0, int))
+    w, b = learned(ratio, np.arange(len(y)))
     slope, offset = _logistic(margins, y, np.where(y == 1, prior / (y == 1).mean(), (1 - prior) / (y == 0).mean()))
     return QualityModel(w * ratio, b, ratio**2, slope, offset)
 
@@ -188,8 +202,25 @@ def _logistic(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 1500) -> QualityModel:
     """A model from rows of ``docs`` that have a 0/1 label in ``labels``."""
     ship_package(docs.sparkSession)
-    texts, marks, rows = labelled_sample(docs, labels, key=key, text=text, label=label, per_class=per_class)
-    return fit(texts, marks, rows.get(1, 0) / max(sum(rows.values()), 1) if rows else 1.0)
+    texts, marks, rows = labelled_sample(docs.select(key, text), binary_labels(docs, labels, key, label), key=key, text=text, label=label, per_class=per_class)
+    seen = np.zeros((2, TOTAL))
+    if len(set(marks)) == 2:
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros((2, TOTAL), np.int64)
+            for batch in batches:
+                truth, at = batch.column(1).to_pylist(), 0
+                for group in groups(batch.column(0).to_pylist()):
+                    for found in indicators(group):
+                        n[truth[at], found] += 1
+                        at += 1
+            some = np.flatnonzero(n.any(0))
+            yield pa.record_batch({"feature": some, "n0": n[0, some], "n1": n[1, some]})
+
+        marked = docs.select(key, F.col(text).cast("string").alias("__text")).join(binary_labels(docs, labels, key, label).distinct(), key).select("__text", label)
+        table = marked.mapInArrow(counted, "feature bigint, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+        seen[:, table.column("feature").to_numpy()] = np.stack([table.column("n0").to_numpy(), table.column("n1").to_numpy()])
+    return fit(texts, marks, seen, rows.get(1, 0) / max(sum(rows.values()), 1) if rows else 1.0)
 
 
 def score(df: DataFrame, model: QualityModel, *, text: str = "text", threshold: float = 0.3) -> DataFrame:

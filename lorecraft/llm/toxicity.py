@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorecraft.llm.chargrams import code_points, grams, groups
-from lorecraft.llm.samples import labelled_sample
+from lorecraft.llm.samples import binary_labels, labelled_sample
 from lorecraft.session import ship_package
 
 BITS = 20
@@ -294,7 +294,7 @@ def fit(texts: list[str], labels: list[int], prior: float, *, epochs: tuple[int,
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 2500) -> ToxicityModel:
     """A model from rows of ``docs`` that have a 0/1 label in ``labels``."""
     ship_package(docs.sparkSession)
-    texts, marks, rows = labelled_sample(docs, labels, key=key, text=text, label=label, per_class=per_class)
+    texts, marks, rows = labelled_sample(docs.select(key, text), binary_labels(docs, labels, key, label), key=key, text=text, label=label, per_class=per_class)
     return fit(texts, marks, rows.get(1, 0) / max(sum(rows.values()), 1))
 
 

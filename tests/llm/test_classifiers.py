@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorecraft.llm import language_id, quality, toxicity
-from lorecraft.llm.samples import labelled_sample
+from lorecraft.llm.samples import binary_labels, labelled_sample
 from tests.llm.conftest import ODD, SCHEMA, prose
 
 WORDS = {
@@ -175,11 +175,43 @@ def test_places_of_grams():
 
 
 def test_sample_counts_and_bounds(spark):
-    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
-    labels = spark.range(600).select(F.col("id").alias("doc_id"), (F.col("id") % 4 == 0).cast("int").alias("y"))
-    texts, marks, rows = labelled_sample(docs, labels, key="doc_id", text="text", label="y", per_class=50)
-    assert rows == {0: 450, 1: 150} and len(texts) == len(marks) <= 200
-    assert 20 < sum(marks) < 90
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("t" * 10).alias("text"))
+    labels = spark.range(600).select(F.col("id").alias("doc_id"), (F.col("id") % 4 == 0).cast("int").alias("y")).unionByName(spark.createDataFrame([(700, 5), (701, None)], "doc_id long, y int"))
+    take = lambda **more: labelled_sample(docs, binary_labels(docs, labels, "doc_id", "y"), key="doc_id", text="text", label="y", per_class=50, **more)
+    texts, marks, rows = take()
+    assert rows == {0: 450, 1: 150} and len(texts) == 100 and sum(marks) == 50
+    assert len(take(chars=95)[0]) == 20 and len(take(chars=1)[0]) == 2  # whole texts, one of each class at least
+
+
+def test_sample_of_a_hot_text_and_a_hot_key(spark):
+    rows = [(i, "the same text", "en") for i in range(3000)] + [(5000 + i, f"texte {i}", "fr") for i in range(30)] + [(9999, "hot row", "de")] * 500
+    docs = spark.createDataFrame(rows, "key long, text string, lang string")
+    texts, names, counts = labelled_sample(docs, docs.select("key", "lang"), key="key", text="text", label="lang", per_class=40)
+    assert counts == {"en": 3000, "fr": 30, "de": 500}
+    assert sorted((n, names.count(n)) for n in set(names)) == [("de", 1), ("en", 40), ("fr", 30)]
+    assert labelled_sample(docs.limit(0), docs.limit(0).select("key", "lang"), key="key", text="text", label="lang", per_class=4) == ([], [], {})
+
+
+def test_every_language_is_learned(spark):
+    r = random.Random(2)
+    stems = {f"l{k}": " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)) for k in range(230)}
+    rows = [(i, prose(r, 12, stems[f"l{i % 230}"]), f"l{i % 230}", "s", 1) for i in range(230 * 4)]
+    model = language_id.train(spark.createDataFrame(rows, SCHEMA))
+    assert model.languages == sorted(stems)
+    names, _ = model.predict([r[1] for r in rows])
+    assert np.mean([n == r[2] for n, r in zip(names, rows)]) > 0.9
+
+
+def test_counts_of_quality_cover_all_rows(spark, monkeypatch):
+    taken = {}
+    monkeypatch.setattr(quality, "fit", lambda texts, marks, seen, prior: taken.update(texts=texts, seen=seen, prior=prior))
+    rows = [(i, f"word{i % 7} text", "en", "s", 1) for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 3 // 2) for i in range(0, 300, 2)], "doc_id long, quality int")
+    quality.train(spark.createDataFrame(rows, SCHEMA), labels, per_class=10)
+    want = np.zeros((2, quality.TOTAL))
+    for i in range(0, 300, 2):
+        want[i % 3 // 2, next(iter(quality.indicators([rows[i][1]])))] += 1
+    assert len(taken["texts"]) == 20 and (taken["seen"] == want).all() and abs(taken["prior"] - 50 / 150) < 1e-9
 
 
 @pytest.mark.parametrize("text", ["", "a", "ab cd"])
