@@ -16,18 +16,15 @@ from lorecraft.llm import language_id, mixing, near_dups, pieces, quality
 from lorecraft.llm.queries import vocabulary
 from lorecraft.session import ensure_checkpoint_dir
 
-#: A document whose likeliest language has less than this probability is no language.
-LEAST_LANGUAGE = 0.5
-#: The same for good quality.
+#: A document whose probability of good quality is less is rejected.
 LEAST_QUALITY = 0.3
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in one of the languages that the labelled documents have; sets no column."""
+    """Keeps documents in one of the languages that the labelled documents have: those without a letter go."""
     model = language_id.train(docs.where(language_id.split_of("doc_id", 5) != 0))
     found = language_id.identify(docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns}), model, text="_text")
-    kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE))
-    return kept.select(*[F.col(f"_{c}").alias(c) for c in docs.columns])
+    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*[F.col(f"_{c}").alias(c) for c in docs.columns])
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
