@@ -1,20 +1,21 @@
 """Edited and cropped copies among images, by local descriptors and geometric consensus.
 
 An image is decoded to grey levels (PGM, PPM, and PNG of 8 bits a sample, not
-interlaced) and shrunk by steps of 1.25. At each scale corners are local maxima of
-Harris' measure; the ``features`` strongest of an image are kept. A corner's
-direction is that of the brightness around it, and 256 comparisons of pairs of
+interlaced, of at most ``MOST_PIXELS``) and shrunk by steps of 1.25. At each scale corners
+are local maxima of Harris' measure; the ``features`` strongest of an image are kept. A
+corner's direction is that of the brightness around it, and 256 comparisons of pairs of
 smoothed pixels, turned by that direction, are its descriptor. Each of ``TABLES`` tables
 keys a descriptor by ``KEY_BITS`` of its bits; images with corners that agree in a key and
-differ in at most ``DISTANCE`` bits in all are candidates. Tables are met ``PASS`` at a
+differ in at most ``DISTANCE`` bits in all are candidates. Tables are met one at a
 time, only corners with such a partner are kept, and pairs are tested ``SLICE`` at a time, so
 more tables take time rather than disk.
 A candidate pair is a copy if at least ``consensus`` of its matching corners agree on
 one shift, turn and scale: every match is tried as the hypothesis, none at random.
 
-Images with equal bytes are one candidate. Null, empty or undecodable media have no
-corners, link with nothing and are kept; so are rows with a null id. Corners
-per image are a bound of the descriptor, documented, not of the candidates.
+Media with equal bytes are one, whatever they are. Those that can't be decoded and images
+without corners link with nothing else. Null and empty media link with nothing and
+are kept; so are rows with a null id. Corners per image are a bound of the
+description, documented, not of the candidates.
 """
 
 from __future__ import annotations
@@ -32,15 +33,19 @@ from pyspark.sql import functions as F
 from lorecraft.llm.linking import link_classes
 from lorecraft.session import ensure_checkpoint_dir, release, ship_package
 
-BITS, TABLES, PASS = 256, 25, 2
+BITS, TABLES = 256, 8
 #: Bits of a descriptor in a key: the more of them, the fewer chance meetings to test, and the more tables for the same recall.
 KEY_BITS = 48
 #: Descriptors match if at most so many of their bits differ.
 DISTANCE = 56
 STEP, SCALES, MARGIN = 1.25, 4, 13
-#: A corner as stored: place in the full image, scale, direction, descriptor.
-CORNER = np.dtype([("x", "<f4"), ("y", "<f4"), ("s", "<f4"), ("t", "<f4"), ("d", "u1", BITS // 8)])
+#: Larger images are not decoded.
+MOST_PIXELS = 1 << 26
+#: A corner as stored: place in the full image, number of the scale, direction in 256ths of a turn, descriptor.
+CORNER = np.dtype([("x", "<f4"), ("y", "<f4"), ("s", "u1"), ("t", "u1"), ("d", "u1", BITS // 8)])
 WORDS = ("w0", "w1", "w2", "w3")
+#: Pixels of images that are described together.
+STACK = 1 << 18
 #: Pairs whose corners are fetched at a time: about 3 kB each.
 SLICE = 200_000
 
@@ -57,7 +62,7 @@ TAKEN = [np.random.default_rng(9 + t // (BITS // KEY_BITS)).permutation(BITS)[t
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
-    """Grey levels of an image as a float matrix; None if it can't be read."""
+    """Grey levels of an image as a float matrix; None if it can't be read, whatever the bytes."""
     try:
         if not data:
             return None
@@ -65,7 +70,7 @@ def decode(data: bytes | None) -> np.ndarray | None:
             return _netpbm(data)
         if data[:8] == b"\x89PNG\r\n\x1a\n":
             return _png(data)
-    except (ValueError, IndexError, struct.error, zlib.error, KeyError):
+    except (ValueError, ArithmeticError, LookupError, TypeError, struct.error, zlib.error):
         return None
     return None
 
@@ -91,28 +96,31 @@ def _netpbm(data: bytes) -> np.ndarray:
         fields.append(int(data[at:end]))
         at = end
     width, height, top = fields
-    if top > 255:
-        raise ValueError("more than 8 bits a sample")
+    if top > 255 or width * height > MOST_PIXELS:
+        raise ValueError("more than 8 bits a sample, or too large")
     depth = 1 if data[:2] == b"P5" else 3
     return _grey(np.frombuffer(data, np.uint8, width * height * depth, at + 1).reshape(height, width, depth)) * (255 / max(top, 1))
 
 
 def _png(data: bytes) -> np.ndarray:
-    at, body, palette = 8, b"", None
-    while at < len(data):
+    at, body, palette, head = 8, [], None, None
+    while at + 8 <= len(data):
         size, kind = struct.unpack(">I4s", data[at : at + 8])
         chunk = data[at + 8 : at + 8 + size]
         if kind == b"IHDR":
-            width, height, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", chunk)
+            head = struct.unpack(">IIBBBBB", chunk)
         elif kind == b"PLTE":
             palette = np.frombuffer(chunk, np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
-            body += chunk
+            body.append(chunk)
         at += 12 + size
-    if depth != 8 or interlaced:
-        raise ValueError("not 8 bits a sample in one pass")
+    if head is None:
+        raise ValueError("no header")
+    width, height, depth, colour, _, _, interlaced = head
+    if depth != 8 or interlaced or not 0 < width * height <= MOST_PIXELS or (colour == 3 and palette is None):
+        raise ValueError("not 8 bits a sample in one pass, too large, or without its colours")
     n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, 1 + width * n)
+    raw = np.frombuffer(zlib.decompressobj().decompress(b"".join(body), height * (1 + width * n)), np.uint8).reshape(height, 1 + width * n)
     lines = np.zeros((height + 1, width + 1, n), np.int64)
     for y in range(height):
         line, up = raw[y, 1:].reshape(width, n).astype(np.int64), lines[y]
@@ -137,60 +145,83 @@ def _png(data: bytes) -> np.ndarray:
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
-    """Mean over squares of side ``2 r + 1``; borders repeat."""
+    """Mean over squares of side ``2 r + 1`` of each image of a stack; borders repeat."""
     k = 2 * r + 1
-    s = np.cumsum(np.cumsum(np.pad(a, ((r + 1, r), (r + 1, r)), mode="edge"), 0), 1)
-    return (s[k:, k:] - s[:-k, k:] - s[k:, :-k] + s[:-k, :-k]) / (k * k)
+    s = np.cumsum(np.cumsum(np.pad(a, [(0, 0)] * (a.ndim - 2) + [(r + 1, r), (r + 1, r)], mode="edge"), -2), -1)
+    return (s[..., k:, k:] - s[..., :-k, k:] - s[..., k:, :-k] + s[..., :-k, :-k]) / (k * k)
 
 
 def _shrink(a: np.ndarray, factor: float) -> np.ndarray:
-    h, w = int(a.shape[0] / factor), int(a.shape[1] / factor)
+    h, w = int(a.shape[-2] / factor), int(a.shape[-1] / factor)
     y, x = (np.arange(h) + 0.5) * factor - 0.5, (np.arange(w) + 0.5) * factor - 0.5
-    y0, x0 = np.clip(y.astype(int), 0, a.shape[0] - 2), np.clip(x.astype(int), 0, a.shape[1] - 2)
+    y0, x0 = np.clip(y.astype(int), 0, a.shape[-2] - 2), np.clip(x.astype(int), 0, a.shape[-1] - 2)
     fy, fx = np.clip(y - y0, 0, 1)[:, None], np.clip(x - x0, 0, 1)[None]
-    top = a[y0][:, x0] * (1 - fx) + a[y0][:, x0 + 1] * fx
-    return top * (1 - fy) + (a[y0 + 1][:, x0] * (1 - fx) + a[y0 + 1][:, x0 + 1] * fx) * fy
+    rows = a[..., y0, :] * (1 - fy) + a[..., y0 + 1, :] * fy
+    return rows[..., x0] * (1 - fx) + rows[..., x0 + 1] * fx
+
+
+def _around(a: np.ndarray, axis: int) -> np.ndarray:
+    """The greatest of five neighbours along an axis; borders repeat."""
+    pad = [(0, 0)] * a.ndim
+    pad[axis] = (2, 2)
+    p, n = np.moveaxis(np.pad(a, pad, mode="edge"), axis, 0), a.shape[axis]
+    two = np.maximum(p[:-1], p[1:])
+    return np.moveaxis(np.maximum(np.maximum(two[:n], two[2 : n + 2]), p[4:]), 0, axis)
+
+
+def _strongest(image: np.ndarray, strength: np.ndarray, most: int) -> np.ndarray:
+    """Places of the ``most`` strongest of each image, by image and place."""
+    order = np.lexsort((-strength, image))
+    n = np.arange(len(order)) - np.searchsorted(image[order], image[order])
+    return np.sort(order[n < most])
 
 
 def corners(image: np.ndarray, features: int) -> np.ndarray:
     """The strongest corners of all scales with direction and descriptor."""
-    found, force = [], []
-    level, factor = image, 1.0
-    for _ in range(SCALES):
-        if min(level.shape) < 2 * MARGIN + 3:
+    return corners_of(image[None], features)[0]
+
+
+def corners_of(images: np.ndarray, features: int) -> list[np.ndarray]:
+    """The same for each of a stack of images of one size."""
+    homes, found, force = [], [], []
+    level, factor = images, 1.0
+    d = np.arange(-8, 9)
+    inside = np.nonzero(d[:, None] ** 2 + d[None] ** 2 <= 64)
+    dy, dx = d[inside[0]], d[inside[1]]
+    for scale in range(SCALES):
+        if min(level.shape[1:]) < 2 * MARGIN + 3:
             break
         smooth = _box(level, 1)
-        gy, gx = np.gradient(smooth)
+        gy, gx = np.gradient(smooth, axis=(1, 2))
         xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
         r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-        most = r
-        for axis in (0, 1):
-            most = np.maximum.reduce([np.roll(most, k, axis) for k in (-2, -1, 0, 1, 2)])
-        peak = (r == most) & (r > 1e-3)
-        peak[:MARGIN] = peak[-MARGIN:] = False
+        peak = (r == _around(_around(r, 1), 2)) & (r > 1e-3)
         peak[:, :MARGIN] = peak[:, -MARGIN:] = False
-        y, x = np.nonzero(peak)
-        if len(y) > features:
-            best = np.sort(np.argsort(-r[y, x], kind="stable")[:features])
-            y, x = y[best], x[best]
+        peak[:, :, :MARGIN] = peak[:, :, -MARGIN:] = False
+        b, y, x = np.nonzero(peak)
+        best = _strongest(b, r[b, y, x], features)
+        b, y, x = b[best], y[best], x[best]
         if len(y):
-            d = np.arange(-8, 9)
-            disc = (d[:, None] ** 2 + d[None] ** 2 <= 64).astype(float)
-            patch = smooth[y[:, None, None] + d[None, :, None], x[:, None, None] + d[None, None, :]] * disc
-            angle = np.arctan2((patch * d[None, :, None]).sum((1, 2)), (patch * d[None, None, :]).sum((1, 2)))
+            flat, width = smooth.reshape(-1), level.shape[2]
+            centre = (b * level.shape[1] + y) * width + x
+            disc = flat[centre[:, None] + dy * width + dx]
+            angle = np.arctan2(disc @ dy, disc @ dx)
             c, s = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
-            px = np.rint(PATTERN[None, :, :, 0] * c - PATTERN[None, :, :, 1] * s).astype(int) + x[:, None, None]
-            py = np.rint(PATTERN[None, :, :, 0] * s + PATTERN[None, :, :, 1] * c).astype(int) + y[:, None, None]
-            value = smooth[py, px]
+            px = np.rint(PATTERN[None, :, :, 0] * c - PATTERN[None, :, :, 1] * s).astype(int)
+            py = np.rint(PATTERN[None, :, :, 0] * s + PATTERN[None, :, :, 1] * c).astype(int)
+            value = flat[centre[:, None, None] + py * width + px]
             out = np.zeros(len(y), CORNER)
-            out["x"], out["y"], out["s"], out["t"] = (x + 0.5) * factor, (y + 0.5) * factor, factor, angle
+            out["x"], out["y"], out["s"] = (x + 0.5) * factor, (y + 0.5) * factor, scale
+            out["t"] = np.rint(angle * (128 / np.pi)).astype(int) % 256
             out["d"] = np.packbits(value[:, :, 0] < value[:, :, 1], axis=1)
-            found.append(out), force.append(r[y, x])
+            homes.append(b), found.append(out), force.append(r[b, y, x])
         level, factor = _shrink(level, STEP), factor * STEP
     if not found:
-        return np.zeros(0, CORNER)
-    all_, strength = np.concatenate(found), np.concatenate(force)
-    return all_[np.sort(np.argsort(-strength, kind="stable")[:features])]
+        return [np.zeros(0, CORNER) for _ in images]
+    home, all_ = np.concatenate(homes), np.concatenate(found)
+    best = _strongest(home, np.concatenate(force), features)
+    best = best[np.argsort(home[best], kind="stable")]
+    return np.split(all_[best], np.searchsorted(home[best], np.arange(1, len(images))))
 
 
 def table_keys(found: np.ndarray, tables: range) -> tuple[np.ndarray, np.ndarray]:
@@ -212,8 +243,8 @@ def agreeing(a: np.ndarray, b: np.ndarray, distance: int = DISTANCE, pixels: flo
     m, n = a[i[ok]], b[j[ok]]
     if len(m) < 2:
         return len(m)
-    scale = (n["s"] / m["s"]).astype(float)
-    turn = (n["t"] - m["t"]).astype(float)
+    scale = STEP ** (n["s"].astype(float) - m["s"])
+    turn = (n["t"].astype(float) - m["t"]) * (np.pi / 128)
     step = scale * np.exp(1j * turn)
     p, q = m["x"] + 1j * m["y"], n["x"] + 1j * n["y"]
     # a first guess from each match alone, then from the farthest match that agrees with it
@@ -228,24 +259,32 @@ def agreeing(a: np.ndarray, b: np.ndarray, distance: int = DISTANCE, pixels: flo
     return int(votes(refined, 0.02).sum(1).max())
 
 
-def image_copies(df: DataFrame, *, id: str = "id", media: str = "media", features: int = 32, consensus: int = 5) -> DataFrame:
+def image_copies(df: DataFrame, *, id: str = "id", media: str = "media", features: int = 96, consensus: int = 8) -> DataFrame:
     """One row per row of ``df``: ``id``, ``n_corners``, ``class_id`` (least id of the class) and ``kept``."""
     spark = df.sparkSession
     ship_package(spark)
     ensure_checkpoint_dir(spark)
 
-    @F.arrow_udf("struct<content:binary,corners:binary>")
+    @F.arrow_udf("binary")
     def described(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import hashlib
-
         for batch in batches:
-            digests, out = [], []
-            for value in batch:
-                data = value.as_py()
-                image = decode(data)
-                digests.append(hashlib.md5(data).digest() if data is not None else None)
-                out.append(corners(image, features).tobytes() if image is not None and min(image.shape) > 2 else b"")
-            yield pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(out, pa.binary())], names=["content", "corners"])
+            out = [b""] * len(batch)
+            waiting: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+
+            def close(shape: tuple[int, int]) -> None:
+                places, images = zip(*waiting.pop(shape))
+                for k, found in zip(places, corners_of(np.stack(images), features)):
+                    out[k] = found.tobytes()
+
+            for k, value in enumerate(batch):
+                image = decode(value.as_py())
+                if image is not None and min(image.shape) > 2:
+                    waiting.setdefault(image.shape, []).append((k, image))
+                    if len(waiting[image.shape]) * image.size >= STACK:
+                        close(image.shape)
+            for shape in list(waiting):
+                close(shape)
+            yield pa.array(out, pa.binary())
 
     def keys(tables: range) -> Callable[..., Column]:
         @F.arrow_udf("array<struct<bucket:bigint,w0:bigint,w1:bigint,w2:bigint,w3:bigint>>")
@@ -268,13 +307,16 @@ def image_copies(df: DataFrame, *, id: str = "id", media: str = "media", feature
     def agreed(left: pa.Array, right: pa.Array) -> pa.Array:
         return pa.array([agreeing(np.frombuffer(a.as_py(), CORNER), np.frombuffer(b.as_py(), CORNER)) for a, b in zip(left, right)], pa.int32())
 
-    rows = df.select(F.col(id).alias("id"), described(F.col(media)).alias("x")).select("id", "x.*").checkpoint()
-    linkable = rows.where((F.col("id").isNotNull()) & (F.length("corners") > 0))
-    images = linkable.groupBy("content").agg(F.min("id").alias("item"), F.first("corners").alias("corners")).checkpoint()
+    media_ = F.col(media).cast("binary")
+    rows = df.select(F.col(id).alias("id"), F.when(F.col(id).isNotNull() & (F.length(media_) > 0), F.unhex(F.md5(media_))).alias("content"), described(media_).alias("corners")).checkpoint()
+    images = rows.where("content IS NOT NULL").groupBy("content").agg(F.min("id").alias("item"), F.first("corners").alias("corners")).checkpoint()
+    rows = rows.select("id", "content", (F.length("corners") / CORNER.itemsize).cast("int").alias("n_corners")).checkpoint()
+    release(spark)
+    contents, images = images.select("content", "item"), images.where("length(corners) > 0").select("item", "corners")
     far = lambda x, y: sum((F.bit_count(F.col(f"w{k}{x}").bitwiseXOR(F.col(f"w{k}{y}"))) for k in range(4)), F.lit(0))
     met = []
-    for first in range(0, TABLES, PASS):
-        bucketed = images.select("item", F.explode(keys(range(first, min(first + PASS, TABLES)))("corners")).alias("k")).select("item", "k.*")
+    for table in range(TABLES):
+        bucketed = images.select("item", F.explode(keys(range(table, table + 1))("corners")).alias("k")).select("item", "k.*")
         other = bucketed.select("bucket", *[F.col(c).alias(f"{c}_y") for c in ("item", *WORDS)])
         near = (bucketed["bucket"] == other["bucket"]) & (F.col("item") != F.col("item_y")) & (far("", "_y") <= DISTANCE)
         met.append(bucketed.join(other, near, "left_semi").checkpoint())
@@ -292,14 +334,10 @@ def image_copies(df: DataFrame, *, id: str = "id", media: str = "media", feature
         return reduce(DataFrame.unionByName, out)
 
     classes = link_classes(members, verified, with_=WORDS, near=lambda x, y: far(x, y) <= DISTANCE).withColumnRenamed("id", "item")
-    of_image = images.join(classes, "item", "left").select("content", F.coalesce("component", "item").alias("class_id"))
-    keyed = rows.withColumn("content", F.when((F.col("id").isNotNull()) & (F.length("corners") > 0), F.col("content")))
+    of_content = contents.join(classes, "item", "left").select("content", F.coalesce("component", "item").alias("class_id"))
     class_id = F.coalesce("class_id", "id")
-    return keyed.join(of_image, "content", "left").select(
-        F.col("id").alias(id),
-        (F.coalesce(F.length("corners"), F.lit(0)) / CORNER.itemsize).cast("int").alias("n_corners"),
-        class_id.alias("class_id"),
-        F.coalesce(class_id == F.col("id"), F.lit(True)).alias("kept"),
+    return rows.join(of_content, "content", "left").select(
+        F.col("id").alias(id), "n_corners", class_id.alias("class_id"), F.coalesce(class_id == F.col("id"), F.lit(True)).alias("kept")
     )
 
 
