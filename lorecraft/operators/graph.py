@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from lorecraft.session import ensure_checkpoint_dir
 
 
-def dense_ids(rows: DataFrame, *order: str, name: str = "id") -> DataFrame:
+def dense_ids(rows: DataFrame, *order: Column | str, name: str = "id") -> DataFrame:
     """``rows`` with ids from 0 without gaps in the given order, without a window over all rows.
 
     Rows are dealt by range, numbered within their range, and moved on by the rows of
