@@ -15,8 +15,8 @@ blocks. Every draw is a hash of the seed and the documents, so reruns agree and
 lost tasks repeat their decisions.
 
 Null texts have size 0 and take nothing; a null source is a source of its own,
-the last. Equal rows are folded as one with their count. Input columns named like
-a result are replaced.
+the last. Equal rows are folded as one with their count, and are shared out again in
+chunks. Input columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -27,10 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lorecraft.operators.graph import dense_ids
 from lorecraft.session import ensure_checkpoint_dir
 
 #: Words are runs of anything but these.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Copies of a row that one task makes at a time.
+CHUNK = 4096
 #: A settled document: words, hash, what it is, and whether it is taken once more.
 DONE = "struct<w:bigint,h:bigint,id:struct<key:string,n:bigint>,more:bigint>"
 
@@ -40,23 +43,31 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share
 
     Sources by code point, null last, weigh ``weights`` in turn and share
     ``share`` of all sizes; a target stops at ``most`` times its source's size and
-    the excess goes to the others by weight. With sources in the order of cap by
-    weight, the level is that of the first one whose cap isn't reached.
+    the excess goes to the others by weight. The level, words for each unit of weight,
+    rises in rounds: sources that it takes to their cap leave, what is left is shared by the
+    others. The driver sees two sums a round, however many sources there are.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(by_name) - 1) % len(weights) + 1)
-    everything = Window.partitionBy()
-    by_cap = Window.orderBy("__ratio", F.col("source").asc_nulls_last())
-    before, after = by_cap.rowsBetween(Window.unboundedPreceding, -1), by_cap.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    cap = most * F.col("source_size")
-    return (
-        sizes.withColumn("__weight", weight)
-        .withColumn("__ratio", cap / F.col("__weight"))
-        .withColumn("__level", (share * F.sum("source_size").over(everything) - F.coalesce(F.sum(cap).over(before), F.lit(0))) / F.sum("__weight").over(after))
-        .withColumn("__level", F.max(F.when(F.col("__level") <= F.col("__ratio"), F.col("__level"))).over(everything))
-        .withColumn("target", F.when(F.col("__level") < F.col("__ratio"), F.col("__level") * F.col("__weight")).otherwise(cap).cast("double"))
-        .drop("__weight", "__ratio", "__level")
-    )
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("__place") % len(weights) + 1).cast("int"))
+    named = dense_ids(sizes, F.col("source").asc_nulls_last(), name="__place").withColumn("__weight", weight).withColumn("__cap", most * F.col("source_size"))
+    named = named.withColumn("__ratio", F.col("__cap") / F.col("__weight")).checkpoint()
+    total = named.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0] * share
+    level, full = 0.0, F.col("__ratio")
+    while True:
+        capped, free = named.agg(F.coalesce(F.sum(F.when(full <= level, F.col("__cap"))), F.lit(0)), F.coalesce(F.sum(F.when(full > level, F.col("__weight"))), F.lit(0))).first()
+        if not free or (total - capped) / free <= level:
+            break
+        level = (total - capped) / free
+    return named.withColumn("target", F.when(full > level, level * F.col("__weight")).otherwise(F.col("__cap")).cast("double")).drop("__place", "__weight", "__cap", "__ratio")
+
+
+def numbered(rows: DataFrame, n: str, name: str) -> DataFrame:
+    """Each row ``n`` times, ``name`` from 1 on; a row that is repeated very often is shared out."""
+    few = rows.where(F.col(n) <= CHUNK).withColumn(name, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(n))))
+    last = F.ceil(F.col(n) / CHUNK) - 1
+    many = rows.where(F.col(n) > CHUNK).withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).repartition("__chunk")
+    first = F.col("__chunk") * CHUNK + 1
+    many = many.withColumn(name, F.explode(F.sequence(first, F.least(first + CHUNK - 1, F.col(n))))).drop("__chunk")
+    return few.unionByName(many)
 
 
 def _draw(*parts: str) -> str:
@@ -112,7 +123,7 @@ def _settle(last: DataFrame, leaves: DataFrame) -> DataFrame:
     return blocks.select("source", sign.alias("more"), F.explode(changes).alias("d")).select("source", "d.id", "more")
 
 
-def plan_mix(
+def _plan_units(
     df: DataFrame,
     *,
     key: str = "doc_id",
@@ -124,10 +135,7 @@ def plan_mix(
     seed: int = 3,
     block: int = 64,
 ) -> DataFrame:
-    """What to take: ``key, text_hash, source, size, source_size, target, copies, taken`` for every row.
-
-    ``size`` counts the words of ``text``; ``taken`` is ``copies * size``.
-    """
+    """What to take of equal rows (__key, text_hash, source, size): all ``n`` rows ``base`` times, ``extra`` of them once more."""
     ensure_checkpoint_dir(df.sparkSession)
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     units = (
@@ -178,26 +186,44 @@ def plan_mix(
     more = more.groupBy(F.col("source").alias("__source"), F.col("id").alias("__id")).agg(F.sum("more").alias("more"))
     each = rated.join(more, F.col("source").eqNullSafe(F.col("__source")) & F.col("id").eqNullSafe(F.col("__id")), "left")
     extra = F.col("sure") + F.coalesce(F.col("more"), F.lit(0))
-    return (
-        each.withColumn("__extra", extra)
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
-        .withColumn("copies", (F.col("base") + F.when(F.col("__copy") <= F.col("__extra"), 1).otherwise(0)).cast("bigint"))
-        .select(F.col("__key").alias(key), "text_hash", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return each.select("__key", "text_hash", "source", "size", "source_size", "target", "n", F.col("base").cast("bigint").alias("base"), extra.cast("bigint").alias("extra"))
+
+
+def plan_mix(df: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
+    """What to take: ``key, text_hash, source, size, source_size, target, copies, taken`` for every row.
+
+    ``size`` counts the words of ``text``; ``taken`` is ``copies * size``. Options:
+    ``source``, ``text``, ``weights``, ``share``, ``most``, ``seed``, ``block``.
+    """
+    each = numbered(_plan_units(df, key=key, **options), "n", "__copy")
+    copies = F.col("base") + F.when(F.col("__copy") <= F.col("extra"), 1).otherwise(0)
+    return each.withColumn("copies", copies.cast("bigint")).select(
+        F.col("__key").alias(key), "text_hash", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
-def mix(df: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The mixed rows themselves: each row of ``df`` as often as its copies say."""
-    plan = plan_mix(df, key=key, text=text, **options)
-    copies = plan.groupBy(F.col(key).alias("__key"), F.col("text_hash").alias("__hash"), F.col("source").alias("__from")).agg(F.sort_array(F.collect_list("copies")).alias("__copies"))
-    source = options.get("source", "source")
+def mix(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mixed rows themselves: each row of ``df`` as often as its copies say.
+
+    Texts move once, to their plan. Rows with equal key, text and source are counted before
+    they are told apart by their other columns, so a row repeated for a third of the table
+    is a few counts; columns must be orderable (no maps).
+    """
+    unit = ["__key", "__hash", "__from"]
+    plan = _plan_units(df, key=key, text=text, source=source, **options)
+    plan = plan.select(F.col("__key"), F.col("text_hash").alias("__hash"), F.col("source").alias("__from"), F.col("n").alias("__n"), F.col("base").alias("__base"), F.col("extra").alias("__extra")).checkpoint()
     rows = df.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
     same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__text_hash") == F.col("__hash")) & F.col(source).cast("string").eqNullSafe(F.col("__from"))
-    numbered = Window.partitionBy(key, "__text_hash", source).orderBy("__text_hash")
-    times = F.element_at("__copies", F.when(F.size("__copies") == 1, 1).otherwise(F.col("__nth")))
-    return (
-        rows.withColumn("__nth", F.row_number().over(numbered))
-        .join(copies, same)
-        .withColumn("__time", F.explode(F.when(times > 0, F.sequence(F.lit(1), times.cast("int")))))
-        .select(*df.columns)
-    )
+    single = rows.join(plan.where("__n = 1"), same).withColumn("__times", F.col("__base") + F.col("__extra"))
+
+    equal = rows.join(plan.where("__n > 1"), same).groupBy(*[F.col(c) for c in df.columns], *unit, "__n", "__base", "__extra").agg(F.count(F.lit(1)).alias("__rows"))
+    equal = equal.withColumn("__row", F.xxhash64(*[F.col(c) for c in df.columns])).withColumn("__part", F.pmod("__row", F.ceil(F.col("__n") / CHUNK))).checkpoint()
+    parts = equal.groupBy(*unit, "__part").agg(F.sum("__rows").alias("__held"))
+    earlier = F.coalesce(F.sum("__held").over(Window.partitionBy(*unit).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select(*[F.col(c).alias(f"{c}_2") for c in (*unit, "__part")], earlier.alias("__start"))
+    there = (F.col("__part") == F.col("__part_2")) & (F.col("__hash") == F.col("__hash_2")) & F.col("__key").eqNullSafe(F.col("__key_2")) & F.col("__from").eqNullSafe(F.col("__from_2"))
+    within = Window.partitionBy(*unit, "__part").orderBy("__row", *[F.col(c) for c in df.columns]).rowsBetween(Window.unboundedPreceding, -1)
+    more = F.least(F.col("__rows"), F.greatest(F.lit(0), F.col("__extra") - F.col("__start") - F.coalesce(F.sum("__rows").over(within), F.lit(0))))
+    repeated = equal.join(starts, there).withColumn("__times", F.col("__base") * F.col("__rows") + more)
+
+    return numbered(single.select(*df.columns, "__times").unionByName(repeated.select(*df.columns, "__times")).where("__times > 0"), "__times", "__time").select(*df.columns)

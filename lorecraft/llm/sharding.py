@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lorecraft.llm.mixing import numbered
 from lorecraft.session import ensure_checkpoint_dir
 
 RESULTS = ("law", "shard", "slot", "grown_shard")
@@ -56,7 +57,7 @@ def external_shuffle(
         flagged = keyed.withColumn("__equal", slot_of)
         one = flagged.join(F.broadcast(equal), "__equal", "left_anti").select(*columns, F.col("__key").alias("__hash"), F.lit(1).cast("bigint").alias("__copy"))
         copies = flagged.join(F.broadcast(equal), "__equal", "left_semi").groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
-        copies = copies.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))))
+        copies = numbered(copies, "__n", "__copy")
         one = one.unionByName(copies.drop("__n").withColumn("__hash", F.xxhash64(F.lit(seed), "__copy", *columns)))
     placed = one.withColumn("__bucket", F.pmod(F.col("__hash"), F.lit(buckets)).cast("int"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)

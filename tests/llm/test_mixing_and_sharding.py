@@ -88,6 +88,42 @@ def test_mixed_rows_repeat(docs):
     assert dict(rows) == {k: n for k, n in plan.items() if n}
 
 
+def test_a_hot_row_is_mixed(spark, monkeypatch):
+    """A row that is a third of the table, and rows that differ from it in other columns only."""
+    from lorecraft.llm import mixing
+
+    monkeypatch.setattr(mixing, "CHUNK", 50)
+    hot = spark.range(700).select(F.lit(7).cast("long").alias("doc_id"), F.lit("five words are in here").alias("text"), (F.col("id") % 4 == 3).cast("int").cast("string").alias("lang"), F.lit("a").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    rest = spark.createDataFrame([(1000 + i, "w " * (i % 9 + 1), "en", "abc"[i % 3], i) for i in range(900)], SCHEMA)
+    df = hot.unionByName(rest).repartition(4)
+    plan = plan_mix(df).collect()
+    assert len(plan) == df.count()
+    want, taken = defaultdict(int), defaultdict(int)
+    for r in plan:
+        want[r["source"]] = r["target"]
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 9 for s in want)
+    mixed = mix(df)
+    counts = defaultdict(int)
+    for r in mixed.groupBy("doc_id", "source").count().collect():
+        counts[r["doc_id"], r["source"]] = r["count"]
+    copies = defaultdict(int)
+    for r in plan:
+        copies[r["doc_id"], r["source"]] += r["copies"]
+    assert dict(counts) == {k: n for k, n in copies.items() if n}
+    kinds = {r["lang"]: r["count"] for r in mixed.where("doc_id = 7").groupBy("lang").count().collect()}
+    base = counts[7, "a"] // 700
+    assert base * 525 <= kinds["0"] <= (base + 1) * 525 and base * 175 <= kinds["1"] <= (base + 1) * 175
+    key = lambda x: sorted(map(tuple, x.collect()))
+    assert key(mix(df.repartition(9))) == key(mixed)
+
+
+def test_many_sources(spark):
+    rows = [(i, "w " * (i % 50 + 1), "en", f"host{i % 400}", 0) for i in range(2000)]
+    got = {r["source"]: (r["source_size"], r["target"]) for r in plan_mix(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {s: t for s, (_, t) in got.items()} == {s: pytest.approx(t) for s, t in targets({s: n for s, (n, _) in got.items()}).items()}
+
+
 def shards(df, **options):
     return [tuple(r) for r in external_shuffle(df, **options).select("doc_id", "shard", "slot").collect()]
 
