@@ -18,6 +18,23 @@ QUESTION = """Write one question that needs all {n} passages to be answered. It
 {rules}
 {sources}
 Question:"""
+#: What a question must be like, by the number of passages that it joins.
+MODES = {
+    1: "The passage alone decides it. It is closed and ends in one of: Yes, no, or maybe? | True, False, or Neither? | Correct, Incorrect, or Uncertain?",
+    2: "It can't be answered from one passage: it compares or connects both. It is closed and ends in one of: Yes, no, or maybe? | True, False, or Neither? | Correct, Incorrect, or Uncertain?",
+    3: "It needs a fact of each of the three passages, in steps that build on each other. It is closed and ends in one of: Yes, no, or maybe? | True, False, or Neither? | Correct, Incorrect, or Uncertain?",
+    4: "It weighs all four passages against each other and asks for the conclusion. It is closed and ends in one of: Yes, no, or maybe? | True, False, or Neither? | Correct, Incorrect, or Uncertain?",
+}
+ENTITY_SUMMARY = """Read the document. Reply with JSON only: {"summary": "what it says, in full", "entities": ["everything of importance that it names or is about"]}
+{text}"""
+REASON_ALONE = """Think step by step, then answer in one sentence.
+Question: {question}
+Answer:"""
+REASON_WITH = """Answer from the facts, and from what you know where they are silent. Think step by step.
+Question: {question}
+Facts:
+{facts}
+Answer:"""
 RELEVANT = """Do the two passages belong to the same subject, so that a question can join them?
 First: {first}
 Second: {second}

@@ -41,10 +41,13 @@ def token_count(text: Column) -> Column:
 def windows(words: Column, size: int = 2048, overlap: int = 64) -> Column:
     """Windows of ``size`` tokens, each beginning ``size - overlap`` after the one before: array of (start, words).
 
-    The last one may lie within the one before it.
+    The last one may lie within the one before it. ``words`` is evaluated once, not for each window.
     """
-    starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(words, s + 1, F.lit(size)).alias("words")))
+    def cut(w: Column) -> Column:
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(w, s + 1, F.lit(size)).alias("words")))
+
+    return F.transform(F.array(words), cut)[0]
 
 
 def sentences(text: Column) -> Column:
@@ -82,3 +85,60 @@ def question_of(prompt: Column) -> Column:
 def context_of(prompt: Column) -> Column:
     """The context of a prompt: between its label and that of the question."""
     return first_match(prompt, [r"(?is)context:[ \t\n\r]*(.*?)(?:question:|$)"])
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _without_first_word(text: Column) -> Column:
+    """The words after the first, single spaces between them; a text of one word or none stays."""
+    words = F.split(stripped(text), r"\s+")
+    return F.when(F.size(words) > 1, F.array_join(F.slice(words, 2, F.size(words)), " ")).otherwise(stripped(text))
+
+
+#: Where the context of a made task ends, and what its question looks like, in order.
+CONTEXT_ENDS = [r"(?is)^(.*?)\s+Based on (?:that information|the previous passage)", r"(?is)^(.*?)\s+is it true that"]
+TASK_QUESTIONS = [
+    r"(?is)(Based on (?:that information|the previous passage),.*)$",
+    r"(?is)(is it true that.*?\?)",
+    r"(?is)(.*\? Yes, no, or maybe\?)$",
+    r"(?is)(.*true, false, or inconclusive\?)$",
+]
+
+
+def task_context(text: Column) -> Column:
+    """The passage of a made task without its first word: what stands before the question.
+
+    Without a known beginning of a question, the lines up to the first that is blank or
+    begins one. A null text gives null.
+    """
+    lines = F.transform(F.split(text, "\n"), stripped)
+    ends = F.array_position(F.transform(lines, lambda x: (x == "") | F.startswith(F.lower(x), F.lit("based on"))), True)
+    head = F.array_join(F.when(ends > 0, F.slice(lines, F.lit(1), (ends - 1).cast("int"))).otherwise(lines), " ")
+    found = F.lit(None).cast("string")
+    for pattern in reversed(CONTEXT_ENDS):
+        found = F.when(F.rlike(text, F.lit(pattern)), F.regexp_extract(text, pattern, 1)).otherwise(found)
+    return _without_first_word(F.coalesce(found, head))
+
+
+def task_question(text: Column) -> Column:
+    """The question of a made task; empty if it looks like none."""
+    found = F.when(text.isNotNull(), F.lit(""))
+    for pattern in reversed(TASK_QUESTIONS):
+        found = F.when(F.rlike(text, F.lit(pattern)), stripped(F.regexp_extract(text, pattern, 1))).otherwise(found)
+    return found
+
+
+def listed_pair(text: Column, start: str = "**Sources**", end: str = "**Question**") -> Column:
+    """The first two strings of the quoted list between two markers; null if there aren't two."""
+    inside = between_markers(text, start, end)
+    listed = F.regexp_extract(inside, r"(?s)\[(.*)\]", 1)
+    quoted = F.regexp_extract_all(listed, F.lit(r"""(?s)('[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+")"""), 1)
+
+    def plain(x: Column) -> Column:
+        """A quoted string without its quotes and escapes."""
+        kept = F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit("\\\\"), F.lit("\x01"))
+        return F.replace(F.regexp_replace(F.replace(kept, F.lit("\\n"), F.lit("\n")), r"\\(.)", "$1"), F.lit("\x01"), F.lit("\\"))
+
+    return F.when(F.size(quoted) >= 2, F.transform(F.slice(quoted, 1, 2), plain))

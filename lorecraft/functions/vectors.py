@@ -67,15 +67,16 @@ def similar_pairs(df: DataFrame, *, id: str, vector: str, group: str, threshold:
     return met.mapInPandas(products, "a bigint, b bigint, similarity double")
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, *, query_id: str, query: str, id: str, vector: str, k: int, threshold: float | None = None, block: int = BLOCK) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, *, query_id: str, query: str, id: str, vector: str, k: int, threshold: float | None = None, block: int = BLOCK, scaled: bool = True) -> DataFrame:
     """(query, id, similarity, rank) of the ``k`` most similar rows of ``corpus`` for each query.
 
-    Ties go to the smaller id; ``threshold`` (inclusive) applies after the ranking.
+    Similarity is the cosine, or the dot product of vectors as they are if not ``scaled``. Ties go to the smaller id; ``threshold`` (inclusive) applies after the ranking.
     Query blocks meet corpus blocks; each pair gives the best ``k`` of a query, which are
     merged by query.
     """
     ship_package(queries.sparkSession)
-    rows = lambda df, i, v: df.select(F.col(i).alias("id"), unit(F.col(v)).alias("v")).where("v IS NOT NULL")
+    value = unit if scaled else (lambda v: v.cast("array<double>"))
+    rows = lambda df, i, v: df.select(F.col(i).alias("id"), value(F.col(v)).alias("v")).where("v IS NOT NULL")
     q = _blocks(rows(queries, query_id, query), [], block).select(F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
     c = _blocks(rows(corpus, id, vector), [], block).select("ids", "vectors")
 
@@ -83,11 +84,13 @@ def nearest(queries: DataFrame, corpus: DataFrame, *, query_id: str, query: str,
         for batch in batches:
             for r in batch.itertuples():
                 s, ids = np.stack(r.qvectors) @ np.stack(r.vectors).T, np.asarray(r.ids)
-                for name, line in zip(r.qids, s):
-                    edge = np.partition(line, len(line) - min(k, len(line)))[len(line) - min(k, len(line))]
-                    near = np.flatnonzero(line >= edge)
-                    near = near[np.lexsort((ids[near], -line[near]))][:k]
-                    yield pd.DataFrame({"query": name, "id": ids[near], "similarity": line[near]})
+                edge = np.partition(s, s.shape[1] - min(k, s.shape[1]), axis=1)[:, s.shape[1] - min(k, s.shape[1])]
+                i, j = np.nonzero(s >= edge[:, None])
+                order = np.lexsort((ids[j], -s[i, j], i))
+                i, j = i[order], j[order]
+                first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                i, j = i[first], j[first]
+                yield pd.DataFrame({"query": np.asarray(r.qids)[i], "id": ids[j], "similarity": s[i, j]})
 
     found = q.crossJoin(c).mapInPandas(best, "query bigint, id bigint, similarity double")  # blocks, not rows
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)

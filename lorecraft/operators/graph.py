@@ -129,30 +129,90 @@ def expand_aliases(ids: DataFrame, alias: DataFrame) -> DataFrame:
     return ids.select("id").unionByName(more).distinct()
 
 
-def best_average_path(edges: DataFrame, start: int, goal: int, *, precision: float = 0.1, most: int = 64) -> tuple[float, DataFrame]:
-    """A threshold and its edges: the greatest weight level, to ``precision``, at which ``goal`` is still reached.
+def shortest_path(edges: DataFrame, start: int, goal: int) -> list[int]:
+    """Vertices of a path of least total weight from ``start`` to ``goal``, both included; empty without one.
 
-    The level is halved in on between 0 and 1; each try is a bounded search over edges
-    (source, target, weight) at or above it. (-1, no edges) if no path exists.
+    ``edges`` is (source, target, weight), read in both directions. Distances are relaxed
+    in rounds until none gets shorter; ties go to the smaller vertex before.
     """
+    spark = edges.sparkSession
+    ensure_checkpoint_dir(spark)
+    e = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), "weight")
+    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).groupBy("a", "b").agg(F.min("weight").alias("weight")).checkpoint()
+    known = spark.createDataFrame([(start, 0.0, None)], "id bigint, distance double, before bigint")
+    front = known
+    while True:
+        step = front.join(both, F.col("id") == F.col("a")).select(F.col("b").alias("id"), (F.col("distance") + F.col("weight")).alias("distance"), F.col("a").alias("before"))
+        least = step.groupBy("id").agg(F.min(F.struct("distance", "before")).alias("n")).select("id", "n.distance", "n.before")
+        old = known.select("id", F.col("distance").alias("had"))
+        front = least.join(old, "id", "left").where("had IS NULL OR distance < had").drop("had").checkpoint()
+        if front.isEmpty():
+            break
+        known = known.join(front.select("id"), "id", "left_anti").unionByName(front).checkpoint()
+    path: list[int] = []
+    at: int | None = goal
+    while at is not None:  # as many steps as the path has
+        row = known.where(F.col("id") == at).first()
+        if row is None:
+            return []
+        path.append(at)
+        at = row["before"]
+    return path[::-1]
+
+
+def best_average_path(edges: DataFrame, start: int, goal: int, *, precision: float = 0.1) -> tuple[float, list[int]]:
+    """A weight level and the inner vertices of a path between two vertices, over edges at or above it.
+
+    The level is halved in on between 0 and 1, to ``precision``, as the greatest at which
+    the two are in one component; each try is one run of connected components. (-1, none)
+    where not even the least level tried connects them.
+    """
+    from lorecraft.operators.components import connected_components
+
+    edges = edges.where("source <> target").checkpoint()
+
     def reached(level: float) -> bool:
-        near = neighbours(edges.where(F.col("weight") >= level))
-        seen = edges.sparkSession.createDataFrame([(start,)], "a bigint")
-        front = seen
-        for _ in range(most):
-            front = front.join(near, "a").select(F.col("b").alias("a")).distinct().join(seen, "a", "left_anti").checkpoint()
-            if front.isEmpty():
-                return False
-            if not front.where(F.col("a") == goal).isEmpty():
-                return True
-            seen = seen.unionByName(front)
-        return False
+        found = connected_components(edges.where(F.col("weight") >= level), "source", "target").where(F.col("id").isin(start, goal))
+        return {tuple(r) for r in found.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("component").alias("c")).collect()} == {(2, 1)}
 
-    ensure_checkpoint_dir(edges.sparkSession)
-    if not reached(0.0):
-        return -1.0, edges.limit(0)
-    low, high = 0.0, 1.0
+    low, high, best = 0.0, 1.0, -1.0
     while high - low > precision:
         middle = (low + high) / 2
-        low, high = (middle, high) if reached(middle) else (low, middle)
-    return low, edges.where(F.col("weight") >= low)
+        if reached(middle):
+            low = best = middle
+        else:
+            high = middle
+    return best, shortest_path(edges.where(F.col("weight") >= best), start, goal)[1:-1] if best >= 0 else []
+
+
+def bridged(edges: DataFrame, vertices: DataFrame, *, precision: float = 0.1) -> DataFrame:
+    """``vertices`` (id) and those that connect the components they make, each pair by its best path.
+
+    Components of the induced subgraph count as one vertex each; a path may lead through any
+    other vertex. Meant for the few components of one query's subgraph.
+    """
+    from lorecraft.operators.components import connected_components
+
+    ensure_checkpoint_dir(edges.sparkSession)
+    ids = vertices.select("id").distinct().checkpoint()
+    parts = ids.join(connected_components(induced(edges, ids), "source", "target"), "id", "left").select("id", F.coalesce("component", "id").alias("c")).checkpoint()
+    of = lambda end: parts.select(F.col("id").alias(end), F.col("c").alias(f"{end}_c"))
+    whole = edges.join(of("source"), "source", "left").join(of("target"), "target", "left")
+    whole = whole.select(F.coalesce("source_c", "source").alias("source"), F.coalesce("target_c", "target").alias("target"), "weight").checkpoint()
+    heads = sorted(r["c"] for r in parts.select("c").distinct().collect())
+    between = {v for i, a in enumerate(heads) for b in heads[i + 1 :] for v in best_average_path(whole, a, b, precision=precision)[1]}
+    more = edges.sparkSession.createDataFrame([(v,) for v in sorted(between - set(heads))], "id bigint")
+    return ids.unionByName(more).distinct()
+
+
+def unmerged(entities: DataFrame) -> DataFrame:
+    """Merged entities (name, type, descriptions, first_doc, first_pos) as rows to be merged again with later ones."""
+    rows = entities.select("name", "type", F.posexplode_outer("descriptions").alias("at", "description"), F.col("first_doc").alias("doc"), F.col("first_pos").alias("pos"))
+    return rows.select("name", "type", "description", "doc", "pos")
+
+
+def endpoint_names(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """``relations`` with the names of their ends in place of ids (``source``, ``target``)."""
+    name = lambda end: entities.select(F.col("id").alias(end), F.col("name").alias(f"{end}_name"))
+    rest = [c for c in relations.columns if c not in {"source", "target"}]
+    return relations.join(name("source"), "source").join(name("target"), "target").select(*rest, F.col("source_name").alias("source"), F.col("target_name").alias("target"))

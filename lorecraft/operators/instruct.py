@@ -182,3 +182,44 @@ def masked_template(text: str, context: str) -> str:
     if context not in text:
         raise ValueError("the template doesn't hold its context")
     return text.replace(context, "{{copy_context}}").replace("|||", PIPE)
+
+
+def as_context(rows: DataFrame, column: str, name: str = "context") -> DataFrame:
+    """(name): the texts of a column, stripped; blank ones are left out."""
+    from lorecraft.functions.text import stripped
+
+    return rows.select(stripped(F.col(column)).alias(name)).where(F.length(name) > 0)
+
+
+def filled(rows: DataFrame, column: str = "task_output") -> DataFrame:
+    """Rows whose column isn't empty."""
+    return rows.where(F.length(F.col(column)) > 0)
+
+
+def with_problems(samples: DataFrame, problems: DataFrame, key: str = "task_id") -> DataFrame:
+    """Samples with the columns of their problem; a sample of an unknown problem is an error when it is read."""
+    known = problems.withColumn("__known", F.lit(True))
+    joined = samples.join(known, key, "left")
+    told = F.when(F.col("__known").isNull(), F.raise_error(F.concat(F.lit("no problem "), F.col(key).cast("string"))).cast("boolean")).otherwise(F.col("__known"))
+    return joined.withColumn("__known", told).where("__known").drop("__known")
+
+
+def synthetic_records(rows: DataFrame) -> DataFrame:
+    """(question, answer, context) of made tasks (input, output)."""
+    from lorecraft.functions.text import task_context, task_question
+
+    text = F.coalesce("input", F.lit(""))
+    return rows.select(task_question(text).alias("question"), F.coalesce("output", F.lit("")).alias("answer"), task_context(text).alias("context"))
+
+
+def batches(rows: DataFrame, *order: str, size: int) -> DataFrame:
+    """``rows`` with the number of the batch of ``size`` rows that each is in, in the given order."""
+    return numbered_shards(rows, *order, size=size).withColumnRenamed("shard", "batch")
+
+
+def head(rows: DataFrame, *order: str, start: int = 0, stop: int) -> DataFrame:
+    """Rows ``start`` to ``stop`` (without it) in the given order."""
+    ordered = rows.orderBy(*order).limit(stop)
+    if not start:
+        return ordered
+    return ordered.withColumn("__at", F.row_number().over(Window.orderBy(*order))).where(F.col("__at") > start).drop("__at")

@@ -19,10 +19,14 @@ def name_mentions(sentences: DataFrame) -> DataFrame:
     return sentences.select("doc", "pos", F.explode(F.array_distinct(T.names(F.col("sentence")))).alias("name"))
 
 
-def entity_frequencies(mentions: DataFrame, least: int = 3, most: int = 100) -> DataFrame:
-    """(name, df): names found in ``least`` to ``most`` documents."""
+def entity_frequencies(mentions: DataFrame, least: int = 3, most_share: float | None = None) -> DataFrame:
+    """(name, df): names found in ``least`` documents or more, and in at most that share of the documents with names."""
     per_doc = mentions.select("doc", "name").distinct()
-    return per_doc.groupBy("name").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(least, most))
+    counts = per_doc.groupBy("name").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least)
+    if most_share is None:
+        return counts
+    total = mentions.agg(F.count_distinct("doc").alias("__docs"))
+    return counts.crossJoin(total).where(F.col("df") <= most_share * F.col("__docs")).drop("__docs")  # one row
 
 
 def link_names(sentences: DataFrame, names: DataFrame, *, match: str = "word", ignore_case: bool = False) -> DataFrame:
@@ -132,9 +136,10 @@ def text_units(sentences: DataFrame, links: DataFrame, *, expand: int = 1, ratio
     runs = islands(filled.select("doc", "pos", F.explode("names").alias("name")), last, expand=expand)
     cut = runs.groupBy("doc").agg(reduce_intervals(F.collect_list(F.struct("l", "r")), ratio).alias("cuts")).select("doc", F.explode("cuts").alias("c"))
     units = cut.select("doc", F.col("c.l").alias("l"), F.col("c.r").alias("r"))
-    within = units.join(sentences, "doc").where("pos BETWEEN l AND r")
+    placed = units.withColumn("pos", F.explode(F.sequence("l", "r")))  # units meet sentences by place, not by document
+    within = placed.join(sentences, ["doc", "pos"])
     content = within.groupBy("doc", "l", "r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ").alias("content"))
-    names = units.join(links, "doc").where("pos BETWEEN l AND r").groupBy("doc", "l", "r").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    names = placed.join(links, ["doc", "pos"]).groupBy("doc", "l", "r").agg(F.array_sort(F.collect_set("name")).alias("names"))
     key = F.md5(F.concat_ws("|", F.col("doc").cast("string"), F.col("l").cast("string"), F.col("r").cast("string")).cast("binary"))
     return content.join(names, ["doc", "l", "r"]).select(key.alias("id"), "doc", "l", "r", "content", "names")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,32 +48,91 @@ def squad(truth: Column, predicted: Column) -> Column:
     return F.struct((F.array_join(t, " ") == F.array_join(p, " ")).cast("int").alias("exact"), f1.alias("f1"))
 
 
-def stem(word: str) -> str:
-    """A light stemmer: common English endings off words that stay three letters long."""
-    for end in ("ingly", "edly", "ing", "ed", "ies", "es", "s", "ly"):
-        if word.endswith(end) and len(word) - len(end) >= 3:
-            return word[: len(word) - len(end)] + ("y" if end == "ies" else "")
-    return word
+#: Endings of Porter's algorithm (1980) and what takes their place.
+STEP_2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
+STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+STEP_4 = ("ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ion", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic", "ou")
 
 
-def longest_common(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+def _kinds(word: str) -> str:
+    """A letter for each of the word's: v for a vowel, c for a consonant; y is a vowel after a consonant."""
+    out = ""
+    for x in word:
+        out += "v" if x in "aeiou" or (x == "y" and out[-1:] == "c") else "c"
+    return out
+
+
+def _measure(word: str) -> int:
+    return len(re.findall("v+c+", _kinds(word)))
+
 
+def _short(word: str) -> bool:
+    """Ends in consonant, vowel, consonant, the last of which is none of w, x, y."""
+    return _kinds(word)[-3:] == "cvc" and word[-1] not in "wxy"
 
-def rouge_l(rows: DataFrame, truth: str, predicted: str, name: str = "rouge_l") -> DataFrame:
-    """``rows`` with the F-measure of the longest common subsequence of stemmed words."""
+
+def stem(word: str) -> str:
+    """Porter's stem of a lower-cased word; words of up to three letters stay."""
+    if len(word) <= 3:
+        return word
+    w = word
+    if w.endswith(("sses", "ies")):
+        w = w[:-2]
+    elif w.endswith("s") and not w.endswith("ss"):
+        w = w[:-1]
+    if w.endswith("eed"):
+        w = w[:-1] if _measure(w[:-3]) else w
+    else:
+        for end in ("ed", "ing"):
+            if w.endswith(end) and "v" in _kinds(w[: -len(end)]):
+                w = w[: -len(end)]
+                if w.endswith(("at", "bl", "iz")):
+                    w += "e"
+                elif len(w) > 1 and w[-1] == w[-2] and _kinds(w)[-1] == "c" and w[-1] not in "lsz":
+                    w = w[:-1]
+                elif _measure(w) == 1 and _short(w):
+                    w += "e"
+                break
+    if w.endswith("y") and "v" in _kinds(w[:-1]):
+        w = w[:-1] + "i"
+    for endings in (STEP_2, STEP_3):
+        for end in sorted(endings, key=len, reverse=True):
+            if w.endswith(end):
+                w = w[: -len(end)] + endings[end] if _measure(w[: -len(end)]) else w
+                break
+    for end in STEP_4:
+        if w.endswith(end):
+            head = w[: -len(end)]
+            w = head if _measure(head) > 1 and (end != "ion" or head.endswith(("s", "t"))) else w
+            break
+    if w.endswith("e") and (_measure(w[:-1]) > 1 or (_measure(w[:-1]) == 1 and not _short(w[:-1]))):
+        w = w[:-1]
+    return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
+
+
+def longest_common(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence: a bit for each word of ``a``, a word of ``b`` at a time."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    open_ = every
+    for y in b:
+        hit = open_ & places.get(y, 0)
+        open_ = ((open_ + hit) | (open_ - hit)) & every
+    return len(a) - open_.bit_count()
+
+
+def rouge_l(rows: DataFrame, truth: str, predicted: str, name: str = "rouge_l", *, stemmed: bool = True) -> DataFrame:
+    """``rows`` with the F-measure of the longest common subsequence of (stemmed) words."""
     ship_package(rows.sparkSession)
 
     @F.pandas_udf("double")
     def measure(t: pd.Series, p: pd.Series) -> pd.Series:
+        known = lru_cache(100_000)(stem) if stemmed else str
+
         def one(a: list[str], b: list[str]) -> float:
-            n = longest_common([stem(w) for w in a], [stem(w) for w in b])
+            n = longest_common([known(w) for w in a], [known(w) for w in b])
             return 2 * n / (len(a) + len(b)) if n else 0.0
 
         return pd.Series([one(list(a), list(b)) for a, b in zip(t, p)])

@@ -27,6 +27,8 @@ class BuildOptions:
     expand: int = 1
     overlap: float | None = 0.9
     tries: int = 3
+    batch: int = 16
+    wait: float = 1.0
 
 
 @dataclass(frozen=True)
@@ -46,7 +48,7 @@ def extract(docs: DataFrame, model: Callable[[], LanguageModel], options: BuildO
     ensure_checkpoint_dir(docs.sparkSession)
     cleaned = docs.select("doc_id", X.clean(F.col("text")).alias("t"))
     asked = cleaned.withColumn("prompt", F.when(F.col("t") != "", W.fill(W.EXTRACT, types=F.lit(", ".join(options.types)), text=F.col("t"))))
-    replied = complete(asked, "prompt", "reply", model, tries=options.tries).withColumn("g", P.graph_of(F.col("reply"))).checkpoint()
+    replied = complete(asked, "prompt", "reply", model, tries=options.tries, batch=options.batch, wait=options.wait).withColumn("g", P.graph_of(F.col("reply"))).checkpoint()
     status = F.when(F.col("prompt").isNull(), "blank").when(F.col("reply").isNull(), "failed").when(F.size("g.entities") == 0, "empty").otherwise("read")
     entities = replied.select(F.col("doc_id").alias("doc"), F.posexplode("g.entities").alias("pos", "e")).select("doc", "pos", "e.*").where("name IS NOT NULL AND name <> ''")
     relations = replied.select(F.col("doc_id").alias("doc"), F.posexplode("g.relations").alias("pos", "r")).select("doc", "pos", "r.*").where("source IS NOT NULL AND target IS NOT NULL")

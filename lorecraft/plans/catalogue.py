@@ -52,7 +52,7 @@ SENTENCES = r"""
 sents AS (SELECT doc_id AS doc, CAST(unnest(range(len(s))) AS INTEGER) AS pos, unnest(s) AS sentence
   FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text,''),'([.!?])[ \t\n\r]+','\1'||chr(1),'g'),chr(1)) AS s FROM documents)),
 mentions AS (SELECT DISTINCT doc, pos, unnest(regexp_extract_all(sentence,'[A-Z][a-z]{4,}')) AS name FROM sents),
-freq AS (SELECT name, count(DISTINCT doc) AS df FROM mentions GROUP BY name HAVING count(DISTINCT doc) BETWEEN 3 AND 100)
+freq AS (SELECT name, count(DISTINCT doc) AS df FROM mentions GROUP BY name HAVING count(DISTINCT doc) >= 3)
 """
 LINKS = (
     SENTENCES
@@ -643,11 +643,24 @@ def squad_token_f1(spark, sf_dir):
     return s.select("item_id", F.col("s.exact").alias("exact"), F.round("s.f1", 6).alias("f1"))
 
 
-@query()
-def rouge_l(spark, sf_dir):
+def _rouge(spark, sf_dir, stemmed: bool) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark")
     other = rows.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("predicted"))
-    return E.rouge_l(rows.join(other, "item_id"), "text", "predicted").select("item_id", F.round("rouge_l", 6).alias("rouge_l"))
+    return E.rouge_l(rows.join(other, "item_id"), "text", "predicted", stemmed=stemmed).select("item_id", F.round("rouge_l", 6).alias("rouge_l"))
+
+
+@query()
+def rouge_l(spark, sf_dir):
+    return _rouge(spark, sf_dir, True)
+
+
+@query("""WITH RECURSIVE w AS (SELECT x.item_id, regexp_extract_all(lower(coalesce(x.text, '')), '[a-z0-9]+') AS a, regexp_extract_all(lower(coalesce(y.text, '')), '[a-z0-9]+') AS b
+ FROM benchmark x JOIN benchmark y ON y.item_id = x.item_id + 1),
+rows(item_id, k, best) AS (SELECT item_id, 0, list_transform(range(len(b) + 1), lambda j: 0) FROM w UNION ALL
+ SELECT r.item_id, k + 1, list_transform(range(len(b) + 1), lambda j: list_max(list_transform(range(j + 1), lambda i: CASE WHEN i > 0 AND b[i] = a[k + 1] THEN best[i] + 1 ELSE best[i + 1] END))) FROM rows r JOIN w USING (item_id) WHERE k < len(a))
+SELECT item_id, round(CASE WHEN len(a) + len(b) = 0 THEN 0 ELSE 2.0 * best[len(b) + 1] / (len(a) + len(b)) END, 6) AS rouge_l FROM rows JOIN w USING (item_id) WHERE k = len(a)""")
+def rouge_l_words(spark, sf_dir):
+    return _rouge(spark, sf_dir, False)
 
 
 @query("""WITH per AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS c FROM events GROUP BY user_id), least AS (SELECT min(n) AS m FROM per)
@@ -664,14 +677,20 @@ def completion_ids(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", "event_id", n.cast("bigint").alias("completion_id"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAIRS}, near AS (SELECT a, b, sim AS w FROM pairs UNION ALL SELECT b, a, sim FROM pairs), start AS (SELECT min(a) AS s FROM pairs),
+far(id, hop) AS (SELECT s, 0 FROM start UNION SELECT b, hop + 1 FROM far JOIN near ON a = id WHERE hop < 2),
+goal AS (SELECT id AS g FROM (SELECT id, min(hop) AS hop FROM far GROUP BY id) ORDER BY hop DESC, id LIMIT 1),
+paths(path, last, least, cost) AS (SELECT [s], s, 1.0::DOUBLE, 0.0::DOUBLE FROM start UNION ALL
+ SELECT list_append(path, b), b, least(least, w), cost + w FROM paths JOIN near ON a = last WHERE NOT list_contains(path, b) AND len(path) < 7 AND last <> (SELECT g FROM goal)),
+found AS (SELECT path, cost, floor(least * 16) / 16 AS level FROM paths WHERE last = (SELECT g FROM goal)),
+best AS (SELECT max(level) AS level FROM found)
+SELECT level, array_to_string(path[2:-2], ',') AS inner_ids FROM found JOIN best USING (level) ORDER BY cost LIMIT 1""")
 def max_avg_path(spark, sf_dir):
+    """The first vertex and the farthest within two hops; paths of more than six edges never win here."""
     edges = _pairs(spark, sf_dir).select(F.col("a").alias("source"), F.col("b").alias("target"), F.col("similarity").alias("weight")).checkpoint()
     end = G.hops(edges, edges.agg(F.min("source").alias("root")), 2).orderBy(F.desc("hop"), "id").limit(1).collect()
-    if not end:
-        return edges.withColumn("level", F.lit(-1.0)).limit(0)
-    level, kept = G.best_average_path(edges, end[0]["root"], end[0]["id"])
-    return kept.withColumn("level", F.lit(level))
+    level, inner = G.best_average_path(edges, end[0]["root"], end[0]["id"]) if end else (-1.0, [])
+    return spark.createDataFrame([(level, ",".join(map(str, inner)))] if end else [], "level double, inner_ids string")
 
 
 # ---- streams and the star schema ----------------------------------------------------------------
@@ -714,3 +733,6 @@ def star_rollup(spark, sf_dir):
     rows = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     revenue = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return rows.rollup(F.col("n_name").alias("nation"), F.year("o_orderdate").cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(revenue), 2).alias("revenue")).na.fill({"nation": "all", "year": 0})
+
+
+from lorecraft.plans import catalogue_data  # noqa: E402, F401  (registers more queries)

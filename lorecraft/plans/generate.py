@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorecraft.functions import parse as P
+from lorecraft.functions import prompts as R
 from lorecraft.functions import prompt_texts as W
 from lorecraft.functions import vectors as V
+from lorecraft.functions.clients import Checked
 from lorecraft.functions.models import LanguageModel, complete
 from lorecraft.operators import graph as G
 from lorecraft.operators import instruct as I
@@ -46,10 +48,19 @@ def contexts(graph: Graph, *, near: int = 3, keep: int = 5, size: int = 2, thres
     return parts.groupBy("query", "combo", "ids").agg(texts.alias("sources"))
 
 
-def questions(combos: DataFrame, model: Callable[[], LanguageModel], rules: str = "") -> DataFrame:
-    """``combos`` with a file name, the relevance of the first two sources, a prompt, and the question."""
+def mode_rules(size: Column) -> Column:
+    """What a question must be like that joins so many passages; other numbers go by the rules for two."""
+    by_size = F.create_map(*[F.lit(x) for pair in W.MODES.items() for x in pair])
+    return F.coalesce(F.element_at(by_size, size), F.lit(W.MODES[2]))
+
+
+def questions(combos: DataFrame, model: Callable[[], LanguageModel], rules: str | None = None) -> DataFrame:
+    """``combos`` with a file name, the relevance of the first two sources, a prompt, and the question.
+
+    ``rules`` are those for the number of sources unless given.
+    """
     name = F.concat(F.lit("question_"), F.col("query").cast("string"), F.lit("_mode_"), F.size("sources").cast("string"), F.lit("_combo_"), F.col("combo").cast("string"), F.lit(".txt"))
-    prompt = W.fill(W.QUESTION, n=F.size("sources"), rules=F.lit(rules), sources=F.array_join("sources", "\n\n"))
+    prompt = W.fill(W.QUESTION, n=F.size("sources"), rules=mode_rules(F.size("sources")) if rules is None else F.lit(rules), sources=F.array_join("sources", "\n\n"))
     judge = F.when(F.size("sources") >= 2, W.fill(W.RELEVANT, first=F.col("sources")[0], second=F.col("sources")[1]))
     rows = complete(combos.withColumn("file_name", name).withColumn("prompt", prompt).withColumn("__judge", judge), "prompt", "question", model)
     return complete(rows, "__judge", "verdict", model).withColumn("relevance", P.relevance(F.col("verdict"))).drop("__judge")
@@ -88,3 +99,40 @@ def self_questions(docs: DataFrame, model: Callable[[], LanguageModel], n: int =
     pairs = replied.withColumn("__qa", P.question_answer(F.col("__r"))).withColumn("answer", F.coalesce("__qa.answer", "__r"))
     keyed = pairs.withColumn("hash", P.content_hash(F.col("question")))
     return keyed.groupBy("hash").agg(F.max_by(F.struct("doc_id", "question", "answer"), "doc_id").alias("r")).select("hash", "r.*")
+
+
+SUMMARY = "summary string, entities array<string>"
+
+
+def entities_and_summaries(docs: DataFrame, model: Callable[[], LanguageModel], *, tries: int = 5) -> DataFrame:
+    """(doc, summary, names): what a model reads in each text; a document whose replies can't be read has null for both.
+
+    A reply without entities is asked for again, up to ``tries`` times.
+    """
+    asked = docs.select(F.col("doc_id").alias("doc"), W.fill(W.ENTITY_SUMMARY, text=F.col("text")).alias("__p"))
+
+    def usable(reply: str) -> bool:
+        import json
+
+        return bool(json.loads(reply[reply.find("{") : reply.rfind("}") + 1]).get("entities"))
+
+    replied = complete(asked, "__p", "__r", lambda: Checked(model(), usable), batch=1, tries=tries, wait=0.0)
+    found = F.from_json(P.json_slice(F.col("__r")), SUMMARY)
+    return replied.select("doc", found.alias("x")).select("doc", "x.summary", F.array_distinct("x.entities").alias("names"))
+
+
+def training_corpus(summaries: DataFrame, passages: DataFrame, *, most: int | None = None, seed: int = 42) -> DataFrame:
+    """(text): summaries and relation passages; of more than ``most`` a seeded sample with a tenth more."""
+    rows = summaries.select(F.col("summary").alias("text")).unionByName(passages.select(F.col("passage").alias("text"))).where("text IS NOT NULL")
+    return rows if most is None else I.capped(rows, "text", most, 1.1, seed)
+
+
+def conditional_tasks(contexts: DataFrame, model: Callable[[], LanguageModel], *, code: str, context: str = "context") -> DataFrame:
+    """``contexts`` with a task that a model makes of each context: ``task_input``, ``task_output``.
+
+    ``code`` is one of ``prompts.TASKS``. Contexts whose reply holds no output are left out.
+    """
+    asked = contexts.withColumn("__p", R.task_input(F.lit(R.TASKS[code]), F.col(context)))
+    made = complete(asked, "__p", "__r", model).withColumn("__t", R.task_output(F.col("__r")))
+    made = made.withColumn("task_input", R.with_context(F.col("__t.input"), F.col(context))).withColumn("task_output", F.col("__t.output"))
+    return I.filled(made.drop("__p", "__r", "__r_error", "__t"))

@@ -47,11 +47,14 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: what the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local runs, tests) is a folder of our own set.
+    Only where that setting is absent is a folder of our own set, in local runs and tests;
+    a cluster must name one that all executors share.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lorecraft-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 

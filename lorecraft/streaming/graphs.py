@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def _versions(spark: SparkSession, folder: str) -> list[int]:
+#: Batches after which their counts are merged into one version.
+COMPACT = 20
+
+
+def versions(spark: SparkSession, folder: str, prefix: str = "v") -> list[int]:
+    """Numbers of the complete versions in a folder, ascending."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -15,25 +20,34 @@ def _versions(spark: SparkSession, folder: str) -> list[int]:
         return []
     names = [s.getPath() for s in fs.listStatus(path)]
     done = [p.getName() for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(n[1:]) for n in done if n.startswith("v"))
+    return sorted(int(n[len(prefix) :]) for n in done if n.startswith(prefix) and n[len(prefix) :].isdigit())
+
+
+def _state(spark: SparkSession, folder: str, upto: int) -> DataFrame | None:
+    """The counts after batch ``upto``: the last whole version and the batches since."""
+    whole = [v for v in versions(spark, folder) if v <= upto]
+    since = [d for d in versions(spark, folder, "d") if (whole[-1] if whole else -1) < d <= upto]
+    parts = [f"{folder}/v{v}" for v in whole[-1:]] + [f"{folder}/d{d}" for d in since]
+    if not parts:
+        return None
+    return spark.read.parquet(*parts).groupBy("name").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def latest(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The last complete version of the mentions table, or None."""
-    found = _versions(spark, folder)
-    return spark.read.parquet(f"{folder}/v{found[-1]}") if found else None
+    """The counts (name, n, docs) after the last complete batch, or None."""
+    return _state(spark, folder, 1 << 62)
 
 
 def upsert_mentions(spark: SparkSession, batch: DataFrame, folder: str, epoch: int) -> None:
-    """Merges (name, doc, n) into counts (name, n, docs) and writes version ``epoch``.
+    """Writes the counts (name, n, docs) of a batch (name, doc, n) as delta ``epoch``.
 
-    The version before it is read, so a batch that is run again writes the same rows.
+    A batch that is run again writes the same rows. Every ``COMPACT`` batches the
+    deltas become one version, so a batch costs what it brings, not what is known.
     """
     new = batch.groupBy("name").agg(F.sum("n").alias("n"), F.count_distinct("doc").alias("docs"))
-    before = [v for v in _versions(spark, folder) if v < epoch]
-    if before:
-        new = spark.read.parquet(f"{folder}/v{before[-1]}").unionByName(new).groupBy("name").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    new.write.mode("overwrite").parquet(f"{folder}/v{epoch}")
+    new.write.mode("overwrite").parquet(f"{folder}/d{epoch}")
+    if (epoch + 1) % COMPACT == 0:
+        _state(spark, folder, epoch).write.mode("overwrite").parquet(f"{folder}/v{epoch}")
 
 
 def stream_mentions(spark: SparkSession, path: str, schema, folder: str, checkpoint: str, *, files_per_trigger: int = 1, id: str = "doc_id", text: str = "text") -> StreamingQuery:

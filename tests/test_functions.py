@@ -116,3 +116,75 @@ def test_templates(one):
     assert list(book.gather("d")) == ["t"]
     qa = R.question_answering("c", "q", "a").apply(c=lit("C"), q=lit("Q"), a=lit("A"))
     assert one(qa)["input"] == "C\n\nQuestion: Q\nAnswer:"
+
+
+def test_porter_stems():
+    from lorecraft.operators.metrics import longest_common, stem
+
+    want = {
+        "caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat",
+        "troubled": "troubl", "sized": "size", "hopping": "hop", "falling": "fall", "hissing": "hiss", "filing": "file", "happy": "happi", "relational": "relat", "conditional": "condit",
+        "digitizer": "digit", "operator": "oper", "feudalism": "feudal", "hopefulness": "hope", "triplicate": "triplic", "electrical": "electr", "goodness": "good", "revival": "reviv",
+        "allowance": "allow", "adjustable": "adjust", "replacement": "replac", "adoption": "adopt", "probate": "probat", "controller": "control", "rolling": "roll", "sky": "sky", "the": "the",
+    }
+    assert {w: stem(w) for w in want} == want
+    a, b = "the cat sat on the mat".split(), "a cat lay on that mat the".split()
+    assert longest_common(a, b) == 3 and longest_common([], b) == 0 and longest_common(a * 40, a * 40) == 240
+
+
+def test_made_tasks(one):
+    from pyspark.sql import functions as F
+
+    from lorecraft.functions import text as X
+
+    cases = {
+        "Ann lives  here. Based on that information, is it true that x? Yes, no, or maybe?": ("lives here.", "Based on that information, is it true that x? Yes, no, or maybe?"),
+        "Bob runs is it true that he runs? Then.": ("runs", "is it true that he runs?"),
+        "One two\nthree\n\nrest true, false, or inconclusive?": ("two three", "One two\nthree\n\nrest true, false, or inconclusive?"),
+        "Solo": ("Solo", ""),
+        "": ("", ""),
+    }
+    for text, (context, question) in cases.items():
+        assert one(X.task_context(F.lit(text))) == context and one(X.task_question(F.lit(text))) == question
+    assert one(X.listed_pair(F.lit("**Sources** ['it\\'s', \"a \\\\ b\"] **Question**"))) == ["it's", "a \\ b"]
+    assert one(X.listed_pair(F.lit("**Sources** ['one'] **Question**"))) is None
+    assert one(X.listed_pair(F.concat(F.lit("**Sources** ['"), F.repeat(F.lit("x"), 300_000), F.lit("', 'b'] **Question**"))))[1] == "b"
+
+
+def test_clients_over_http():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    import pytest
+
+    from lorecraft.functions.clients import ChatClient, CompletionClient
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if "fail" in json.dumps(body):
+                self.send_response(500), self.end_headers()
+                return
+            if "messages" in body:
+                reply = {"choices": [{"message": {"content": f"{len(body['messages'])}:{body['messages'][-1]['content']}"}}]}
+            else:
+                reply = {"choices": [{"text": body["prompt"][::-1]}]}
+            self.send_response(200), self.end_headers(), self.wfile.write(json.dumps(reply).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    chat = ChatClient(url, system="be brief", as_json=True)
+    assert chat.single_turn("a") == "2:a" and chat.complete(["a", "b"]) == ["2:a", "2:b"]
+    assert [chat.multi_turn("a"), chat.multi_turn("b")] == ["2:a", "4:b"]
+    chat.reset()
+    assert chat.multi_turn("c") == "2:c"
+    with pytest.raises(OSError):
+        chat.single_turn("fail")
+    assert ChatClient(url, fallback="{}").single_turn("fail") == "{}"
+    assert CompletionClient(url).complete(["abc", "fail"]) == ["cba", ""]
+    server.shutdown()

@@ -68,3 +68,38 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted(tuple(r) for r in graphs.latest(spark, str(tmp_path / "g")).select("name", "n", "docs").collect())
     assert got == [("Alice", 2, 1), ("Robert", 2, 2)]
     assert graphs.latest(spark, str(tmp_path / "nowhere")) is None
+
+
+def test_counts_are_deltas_until_they_are_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(graphs, "COMPACT", 3)
+    batch = lambda n: spark.createDataFrame([("a", n, 2), ("b", n, 1)][: 1 + n % 2], "name string, doc long, n long")
+    for epoch in range(7):
+        graphs.upsert_mentions(spark, batch(epoch), str(tmp_path / "g"), epoch)
+        graphs.upsert_mentions(spark, batch(epoch), str(tmp_path / "g"), epoch)  # a batch that runs again
+    assert sorted(map(tuple, graphs.latest(spark, str(tmp_path / "g")).collect())) == [("a", 14, 7), ("b", 3, 3)]
+    assert graphs.versions(spark, str(tmp_path / "g")) == [2, 5]
+    assert graphs.latest(spark, str(tmp_path / "none")) is None
+
+
+def test_arrow_files(spark, tmp_path):
+    import pyarrow as pa
+
+    t = pa.table({"a": [1, 2], "b": ["x", None], "c": [0.5, 1.5]})
+    with pa.ipc.new_file(tmp_path / "f.arrow", t.schema) as w:
+        w.write_table(t)
+    with pa.ipc.new_stream(tmp_path / "s.arrow", t.schema) as w:
+        w.write_table(t)
+    schema = T.StructType([T.StructField("b", T.StringType()), T.StructField("a", T.LongType())])
+    assert sorted(map(str, map(tuple, io.read_arrow(spark, f"{tmp_path}/*.arrow", schema).collect()))) == ["('x', 1)", "('x', 1)", "(None, 2)", "(None, 2)"]
+
+
+def test_samples_need_their_problems(spark):
+    import pytest
+
+    from lorecraft.operators import instruct as I
+
+    problems = spark.createDataFrame([("t1", "p")], "task_id string, prompt string")
+    good = spark.createDataFrame([("t1", "x")], "task_id string, completion string")
+    assert I.with_problems(good, problems).first()["prompt"] == "p"
+    with pytest.raises(Exception, match="no problem t2"):
+        I.with_problems(good.unionByName(spark.createDataFrame([("t2", "y")], good.schema)), problems).collect()

@@ -96,8 +96,14 @@ def test_hops(spark):
     assert rows(G.hops(e, start, 1), "root", "id", "hop") == [(1, 0, 1), (1, 1, 0), (1, 2, 1)]
     assert rows(G.induced(e, spark.createDataFrame([(0,), (1,), (3,)], "id long")), "source", "target") == [(0, 1)]
     weighted = spark.createDataFrame([(0, 1, 0.9), (1, 3, 0.8), (0, 3, 0.2)], "source long, target long, weight double")
-    level, kept = G.best_average_path(weighted, 0, 3)
-    assert 0.7 <= level <= 0.8 and kept.count() == 2
+    level, inner = G.best_average_path(weighted, 0, 3)
+    assert 0.7 <= level <= 0.8 and inner == [1]
+    assert G.shortest_path(weighted, 0, 3) == [0, 3] and G.shortest_path(weighted, 0, 7) == []
+    chain = spark.createDataFrame([(i, i + 1, 0.5) for i in range(80)], "source long, target long, weight double")
+    assert G.best_average_path(chain, 0, 80)[1] == list(range(1, 80))  # however long
+    some = spark.createDataFrame([(0,), (1,), (5,)], "id long")
+    parts = spark.createDataFrame([(0, 1, 0.9), (1, 2, 0.8), (2, 5, 0.8), (1, 9, 0.1)], "source long, target long, weight double")
+    assert sorted(r["id"] for r in G.bridged(parts, some).collect()) == [0, 1, 2, 5]
     assert G.best_average_path(weighted, 0, 7)[0] == -1.0
 
 
