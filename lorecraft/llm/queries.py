@@ -111,6 +111,33 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, vocabulary("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source of the mix: its size, its target, and whether the words taken come to it but for less than one document."""
+    plan = op3_mix(spark, sf_dir).join(_table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    sums = plan.groupBy("source").agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("taken").alias("taken"), F.max("size").alias("most"))
+    return sums.select("source", "source_size", F.round("target", 4).alias("target"), (F.abs(F.col("taken") - F.col("target")) <= F.col("most")).alias("near"))
+
+
+def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per shard: its rows, and its first and last slot."""
+    return op10_shards(spark, sf_dir).groupBy("law", "shard").agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.count_distinct("slot").alias("slots"))
+
+
+def shard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the shards hold of each document."""
+    return op10_shards(spark, sf_dir).select("doc_id", "size")
+
+
+def piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pieces of each text decode to, as a digest."""
+    return op8_pieces(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+def token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of each text, and whether it has a token for at most each byte."""
+    return op9_token_counts(spark, sf_dir).select("doc_id", "n_bytes", (F.col("n_tokens") <= F.col("n_bytes")).alias("fits"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_vector_dups": op1_vector_dups,
@@ -123,8 +150,47 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pieces": op8_pieces,
         "op9_token_counts": op9_token_counts,
         "op10_shards": op10_shards,
+        "mix_targets": mix_targets,
+        "shard_law": shard_law,
+        "shard_rows": shard_rows,
+        "piece_round_trip": piece_round_trip,
+        "token_bytes": token_bytes,
     }
 
 
+#: The components of links(a, b), as class(id, least).
+_CLASSES = """both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(id, other) AS (SELECT a, a FROM both_ways UNION SELECT r.id, n.b FROM reach r JOIN both_ways n ON r.other = n.a),
+class AS (SELECT id, min(other) AS least FROM reach GROUP BY id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that it can express: all pairs by cosine, and all pairs by shared runs of five words.
+
+    Trained models, draws, merges of a tokenizer and local descriptors it can't.
+    """
+    return {
+        "op1_vector_dups": f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.93),
+{_CLASSES}, n AS (SELECT a AS id, count(*) AS n FROM both_ways GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least, vec_id) AS component_id, coalesce(least, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN class ON class.id = vec_id LEFT JOIN n ON n.id = vec_id""",
+        "op7_near_dups": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents),
+runs AS (SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ') || ' .'] ELSE [] END) AS run FROM w),
+e AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL), s AS (SELECT doc_id, sum(n) AS s FROM e GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS k FROM e x JOIN e y ON x.run = y.run AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE k / (x.s + y.s - k)::DOUBLE >= 0.8),
+{_CLASSES}
+SELECT doc_id, coalesce(least, doc_id) AS class_id, coalesce(least, doc_id) = doc_id AS kept FROM documents LEFT JOIN class ON class.id = doc_id""",
+        "mix_targets": """WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, 3 * source_size AS cap FROM s),
+l AS (SELECT *, cap / w::DOUBLE AS ratio, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+ / sum(w) OVER (ORDER BY cap / w::DOUBLE, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM w),
+m AS (SELECT max(level) AS level FROM l WHERE level <= ratio)
+SELECT source, source_size, round(CASE WHEN m.level < ratio THEN m.level * w ELSE cap END, 4) AS target, true AS near FROM l CROSS JOIN m""",
+        "shard_law": """WITH n AS (SELECT count(*) AS n FROM documents) SELECT 'rows' AS law, CAST(k AS INTEGER) AS shard, (n + 7 - k) // 8 AS n, 0 AS first_slot, (n + 7 - k) // 8 - 1 AS last_slot, (n + 7 - k) // 8 AS slots
+FROM n CROSS JOIN (SELECT unnest(range(8)) AS k) WHERE k < n""",
+        "shard_rows": "SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size FROM documents",
+        "piece_round_trip": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents",
+        "token_bytes": "SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, true AS fits FROM documents",
+    }
