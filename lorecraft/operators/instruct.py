@@ -223,3 +223,9 @@ def head(rows: DataFrame, *order: str, start: int = 0, stop: int) -> DataFrame:
     if not start:
         return ordered
     return ordered.withColumn("__at", F.row_number().over(Window.orderBy(*order))).where(F.col("__at") > start).drop("__at")
+
+
+def results_of_samples(samples: DataFrame, results: DataFrame, *, key: str = "task_id", order: str = "sample_id") -> DataFrame:
+    """Samples with the results (key, completion_id, ...) of their task in the order in which they were given in."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    return samples.withColumn("completion_id", place.cast("bigint")).join(results, [key, "completion_id"])

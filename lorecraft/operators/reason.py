@@ -70,3 +70,15 @@ def says_yes(reply: Column) -> Column:
 def known_candidates(names: Column, unknown: str = "UnName_Entity") -> Column:
     """Names without the placeholder, which stays where it is the only one."""
     return F.when((F.size(names) == 1), names).otherwise(F.filter(names, lambda x: x != unknown))
+
+
+def answer_prompts(questions: DataFrame, lines: DataFrame) -> DataFrame:
+    """(query, prompt): a prompt with the facts that were found for a question, or for the model alone without any.
+
+    ``questions`` is (query, question), ``lines`` (query, line) as ``triplets`` gives them.
+    """
+    from lorecraft.functions import prompt_texts as W
+
+    facts = lines.groupBy("query").agg(F.array_join(F.array_sort(F.collect_set("line")), "\n").alias("facts"))
+    prompt = F.coalesce(F.when(F.col("facts").isNotNull(), W.fill(W.REASON_WITH, question=F.col("question"), facts=F.col("facts"))), W.fill(W.REASON_ALONE, question=F.col("question")))
+    return questions.join(facts, "query", "left").select("query", prompt.alias("prompt"))

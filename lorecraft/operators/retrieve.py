@@ -58,3 +58,14 @@ def answer_in_two_steps(first: DataFrame, second: DataFrame, refusal: str = "I C
     refused = first.where(F.col("answer").isNull() | F.contains(F.col("answer"), F.lit(refusal))).select("query")
     direct = first.join(refused, "query", "left_anti").select("query", "answer", F.lit(1).alias("step"))
     return direct.unionByName(second.join(refused, "query").select("query", "answer", F.lit(2).alias("step")))
+
+
+def link_seeds(asked: DataFrame, entities: DataFrame, *, threshold: float = 0.65) -> DataFrame:
+    """(name, id): names (name, embedding) that are entities, and for others the nearest entity at ``threshold`` or more."""
+    from lorecraft.functions import vectors as V
+    from lorecraft.operators.graph import dense_ids
+
+    lost = dense_ids(asked.join(entities.select("name"), "name", "left_anti").dropDuplicates(["name"]), "name", name="__q").checkpoint()
+    found = V.nearest(lost, entities.where("embedding IS NOT NULL"), query_id="__q", query="embedding", id="id", vector="embedding", k=1, threshold=threshold)
+    nearest = found.join(lost.select(F.col("__q").alias("query"), "name"), "query").select("name", "id")
+    return exact_or_nearest(asked.select("name").distinct(), entities, nearest)

@@ -99,3 +99,15 @@ def build(docs: DataFrame, model: Callable[[], LanguageModel], embedding: Callab
     entities, relations = merge(entities, relations)
     entities = aligned(described(entities, model), embedding, options.similar)
     return Graph(entities, described(relations, model), embed(connect(docs, entities, options), "content", "embedding", embedding).drop("embedding_error"))
+
+
+@dataclass(frozen=True)
+class Pipeline:
+    """Steps, each a table to a table, in a row."""
+
+    components: tuple[Callable[[DataFrame], DataFrame], ...]
+
+    def run(self, rows: DataFrame) -> DataFrame:
+        for step in self.components:
+            rows = rows.transform(step)
+        return rows

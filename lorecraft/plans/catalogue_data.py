@@ -14,13 +14,14 @@ from lorecraft.functions import prompts as R
 from lorecraft.functions import text as X
 from lorecraft.functions import vectors as V
 from lorecraft.functions.clients import Checked, Scripted
+from lorecraft.functions.splitters import TokenSplitter, WordSplitter, split_texts
 from lorecraft.operators import graph as G
 from lorecraft.operators import instruct as I
 from lorecraft.operators import reason as Z
 from lorecraft.operators import retrieve as S
 from lorecraft.plans import build as B
 from lorecraft.plans import generate as Q
-from lorecraft.plans.catalogue import LINKS, WORDS, _docs, _knn, _links, _vectors, query, table
+from lorecraft.plans.catalogue import KNN, LINKS, WORDS, _docs, _knn, _links, _vectors, query, table
 from lorecraft.session import ensure_checkpoint_dir
 from lorecraft.sources import io
 
@@ -333,6 +334,61 @@ def known_candidates(spark, sf_dir):
     return rows.select("doc_id", F.col("kept").cast("bigint").alias("kept"), "alone", "enough")
 
 
+def _vocabulary() -> str:
+    """The place of a public vocabulary file, a parameter of the deployment."""
+    import os
+
+    if place := os.environ.get("LORECRAFT_TOKENIZERS"):
+        return f"{place}/byte_bpe_50k.json"
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents WHERE length(text) > 0")
+def subword_windows(spark, sf_dir):
+    """Windows of a vocabulary's tokens: what each has before the next one's beginning makes up the text."""
+    size, overlap = 128, 16
+    whole = split_texts(_docs(spark, sf_dir), TokenSplitter(_vocabulary(), size, overlap))
+    alone = split_texts(_docs(spark, sf_dir), TokenSplitter(_vocabulary(), size - overlap, 0))
+    met = alone.join(whole.select("doc_id", "start", F.col("content").alias("wide")), ["doc_id", "start"]).where(F.startswith("wide", F.col("content")))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("start", "content"))), lambda x: x["content"])
+    return met.groupBy("doc_id").agg(F.array_join(parts, "").alias("t")).select("doc_id", digest(F.col("t")).alias("digest"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, {WORDS.format('text')} AS words FROM documents) SELECT doc_id, count(*) AS n, sum(least(len(words) - start, 64))::BIGINT AS n_tokens FROM (SELECT doc_id, words, unnest(range(0, len(words), 56)) AS start FROM w) GROUP BY doc_id""")
+def splitter_steps(spark, sf_dir):
+    """A pipeline of steps, the first a splitter."""
+    steps = B.Pipeline((lambda d: split_texts(d, WordSplitter(64, 8)), lambda w: w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("n_tokens"))))
+    return steps.run(_docs(spark, sf_dir))
+
+
+@query("""WITH s AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS completion_id FROM events)
+SELECT event_id, user_id, completion_id, (user_id * 7 + completion_id) % 3 = 0 AS passed FROM s""")
+def results_by_completion(spark, sf_dir):
+    """Results of a run joined to the samples in the order in which these were given in."""
+    samples = table(spark, sf_dir, "events").select("event_id", "user_id")
+    counts = samples.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    results = counts.select("user_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("completion_id")).withColumn("passed", (F.col("user_id") * 7 + F.col("completion_id")) % 3 == 0)
+    return I.results_of_samples(samples, results, key="user_id", order="event_id").select("event_id", "user_id", "completion_id", "passed")
+
+
+FOUR = KNN + """, four AS (SELECT k.query, k.rank, k.id, d.text AS content FROM knn k JOIN documents d ON d.doc_id = k.id WHERE rank <= 4)"""
+
+
+@query(f"""WITH {FOUR}, one AS (SELECT query, 1 AS size, row_number() OVER (PARTITION BY query ORDER BY rank) - 1 AS combo, [id] AS ids, true AS ok FROM four),
+three AS (SELECT x.query, 3 AS size, row_number() OVER (PARTITION BY x.query ORDER BY x.rank, y.rank, z.rank) - 1 AS combo, [x.id, y.id, z.id] AS ids, x.content <> y.content AND y.content <> z.content AND x.content <> z.content AS ok
+ FROM four x JOIN four y ON x.query = y.query AND x.rank < y.rank JOIN four z ON y.query = z.query AND y.rank < z.rank),
+used AS (SELECT *, row_number() OVER (PARTITION BY size, list_sort(ids) ORDER BY query, combo) AS n FROM (SELECT * FROM one UNION ALL SELECT * FROM three) WHERE ok)
+SELECT query, size, combo, array_to_string(ids, ',') AS ids FROM used WHERE n = 1""")
+def sized_combinations(spark, sf_dir):
+    """Single units, and combinations of three."""
+    content = _docs(spark, sf_dir).select(F.col("doc_id").alias("d"), F.col("text").alias("content"))
+    four = _knn(spark, sf_dir).where("rank <= 4").join(content, F.col("id") == F.col("d")).select("query", "rank", "id", "content").checkpoint()
+    both = I.combinations(four, 1).withColumn("size", F.lit(1)).unionByName(I.combinations(four, 3).withColumn("size", F.lit(3)))
+    return both.select("query", "size", F.col("combo").cast("bigint").alias("combo"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
 # ---- graphs in steps, retrieval -----------------------------------------------------------------
 
 
@@ -369,6 +425,27 @@ def exact_or_nearest(spark, sf_dir):
     return S.exact_or_nearest(nation.select("name").unionByName(lost.select("name")), nation, lost.unionByName(extra))
 
 
+@query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), asked AS (SELECT CASE WHEN vec_id % 3 = 0 THEN 'n' || vec_id ELSE 'lost ' || vec_id END AS name, vec_id, v FROM v WHERE vec_id % 20 < 2),
+known AS (SELECT 'n' || vec_id AS name, vec_id AS id, v FROM v WHERE vec_id % 20 > 1 OR vec_id % 3 = 0),
+near AS (SELECT a.name, k.id, list_cosine_similarity(a.v, k.v) AS s FROM asked a CROSS JOIN known k WHERE a.name NOT IN (SELECT name FROM known) QUALIFY row_number() OVER (PARTITION BY a.name ORDER BY s DESC, k.id) = 1)
+SELECT name, id FROM asked JOIN known USING (name) UNION ALL SELECT name, id FROM near WHERE s >= 0.3""")
+def seed_entities(spark, sf_dir):
+    """Names in a question as entities: by name, else the nearest by embedding."""
+    v, k = _vectors(spark, sf_dir).select("vec_id", "embedding"), F.col("vec_id").cast("string")
+    asked = v.where("vec_id % 20 < 2").select(F.when(F.col("vec_id") % 3 == 0, F.concat(F.lit("n"), k)).otherwise(F.concat(F.lit("lost "), k)).alias("name"), "embedding")
+    known = v.where("vec_id % 20 > 1 OR vec_id % 3 = 0").select(F.concat(F.lit("n"), k).alias("name"), F.col("vec_id").alias("id"), "embedding")
+    return S.link_seeds(asked, known, threshold=0.3)
+
+
+@query("""SELECT doc_id AS query, CASE WHEN source IS NULL OR doc_id % 2 = 1 THEN 'Think step by step, then answer in one sentence.' || chr(10) || 'Question: q' || doc_id || chr(10) || 'Answer:'
+ ELSE 'Answer from the facts, and from what you know where they are silent. Think step by step.' || chr(10) || 'Question: q' || doc_id || chr(10) || 'Facts:' || chr(10) || '(' || source || ', is, x)' || chr(10) || 'Answer:' END AS prompt FROM documents""")
+def answer_prompts(spark, sf_dir):
+    """Prompts with the facts found for a question, and without where there are none."""
+    d = table(spark, sf_dir, "documents")
+    lines = d.where("doc_id % 2 = 0 AND source IS NOT NULL").select(F.col("doc_id").alias("query"), F.concat(F.lit("("), "source", F.lit(", is, x)")).alias("line"))
+    return Z.answer_prompts(d.select(F.col("doc_id").alias("query"), F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("question")), lines.unionByName(lines))
+
+
 @query("""WITH e AS (SELECT n_regionkey AS key, string_agg(n_name || ': ' || n_nationkey, chr(10) ORDER BY n_name || ': ' || n_nationkey) AS e, string_agg(n_nationkey || ' -> ' || n_regionkey || ': ' || n_name, chr(10) ORDER BY n_nationkey || ' -> ' || n_regionkey || ': ' || n_name) AS r FROM nation GROUP BY 1)
 SELECT key::BIGINT AS key, md5('=====Entities=====' || chr(10) || e || chr(10) || '=====Relationships=====' || chr(10) || r || chr(10) || '=====Sources=====' || chr(10) || CASE WHEN key % 2 = 0 THEN r_name ELSE '' END) AS context FROM e JOIN region ON r_regionkey = key""")
 def graph_context(spark, sf_dir):
