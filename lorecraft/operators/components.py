@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Each round takes the least label among a vertex and its neighbours and then
     jumps to the label of that label, so rounds grow with the logarithm of the
     longest path. Rounds end with a checkpoint, which cuts the plan; the driver sees
-    one count a round.
-    Loops, repeats and nulls among the edges are ignored.
+    one count a round. Loops, repeats and nulls among the edges are ignored.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
@@ -23,7 +24,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     links = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component"))
     labels = labels.checkpoint()
-    while True:
+    for round_ in count(1):
         near = links.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
         better = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("c"))
         target = better.select(F.col("id").alias("c"), F.col("c").alias("component"))
@@ -31,6 +32,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         moved = new.where("old <> component").count()
         labels = new.select("id", "component")
         del near, better, target, new
-        release(spark)
+        if not moved or round_ % 3 == 0:
+            release(spark)
         if not moved:
             return labels

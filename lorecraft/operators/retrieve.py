@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorecraft.functions import text as T
+from lorecraft.session import ensure_checkpoint_dir
 
 
 def bm25(docs: DataFrame, queries: DataFrame, *, id: str, text: str, query_id: str, query: str, k: int = 5, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
@@ -16,16 +17,18 @@ def bm25(docs: DataFrame, queries: DataFrame, *, id: str, text: str, query_id: s
     ``epsilon`` times the mean inverse frequency in place of a negative one. Scores
     are rounded to six places before they are ranked; ties go to the smaller id.
     """
+    ensure_checkpoint_dir(docs.sparkSession)
     words = docs.select(F.col(id).alias("id"), T.tokens(F.lower(F.col(text))).alias("w"))
-    lengths = words.select("id", F.size("w").alias("n"))
-    total = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
-    tf = words.select("id", F.explode("w").alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"))
+    tf = words.select("id", F.explode("w").alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf")).checkpoint()  # texts are read once
+    lengths = tf.groupBy("id").agg(F.sum("tf").alias("n"))
+    total = lengths.agg(F.sum("n").alias("words")).crossJoin(docs.agg(F.count(F.lit(1)).alias("docs"))).select("docs", (F.col("words") / F.col("docs")).alias("mean"))
     df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df")).crossJoin(total)
     idf = df.withColumn("raw", F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     idf = idf.crossJoin(idf.agg(F.avg("raw").alias("mean_idf"))).select("word", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"), "mean")
     asked = queries.select(F.col(query_id).alias("query"), F.explode(T.tokens(F.lower(F.col(query)))).alias("word")).groupBy("query", "word").agg(F.count(F.lit(1)).alias("times"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    scored = asked.join(idf, "word").join(tf, "word").join(lengths, "id").groupBy("query", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    met = asked.join(idf, "word").join(tf, "word")
+    scored = met.join(lengths, "id").groupBy("query", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 

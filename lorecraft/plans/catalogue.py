@@ -19,6 +19,7 @@ from lorecraft.operators import metrics as E
 from lorecraft.operators import reason as Z
 from lorecraft.operators import retrieve as S
 from lorecraft.operators.components import connected_components
+from lorecraft.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,9 +101,10 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sentences, known names and the links between them."""
-    sentences = _sentences(spark, sf_dir)
-    names = M.entity_frequencies(M.name_mentions(sentences))
-    return sentences, names, M.link_names(sentences, names)
+    ensure_checkpoint_dir(spark)
+    sentences = _sentences(spark, sf_dir).checkpoint()  # read several times
+    names = M.entity_frequencies(M.name_mentions(sentences)).checkpoint()
+    return sentences, names, M.link_names(sentences, names).checkpoint()
 
 
 @query(f"""SELECT doc_id, length(c) AS n_chars, md5(c) AS digest FROM (SELECT doc_id, CASE WHEN length(t) < 10 THEN '' WHEN length(t) > 4000 THEN substr(t,1,4000)||'...' ELSE t END AS c
@@ -415,9 +417,6 @@ def _relations(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH {BEAM} SELECT query, entity, relation, next, score FROM beam WHERE n <= 3")
 def relation_beam(spark, sf_dir):
-    from lorecraft.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
     seeds, edges = _relations(spark, sf_dir)
     return Z.explore(seeds, edges, lambda q, r, w: F.col(w).cast("double"), 3).select("query", "entity", "relation", "next", "score")
 
@@ -425,9 +424,6 @@ def relation_beam(spark, sf_dir):
 @query(f"""WITH {BEAM}, step AS (SELECT * FROM beam WHERE n <= 3), r AS (SELECT DISTINCT query, entity, relation FROM step), t AS (SELECT DISTINCT query, next FROM step)
 SELECT query, '(' || entity || ', ' || relation || ', ' || next || ')' AS line FROM r JOIN t USING (query)""")
 def triplets(spark, sf_dir):
-    from lorecraft.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
     seeds, edges = _relations(spark, sf_dir)
     return Z.triplets(Z.reason(seeds, edges, depth=1)).select("query", "line")
 
@@ -438,9 +434,6 @@ v2 AS (SELECT * FROM v1 UNION SELECT * FROM f2), f3 AS (SELECT DISTINCT query, n
 s3 AS (SELECT * FROM (SELECT query, entity, relation, next, weight::DOUBLE AS score, row_number() OVER (PARTITION BY query ORDER BY weight DESC, relation, entity, next) AS n FROM f3 JOIN rel USING (entity)) WHERE n <= 3)
 SELECT query, 1 AS depth, entity, relation, next, score FROM s1 UNION ALL SELECT query, 2, entity, relation, next, score FROM s2 UNION ALL SELECT query, 3, entity, relation, next, score FROM s3""")
 def reason_chain(spark, sf_dir):
-    from lorecraft.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
     seeds, edges = _relations(spark, sf_dir)
     return Z.reason(seeds, edges, depth=3, width=3)
 
@@ -700,7 +693,6 @@ def max_avg_path(spark, sf_dir):
 def stream_upsert_graph(spark, sf_dir):
     from uuid import uuid4
 
-    from lorecraft.session import ensure_checkpoint_dir
     from lorecraft.streaming import graphs
 
     folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid4().hex}"
