@@ -49,7 +49,7 @@ def scores(reply: Column, candidates: Column) -> Column:
 
 def shared_scores(values: Column) -> Column:
     """Scores, or equal shares where all are zero."""
-    return F.when(F.forall(values, lambda x: x == 0), F.transform(values, lambda x: F.lit(1.0) / F.size(values))).otherwise(values)
+    return F.when(F.forall(values, lambda x: x == 0), F.array_repeat(F.lit(1.0) / F.size(values), F.size(values))).otherwise(values)
 
 
 def confidences(text: Column) -> Column:

@@ -1,4 +1,9 @@
-"""Vectors: cosine as an expression, and similarity joins in blocks with matrix products."""
+"""Vectors: cosine as an expression, and similarity joins in blocks with matrix products.
+
+Blocks are made around pivots, a bounded sample of the vectors. Angles obey the triangle
+inequality, so two blocks whose pivots are farther apart than their radii and the
+threshold's angle together hold no similar pair and don't meet.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +19,8 @@ from lorecraft.session import ship_package
 
 #: Rows of a block; two blocks and their product are what a task holds.
 BLOCK = 1024
+#: Vectors that blocks are made around, in all.
+PIVOTS = 128
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,7 +35,8 @@ def cosine(a: Column, b: Column) -> Column:
 def unit(v: Column) -> Column:
     """The vector at length one, in doubles; null if it is null, empty or zero."""
     norm = F.nullif(F.sqrt(dot(v, v)), F.lit(0.0))
-    return F.when(norm.isNotNull(), F.transform(v, lambda x: x.cast("double") / norm))
+    scaled = F.transform(F.array(norm), lambda n: F.when(n.isNotNull(), F.transform(v, lambda x: x.cast("double") / n)))  # the norm once
+    return scaled[0]
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -43,17 +51,53 @@ def _blocks(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
     return dealt.groupBy(*keys, "block").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vectors"))
 
 
+def _cells(rows: DataFrame, pivots: np.ndarray, width: int) -> DataFrame:
+    """``rows`` (v, ...) with the nearest pivot and the angle to it; vectors of another length are by themselves."""
+    if len(pivots) == 1:  # all in one cell
+        return rows.select("*", F.when(F.size("v") == width, 0).otherwise(-1).alias("cell"), F.lit(float(np.pi)).alias("angle"))
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    @F.pandas_udf("struct<cell:int,angle:double>")
+    def nearest_pivot(v: pd.Series) -> pd.DataFrame:
+        cell, angle = np.full(len(v), -1), np.full(len(v), np.pi)
+        here = np.flatnonzero(v.map(len).to_numpy() == width)
+        for at in np.array_split(here, max(1, len(here) // 4096)):
+            if len(at):
+                s = _matrix(v.iloc[at]) @ shared.value.T
+                cell[at] = s.argmax(1)
+                angle[at] = np.arccos(np.clip(s.max(1), -1, 1))
+        return pd.DataFrame({"cell": cell, "angle": angle})
+
+    return rows.withColumn("__p", nearest_pivot("v")).select("*", "__p.cell", "__p.angle").drop("__p")
+
+
 def similar_pairs(df: DataFrame, *, id: str, vector: str, group: str, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(a, b, similarity) of vectors of the same group with a < b and a cosine of ``threshold`` or more.
+    """(a, b, similarity) of vectors of the same group and length with a < b and a cosine of ``threshold`` or more.
 
     Rows with a null group or vector take no part. Blocks meet in pairs of a group,
-    so a group that holds most rows is more tasks, not a longer one.
+    so a group that holds most rows is more tasks, not a longer one; only those meet that can
+    hold a similar pair.
     """
-    ship_package(df.sparkSession)
+    spark = df.sparkSession
+    ship_package(spark)
     rows = df.select(F.col(id).alias("id"), F.col(group).alias("g"), unit(F.col(vector)).alias("v")).where("g IS NOT NULL AND v IS NOT NULL")
-    left = _blocks(rows, ["g"], block)
-    right = left.select("g", F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("vectors").alias("vectors2"))
-    met = left.join(right, "g").where("block <= other")
+    wanted = max(1, min(PIVOTS, rows.count() // (2 * block)))  # blocks stay about full
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(8)) == 0).select("v").limit(wanted).collect() or rows.select("v").limit(1).collect()
+    if not sample:
+        return spark.createDataFrame([], "a bigint, b bigint, similarity double")
+    width = max(len(r["v"]) for r in sample)
+    pivots = np.array([r["v"] for r in sample if len(r["v"]) == width], float).reshape(-1, width)
+    placed = _cells(rows, pivots, width).withColumn("d", F.size("v"))
+    counts = placed.groupBy("g", "d", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = placed.join(counts, ["g", "d", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    left = dealt.groupBy("g", "d", "cell", "block").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vectors"), F.max("angle").alias("radius"))
+    right = left.select("g", "d", F.col("cell").alias("cell2"), F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("vectors").alias("vectors2"), F.col("radius").alias("radius2"))
+    angles = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+    apart = [(-1, -1, 0.0)] + [(i, j, float(angles[i, j])) for i in range(len(pivots)) for j in range(i, len(pivots))]
+    gaps = spark.createDataFrame(apart, "cell int, cell2 int, gap double")  # at most PIVOTS squared rows
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-9
+    met = left.join(F.broadcast(gaps), "cell").join(right, ["g", "d", "cell2"])
+    met = met.where(((F.col("cell") < F.col("cell2")) | (F.col("block") <= F.col("other"))) & (F.col("gap") - F.col("radius") - F.col("radius2") <= reach))
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -61,7 +105,7 @@ def similar_pairs(df: DataFrame, *, id: str, vector: str, group: str, threshold:
                 s = np.stack(r.vectors) @ np.stack(r.vectors2).T
                 i, j = np.nonzero(s >= threshold)
                 a, b = np.asarray(r.ids)[i], np.asarray(r.ids2)[j]
-                keep = a < b if r.block == r.other else a != b
+                keep = a < b if (r.cell, r.block) == (r.cell2, r.other) else a != b
                 yield pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": s[i, j][keep]})
 
     return met.mapInPandas(products, "a bigint, b bigint, similarity double")

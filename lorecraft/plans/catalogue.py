@@ -500,23 +500,25 @@ def quality_report(spark, sf_dir):
     return I.quality_report(r, ["question", "answer"], "type")
 
 
-@query("""SELECT event_id, event_type AS name, CAST(round(value) AS BIGINT) AS n_relations, CASE WHEN event_id % 3 = 2 THEN 0 ELSE 1 END AS n_entities
- FROM (SELECT event_id, event_type, CASE WHEN event_id % 3 = 2 THEN 0 ELSE event_id % 4 END AS value FROM events)""")
+@query("""SELECT event_id, event_type AS name, CASE WHEN event_id % 3 = 2 THEN 0 ELSE event_id % 4 END AS n_relations, CASE WHEN event_id % 3 = 2 THEN 0 ELSE 1 END AS n_entities,
+ CASE WHEN event_id % 3 = 2 THEN NULL ELSE md5(props) END AS description FROM (SELECT * REPLACE (coalesce(props, '') AS props) FROM events)""")
 def json_repair(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    """Replies around each event's properties, with fences, trailing commas, or no JSON at all."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.coalesce("props", F.lit("")).alias("props"))
     rel = F.array_join(F.array_repeat(F.lit('{"source": "a", "target": "b", "description": "http://x"}'), (F.col("event_id") % 4).cast("int")), ", ")
-    body = F.concat(F.lit('Here you are:\n```json\n{"entities": [{"name": "'), "event_type", F.lit('", "type": "T", "description": "d"},], "relations": ['), rel, F.lit(", ]}\n```"))
+    entity = F.to_json(F.struct(F.col("event_type").alias("name"), F.lit("T").alias("type"), F.col("props").alias("description")))
+    body = F.concat(F.lit('Here you are:\n```json\n{"entities": ['), entity, F.lit(',], "relations": ['), rel, F.lit(", ]}\n```"))
     body = F.when(F.col("event_id") % 4 == 0, F.regexp_replace(body, r"\[, \]", "[]")).otherwise(body)
     reply = F.when(F.col("event_id") % 3 == 2, "no json here").otherwise(body)
-    g = P.graph_of(reply)
-    return e.withColumn("g", g).select("event_id", F.col("event_type").alias("name"), F.size("g.relations").cast("bigint").alias("n_relations"), F.size("g.entities").alias("n_entities"))
+    rows = e.withColumn("g", P.graph_of(reply))
+    return rows.select("event_id", F.col("event_type").alias("name"), F.size("g.relations").cast("bigint").alias("n_relations"), F.size("g.entities").alias("n_entities"), F.md5(F.get("g.entities", 0)["description"].cast("binary")).alias("description"))
 
 
-@query("""SELECT doc_id, 'rel_' || (doc_id % 7) AS relation, CASE WHEN doc_id % 10 = 0 THEN 0.25 ELSE round((doc_id % 10) / 10.0, 1) END AS score, 1 AS n_relations FROM documents""")
+@query("""SELECT doc_id, coalesce(source, 'none') || '_' || (doc_id % 7) AS relation, CASE WHEN doc_id % 10 = 0 THEN 0.25 ELSE round((doc_id % 10) / 10.0, 1) END AS score, 1 AS n_relations FROM documents""")
 def relation_score_parse(spark, sf_dir):
     d = F.col("doc_id")
     score = F.concat(F.lit("0."), (d % 10).cast("string"))
-    reply = F.concat(F.lit("1. {rel_"), (d % 7).cast("string"), F.lit(" (Score: "), score, F.lit(")}: because. 2. {a; b (Score: 0.3)}"))
+    reply = F.concat(F.lit("1. {"), F.coalesce("source", F.lit("none")), F.lit("_"), (d % 7).cast("string"), F.lit(" (Score: "), score, F.lit(")}: because. 2. {a; b (Score: 0.3)}"))
     rows = table(spark, sf_dir, "documents").select("doc_id", P.relation_scores(reply).alias("r"), P.shared_scores(P.scores(F.concat(F.lit("scores "), score, F.lit(", 0.0, 0.0, 0.0")), F.lit(4))).alias("s"))
     return rows.select("doc_id", F.col("r")[0]["relation"].alias("relation"), F.round(F.col("s")[0], 1 + 1).alias("score"), F.size("r").alias("n_relations"))
 
@@ -529,9 +531,12 @@ def chat_to_prompt(spark, sf_dir):
     return talks.select("conv_id", F.md5(R.chat(F.col("m")).cast("binary")).alias("prompt"), F.col("n_tokens").cast("bigint").alias("n_tokens"))
 
 
-@query(f"WITH {RECORDS} SELECT id, md5(question || ' ') AS question, md5(trim(answer)) AS answer, len(regexp_extract_all(question, 'Question:')) AS n FROM records WHERE question NOT LIKE '%Question: %' AND question NOT LIKE '%Answer: %'")
+@query(f"""WITH {RECORDS}, b AS (SELECT id, question, 'Question: ' || question || ' Answer: ' || answer AS block FROM records),
+q AS (SELECT *, string_split(block, 'Question: ')[-1] AS last_q, string_split(block, 'Answer: ')[-1] AS last_a FROM b)
+SELECT id, md5(string_split(last_q, 'Answer: ')[1]) AS question, md5(trim(last_a)) AS answer, len(list_filter([question], lambda x: contains(x, 'Question:'))) AS n FROM q""")
 def qa_pair_parse(spark, sf_dir):
-    r = _records(spark, sf_dir).where("question NOT LIKE '%Question: %' AND question NOT LIKE '%Answer: %'")
+    """The first pair of a block, whatever labels its texts hold."""
+    r = _records(spark, sf_dir)
     block = F.concat(F.lit("Question: "), "question", F.lit(" Answer: "), "answer", F.lit("\n\nQuestion: other Answer: another"))
     rows = r.select("id", "question", P.question_answer(block).alias("qa"), P.question_lines(F.col("question")).alias("lines"))
     return rows.select("id", F.md5(F.col("qa.question").cast("binary")).alias("question"), F.md5(F.col("qa.answer").cast("binary")).alias("answer"), F.size("lines").cast("bigint").alias("n"))

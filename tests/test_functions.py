@@ -188,3 +188,23 @@ def test_clients_over_http():
     assert ChatClient(url, fallback="{}").single_turn("fail") == "{}"
     assert CompletionClient(url).complete(["abc", "fail"]) == ["cba", ""]
     server.shutdown()
+
+
+def test_similar_pairs_against_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    from lorecraft.functions import vectors as V
+
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(12, 10))
+    x = centres[r.integers(12, size=400)] + 0.25 * r.normal(size=(400, 10))
+    rows = [(i, i % 3, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, 0, [1.0, float(i)]) for i in range(5)] + [(2000, 0, None), (2001, None, [1.0]), (2002, 0, [0.0] * 10)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i in range(400) for j in range(i + 1, 400) if i % 3 == j % 3 and unit[i] @ unit[j] >= 0.9}
+    want |= {(1000 + i, 1000 + j) for i in range(5) for j in range(i + 1, 5) if (1 + i * j) / np.sqrt((1 + i * i) * (1 + j * j)) >= 0.9}
+    for block, pivots in ((1024, 128), (8, 128), (8, 3)):
+        monkeypatch.setattr(V, "PIVOTS", pivots)
+        df = spark.createDataFrame(rows, "id long, g int, v array<double>")
+        got = [(p["a"], p["b"]) for p in V.similar_pairs(df, id="id", vector="v", group="g", threshold=0.9, block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert V.similar_pairs(df.limit(0), id="id", vector="v", group="g", threshold=0.9).count() == 0
