@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lorecraft.session import ship_package
+from lorecraft.session import ensure_checkpoint_dir, ship_package
 
 #: Rows of a block; two blocks and their product are what a task holds.
 BLOCK = 1024
@@ -88,6 +88,9 @@ def similar_pairs(df: DataFrame, *, id: str, vector: str, group: str, threshold:
     width = max(len(r["v"]) for r in sample)
     pivots = np.array([r["v"] for r in sample if len(r["v"]) == width], float).reshape(-1, width)
     placed = _cells(rows, pivots, width).withColumn("d", F.size("v"))
+    if len(pivots) > 1:
+        ensure_checkpoint_dir(spark)
+        placed = placed.checkpoint()  # read several times
     counts = placed.groupBy("g", "d", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = placed.join(counts, ["g", "d", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     left = dealt.groupBy("g", "d", "cell", "block").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vectors"), F.max("angle").alias("radius"))
