@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorecraft.operators.components import connected_components
@@ -17,14 +17,13 @@ def shared_members(bucketed: DataFrame) -> DataFrame:
     return bucketed.join(shared, "bucket").checkpoint()
 
 
-def link_classes(members: DataFrame, verified: Callable[[DataFrame], DataFrame], *, with_: tuple[str, ...] = (), near: Callable[[str, str], Column] = lambda x, y: F.lit(True)) -> DataFrame:
+def link_classes(members: DataFrame, verified: Callable[[DataFrame], DataFrame], *, least: int = 1) -> DataFrame:
     """``id, component`` of all items that are linked to another.
 
-    ``members`` has rows (bucket, item). Items are candidates if they share a bucket
-    in which ``near`` holds of their columns ``with_`` (it gets a suffix for each side).
+    ``members`` has rows (bucket, item). Items are candidates if they share ``least`` buckets or more.
     ``verified`` gets pairs (a, b), a < b, and returns those that are links. The hub of a
-    bucket is its item with most buckets. First each item is tested against the greatest of
-    its hubs; then, in buckets that hold several components, items against the hub of
+    bucket is its item with most buckets. First each item is tested against the hub that it
+    meets most often; then, in buckets that hold several components, items against the hub of
     another; then, in those that still do, candidates of different components against each
     other. Pairs within a component need no test: they can't change it. So every
     candidate pair that could join two classes is tested, and a group of thousands of
@@ -32,30 +31,32 @@ def link_classes(members: DataFrame, verified: Callable[[DataFrame], DataFrame],
     """
     spark = members.sparkSession
     met = members.groupBy("item").agg(F.count(F.lit(1)).alias("met"))
-    hubs = members.select("bucket", "item").join(met, "item").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("item")).alias("i"))).alias("top"))
+    hubs = members.join(met, "item").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("item")).alias("i"))).alias("top"))
     members = members.join(hubs.select("bucket", "top.met", (-F.col("top.i")).alias("hub")), "bucket").checkpoint()
+    release(spark)
     pair = [F.least("item", "hub").alias("a"), F.greatest("item", "hub").alias("b")]
-    greatest = members.groupBy("item").agg((-F.max(F.struct("met", (-F.col("hub")).alias("h")))["h"]).alias("hub")).where("item <> hub")
-    links = verified(greatest.select(*pair).distinct()).checkpoint()
+    often = members.where("item <> hub").groupBy("item", "hub", "met").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    greatest = often.groupBy("item").agg((-F.max(F.struct("n", "met", (-F.col("hub")).alias("h")))["h"]).alias("hub"))
+    tested = greatest.select(*pair).distinct().checkpoint()
+    links = verified(tested).checkpoint()
 
     def placed(links: DataFrame) -> DataFrame:
         """Members with their component so far, in buckets that hold several."""
         joined = connected_components(links, "a", "b").withColumnRenamed("id", "item")
-        rows = members.join(joined, "item", "left").withColumn("c", F.coalesce("component", "item")).drop("component")
+        rows = members.join(joined, "item", "left").withColumn("c", F.coalesce("component", "item")).drop("component", "met")
         several = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
         rows = rows.join(several, "bucket").checkpoint()
         release(spark)
         return rows
 
-    side = lambda rows, s, *more: rows.select("bucket", *more, *[F.col(c).alias(f"{c}{s}") for c in ("item", "c", *with_)])
-    both = [F.least("item_x", "item_y").alias("a"), F.greatest("item_x", "item_y").alias("b")]
     rows = placed(links)
-    stars = side(rows.where("item = hub"), "_x").join(side(rows.where("item <> hub"), "_y"), "bucket").where((F.col("c_x") != F.col("c_y")) & near("_x", "_y"))
-    stars = stars.select(*both).distinct().checkpoint()
+    heads = rows.where("item = hub").select("bucket", F.col("c").alias("hub_c"))
+    stars = rows.join(heads, "bucket").where("item <> hub AND c <> hub_c").select(*pair).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("n").join(tested, ["a", "b"], "left_anti").checkpoint()
     links = links.unionByName(verified(stars)).checkpoint()
+    tested = tested.unionByName(stars)
 
     rows = placed(links)
-    parts = rows.groupBy("bucket").agg(F.collect_set("c").alias("cs"))
-    apart = side(rows.join(parts, "bucket").withColumn("d", F.explode("cs")).where("c < d"), "_x", "d")
-    cross = apart.join(side(rows, "_y", F.col("c").alias("d")), ["bucket", "d"]).where(near("_x", "_y")).select(*both).distinct()
-    return connected_components(links.unionByName(verified(cross.join(stars, ["a", "b"], "left_anti"))).checkpoint(), "a", "b")
+    rows = rows.join(rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("item"), "item").checkpoint()
+    side = lambda s: rows.select("bucket", *[F.col(c).alias(f"{c}{s}") for c in ("item", "c")])
+    cross = side("_x").join(side("_y"), "bucket").where("item_x < item_y AND c_x <> c_y").groupBy(F.col("item_x").alias("a"), F.col("item_y").alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("n")
+    return connected_components(links.unionByName(verified(cross.join(tested, ["a", "b"], "left_anti"))).checkpoint(), "a", "b")

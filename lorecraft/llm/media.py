@@ -5,10 +5,11 @@ interlaced, of at most ``MOST_PIXELS``) and shrunk by steps of 1.25. At each sca
 are local maxima of Harris' measure; the ``features`` strongest of an image are kept. A
 corner's direction is that of the brightness around it, and 256 comparisons of pairs of
 smoothed pixels, turned by that direction, are its descriptor. Each of ``TABLES`` tables
-keys a descriptor by ``KEY_BITS`` of its bits; images with corners that agree in a key and
-differ in at most ``DISTANCE`` bits in all are candidates. Tables are met one at a
-time, only corners with such a partner are kept, and pairs are tested ``SLICE`` at a time, so
-more tables take time rather than disk.
+keys a descriptor by ``KEY_BITS`` of its bits; images that share ``SHARED`` keys or more, of corners
+that have a partner within ``CLOSE`` bits, are candidates. Tables are met one after the
+other, each in ``PARTS`` parts, only corners with such a partner are kept, and pairs are
+tested a quarter as many at a time as there are images, so more tables and pairs take time
+rather than disk.
 A candidate pair is a copy if at least ``consensus`` of its matching corners agree on
 one shift, turn and scale: every match is tried as the hypothesis, none at random.
 
@@ -24,6 +25,7 @@ import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +40,22 @@ BITS, TABLES = 256, 8
 KEY_BITS = 48
 #: Descriptors match if at most so many of their bits differ.
 DISTANCE = 56
+#: Corners make candidates if at most so many do: those of edited copies mostly differ in less than 30.
+CLOSE = 36
 STEP, SCALES, MARGIN = 1.25, 4, 13
+#: Keys that two images must share: edited copies share ten and more, images of plain corners one or two by chance.
+SHARED = 3
 #: Larger images are not decoded.
 MOST_PIXELS = 1 << 26
 #: A corner as stored: place in the full image, number of the scale, direction in 256ths of a turn, descriptor.
 CORNER = np.dtype([("x", "<f4"), ("y", "<f4"), ("s", "u1"), ("t", "u1"), ("d", "u1", BITS // 8)])
 WORDS = ("w0", "w1", "w2", "w3")
 #: Pixels of images that are described together.
-STACK = 1 << 18
-#: Pairs whose corners are fetched at a time: about 3 kB each.
-SLICE = 200_000
+STACK = 1 << 17
+#: Parts of a table's keys that are met at a time.
+PARTS = 2
+#: Pairs whose corners are fetched at a time (about 4 kB each), or a quarter as many as there are images.
+SLICE = 10_000
 
 
 def _pattern() -> np.ndarray:
@@ -224,12 +232,14 @@ def corners_of(images: np.ndarray, features: int) -> list[np.ndarray]:
     return np.split(all_[best], np.searchsorted(home[best], np.arange(1, len(images))))
 
 
-def table_keys(found: np.ndarray, tables: range) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of an image's corners in ``tables``, each once, and for each a corner that has it."""
-    bits = np.unpackbits(found["d"], axis=1).astype(np.int64)
-    weights = 1 << np.arange(KEY_BITS, dtype=np.int64)
-    keys, first = np.unique(np.concatenate([(bits[:, TAKEN[t]] @ weights) << 5 | t for t in tables]), return_index=True)
-    return keys, first % len(found)
+def table_keys(found: np.ndarray, table: int, part: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of an image's corners in a table (or a part of it), each once, and for each a corner that has it."""
+    taken = np.packbits(np.unpackbits(found["d"], axis=1)[:, TAKEN[table]], axis=1).astype(np.int64)
+    keys, first = np.unique(taken @ (1 << 8 * np.arange(KEY_BITS // 8, dtype=np.int64)), return_index=True)
+    if part is not None:
+        here = (keys ^ keys >> 16) % PARTS == part
+        keys, first = keys[here], first[here]
+    return keys << 5 | table, first
 
 
 def agreeing(a: np.ndarray, b: np.ndarray, distance: int = DISTANCE, pixels: float = 4.0) -> int:
@@ -286,14 +296,14 @@ def image_copies(df: DataFrame, *, id: str = "id", media: str = "media", feature
                 close(shape)
             yield pa.array(out, pa.binary())
 
-    def keys(tables: range) -> Callable[..., Column]:
+    def keys(table: int, part: int) -> Callable[..., Column]:
         @F.arrow_udf("array<struct<bucket:bigint,w0:bigint,w1:bigint,w2:bigint,w3:bigint>>")
         def keyed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
                 ends, buckets, words = [0], [np.zeros(0, np.int64)], [np.zeros((0, 4), np.int64)]
                 for value in batch:
                     found = np.frombuffer(value.as_py(), CORNER)
-                    key, at = table_keys(found, tables)
+                    key, at = table_keys(found, table, part)
                     ends.append(ends[-1] + len(key))
                     buckets.append(key)
                     words.append(np.ascontiguousarray(found["d"][at]).view(np.int64))
@@ -315,25 +325,26 @@ def image_copies(df: DataFrame, *, id: str = "id", media: str = "media", feature
     contents, images = images.select("content", "item"), images.where("length(corners) > 0").select("item", "corners")
     far = lambda x, y: sum((F.bit_count(F.col(f"w{k}{x}").bitwiseXOR(F.col(f"w{k}{y}"))) for k in range(4)), F.lit(0))
     met = []
-    for table in range(TABLES):
-        bucketed = images.select("item", F.explode(keys(range(table, table + 1))("corners")).alias("k")).select("item", "k.*")
+    for table, part in product(range(TABLES), range(PARTS)):
+        bucketed = images.select("item", F.explode(keys(table, part)("corners")).alias("k")).select("item", "k.*")
         other = bucketed.select("bucket", *[F.col(c).alias(f"{c}_y") for c in ("item", *WORDS)])
-        near = (bucketed["bucket"] == other["bucket"]) & (F.col("item") != F.col("item_y")) & (far("", "_y") <= DISTANCE)
-        met.append(bucketed.join(other, near, "left_semi").checkpoint())
+        near = (bucketed["bucket"] == other["bucket"]) & (F.col("item") != F.col("item_y")) & (far("", "_y") <= CLOSE)
+        met.append(bucketed.join(other, near, "left_semi").select("bucket", "item").checkpoint())
         release(spark)
     members = reduce(DataFrame.unionByName, met)
+    at_once = max(SLICE, images.count() // 4)
     sides = images.select(F.col("item").alias("a"), F.col("corners").alias("ca")), images.select(F.col("item").alias("b"), F.col("corners").alias("cb"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs, out = pairs.checkpoint(), []
-        slices = max(1, -(-pairs.count() // SLICE))
+        slices = max(1, -(-pairs.count() // at_once))
         for k in range(slices):
             some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == k)
             out.append(some.join(sides[1], "b").join(sides[0], "a").where(agreed("ca", "cb") >= consensus).select("a", "b").checkpoint())
             release(spark)
         return reduce(DataFrame.unionByName, out)
 
-    classes = link_classes(members, verified, with_=WORDS, near=lambda x, y: far(x, y) <= DISTANCE).withColumnRenamed("id", "item")
+    classes = link_classes(members, verified, least=SHARED).withColumnRenamed("id", "item")
     of_content = contents.join(classes, "item", "left").select("content", F.coalesce("component", "item").alias("class_id"))
     class_id = F.coalesce("class_id", "id")
     return rows.join(of_content, "content", "left").select(
