@@ -111,6 +111,36 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, vocabulary("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op11_byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level ids of every text and what they decode to, as digests."""
+    from lorecraft.llm.byte_pieces import encode_decode
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = encode_decode(docs, vocabulary("byte_bpe_50k.tiktoken"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation, after damage by a checksum."""
+    from lorecraft.llm.conversations import damage, digests, repair
+
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report, repaired = repair(damage(given))
+    of = lambda df, c: df.withColumnRenamed("conv_id", c)
+    every = given.select("conv_id").distinct()
+    out = every.join(of(report, "r"), F.col("conv_id").eqNullSafe(F.col("r")), "left").join(of(digests(repaired), "d"), F.col("conv_id").eqNullSafe(F.col("d")), "left")
+    longs = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *longs, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten exact rounds of eight centroids over all vectors."""
+    from lorecraft.llm.ball_trees import cluster
+
+    found = cluster(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source of the mix: its size, its target, and whether the words taken come to it but for less than one document."""
     plan = op3_mix(spark, sf_dir).join(_table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
@@ -150,6 +180,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pieces": op8_pieces,
         "op9_token_counts": op9_token_counts,
         "op10_shards": op10_shards,
+        "op11_byte_pieces": op11_byte_pieces,
+        "op12_repair": op12_repair,
+        "op13_clusters": op13_clusters,
         "mix_targets": mix_targets,
         "shard_law": shard_law,
         "shard_rows": shard_rows,
@@ -164,6 +197,49 @@ reach(id, other) AS (SELECT a, a FROM both_ways UNION SELECT r.id, n.b FROM reac
 class AS (SELECT id, min(other) AS least FROM reach GROUP BY id)"""
 
 
+#: The cheapest repair, row by row: for each state the least (cost, audit) so far, with what is left.
+_REPAIR = """WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+hashed AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda c: ord(c)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS h FROM keyed CROSS JOIN t),
+damaged AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+ unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy FROM hashed WHERE h <> 0),
+numbered AS (SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM damaged),
+r AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 3 ELSE 0 END AS fault,
+ lag(role) OVER (PARTITION BY c ORDER BY i) AS before FROM numbered),
+ins(q, q2, cost, audit, lines) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 3, 'I', ['user:']), (1, 2, 3, 'I', ['user:']), (3, 2, 3, 'I', ['user:']), (2, 3, 3, 'I', ['assistant:']),
+ (0, 3, 6, 'II', ['user:', 'assistant:']), (1, 3, 6, 'II', ['user:', 'assistant:'])),
+ops(q, q3, e, initial, cost) AS (VALUES (0, 0, 'D', NULL, 4), (1, 1, 'D', NULL, 4), (2, 2, 'D', NULL, 4), (3, 3, 'D', NULL, 4), (0, 1, 'K', 's', 0), (0, 2, 'K', 'u', 0), (1, 2, 'K', 'u', 0), (2, 3, 'K', 'a', 0), (3, 2, 'K', 'u', 0),
+ (0, 2, 'R', NULL, 3), (1, 2, 'R', NULL, 3), (2, 3, 'R', NULL, 3), (3, 2, 'R', NULL, 3)),
+dp AS (SELECT DISTINCT c, 0::BIGINT AS i, 0 AS q, {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} AS b FROM r
+UNION ALL SELECT c, i, q3, min(b) FROM (SELECT dp.c, r.i, ops.q3, {'cost': dp.b.cost + ins.cost + ops.cost + CASE WHEN e <> 'D' AND fault = 3 THEN 3 ELSE 0 END, 'audit': dp.b.audit || ins.audit || e,
+  'lines': list_concat(dp.b.lines, ins.lines, CASE e WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [CASE WHEN q3 = 2 THEN 'user:' ELSE 'assistant:' END || text] END)} AS b
+ FROM dp JOIN ins ON ins.q = dp.q JOIN r ON r.c = dp.c AND r.i = dp.i + 1 JOIN ops ON ops.q = ins.q2 AND (e = 'D' OR fault NOT IN (1, 2) AND (e = 'R' OR left(role, 1) = initial))) GROUP BY c, i, q3),
+n AS (SELECT c, any_value(conv_id) AS conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+ count(*) FILTER (before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY c),
+best AS (SELECT n.c, min({'cost': dp.b.cost + ins.cost, 'audit': dp.b.audit || ins.audit, 'lines': list_concat(dp.b.lines, ins.lines)}) AS b FROM dp JOIN n ON dp.c = n.c AND dp.i = n.n JOIN ins ON ins.q = dp.q AND ins.q2 IN (0, 3) GROUP BY n.c)
+SELECT g.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ coalesce(b.cost, 0) AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(array_to_string(b.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN n ON g.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN best ON best.c = n.c"""
+
+
+def _rounds(rounds: int = 10, k: int = 8) -> str:
+    """Rounds of centroids over all pairs of a vector and a centroid."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT id, any_value(v.v) AS v, min({{'d': list_sum(list_transform(list_zip(v.v, c{r}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, 'k': k}}) AS b FROM v CROSS JOIN c{r} GROUP BY id)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT k, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT b.k AS k, unnest(v) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY k, i),
+n{r} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM m{r} GROUP BY k),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.k, coalesce(n{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN n{r} ON n{r}.k = c{r}.k)""")
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+ WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1)::INTEGER AS k, v FROM v QUALIFY k < {k}),
+{', '.join(steps)},
+t AS (SELECT b.k AS k, sum(b.d)::BIGINT AS inertia FROM a{rounds} GROUP BY 1)
+SELECT vec_id, t.k AS cluster, b.d AS distance, t.inertia AS cluster_inertia, (SELECT sum(inertia)::BIGINT FROM t) AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (id) JOIN t ON t.k = a.b.k JOIN c{rounds} ON c{rounds}.k = t.k"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that it can express: all pairs by cosine, and all pairs by shared runs of five words.
 
@@ -181,6 +257,8 @@ shared AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS k FROM e
 links AS (SELECT a, b FROM shared JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE k / (x.s + y.s - k)::DOUBLE >= 0.8),
 {_CLASSES}
 SELECT doc_id, coalesce(least, doc_id) AS class_id, coalesce(least, doc_id) = doc_id AS kept FROM documents LEFT JOIN class ON class.id = doc_id""",
+        "op12_repair": _REPAIR,
+        "op13_clusters": _rounds(),
         "mix_targets": """WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, 3 * source_size AS cap FROM s),
