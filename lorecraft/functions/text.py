@@ -10,6 +10,8 @@ CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 BLANK = r"[ \t\n\r]+"
 #: A name is a capitalised word of five letters or more.
 NAME = "[A-Z][a-z]{4,}"
+#: A capitalised word of any script and the word after it.
+PHRASE = r"\p{Lu}[\p{L}\p{N}_]+,? [\p{L}\p{N}_]+"
 
 
 def clean(text: Column, least: int = 10, most: int = 4000) -> Column:
@@ -55,9 +57,9 @@ def sentences(text: Column) -> Column:
     return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])[ \t\n\r]+", "$1\x01"), "\x01")
 
 
-def names(text: Column) -> Column:
+def names(text: Column, pattern: str = NAME) -> Column:
     """Names in order of appearance, repeats included."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({NAME})"), 1)
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({pattern})"), 1)
 
 
 def before_marker(text: Column, marker: str) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,9 +17,9 @@ def sentence_table(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -
     return docs.select(F.col(id).alias("doc"), F.posexplode(T.sentences(F.col(text))).alias("pos", "sentence"))
 
 
-def name_mentions(sentences: DataFrame) -> DataFrame:
+def name_mentions(sentences: DataFrame, pattern: str = T.NAME) -> DataFrame:
     """(doc, pos, name): each name once per sentence."""
-    return sentences.select("doc", "pos", F.explode(F.array_distinct(T.names(F.col("sentence")))).alias("name"))
+    return sentences.select("doc", "pos", F.explode(F.array_distinct(T.names(F.col("sentence"), pattern))).alias("name"))
 
 
 def entity_frequencies(mentions: DataFrame, least: int = 3, most_share: float | None = None) -> DataFrame:
@@ -29,24 +32,67 @@ def entity_frequencies(mentions: DataFrame, least: int = 3, most_share: float |
     return counts.crossJoin(total).where(F.col("df") <= most_share * F.col("__docs")).drop("__docs")  # one row
 
 
+#: A text falls into words (letters, digits and underscores of any script) and single other characters.
+WORD = r"[\p{L}\p{N}_]+"
+PIECE = rf"({WORD}|(?s:.))"
+#: Between pieces; no sentence holds it, since sentences are cut at it.
+BAR = "\x01"
+
+
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(PIECE), 1)
+
+
+def _anchors(match: str) -> Column:
+    """The pieces that a name may wait under. In a prefix match the last word may go on in a text, so it is one only if there is no other."""
+    dark = lambda pieces: F.filter(pieces, lambda p: ~p.rlike(r"^\s$"))
+    pieces, last = F.col("pieces"), F.element_at("pieces", -1)
+    if match == "word":
+        return F.array_distinct(dark(pieces))
+    inner = F.when(last.rlike(WORD), F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
+    return F.array_distinct(F.when(F.size(dark(inner)) > 0, dark(inner)).otherwise(dark(pieces)))
+
+
 def link_names(sentences: DataFrame, names: DataFrame, *, match: str = "word", ignore_case: bool = False) -> DataFrame:
-    """(doc, pos, name) of the names that a sentence contains.
+    """(doc, pos, name) of the names that a sentence contains: of one word or many, in any script, with marks in them.
 
-    ``word``: as whole words, with a plural s allowed. ``prefix``: where a word begins. Whole
-    words meet in an equality join on each word and on the word without its s; for
-    prefixes each word is joined by its beginnings of the lengths that names have.
-    Names are single words; a name's last punctuation is not part of it.
+    ``word``: a name begins and ends where words do, with a plural s allowed; a mark at an end of a name (``C++``) is a border of its own.
+    ``prefix``: a name begins where a word does (one that begins with a mark: right after a word) and may end within one. White space and marks
+    within a name count as they are. Names of white space alone match nothing.
+
+    Sentences are cut into pieces. A name waits under its rarest piece in these texts, so the sentences that meet it are
+    few; those that have all of its pieces in a row are links. A piece that many sentences have is the rarest one only of
+    names that are as frequent; Spark splits its side of the join if it is skewed.
     """
     fold = F.lower if ignore_case else (lambda c: c)
-    words = sentences.select("doc", "pos", F.explode(F.array_distinct(F.regexp_extract_all(fold(F.col("sentence")), F.lit("([A-Za-z0-9]+)"), 1))).alias("word"))
-    keyed = names.select(fold(F.col("name")).alias("key"), "name").distinct()
+    keyed = names.select("name").where("name IS NOT NULL AND name <> ''").distinct().withColumn("pieces", _pieces(fold(F.col("name")))).withColumn("anchors", _anchors(match))
+    cut = sentences.select("doc", "pos", F.array_distinct(_pieces(fold(F.col("sentence")))).alias("pieces"))
+    words = cut.select("doc", "pos", F.explode("pieces").alias("piece")).where(~F.col("piece").rlike(r"^\s$"))
+    if match == "word":  # as it stands, and without the s of a plural
+        forms = F.array("piece", F.regexp_replace("piece", "(?<=.)s$", ""))
+    else:  # as it stands, and its beginnings of the lengths that names keyed by a last word have
+        only = keyed.where(F.size("anchors") == 1).select(F.length(F.col("anchors")[0]).alias("n")).distinct()
+        lengths = F.array(*map(F.lit, sorted(r["n"] for r in only.collect()))).cast("array<int>")
+        forms = F.array_append(F.transform(F.filter(lengths, lambda n: n < F.length("piece")), lambda n: F.substring("piece", F.lit(1), n)), F.col("piece"))
+    found = words.select("doc", "pos", F.explode(F.array_distinct(forms)).alias("key")).distinct()
+    anchors = keyed.select("name", "pieces", F.explode("anchors").alias("key"))
+    counts = found.join(anchors.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rarest = anchors.join(counts, "key", "left").groupBy("name", "pieces").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("r")).where("r.n > 0")
+    met = found.join(rarest.select("name", "pieces", F.col("r.key").alias("key")), "key")
+
+    alone = F.size("pieces") == 1  # to meet the key is to match; but a mark as a prefix stands right after a word
+    whole = alone if match == "word" else alone & F.col("pieces")[0].rlike(WORD)
+    bar, last = F.lit(BAR), F.element_at("pieces", -1).rlike(WORD)
+    lines = sentences.select("doc", "pos", F.concat(bar, F.array_join(_pieces(fold(F.col("sentence"))), BAR), bar).alias("line"))
+    needle = F.concat(bar, F.array_join("pieces", BAR))
     if match == "word":
-        keys = words.withColumn("key", F.explode(F.array_distinct(F.array("word", F.regexp_replace("word", "s$", "")))))
+        holds = F.contains("line", F.concat(needle, bar)) | (last & F.contains("line", F.concat(needle, F.lit("s"), bar)))
     else:
-        lengths = [r["n"] for r in keyed.select(F.length("key").alias("n")).distinct().collect()]
-        keys = words.withColumn("key", F.explode(F.transform(F.array(*map(F.lit, sorted(lengths))), lambda n: F.substring("word", F.lit(1), n))))
-        keys = keys.distinct()
-    return keys.join(keyed, "key").select("doc", "pos", "name").distinct()
+        quoted = F.regexp_replace(needle, r"([^\p{L}\p{N}_])", r"\\$1")
+        after = F.regexp_like("line", F.concat(F.lit(WORD), quoted))
+        holds = F.when(F.col("pieces")[0].rlike(WORD), F.contains("line", F.concat(needle, F.when(last, F.lit("")).otherwise(bar)))).otherwise(after)
+    rest = met.where(~whole).join(lines, ["doc", "pos"]).where(holds)
+    return met.where(whole).select("doc", "pos", "name").unionByName(rest.select("doc", "pos", "name")).distinct()
 
 
 def names_in_queries(queries: DataFrame, names: DataFrame, *, id: str, text: str, width: int = 3, block: int = 50_000) -> DataFrame:
@@ -129,13 +175,36 @@ def reduce_intervals(intervals: Column, ratio: float | None) -> Column:
     return F.aggregate(ordered, F.slice(ordered, 1, 0), step)
 
 
+def reduced(intervals: DataFrame, ratio: float | None) -> DataFrame:
+    """(doc, l, r): ``reduce_intervals`` of each doc's rows (doc, l, r), as they pass in order; only the open interval is held."""
+    rows = intervals.select("doc", F.col("l").cast("int").alias("l"), F.col("r").cast("int").alias("r")).distinct()
+    if ratio is None:
+        return rows
+    number = rows.schema["doc"].dataType.simpleString()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: tuple | None = None
+        for batch in batches:
+            done = []
+            for doc, l, r in zip(*(c.to_pylist() for c in batch.columns)):
+                if open_ and open_[0] == doc and open_[2] > l and (open_[2] - l + 1) / (min(open_[2] - open_[1], r - l) + 1) >= ratio:
+                    open_ = (doc, open_[1], max(open_[2], r))
+                else:
+                    done += [open_] if open_ else []
+                    open_ = (doc, l, r)
+            yield pa.record_batch([pa.array([d[k] for d in done], f.type) for k, f in enumerate(batch.schema)], names=["doc", "l", "r"])
+        if open_:
+            yield pa.record_batch([pa.array([open_[k]], f.type) for k, f in enumerate(batch.schema)], names=["doc", "l", "r"])
+
+    return rows.repartition("doc").sortWithinPartitions("doc", "l", "r").mapInArrow(fold, f"doc {number}, l int, r int")
+
+
 def text_units(sentences: DataFrame, links: DataFrame, *, expand: int = 1, ratio: float | None = 0.9) -> DataFrame:
     """(id, doc, l, r, content, names): pieces of text around names; documents without a name give none."""
     filled = fill_blanks(sentences, links).where(F.size("names") > 0)
     last = sentences.groupBy("doc").agg(F.max("pos").alias("last"))
     runs = islands(filled.select("doc", "pos", F.explode("names").alias("name")), last, expand=expand)
-    cut = runs.groupBy("doc").agg(reduce_intervals(F.collect_list(F.struct("l", "r")), ratio).alias("cuts")).select("doc", F.explode("cuts").alias("c"))
-    units = cut.select("doc", F.col("c.l").alias("l"), F.col("c.r").alias("r"))
+    units = reduced(runs, ratio)
     placed = units.withColumn("pos", F.explode(F.sequence("l", "r")))  # units meet sentences by place, not by document
     within = placed.join(sentences, ["doc", "pos"])
     content = within.groupBy("doc", "l", "r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ").alias("content"))

@@ -58,7 +58,7 @@ freq AS (SELECT name, count(DISTINCT doc) AS df FROM mentions GROUP BY name HAVI
 LINKS = (
     SENTENCES
     + r""",
-words AS (SELECT DISTINCT doc, pos, unnest(regexp_extract_all(sentence,'[A-Za-z0-9]+')) AS word FROM sents),
+words AS (SELECT DISTINCT doc, pos, unnest(regexp_extract_all(sentence,'[\p{L}\p{N}_]+')) AS word FROM sents),
 keyed AS (SELECT doc, pos, word AS key FROM words UNION SELECT doc, pos, regexp_replace(word,'s$','') FROM words),
 links AS (SELECT DISTINCT doc, pos, name FROM keyed JOIN freq ON key = name)
 """
@@ -74,6 +74,14 @@ sides AS (SELECT doc, pos, own,
 filled AS (SELECT doc, pos, coalesce(own, list_sort(list_distinct(list_concat(coalesce(b, []::VARCHAR[]), coalesce(a, []::VARCHAR[]))))) AS names FROM sides)
 """
 )
+#: A word is made of these; the border of a word is where they begin or end.
+LETTERS = r"[\p{L}\p{N}_]"
+PHRASES = rf"""{SENTENCES.split("mentions AS")[0]}
+phrases AS (SELECT name FROM (SELECT doc, unnest(regexp_extract_all(sentence, '{X.PHRASE}')) AS name FROM sents) GROUP BY name HAVING count(DISTINCT doc) >= 8)"""
+#: Every pair of a sentence and a phrase: where the sentence holds the phrase, is it between borders of words?
+PHRASE_LINKS = rf"""{PHRASES},
+held AS MATERIALIZED (SELECT doc, pos, name, sentence FROM sents JOIN phrases ON contains(sentence, name)),
+links AS (SELECT doc, pos, name FROM held WHERE regexp_matches(sentence, '(^|[^\p{{L}}\p{{N}}_])' || name || 's?($|[^\p{{L}}\p{{N}}_])'))"""
 VECTORS = "vec AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
 PAIRS = VECTORS + f""",
 pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS sim FROM vec a JOIN vec b ON a.label = b.label AND a.vec_id < b.vec_id
@@ -193,13 +201,30 @@ def entity_sentence_links(spark, sf_dir):
     return _links(spark, sf_dir)[2]
 
 
-@query(f"WITH {SENTENCES}, words AS (SELECT DISTINCT doc, pos, unnest(regexp_extract_all(sentence,'[A-Za-z0-9]+')) AS word FROM sents), hit AS (SELECT word, name FROM (SELECT DISTINCT word FROM words) JOIN freq ON starts_with(word, name)) SELECT DISTINCT doc, pos, name FROM words JOIN hit USING (word)")
+@query(f"WITH {SENTENCES}, words AS (SELECT DISTINCT doc, pos, unnest(regexp_extract_all(sentence,'{LETTERS}+')) AS word FROM sents), hit AS (SELECT word, name FROM (SELECT DISTINCT word FROM words) JOIN freq ON starts_with(word, name)) SELECT DISTINCT doc, pos, name FROM words JOIN hit USING (word)")
 def entity_prefix_links(spark, sf_dir):
     sentences = _sentences(spark, sf_dir)
     names = M.entity_frequencies(M.name_mentions(sentences))
     return M.link_names(sentences, names, match="prefix")
 
 
+def _phrases(sentences: DataFrame) -> DataFrame:
+    return M.entity_frequencies(M.name_mentions(sentences, X.PHRASE), least=8)
+
+
+@query(f"WITH {PHRASE_LINKS} SELECT * FROM links")
+def phrase_links(spark, sf_dir):
+    sentences = _sentences(spark, sf_dir)
+    return M.link_names(sentences, _phrases(sentences))
+
+
+@query(rf"""WITH {PHRASES}, held AS MATERIALIZED (SELECT doc, pos, name, lower(sentence) AS line FROM sents JOIN phrases ON contains(lower(sentence), lower(name)))
+SELECT doc, pos, name FROM held WHERE regexp_matches(line, '(^|[^\p{{L}}\p{{N}}_])' || lower(name))""")
+def phrase_prefix_links(spark, sf_dir):
+    sentences = _sentences(spark, sf_dir)
+    return M.link_names(sentences, _phrases(sentences), match="prefix", ignore_case=True)
+
+
 @query(f"WITH {FILLED} SELECT doc, pos, array_to_string(names, ',') AS names FROM filled")
 def blank_sentence_fill(spark, sf_dir):
     sentences, _, links = _links(spark, sf_dir)
@@ -250,6 +275,14 @@ def text_units(spark, sf_dir):
     return units.select("id", "doc", "l", "r", F.md5(F.col("content").cast("binary")).alias("content"), F.array_join("names", ",").alias("names"))
 
 
+@query(f"WITH RECURSIVE {UNITS.replace(LINKS, PHRASE_LINKS)} SELECT id, doc, l, r, md5(content) AS content, array_to_string(names, ',') AS names FROM units JOIN unit_names USING (doc, l, r)")
+def phrase_units(spark, sf_dir):
+    ensure_checkpoint_dir(spark)
+    sentences = _sentences(spark, sf_dir).checkpoint()  # read several times
+    units = M.text_units(sentences, M.link_names(sentences, _phrases(sentences)).checkpoint())
+    return units.select("id", "doc", "l", "r", F.md5(F.col("content").cast("binary")).alias("content"), F.array_join("names", ",").alias("names"))
+
+
 @query(f"WITH {LINKS} SELECT name, count(*) AS n_units, md5(string_agg(doc||':'||pos, ',' ORDER BY doc||':'||pos)) AS units FROM links GROUP BY name")
 def inverted_text_units(spark, sf_dir):
     _, names, links = _links(spark, sf_dir)

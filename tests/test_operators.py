@@ -1,4 +1,6 @@
 import itertools
+import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -29,6 +31,44 @@ def test_match_modes(spark):
     assert len(rows(M.link_names(s, upper, ignore_case=True), "pos")) == 2
 
 
+def test_names_of_words_and_marks(spark):
+    lines = ["We met in New York with Müller and Anna.", "New  York is not it, nor Newest York.", "Two New Yorks: O'Brien's and a C++ one.", "C+ and ÑC++11, über-Müllers", "x, y (z", "a(b) and (b)"]
+    s = spark.createDataFrame([(0, i, w) for i, w in enumerate(lines)], "doc long, pos int, sentence string")
+    n = spark.createDataFrame([(w,) for w in ["New York", "Müller", "Anna", "O'Brien", "C++", "Über", "(b", "nowhere York", " ", "", None]], "name string")
+    assert rows(M.link_names(s, n), "name", "pos") == [("(b", 5), ("Anna", 0), ("C++", 2), ("Müller", 0), ("Müller", 3), ("New York", 0), ("New York", 2), ("O'Brien", 2)]
+    folded = rows(M.link_names(s, n, ignore_case=True), "name", "pos")
+    assert ("Über", 3) in folded and len(folded) == 9
+
+
+PIECES_ = st.text(alphabet="abs +.(é_ ", max_size=9)
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(PIECES_, min_size=30, max_size=60), st.lists(st.text(alphabet="abs +(é", min_size=1, max_size=4), min_size=20, max_size=40))
+def test_links_against_all_pairs(spark, sentences, names):
+    """Prefixes are what a search for a word border and the name finds; words end there too."""
+    s = spark.createDataFrame([(0, i, w) for i, w in enumerate(sentences)], "doc long, pos int, sentence string").coalesce(1)
+    n = spark.createDataFrame([(w,) for w in names], "name string").coalesce(1)
+
+    def word(name, text):
+        left = r"(?<!\w)" if re.match(r"\w", name) else ""
+        return re.search(left + re.escape(name) + (r"s?(?!\w)" if re.search(r"\w$", name) else ""), text)
+
+    for match, holds in (("word", word), ("prefix", lambda name, text: re.search(r"\b" + re.escape(name), text))):
+        want = sorted({(name, i) for name in names if name.strip() for i, text in enumerate(sentences) if holds(name, text)})
+        assert rows(M.link_names(s, n, match=match), "name", "pos") == want
+
+
+def test_intervals_in_order(spark):
+    r = random.Random(3)
+    given_ = [(d, (l := r.randint(0, 60)), l + r.randint(0, 9)) for d in (1, 2, 3) for _ in range(80)]
+    df = spark.createDataFrame(given_, "doc long, l int, r int")
+    for ratio in (0.9, 0.4, None):
+        both = df.groupBy("doc").agg(M.reduce_intervals(F.collect_list(F.struct("l", "r")), ratio).alias("x")).select("doc", F.explode("x").alias("x")).select("doc", "x.l", "x.r")
+        assert rows(M.reduced(df, ratio), "doc", "l", "r") == rows(both, "doc", "l", "r")
+    assert M.reduced(df.limit(0), 0.9).count() == 0
+
+
 def test_fill_and_islands(spark):
     s = spark.createDataFrame([(0, i, "") for i in range(5)], "doc long, pos int, sentence string")
     links = spark.createDataFrame([(0, 0, "A"), (0, 3, "B")], "doc long, pos int, name string")
