@@ -740,6 +740,99 @@ def stream_upsert_graph(spark, sf_dir):
     return graphs.latest(spark, f"{folder}/graph")
 
 
+def _said(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Names of each sentence as entities, and each name with the next one as a relation; the sentence describes both."""
+    named = M.sentence_table(docs).select(F.col("doc"), F.col("pos"), F.col("sentence").alias("description"), F.array_distinct(X.names(F.col("sentence"))).alias("names"))
+    kind = F.when(F.length("name") % 3 == 0, "").otherwise(F.concat(F.lit("T"), (F.col("doc") % 4).cast("string")))
+    entities = named.select("doc", "pos", "description", F.explode("names").alias("name")).withColumn("type", kind)
+    pair = F.transform(F.slice("names", 2, F.size("names")), lambda n, i: F.struct(F.get("names", i).alias("source"), n.alias("target")))
+    relations = named.where(F.size("names") > 1).select("doc", "pos", "description", F.explode(pair).alias("p")).select("doc", "pos", "description", "p.source", "p.target")
+    return entities, relations
+
+
+def _streamed_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The graph of a stream that reads four files, stops, starts again, and meets files with documents that it has seen."""
+    from uuid import uuid4
+
+    from lorecraft.streaming import graphs
+
+    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid4().hex}"
+    docs = _docs(spark, sf_dir)
+    run = lambda: graphs.stream_graph(spark, f"{folder}/in", docs.schema, _said, f"{folder}/graph", f"{folder}/checkpoint", files_per_trigger=2).awaitTermination()
+    docs.where("doc_id % 3 > 0").repartition(4, "doc_id").write.parquet(f"{folder}/in")
+    run()
+    docs.where("doc_id % 3 = 0 OR doc_id % 7 = 1").repartition(3, "doc_id").write.mode("append").parquet(f"{folder}/in")
+    docs.where("doc_id % 5 = 0").repartition(1).write.mode("append").parquet(f"{folder}/in")
+    run()
+    return graphs.graph(spark, f"{folder}/graph")
+
+
+SAID = SENTENCES.split("mentions AS")[0] + """
+named AS (SELECT doc, pos, sentence, unnest(ns) AS name, unnest(range(len(ns))) AS place FROM (SELECT doc, pos, sentence, regexp_extract_all(sentence, '[A-Z][a-z]{4,}') AS ns FROM sents)),
+firsts AS (SELECT doc, pos, sentence, name, min(place) AS place FROM named GROUP BY ALL),
+placed AS (SELECT *, lead(name) OVER (PARTITION BY doc, pos ORDER BY place) AS next, CASE WHEN length(name) % 3 = 0 THEN '' ELSE 'T' || (doc % 4) END AS type FROM firsts)"""
+
+
+@query(f"""WITH {SAID},
+votes AS (SELECT name, type, row_number() OVER (PARTITION BY name ORDER BY count(*) DESC, type) AS r FROM placed WHERE type <> '' GROUP BY name, type)
+SELECT p.name, coalesce(any_value(v.type), '') AS type, count(*) FILTER (sentence <> '') AS n, md5(string_agg(sentence, '|' ORDER BY doc, pos)) AS descriptions, min(doc) AS first_doc FROM placed p LEFT JOIN votes v ON v.name = p.name AND r = 1 GROUP BY p.name""")
+def stream_graph_entities(spark, sf_dir):
+    entities = _streamed_graph(spark, sf_dir)[0]
+    return entities.select("name", "type", F.size("descriptions").cast("bigint").alias("n"), F.md5(F.array_join("descriptions", "|").cast("binary")).alias("descriptions"), "first_doc")
+
+
+@query(f"""WITH {SAID} SELECT least(name, next) AS source, greatest(name, next) AS target, count(*) AS n, md5(string_agg(sentence, '|' ORDER BY doc, pos)) AS descriptions FROM placed WHERE next IS NOT NULL GROUP BY ALL""")
+def stream_graph_relations(spark, sf_dir):
+    relations = _streamed_graph(spark, sf_dir)[1]
+    return relations.select("source", "target", "n", F.md5(F.array_join("descriptions", "|").cast("binary")).alias("descriptions"))
+
+
+def _replayed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """A stream of the events in the order of their arrival, and its folder: eight parts of their time, a file each. One in ten comes a part late, in
+    time for a watermark of a part and a half; one in ten of the first six parts comes four parts late; one in five comes
+    again in the next part. A last row, much later, settles all that is open."""
+    from uuid import uuid4
+
+    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid4().hex}"
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    span = events.agg(F.min(F.unix_micros("ts")).alias("low"), F.max(F.unix_micros("ts")).alias("high")).first()
+    part = F.expr(f"(unix_micros(ts) - {span['low']}) * 8 div {span['high'] - span['low'] + 1}")
+    rows = events.withColumn("part", part).withColumn("comes", F.expr("part + CASE event_id % 10 WHEN 3 THEN 1 WHEN 7 THEN if(part <= 5, 4, 0) ELSE 0 END"))
+    again = rows.where("event_id % 5 = 0").withColumn("comes", F.col("comes") + 1)
+    end = rows.limit(1).withColumns({"event_id": F.lit(-1).cast("bigint"), "ts": F.timestamp_micros(F.lit(span["high"] + 400 * 86_400 * 10**6)), "comes": F.lit(99).cast("bigint")})
+    for k in [*range(10), 99]:
+        rows.unionByName(again).unionByName(end).where(F.col("comes") == k).select(*events.columns).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    late = f"{(span['high'] - span['low'] + 1) * 3 // 16} microseconds"
+    from lorecraft.streaming.graphs import settled
+
+    return settled(stream, late=late), folder
+
+
+#: The rows that count: all but those that come four parts late.
+ARRIVED = """span AS (SELECT min(epoch_us(ts)) AS low, max(epoch_us(ts)) AS high FROM events),
+arrived AS (SELECT e.* FROM events e CROSS JOIN span WHERE NOT (event_id % 10 = 7 AND (epoch_us(ts) - low) * 8 // (high - low + 1) <= 5))"""
+
+
+@query(f"WITH {ARRIVED} SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM arrived GROUP BY ALL")
+def late_event_windows(spark, sf_dir):
+    from lorecraft.streaming import graphs
+
+    rows, folder = _replayed(spark, sf_dir)
+    out = graphs.written(graphs.event_windows(rows, size="1 hour"), f"{folder}/out", f"{folder}/checkpoint")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(f"""WITH {ARRIVED}, e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM arrived WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, run""")
+def late_user_sessions(spark, sf_dir):
+    from lorecraft.streaming import graphs
+
+    rows, folder = _replayed(spark, sf_dir)
+    out = graphs.written(graphs.user_sessions(rows), f"{folder}/out", f"{folder}/checkpoint")
+    return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
 @query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
     from lorecraft.streaming.graphs import event_windows as windows
