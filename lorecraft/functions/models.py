@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorecraft.session import ship_package
+from lorecraft.session import ensure_checkpoint_dir, ship_package
 
 
 class LanguageModel(Protocol):
@@ -92,6 +92,14 @@ def complete(df: DataFrame, prompt: str, out: str, model: Callable[[], LanguageM
     return _called(df, prompt, out, "string", lambda: model().complete, batch, threads, tries, wait)
 
 
+def complete_once(df: DataFrame, prompt: str, out: str, model: Callable[[], LanguageModel], **options) -> DataFrame:
+    """``df`` with replies, each distinct prompt sent once; replies are kept, so they are the same wherever ``df`` is used."""
+    ensure_checkpoint_dir(df.sparkSession)
+    asked = df.select(F.col(prompt).alias("__asked")).where("__asked IS NOT NULL").distinct()
+    replies = complete(asked, "__asked", out, model, **options).select("__asked", out).checkpoint()
+    return df.join(replies, F.col(prompt) == F.col("__asked"), "left").drop("__asked")
+
+
 def embed(df: DataFrame, text: str, out: str, model: Callable[[], EmbeddingModel], *, batch: int = 10, threads: int = 4, tries: int = 3, wait: float = 1.0) -> DataFrame:
     """``df`` with vectors of the texts of a column."""
     return _called(df, text, out, "array<double>", lambda: model().embed, batch, threads, tries, wait)

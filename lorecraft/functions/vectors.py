@@ -114,8 +114,8 @@ def similar_pairs(df: DataFrame, *, id: str, vector: str, group: str, threshold:
     return met.mapInPandas(products, "a bigint, b bigint, similarity double")
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, *, query_id: str, query: str, id: str, vector: str, k: int, threshold: float | None = None, block: int = BLOCK, scaled: bool = True) -> DataFrame:
-    """(query, id, similarity, rank) of the ``k`` most similar rows of ``corpus`` for each query.
+def nearest(queries: DataFrame, corpus: DataFrame, *, query_id: str, query: str, id: str, vector: str, k: int | None, threshold: float | None = None, block: int = BLOCK, scaled: bool = True) -> DataFrame:
+    """(query, id, similarity, rank) of the ``k`` most similar rows of ``corpus`` for each query; None: of all at ``threshold`` or more.
 
     Similarity is the cosine, or the dot product of vectors as they are if not ``scaled``. Ties go to the smaller id; ``threshold`` (inclusive) applies after the ranking.
     Query blocks meet corpus blocks; each pair gives the best ``k`` of a query, which are
@@ -131,6 +131,10 @@ def nearest(queries: DataFrame, corpus: DataFrame, *, query_id: str, query: str,
         for batch in batches:
             for r in batch.itertuples():
                 s, ids = np.stack(r.qvectors) @ np.stack(r.vectors).T, np.asarray(r.ids)
+                if k is None:
+                    i, j = np.nonzero(s >= threshold)
+                    yield pd.DataFrame({"query": np.asarray(r.qids)[i], "id": ids[j], "similarity": s[i, j]})
+                    continue
                 edge = np.partition(s, s.shape[1] - min(k, s.shape[1]), axis=1)[:, s.shape[1] - min(k, s.shape[1])]
                 i, j = np.nonzero(s >= edge[:, None])
                 order = np.lexsort((ids[j], -s[i, j], i))
@@ -140,5 +144,8 @@ def nearest(queries: DataFrame, corpus: DataFrame, *, query_id: str, query: str,
                 yield pd.DataFrame({"query": np.asarray(r.qids)[i], "id": ids[j], "similarity": s[i, j]})
 
     found = q.crossJoin(c).mapInPandas(best, "query bigint, id bigint, similarity double")  # blocks, not rows
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id")))
+    if k is None:
+        return ranked
+    ranked = ranked.where(F.col("rank") <= k)
     return ranked if threshold is None else ranked.where(F.col("similarity") >= threshold)

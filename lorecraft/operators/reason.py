@@ -8,8 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lorecraft.functions import parse as P
+from lorecraft.functions import prompt_texts as W
+from lorecraft.functions.models import EmbeddingModel, LanguageModel, complete_once, embed
 from lorecraft.session import ensure_checkpoint_dir
 
+#: Rows (query, question, entity, relation), each once, to (query, entity, relation, score).
+Scorer = Callable[[DataFrame], DataFrame]
+
 
 def explore(front: DataFrame, edges: DataFrame, score: Callable[..., Column], width: int) -> DataFrame:
     """(query, entity, relation, next, score): the best ``width`` relations of each query's frontier (query, entity).
@@ -77,8 +83,129 @@ def answer_prompts(questions: DataFrame, lines: DataFrame) -> DataFrame:
 
     ``questions`` is (query, question), ``lines`` (query, line) as ``triplets`` gives them.
     """
-    from lorecraft.functions import prompt_texts as W
-
     facts = lines.groupBy("query").agg(F.array_join(F.array_sort(F.collect_set("line")), "\n").alias("facts"))
     prompt = F.coalesce(F.when(F.col("facts").isNotNull(), W.fill(W.REASON_WITH, question=F.col("question"), facts=F.col("facts"))), W.fill(W.REASON_ALONE, question=F.col("question")))
     return questions.join(facts, "query", "left").select("query", prompt.alias("prompt"))
+
+
+def by_model(model: Callable[[], LanguageModel], **options) -> Scorer:
+    """A language model chooses among the relations of an entity and scores them; what it names beside them takes a place and leads nowhere."""
+
+    def score(rows: DataFrame) -> DataFrame:
+        listed = rows.groupBy("query", "question", "entity").agg(F.array_join(F.array_sort(F.collect_set("relation")), "; ").alias("relations"))
+        prompt = W.fill(W.RELATIONS, question=F.col("question"), entity=F.col("entity"), relations=F.col("relations"))
+        replied = complete_once(listed.withColumn("__prompt", prompt), "__prompt", "__reply", model, **options)
+        return replied.select("query", "entity", F.explode(P.relation_scores(F.col("__reply"))).alias("r")).select("query", "entity", "r.relation", "r.score").dropDuplicates(["query", "entity", "relation"])
+
+    return score
+
+
+def _best(scored: DataFrame, width: int) -> DataFrame:
+    """The best ``width`` of each entity; where all of those are zero they share 1."""
+    order = Window.partitionBy("query", "entity").orderBy(F.desc("score"), "relation")
+    best = scored.withColumn("n", F.row_number().over(order)).where(F.col("n") <= width)
+    lists = best.groupBy("query", "entity").agg(F.array_sort(F.collect_list(F.struct("n", "relation", "score"))).alias("l"))
+    shared = lists.withColumn("s", P.shared_scores(F.transform("l", lambda x: x["score"])))
+    return shared.select("query", "entity", F.explode(F.arrays_zip(F.transform("l", lambda x: x["relation"]).alias("relation"), F.col("s").alias("score"))).alias("r")).select("query", "entity", F.col("r.relation").alias("relation"), F.col("r.score").alias("score"))
+
+
+def by_bm25(width: int = 3, *, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> Scorer:
+    """Okapi BM25 of the question over the relations of each entity, words between single spaces; a word that most of them have counts ``epsilon`` of the mean."""
+
+    def score(rows: DataFrame) -> DataFrame:
+        texts = rows.select("entity", "relation").distinct().withColumn("w", F.split("relation", " "))
+        corpus = texts.groupBy("entity").agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("w")).alias("mean"))
+        tf = texts.select("entity", "relation", F.size("w").alias("n"), F.explode("w").alias("word")).groupBy("entity", "relation", "n", "word").agg(F.count(F.lit(1)).alias("tf"))
+        df = tf.groupBy("entity", "word").agg(F.count(F.lit(1)).alias("df")).join(corpus, "entity")
+        df = df.withColumn("raw", F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+        mean = df.groupBy("entity").agg(F.avg("raw").alias("mean_idf"))
+        idf = df.join(mean, "entity").select("entity", "word", "mean", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+        asked = rows.select("query", "question", "entity").distinct().select("query", "entity", F.explode(F.split("question", " ")).alias("word")).groupBy("query", "entity", "word").agg(F.count(F.lit(1)).alias("times"))
+        part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
+        met = asked.join(tf.join(idf, ["entity", "word"]), ["entity", "word"]).groupBy("query", "entity", "relation").agg(F.sum(part).alias("score"))
+        every = rows.select("query", "entity", "relation").join(met, ["query", "entity", "relation"], "left")
+        return _best(every.withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9)), width)
+
+    return score
+
+
+def by_embedding(embedding: Callable[[], EmbeddingModel], width: int = 3) -> Scorer:
+    """The dot product of the question's and each relation's vector; a text is embedded once."""
+
+    def score(rows: DataFrame) -> DataFrame:
+        ensure_checkpoint_dir(rows.sparkSession)
+        texts = rows.select(F.explode(F.array("question", "relation")).alias("t")).distinct()
+        known = embed(texts, "t", "v", embedding).select("t", "v").checkpoint()
+        q, r = known.select(F.col("t").alias("question"), F.col("v").alias("q")), known.select(F.col("t").alias("relation"), F.col("v").alias("r"))
+        dot = F.aggregate(F.zip_with("q", "r", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        return _best(rows.join(q, "question").join(r, "relation").select("query", "entity", "relation", F.round(dot, 9).alias("score")), width)
+
+    return score
+
+
+def entities_by_model(model: Callable[[], LanguageModel], **options) -> Callable[[DataFrame], DataFrame]:
+    """Scores of the entities (query, question, relation, score, next) that a relation leads to: a model's shares of the relation's score."""
+
+    def score(rows: DataFrame) -> DataFrame:
+        listed = rows.groupBy("query", "question", "relation").agg(F.max("score").alias("score"), known_candidates(F.array_sort(F.collect_set("next"))).alias("names"))
+        prompt = W.fill(W.ENTITIES, question=F.col("question"), relation=F.col("relation"), entities=F.array_join("names", "; "))
+        asked = listed.withColumn("__prompt", F.when(F.size("names") > 1, prompt))  # one alone has all of the score
+        replied = complete_once(asked, "__prompt", "__reply", model, **options)
+        shares = F.when(F.col("__prompt").isNull(), F.array(F.lit(1.0))).otherwise(P.scores(F.coalesce("__reply", F.lit("")), F.size("names")))
+        pairs = replied.select("query", "score", F.explode(F.arrays_zip(F.col("names").alias("next"), shares.alias("share"))).alias("p"))
+        return pairs.groupBy("query", F.col("p.next").alias("next")).agg(F.round(F.max(F.col("score") * F.col("p.share")), 9).alias("score"))
+
+    return score
+
+
+def reason_with(
+    questions: DataFrame,
+    seeds: DataFrame,
+    edges: DataFrame,
+    scorer: Scorer,
+    *,
+    depth: int = 3,
+    width: int = 3,
+    entity_scorer: Callable[[DataFrame], DataFrame] | None = None,
+    judge: Callable[[], LanguageModel] | None = None,
+    **options,
+) -> DataFrame:
+    """(query, depth, entity, relation, next, score): steps of queries that a model, BM25 or vectors guide; each query stops on its own.
+
+    ``questions`` is (query, question), ``seeds`` (query, entity), ``edges`` (source, target, relation), read in both directions. In a step the
+    ``scorer`` ranks the relations of a query's entities and the best ``width`` are taken; the entities that these lead to, by
+    ``entity_scorer`` or in the order of their names, are the next ``width``. A query ends where nothing is found, or when the ``judge`` says
+    that its facts so far suffice. Every model call of a step is one job over all queries, and each distinct prompt is sent once.
+    """
+    ensure_checkpoint_dir(seeds.sparkSession)
+    forth, back = edges.select("source", "target", "relation"), edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "relation")
+    both = forth.unionByName(back).select(F.col("source").alias("entity"), "relation", F.col("target").alias("next")).distinct().checkpoint()
+    front, steps = seeds.select("query", "entity").distinct(), None
+    for level in range(1, depth + 1):
+        here = front.join(questions, "query").join(both.select("entity", "relation").distinct(), "entity").select("query", "question", "entity", "relation")
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "relation", "entity")
+        chosen = scorer(here).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= width).drop("__n").checkpoint()
+        reached = chosen.join(both, ["entity", "relation"]).join(questions, "query").select("query", "question", "relation", "score", "next").distinct()
+        if entity_scorer is None:
+            found, first = reached.select("query", "next").distinct(), [F.col("next")]
+        else:
+            found, first = entity_scorer(reached), [F.desc("score"), F.col("next")]
+        best = found.withColumn("__n", F.row_number().over(Window.partitionBy("query").orderBy(*first))).where(F.col("__n") <= width).select("query", "next")
+        step = chosen.join(best, "query").select("query", F.lit(level).alias("depth"), "entity", "relation", "next", "score").checkpoint()
+        steps = step if steps is None else steps.unionByName(step)
+        if level == depth:
+            break
+        front = step.select("query", F.col("next").alias("entity")).distinct()
+        if judge is not None:
+            facts = triplets(steps.join(front.select("query").distinct(), "query", "left_semi")).groupBy("query").agg(F.array_join(F.array_sort(F.collect_set("line")), "\n").alias("facts"))
+            asked = facts.join(questions, "query").select("query", W.fill(W.ENOUGH, question=F.col("question"), facts=F.col("facts")).alias("__prompt"))
+            done = complete_once(asked, "__prompt", "__reply", judge, **options).where(says_yes(F.coalesce("__reply", F.lit("")))).select("query")
+            front = front.join(done, "query", "left_anti")
+        front = front.checkpoint()
+    return steps
+
+
+def answer_by_reasoning(questions: DataFrame, steps: DataFrame, model: Callable[[], LanguageModel], **options) -> DataFrame:
+    """(query, answer): answers from the facts of the steps, or from the model alone where there are none."""
+    asked = answer_prompts(questions, triplets(steps).select("query", "line"))
+    return complete_once(asked, "prompt", "answer", model, **options).select("query", "answer")

@@ -45,13 +45,19 @@ def exact_or_nearest(names: DataFrame, entities: DataFrame, nearest: DataFrame)
     return exact.select("name", "id").unionByName(rest.select("name", "id"))
 
 
+def ranked_texts(sources: DataFrame, name: str) -> DataFrame:
+    """(key, ``name``): the contents (key, rank, content) of each key in the order of their rank, a line each."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"])
+    return sources.groupBy("key").agg(F.array_join(ordered, "\n").alias(name))
+
+
 def context(entities: DataFrame, relations: DataFrame, sources: DataFrame) -> DataFrame:
     """One text per key: sections of entities (key, name, description), relationships (key, source, target,
-    description) and sources (key, content), each sorted."""
+    description) and sources (key, content), each sorted; sources with a ``rank`` by that."""
     join = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "\n")
     e = entities.groupBy("key").agg(join(F.concat_ws(": ", "name", "description")).alias("e"))
     r = relations.groupBy("key").agg(join(F.concat(F.col("source").cast("string"), F.lit(" -> "), F.col("target").cast("string"), F.lit(": "), F.coalesce("description", F.lit("")))).alias("r"))
-    s = sources.groupBy("key").agg(join(F.col("content")).alias("s"))
+    s = ranked_texts(sources, "s") if "rank" in sources.columns else sources.groupBy("key").agg(join(F.col("content")).alias("s"))
     sections = [F.lit("=====Entities====="), F.coalesce("e", F.lit("")), F.lit("=====Relationships====="), F.coalesce("r", F.lit("")), F.lit("=====Sources====="), F.coalesce("s", F.lit(""))]
     return e.join(r, "key", "full").join(s, "key", "full").select("key", F.concat_ws("\n", *sections).alias("context"))
 

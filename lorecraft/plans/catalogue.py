@@ -858,4 +858,4 @@ def star_rollup(spark, sf_dir):
     return rows.rollup(F.col("n_name").alias("nation"), F.year("o_orderdate").cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(revenue), 2).alias("revenue")).na.fill({"nation": "all", "year": 0})
 
 
-from lorecraft.plans import catalogue_data  # noqa: E402, F401  (registers more queries)
+from lorecraft.plans import catalogue_data, catalogue_models  # noqa: E402, F401  (register more queries)
