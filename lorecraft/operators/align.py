@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -32,9 +33,8 @@ def by_type(entities: DataFrame) -> Step:
 
 def _lists(reply: str) -> bool:
     """Whether a reply holds a JSON list of lists."""
-    at = reply.find("[")
-    try:
-        found = json.loads(reply[at : reply.rfind("]") + 1])
+    try:  # commas before an end are forgiven, as ``parse.json_slice`` does
+        found = json.loads(re.sub(r",(\s*\])", r"\1", reply[reply.find("[") : reply.rfind("]") + 1]))
     except ValueError:
         return False
     return isinstance(found, list) and all(isinstance(x, list) for x in found)

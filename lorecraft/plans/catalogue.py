@@ -613,7 +613,7 @@ def instruct_format(spark, sf_dir):
     return r.select("id", digest(R.instruct(q, a)).alias("instruct"), digest(R.bracketed(q)).alias("bracketed"), digest(R.task_input(F.col("type"), q)).alias("task"), (F.length(q) + F.length(a)).cast("bigint").alias("n"))
 
 
-@query("""SELECT doc_id, md5(text || chr(10) || 'Question: Does this imply that "' || lang || '"? no, yes?') AS input, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS output, quality AS label FROM labels JOIN documents USING (doc_id)""")
+@query("""SELECT doc_id, md5(text || chr(10) || 'Claim: "' || lang || '". Does it hold? no, yes.') AS input, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS output, quality AS label FROM labels JOIN documents USING (doc_id)""")
 def template_apply(spark, sf_dir):
     book = R.TemplateRegistry()
     book.add("documents", None, "implied", R.verdict("text", "lang", "label", ("no", "yes")))

@@ -262,24 +262,46 @@ def task_contexts(spark, sf_dir):
     return made.join(contexts, F.col("context") == F.col("key"), "left_semi")
 
 
-@query("""WITH t AS (SELECT doc_id, quality, 'yes' AS y, 'no' AS n, lang, text FROM labels JOIN documents USING (doc_id) WHERE text IS NOT NULL AND lang IS NOT NULL)
-SELECT doc_id, 'contract_nli' AS dataset, md5(text || chr(10) || 'Question: Does this imply that "' || lang || '"? yes, no, maybe?') AS input, CASE quality WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END AS output FROM t
-UNION ALL SELECT doc_id, 'pubmed_qa', md5(text || chr(10) || chr(10) || 'Question: ' || lang || chr(10) || 'Choose one: yes, no, maybe.' || chr(10) || 'Answer:'), CASE quality WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END FROM t
-UNION ALL SELECT doc_id, 'bio_qa', md5(text || chr(10) || chr(10) || 'Question: ' || lang || chr(10) || 'Answer:'), quality::VARCHAR FROM t
-UNION ALL SELECT doc_id, 'hotpot_qa', md5('Question: ' || lang || chr(10) || 'Answer:'), quality::VARCHAR FROM t""")
+@query("""WITH t AS (SELECT doc_id, coalesce(text, '') AS x, coalesce(lang, '') AS q, doc_id % 3 AS l, CASE doc_id % 4 WHEN 0 THEN 'SUPPORTS' WHEN 1 THEN 'REFUTES' WHEN 2 THEN 'NOT ENOUGH INFO' END AS v, CASE WHEN toxic = 1 THEN 'Relevant' ELSE 'Irrelevant' END AS a FROM labels JOIN documents USING (doc_id)),
+made AS (SELECT doc_id, 'contract_nli.follows' AS template, 'Contract: ' || x || chr(10) || 'Does it follow that "' || q || '"? Reply yes, no or maybe.' AS input, CASE l WHEN 0 THEN 'No' WHEN 1 THEN 'Yes' ELSE 'Maybe' END AS output FROM t
+UNION ALL SELECT doc_id, 'contract_nli.given', 'Given only ' || x || ', the sentence "' || q || '" is true, false or inconclusive:', CASE l WHEN 0 THEN 'False' WHEN 1 THEN 'True' ELSE 'Inconclusive' END FROM t
+UNION ALL SELECT doc_id, 'vitaminc.read', 'Read this evidence. ' || x || chr(10) || chr(10) || 'Claim: ' || q || chr(10) || 'Does the evidence bear the claim out (yes, no, maybe)?', CASE v WHEN 'REFUTES' THEN 'No' WHEN 'SUPPORTS' THEN 'Yes' ELSE 'Maybe' END FROM t
+UNION ALL SELECT doc_id, 'vitaminc.judge', x || chr(10) || chr(10) || 'Judge "' || q || '" by the evidence: true, false or inconclusive?', CASE v WHEN 'REFUTES' THEN 'False' WHEN 'SUPPORTS' THEN 'True' ELSE 'Inconclusive' END FROM t
+UNION ALL SELECT doc_id, 'pubmed_qa.passage', 'Passage: ' || x || ' ' || q || chr(10) || chr(10) || 'Question: ' || q || chr(10) || 'Reply YES, NO or MAYBE.', coalesce(v, '') FROM t
+UNION ALL SELECT doc_id, 'privacy_policy_qa.word', 'Policy: ' || x || chr(10) || 'Question: ' || q || chr(10) || 'Relevant or Irrelevant?', a FROM t
+UNION ALL SELECT doc_id, 'privacy_policy_qa.pair', q || chr(10) || x || chr(10) || 'Do the two lines belong together?', CASE a WHEN 'Relevant' THEN 'Yes' ELSE 'No' END FROM t
+UNION ALL SELECT doc_id, 'bio_qa.answer', x || chr(10) || chr(10) || 'Question: ' || q || chr(10) || 'Answer:', a FROM t
+UNION ALL SELECT doc_id, 'hotpot_qa.answer', q, a FROM t)
+SELECT doc_id, template, md5(regexp_replace(input, '^\\s+|\\s+$', '', 'g')) AS input, output FROM made""")
 def evaluation_prompts(spark, sf_dir):
-    """Four of the evaluation sets' templates over one table."""
+    """Templates of each evaluation set over one table."""
     book = R.evaluation_templates()
-    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").where("text IS NOT NULL AND lang IS NOT NULL")
-    text, lang, q = F.col("text"), F.col("lang"), F.col("quality")
-    made = {
-        "contract_nli": book.choose("contract_nli", None, "implied").apply(premise=text, hypothesis=lang, label=q),
-        "pubmed_qa": book.choose("pubmed_qa", None, "choose").apply(context=text, question=lang, final_decision=q),
-        "bio_qa": book.choose("bio_qa", None, "answer").apply(context=text, question=lang, answer=q.cast("string")),
-        "hotpot_qa": book.choose("hotpot_qa", None, "answer").apply(question=lang, answer=q.cast("string")),
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    d, text, lang = F.col("doc_id"), F.col("text"), F.col("lang")
+    verdict = F.when(d % 4 == 0, "SUPPORTS").when(d % 4 == 1, "REFUTES").when(d % 4 == 2, "NOT ENOUGH INFO")
+    answer = F.when(F.col("toxic") == 1, "Relevant").otherwise("Irrelevant")
+    given = {
+        "contract_nli": {"premise": text, "hypothesis": lang, "label": d % 3},
+        "vitaminc": {"evidence": text, "claim": lang, "label": verdict},
+        "pubmed_qa": {"context": F.struct(F.array(F.coalesce(text, F.lit("")), F.coalesce(lang, F.lit(""))).alias("contexts")), "question": lang, "final_decision": verdict},
+        "privacy_policy_qa": {"text": text, "question": lang, "answer": answer},
+        "bio_qa": {"context": text, "question": lang, "answer": answer},
+        "hotpot_qa": {"question": lang, "answer": answer},
     }
-    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("dataset"), t.alias("t")) for k, t in made.items()])).alias("x")
-    return rows.select("doc_id", parts).select("doc_id", "x.dataset", digest(F.col("x.t.input")).alias("input"), F.col("x.t.output").alias("output"))
+    names = ["contract_nli.follows", "contract_nli.given", "vitaminc.read", "vitaminc.judge", "pubmed_qa.passage", "privacy_policy_qa.word", "privacy_policy_qa.pair", "bio_qa.answer", "hotpot_qa.answer"]
+    made = [F.struct(F.lit(n).alias("template"), book.choose((s := n.split("."))[0], None, s[1]).apply(**given[s[0]]).alias("t")) for n in names]
+    return rows.select("doc_id", F.explode(F.array(*made)).alias("x")).select("doc_id", "x.template", digest(F.col("x.t.input")).alias("input"), F.col("x.t.output").alias("output"))
+
+
+@query("""SELECT doc_id, md5(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) AS input, md5('Contract: {{context}}' || chr(10) || 'Does it follow that "' || coalesce(lang, '') || '"? Reply yes, no or maybe.' || chr(10) || '[pipe]' || chr(10) || CASE doc_id % 3 WHEN 0 THEN 'No' WHEN 1 THEN 'Yes' ELSE 'Maybe' END) AS output FROM documents""")
+def masked_templates(spark, sf_dir):
+    """A template that asks for a task: the context in, the rest with the context left open out."""
+    from lorecraft.functions.templates import masked
+
+    made = masked(R.evaluation_templates().choose("contract_nli", None, "follows"), "{{ premise }}")
+    d = table(spark, sf_dir, "documents")
+    t = made.apply(premise=F.col("text"), hypothesis=F.col("lang"), label=F.col("doc_id") % 3, copy_context=F.lit("{{context}}"))
+    return d.select("doc_id", t.alias("t")).select("doc_id", digest(F.col("t.input")).alias("input"), digest(F.col("t.output")).alias("output"))
 
 
 @query(f"""WITH {LINKS}, known AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS id FROM freq), g AS (SELECT doc, name FROM links GROUP BY ALL),

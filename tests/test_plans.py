@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lorecraft.functions import prompt_texts as W
@@ -112,3 +113,86 @@ def test_array_file(spark, tmp_path):
     io.write_array(spark.range(3), str(tmp_path / "a"))
     text = "".join(p.read_text() for p in (tmp_path / "a").glob("part-*"))
     assert json.loads(text) == [{"id": 0}, {"id": 1}, {"id": 2}]
+
+
+class Flaky:
+    """Replies with no list at first."""
+
+    calls = 0
+
+    def complete(self, prompts):
+        Flaky.calls += 1
+        return ["no list" if Flaky.calls < 3 else 'Sure: [["a", "b", "ghost"], ["c"], ["d", "a"],]' for _ in prompts]
+
+
+def test_groups_by_a_model(spark):
+    from lorecraft.functions.clients import Scripted
+    from lorecraft.operators import align as A
+    from lorecraft.operators import graph as G
+
+    entities = spark.createDataFrame([(i, n, t, None) for i, (n, t) in enumerate([("a", "T"), ("b", "T"), ("c", "T"), ("d", "T"), ("e", ""), ("f", None)])], "id long, name string, type string, description string")
+    groups = spark.createDataFrame([(0, i) for i in range(6)], "group long, id long")
+    steps = [A.by_type(entities), A.by_model(entities, Flaky, tries=5, wait=0.0)]
+    assert sorted(tuple(r) for r in G.refine(groups, steps).select("group", "id").collect()) == [(0, 0), (0, 1), (0, 3)]
+    never = A.by_model(entities, lambda: Scripted(lambda p: "none"), tries=2, wait=0.0)
+    assert G.refine(groups, [never]).count() == 0 and G.refine(groups.limit(0), [never]).count() == 0
+    with pytest.raises(ValueError):
+        A.by_model(entities, Flaky, most=5, overlap=5)
+
+
+def test_long_groups_are_united(spark):
+    """A chain of pairs across prompts of three names is one group."""
+    import json
+
+    from lorecraft.functions.clients import Scripted
+    from lorecraft.operators import align as A
+
+    n = 20
+    entities = spark.createDataFrame([(i, f"n{i:02}", "T", None) for i in range(n)], "id long, name string, type string, description string")
+    groups = spark.createDataFrame([(0, i) for i in range(n)], "group long, id long")
+    seen = lambda p: json.dumps([p.split("\n")[1:]])
+    out = A.by_model(entities, lambda: Scripted(seen), most=3, overlap=1)(groups).collect()
+    assert sorted((r["group"], r["id"]) for r in out) == [(0, i) for i in range(n)]
+
+
+def test_reasoning_stops_by_query(spark):
+    from lorecraft.functions.clients import Scripted
+    from lorecraft.operators import reason as Z
+
+    edges = spark.createDataFrame([("a", "b", "r1"), ("b", "c", "r2"), ("c", "d", "r3"), ("x", "y", "r1"), ("y", "z", "r2")], "source string, target string, relation string")
+    asked = spark.createDataFrame([("q1", "about a"), ("q2", "stop early"), ("q3", "lost")], "query string, question string")
+    seeds = spark.createDataFrame([("q1", "a"), ("q2", "x"), ("q3", "nowhere")], "query string, entity string")
+
+    def rule(prompt):
+        if "Relations: " in prompt:
+            return " ".join(f"{{{r} (Score: 0.5)}}" for r in prompt.rsplit("Relations: ", 1)[1].split("; ")) + " {ghost (Score: 0.9)}"
+        return "{Yes}" if "stop" in prompt else "{No}"
+
+    steps = Z.reason_with(asked, seeds, edges, Z.by_model(lambda: Scripted(rule)), width=3, judge=lambda: Scripted(rule))
+    depth = {r["query"]: r["d"] for r in steps.groupBy("query").agg(F.max("depth").alias("d")).collect()}
+    assert depth == {"q1": 3, "q2": 1}
+    assert [r["relation"] for r in steps.where("query = 'q2'").orderBy("relation").collect()] == ["ghost", "r1"]
+    got = {r["query"]: r["answer"] for r in Z.answer_by_reasoning(asked, steps, lambda: Scripted(lambda p: "facts" if "Facts:" in p else "alone")).collect()}
+    assert got == {"q1": "facts", "q2": "facts", "q3": "alone"}
+    ranked = Z.by_bm25(2)(spark.createDataFrame([("q", "big cat", "e", r) for r in ("big dog", "small cat x", "a b", "c d", "e f")], "query string, question string, entity string, relation string"))
+    assert [r["relation"] for r in ranked.orderBy(F.desc("score")).collect()] == ["big dog", "small cat x"]
+    nothing = Z.by_bm25(2)(spark.createDataFrame([("q", "none", "e", r) for r in ("u", "v", "w")], "query string, question string, entity string, relation string"))
+    assert [(r["relation"], r["score"]) for r in nothing.orderBy("relation").collect()] == [("u", 0.5), ("v", 0.5)]
+
+
+def test_answers_in_two_stages_with_made_vectors(spark):
+    from lorecraft.functions.clients import Scripted
+    from lorecraft.functions.models import HashEmbedding
+    from lorecraft.plans import answer as N
+    from lorecraft.plans.build import Graph
+
+    units = spark.createDataFrame([("u1", "red fox runs", [0]), ("u2", "blue whale swims", [1]), ("u3", "green frog jumps", [1, 2])], "id string, content string, entities array<long>")
+    entities = spark.createDataFrame([(0, "fox", "an animal", []), (1, "whale", "large", [2]), (2, "frog", "small", [])], "id long, name string, description string, alias array<long>")
+    relations = spark.createDataFrame([(0, 1, "fox sees whale"), (1, 2, "red fox runs")], "source long, target long, description string")
+    asked = spark.createDataFrame([(1, "red fox runs"), (2, "green frog jumps")], "query long, question string")
+    rule = lambda p: "I CANNOT ANSWER" if "Question: green" in p and "Relationships" not in p else "fine"
+    got = {r["query"]: r for r in N.answer(asked, Graph(entities, relations, units), lambda: Scripted(rule), HashEmbedding, first=1, top_k=2, similar=0.9).collect()}
+    assert (got[1]["step"], got[1]["context"]) == (1, "=====Sources=====\nred fox runs")
+    assert got[2]["step"] == 2 and got[2]["context"].startswith("=====Entities=====\nwhale: large") and "green frog jumps" in got[2]["context"]
+    bare = N.answer(asked, Graph(entities, relations, units), lambda: Scripted(lambda p: "ok"), HashEmbedding, with_graph=False)
+    assert {r["step"] for r in bare.collect()} == {1}
