@@ -9,24 +9,23 @@ more than its own coding error, so the codes lose no link. Candidates are settle
 their cosine in double precision. Lists beyond a border are probed from one side only:
 the border is as near to the one vector of a link as the step between them allows to the other.
 
-How far a query looks beyond a border: a step of the threshold's length goes that far in
-the border's direction only if all of it does. ``spread`` (default 3.5) takes that many
-standard deviations of a step with the directions that vectors have around their
-centroids, measured for each pair of lists, so data of few dimensions probe as far as the
-step is long. The sample's own links are a check: ``spread`` doubles until 99 in 100 of
-them are found. ``spread=None`` probes all lists that the triangle inequality leaves,
-which loses no link.
+A query probes all lists that the triangle inequality leaves, so no link is lost. ``spread`` gives up that proof for
+fewer probes: a step of the threshold's length goes all of it in the border's direction only by chance, so a query
+looks only ``spread`` standard deviations of a step beyond a border, with the directions that vectors have around
+their centroids, measured for each pair of lists. The sample's own links are a check: ``spread`` doubles until 99 in 100 of
+them are found.
 
 Each length of vectors is indexed on its own: vectors of different lengths never link. The
-models are fitted on a sample of at most ``SAMPLE`` vectors a length and broadcast; lengths with
-at most ``BLOCK`` vectors have one list and no codes. Every vector is indexed and every
+models are fitted on a sample of at most ``SAMPLE`` vectors a length and broadcast; lengths with no more
+vectors than there are codewords have nothing to code: one list. Every vector is indexed and every
 vector is a query. Lists are worked on in blocks of members and queries, so a label or
 list that holds a third of the vectors is only more blocks. A block returns link counts and
 a spanning forest, never all links. Equal vectors of a label are one vector with a count.
 
 Vectors that are null, zero, or hold null or non-finite components, and those with a null
 label, link with nothing: ``n_links`` 0, their own component. Rows that share an id with
-others join one component.
+others join one component. Vectors of any finite size count: each is scaled by its greatest component before its length is taken.
+Equal cosines at the threshold link. An empty table gives an empty one; only the three named columns are read, whatever others are called.
 """
 
 from __future__ import annotations
@@ -54,7 +53,14 @@ SAMPLE = 200_000
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((centres * centres).sum(1) - 2 * x @ centres.T).argmin(1)
+    norm, step = (centres * centres).sum(1), max(1, 8_000_000 // max(1, len(centres)))
+    return np.concatenate([np.zeros(0, np.int64), *((norm - 2 * x[k : k + step] @ centres.T).argmin(1) for k in range(0, len(x), step))])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length one, whatever their size."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -75,17 +81,20 @@ class Quantizer:
     codewords: list[np.ndarray]  # for each subspace, codeword x its dimensions
     cuts: list[tuple[int, int]]
     radius: float  # distance of unit vectors at the threshold
-    apart: np.ndarray  # list x list: distances of centres
-    reach: np.ndarray  # list x list: how far beyond their border a query looks
+    reach: np.ndarray | None = None  # list x list: how far beyond their border a query looks; none: as far as the threshold goes
 
     @staticmethod
     def plain(dimension: int, threshold: float) -> "Quantizer":
         """One list without codes: everything is a candidate."""
-        none = np.zeros((1, 1))
-        return Quantizer(np.zeros((1, dimension)), [], [], math.sqrt(max(0.0, 2 - 2 * threshold)), none, none)
+        return Quantizer(np.zeros((1, dimension)), [], [], math.sqrt(max(0.0, 2 - 2 * threshold)))
+
+    def apart(self, at: np.ndarray) -> np.ndarray:
+        """Distances of some centres to all."""
+        norm = (self.centres**2).sum(1)
+        return np.sqrt(np.maximum(norm[at][:, None] + norm - 2 * self.centres[at] @ self.centres.T, 0))
 
     @staticmethod
-    def fit(x: np.ndarray, lists: int, threshold: float, subspaces: int = 8, spread: float | None = 3.5, seed: int = 1) -> "Quantizer":
+    def fit(x: np.ndarray, lists: int, threshold: float, subspaces: int = 8, spread: float | None = None, seed: int = 1) -> "Quantizer":
         rng = np.random.default_rng(seed)
         centres = k_means(x, lists, 12 if lists <= 1024 else 4, rng)
         own = _nearest(x, centres)
@@ -93,10 +102,10 @@ class Quantizer:
         edges = np.linspace(0, x.shape[1], min(subspaces, x.shape[1]) + 1).astype(int)
         cuts = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
         radius = math.sqrt(max(0.0, 2 - 2 * threshold))
-        apart = np.sqrt(np.maximum((centres**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * centres @ centres.T, 0))
-        model = Quantizer(centres, [k_means(left[:, a:b], CODEWORDS, 8, rng) for a, b in cuts], cuts, radius, apart, np.full(apart.shape, radius))
+        model = Quantizer(centres, [k_means(left[:, a:b], CODEWORDS, 8, rng) for a, b in cuts], cuts, radius)
         if spread is None:
             return model
+        apart = model.apart(np.arange(len(centres)))
         # how much of a step goes in the direction between two centres, by the directions of the residuals
         unit = left / np.maximum(np.linalg.norm(left, axis=1, keepdims=True), 1e-12)
         turned = centres @ (unit.T @ unit / len(unit))
@@ -128,7 +137,9 @@ class Quantizer:
             left = some - self.centres[at]
             code = np.stack([_nearest(left[:, a:b], w) for (a, b), w in zip(self.cuts, self.codewords)], 1) if self.cuts else np.zeros((len(some), 0), int)
             rest = left - np.concatenate([w[code[:, s]] for s, w in enumerate(self.codewords)], 1) if self.cuts else left
-            probe = square - square[np.arange(len(some)), at][:, None] <= 2 * self.reach[at] * self.apart[at] + 1e-9
+            lists, place = np.unique(at, return_inverse=True)
+            reach = self.radius if self.reach is None else self.reach[at]
+            probe = square - square[np.arange(len(some)), at][:, None] <= 2 * reach * self.apart(lists)[place] + 1e-9
             probe &= np.arange(len(self.centres)) >= at[:, None]
             own.append(at), codes.append(code.astype(np.uint8)), error.append(np.sqrt((rest * rest).sum(1)))
             probes += [np.flatnonzero(p) for p in probe]
@@ -164,8 +175,7 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _units(raw: list[bytes], kind: str) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), kind).astype(float).reshape(len(raw), -1)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return _unit(np.frombuffer(b"".join(raw), kind).astype(float).reshape(len(raw), -1))
 
 
 def link_block(model: Quantizer, threshold: float, kind: str, queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
@@ -225,11 +235,11 @@ def _model(vectors: DataFrame, size: int, labels: float, threshold: float, sprea
     if not len(taken):
         taken = vectors.limit(1).toArrow()
     x = taken.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(taken), -1)
-    return Quantizer.fit(x / np.linalg.norm(x, axis=1, keepdims=True), lists, threshold, spread=spread)
+    return Quantizer.fit(_unit(x), lists, threshold, spread=spread)
 
 
 def vector_duplicates(
-    df: DataFrame, *, id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, spread: float | None = 3.5
+    df: DataFrame, *, id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, spread: float | None = None
 ) -> DataFrame:
     """One row per row of ``df``: ``id``, ``n_links``, ``component_id`` and ``kept``.
 
@@ -245,7 +255,7 @@ def vector_duplicates(
     usable = rows.where(F.col("label").isNotNull() & F.col("id").isNotNull() & _usable(F.col("vector")))
     distinct = usable.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("length", F.size("vector")).withColumn("item", F.monotonically_increasing_id()).checkpoint()
     counted = distinct.groupBy("length", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("length")
-    large = counted.agg(F.sum("n").alias("n"), (F.sum(F.col("n").cast("double") ** 2) / F.sum("n")).alias("labels")).where(F.col("n") > BLOCK).collect()
+    large = counted.agg(F.sum("n").alias("n"), (F.sum(F.col("n").cast("double") ** 2) / F.sum("n")).alias("labels")).where(F.col("n") > CODEWORDS).collect()
     models = {r["length"]: _model(distinct.where(F.col("length") == r["length"]).select("vector"), r["n"], r["labels"], threshold, spread) for r in large}
     shared = spark.sparkContext.broadcast(models)
 
@@ -261,8 +271,7 @@ def vector_duplicates(
             for length in np.unique(lengths).tolist():
                 at = np.flatnonzero(lengths == length)
                 raw = batch.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(at), length)
-                unit = raw.astype(float)
-                own, codes, error, probes = model_of(length).encode(unit / np.linalg.norm(unit, axis=1, keepdims=True))
+                own, codes, error, probes = model_of(length).encode(_unit(raw.astype(float)))
                 for k, row in zip(at.tolist(), zip([v.tobytes() for v in raw], own.tolist(), [c.tobytes() for c in codes], error.tolist(), [p.tolist() for p in probes])):
                     out[k] = row
             columns = list(zip(*out)) or [()] * 5

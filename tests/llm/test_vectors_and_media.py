@@ -31,9 +31,10 @@ def brute(rows, threshold=0.93):
     return {i: (links[i], find(i)) for i in links}
 
 
-@pytest.mark.parametrize("block", [2048, 16])
-def test_vectors_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, codewords", [(2048, 256), (16, 16), (64, 64)])
+def test_vectors_against_brute_force(spark, monkeypatch, block, codewords):
     monkeypatch.setattr(V, "BLOCK", block)
+    monkeypatch.setattr(V, "CODEWORDS", codewords)  # fewer vectors have lists and codes
     r = np.random.default_rng(3)
     rows, n = [], 0
     for g in range(3):
@@ -84,6 +85,15 @@ def test_probes_find_links_of_data_with_few_dimensions(k):
         assert np.mean(found) >= least
 
 
+def test_sizes_of_vectors_do_not_matter(spark):
+    r = np.random.default_rng(8)
+    near = [(1e200, 1e200), (1e200, 1.0001e200), (1e-200, 1e-200), (5e-324, 5e-324), (1.7e308, 1.7e308), (1e-200, -1e-200), (1.0, 0.0)]
+    rows = [(i, 0, list(v)) for i, v in enumerate(near)] + [(100 + i, 1, (v * 10.0 ** r.integers(-300, 300)).tolist()) for i, v in enumerate(r.normal(size=(300, 4)))]
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in V.vector_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()}
+    scaled = brute([(i, g, (np.array(v) / np.abs(v).max()).tolist()) for i, g, v in rows])
+    assert got == scaled and got[0] == (4, 0) and got[5] == (0, 5)
+
+
 def test_vector_edges(spark):
     kind = "vec_id long, label int, embedding array<float>"
     assert V.vector_duplicates(spark.createDataFrame([], kind)).count() == 0
