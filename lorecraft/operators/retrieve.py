@@ -10,12 +10,14 @@ from lorecraft.functions import text as T
 from lorecraft.session import ensure_checkpoint_dir
 
 
-def bm25(docs: DataFrame, queries: DataFrame, *, id: str, text: str, query_id: str, query: str, k: int = 5, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """(query, id, score, rank): the ``k`` best documents by Okapi BM25; documents without a query word are none.
+#: Words of a query, its rarest, whose documents are scored first; and what scores may differ by through rounding.
+RAREST, MARGIN = 3, 2e-6
 
-    Words are lower-cased runs between white space. A word that most documents have gets
-    ``epsilon`` times the mean inverse frequency in place of a negative one. Scores
-    are rounded to six places before they are ranked; ties go to the smaller id.
+
+def postings(docs: DataFrame, queries: DataFrame, *, id: str, text: str, query_id: str, query: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> tuple[DataFrame, DataFrame]:
+    """What a word that is asked for brings each document that has it, (word, id, impact), and the words of the queries, (query, word, times, df, most).
+
+    ``df`` is how many documents have the word, ``most`` what it brings at most. Words that no document has are left out.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     words = docs.select(F.col(id).alias("id"), T.tokens(F.lower(F.col(text))).alias("w"))
@@ -24,11 +26,54 @@ def bm25(docs: DataFrame, queries: DataFrame, *, id: str, text: str, query_id: s
     total = lengths.agg(F.sum("n").alias("words")).crossJoin(docs.agg(F.count(F.lit(1)).alias("docs"))).select("docs", (F.col("words") / F.col("docs")).alias("mean"))
     df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df")).crossJoin(total)
     idf = df.withColumn("raw", F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    idf = idf.crossJoin(idf.agg(F.avg("raw").alias("mean_idf"))).select("word", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"), "mean")
+    idf = idf.crossJoin(idf.agg(F.avg("raw").alias("mean_idf"))).select("word", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"), "mean")
     asked = queries.select(F.col(query_id).alias("query"), F.explode(T.tokens(F.lower(F.col(query)))).alias("word")).groupBy("query", "word").agg(F.count(F.lit(1)).alias("times"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    met = asked.join(idf, "word").join(tf, "word")
-    scored = met.join(lengths, "id").groupBy("query", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    known = idf.join(asked.select("word").distinct(), "word", "left_semi")
+    impact = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
+    held = tf.join(known, "word").join(lengths, "id").select("word", "id", "df", impact.alias("impact")).checkpoint()
+    most = held.groupBy("word", "df").agg(F.greatest(F.max("impact"), F.lit(0.0)).alias("most"))
+    return held.drop("df"), asked.join(most, "word").checkpoint()
+
+
+def _looked_up(pairs: DataFrame, words: DataFrame, held: DataFrame) -> DataFrame:
+    """(query, id, score): what the given words (query, word, times) bring pairs (query, id)."""
+    return pairs.join(words.select("query", "word", "times"), "query").join(held, ["word", "id"]).groupBy("query", "id").agg(F.sum(F.col("times") * F.col("impact")).alias("score"))
+
+
+def bounded(asked: DataFrame, held: DataFrame, k: int) -> DataFrame:
+    """The words of the queries with ``least``, a score that the ``k``-th best document has at least, and whether they are ``essential``.
+
+    ``least`` comes from the documents that have one of a query's rarest words. A document without any essential word can't reach
+    it: all that the others, the most frequent ones, bring at most (``rest``) is less.
+    """
+    rare = asked.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("df", "word"))).where(F.col("r") <= RAREST)
+    tried = rare.select("query", "word").join(held.select("word", "id"), "word").select("query", "id").distinct()
+    ranked = _looked_up(tried, asked, held).withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"))))
+    least = ranked.where(F.col("r") == k).select("query", F.col("score").alias("least"))
+    upto = F.sum(F.col("times") * F.col("most")).over(Window.partitionBy("query").orderBy(F.desc("df"), "word"))
+    out = asked.join(least, "query", "left").withColumn("upto", upto)
+    out = out.withColumn("essential", F.col("least").isNull() | (F.col("upto") >= F.col("least") - MARGIN))
+    rest = F.coalesce(F.max(F.when(~F.col("essential"), F.col("upto"))).over(Window.partitionBy("query")), F.lit(0.0))
+    return out.withColumn("rest", rest).drop("upto")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, *, id: str, text: str, query_id: str, query: str, k: int = 5, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """(query, id, score, rank): the ``k`` best documents by Okapi BM25; documents without a query word are none.
+
+    Words are lower-cased runs between white space. A word that most documents have gets
+    ``epsilon`` times the mean inverse frequency in place of a negative one. Scores
+    are rounded to six places before they are ranked; ties go to the smaller id.
+
+    The documents of a query's rarest words give a score to beat; only documents with a word that can make the difference are then scored, by
+    those words, and only those that can still beat it are looked up for the frequent ones. The rows are those of scoring all.
+    """
+    held, asked = postings(docs, queries, id=id, text=text, query_id=query_id, query=query, k1=k1, b=b, epsilon=epsilon)
+    words = bounded(asked, held, k).checkpoint()
+    bound = words.select("query", "least", "rest").distinct()
+    part = words.where("essential").join(held, "word").groupBy("query", "id").agg(F.sum(F.col("times") * F.col("impact")).alias("part"))
+    left = part.join(bound, "query").where(F.col("least").isNull() | (F.col("part") + F.col("rest") >= F.col("least") - MARGIN)).select("query", "id", "part").checkpoint()
+    more = _looked_up(left.select("query", "id"), words.where("NOT essential"), held)
+    scored = left.join(more, ["query", "id"], "left").select("query", "id", F.round(F.col("part") + F.coalesce("score", F.lit(0.0)), 6).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 

@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lorecraft.functions.models import EchoModel, HashEmbedding, complete, embed, gleaned
 from lorecraft.operators import graph as G
@@ -175,6 +176,30 @@ def test_bm25(spark):
     assert [(r["id"], r["score"]) for r in got] == [(0, pytest.approx(0.468647, abs=1e-6))]
 
 
+def test_bm25_scores_few_documents_and_finds_the_same(spark):
+    """Against scores of all pairs, with ties, words that nothing has, and corpora whose words are all frequent."""
+    r = random.Random(6)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(150)]
+    texts = [(i, " ".join(r.choices(common, k=r.randint(1, 30)) + r.choices(rare, k=r.randint(0, 3)))) for i in range(300)]
+    asked = [(j, " ".join(r.sample(common, 6) + r.sample(rare, j % 4) + ["nowhere"])) for j in range(12)] + [(50, "c0 c1"), (51, "none"), (52, None)]
+    docs, q = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(asked, "qid long, q string")
+    for own in (docs, docs.where("id < 4")):
+        held, words = S.postings(own, q, id="id", text="text", query_id="qid", query="q")
+        score = F.round(F.sum(F.col("times") * F.col("impact")), 6)
+        every = words.join(held, "word").groupBy("query", "id").agg(score.alias("score"))
+        best = every.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where("rank <= 3")
+        assert rows(S.bm25(own, q, id="id", text="text", query_id="qid", query="q", k=3), "query", "id", "score", "rank") == rows(best, "query", "id", "score", "rank")
+
+
+def test_bounds_leave_out_frequent_words(spark):
+    r = random.Random(7)
+    texts = [(i, " ".join(r.choices(["the", "of", "and", "to"], k=20) + [f"w{i % 100}", f"v{i % 70}"])) for i in range(400)]
+    q = spark.createDataFrame([(j, f"the of and w{j} v{j}") for j in range(10)], "qid long, q string")
+    held, words = S.postings(spark.createDataFrame(texts, "id long, text string"), q, id="id", text="text", query_id="qid", query="q")
+    split = S.bounded(words, held, 3).checkpoint()
+    assert split.where("essential").join(held, "word").count() * 5 < words.join(held, "word").count()
+
+
 def test_seeds_and_fallback(spark):
     u = spark.createDataFrame([([1, 2],), ([1],), ([1, 3],)], "names array<long>")
     assert rows(S.frequent_seeds(u), "name", "n") == [(1, 3)]
