@@ -95,41 +95,36 @@ def link_names(sentences: DataFrame, names: DataFrame, *, match: str = "word", i
     return met.where(whole).select("doc", "pos", "name").unionByName(rest.select("doc", "pos", "name")).distinct()
 
 
-def names_in_queries(queries: DataFrame, names: DataFrame, *, id: str, text: str, width: int = 3, block: int = 50_000) -> DataFrame:
-    """(query, entity, name, rank): the first ``width`` names, by entity id, that occur in a query's text.
+#: Letters of a key of names that may stand anywhere in a text.
+GRAM = 3
 
-    Case is ignored and parts of words count. Names come in blocks, each an Aho-Corasick
-    automaton; every query meets every block.
-    """
-    import pandas as pd
 
-    from lorecraft.session import ship_package
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` characters of a text; the text is cut into characters once."""
 
-    ship_package(queries.sparkSession)
-    blocks = (
-        names.select(F.col("id").cast("bigint").alias("entity"), F.lower("name").alias("name"))
-        .withColumn("b", F.floor(F.col("entity") / block))
-        .groupBy("b")
-        .agg(F.collect_list("entity").alias("entities"), F.collect_list("name").alias("names"))
-    )
+    def cut(chars: Column) -> Column:
+        own = F.slice(chars, F.lit(1), F.greatest(F.size(chars) - (size - 1), F.lit(0)))
+        return F.array_distinct(F.transform(own, lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, size)])))
 
-    def search(batches):
-        import ahocorasick
+    return F.transform(F.array(F.split(text, "")), cut)[0]
 
-        for batch in batches:
-            found = []
-            for names_, part in batch.groupby("b"):
-                automaton = ahocorasick.Automaton()
-                for e, n in zip(part["entities"].iloc[0], part["names"].iloc[0]):
-                    automaton.add_word(n, (int(e), n))
-                automaton.make_automaton()
-                for q, t in zip(part["query"], part["text"]):
-                    found += [(q, *hit) for hit in {v for _, v in automaton.iter(t)}]
-            yield pd.DataFrame(found, columns=["query", "entity", "name"])
 
+def names_in_queries(queries: DataFrame, names: DataFrame, *, id: str, text: str, width: int = 3) -> DataFrame:
+    """(query, entity, name, rank): the first ``width`` names, by entity id, that occur in a query's text.
+
+    Case is ignored and parts of words count; empty names occur nowhere. A name waits under the run of three of its characters that fewest
+    texts have (a shorter name under itself), texts bring their runs, and those that meet are searched for the whole name.
+    """
+    rows = names.select(F.col("id").cast("bigint").alias("entity"), F.lower("name").alias("name")).where("name <> ''")
     asked = queries.select(F.col(id).cast("bigint").alias("query"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
-    found = asked.crossJoin(blocks.select("b", "entities", "names")).mapInPandas(search, "query bigint, entity bigint, name string")
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("entity"))).where(F.col("rank") <= width)
+    short = [r["n"] for r in rows.where(F.length("name") < GRAM).select(F.length("name").alias("n")).distinct().collect()]
+    found = asked.select("query", F.explode(F.concat(*[_grams(F.col("text"), n) for n in sorted({*short, GRAM})])).alias("key")).distinct()
+    keyed = rows.select("entity", "name", F.explode(F.when(F.length("name") < GRAM, F.array("name")).otherwise(_grams(F.col("name"), GRAM))).alias("key"))
+    counts = found.join(keyed.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    met_by = keyed.join(counts, "key", "left").groupBy("entity", "name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("r")).where("r.n > 0")
+    met = found.join(met_by.select("entity", "name", F.col("r.key").alias("key")), "key").select("query", "entity", "name")
+    hits = met.join(asked, "query").where(F.contains("text", F.col("name"))).select("query", "entity", "name").distinct()
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("entity", "name"))).where(F.col("rank") <= width)
 
 
 def fill_blanks(sentences: DataFrame, links: DataFrame) -> DataFrame:

@@ -200,6 +200,19 @@ def test_bounds_leave_out_frequent_words(spark):
     assert split.where("essential").join(held, "word").count() * 5 < words.join(held, "word").count()
 
 
+def test_names_anywhere_in_texts(spark):
+    r = random.Random(9)
+    names = [(i, "".join(r.choices("aBé .", k=r.randint(0, 6)))) for i in range(60)] + [(60, "Ab"), (61, "b"), (62, None)]
+    texts = [(j, "".join(r.choices("abÉ .x", k=r.randint(0, 40)))) for j in range(25)] + [(25, None), (26, "ab" * 30_000)]
+    got = M.names_in_queries(spark.createDataFrame(texts, "q long, t string"), spark.createDataFrame(names, "id long, name string"), id="q", text="t", width=4)
+    want = []
+    for q, t in texts:
+        hits = [(e, n.lower()) for e, n in names if n and n.lower() in (t or "").lower()]
+        want += [(q, e, n, rank + 1) for rank, (e, n) in enumerate(sorted(hits)[:4])]
+    assert rows(got, "query", "entity", "name", "rank") == sorted(want)
+    assert M.names_in_queries(spark.createDataFrame(texts, "q long, t string"), spark.createDataFrame([], "id long, name string"), id="q", text="t").count() == 0
+
+
 def test_seeds_and_fallback(spark):
     u = spark.createDataFrame([([1, 2],), ([1],), ([1, 3],)], "names array<long>")
     assert rows(S.frequent_seeds(u), "name", "n") == [(1, 3)]
