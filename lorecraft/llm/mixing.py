@@ -102,25 +102,29 @@ def _fold(seed: int, level: int) -> Column:
 
 
 def _settle(last: DataFrame, leaves: DataFrame) -> DataFrame:
-    """What the last document of each source owes, or is owed, moves to documents of its leaf block.
+    """The last document of each source, taken once more or not, and what then changes in its leaf block: (source, id, more).
 
-    Drawing the last document moves it off its fraction by some of its words. Settled
-    documents of the block it comes from, from long to short, change sides as long as
-    they fit into what remains. Returns changes of ``more`` by document.
+    Either way moves that document off its fraction by some of its words. Settled documents of the block it comes from, from long to
+    short, change sides as long as they fit into what remains. Of the two ways the one that leaves fewer words is taken, of equal ones the drawn one.
     """
     owed = last.select(
         F.col("source").alias("__last"),
+        "u",
+        "drawn",
         F.pmod("u.h", "__blocks").alias("__leaf"),
-        ((F.col("u.p") - F.col("more")) * F.col("u.w")).alias("owed"),
-    )
+        F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("way"),
+    ).withColumn("owed", (F.col("u.p") - F.col("way")) * F.col("u.w"))
     blocks = owed.join(leaves, F.col("__last").eqNullSafe(F.col("source")) & (F.col("__leaf") == F.col("b")))
     changes = F.expr(
         "aggregate(array_sort(filter(f.done, d -> d.more = if(owed > 0, 0, 1)), (x, y) -> CASE WHEN x.w > y.w THEN -1 WHEN x.w < y.w THEN 1 WHEN x.h > y.h THEN -1 WHEN x.h < y.h THEN 1 ELSE 0 END),"
         f" named_struct('left', abs(owed), 'moved', CAST(array() AS array<{DONE}>)),"
-        " (s, d) -> if(d.w <= s.left, named_struct('left', s.left - d.w, 'moved', concat(s.moved, array(d))), s)).moved"
+        " (s, d) -> if(d.w <= s.left, named_struct('left', s.left - d.w, 'moved', concat(s.moved, array(d))), s))"
     )
-    sign = F.when(F.col("owed") > 0, F.lit(1)).otherwise(F.lit(-1)).cast("bigint")
-    return blocks.select("source", sign.alias("more"), F.explode(changes).alias("d")).select("source", "d.id", "more")
+    tried = blocks.withColumn("c", changes)
+    best = tried.groupBy("source").agg(F.min_by(F.struct("u", "way", "owed", "c.moved"), F.struct("c.left", F.when(F.col("way") == F.col("drawn"), 0).otherwise(1))).alias("x"))
+    sign = F.when(F.col("x.owed") > 0, F.lit(1)).otherwise(F.lit(-1)).cast("bigint")
+    own = best.select("source", F.col("x.u.id").alias("id"), F.col("x.way").alias("more"))
+    return own.unionByName(best.select("source", sign.alias("more"), F.explode("x.moved").alias("d")).select("source", "d.id", "more"))
 
 
 def _plan_units(
@@ -177,8 +181,7 @@ def _plan_units(
         if widest <= 1:
             break
         fractions, widest, level = left, math.ceil(widest / block), level + 1
-    last = left.select("source", "u", F.expr(f"CAST({_draw(str(seed), '-1', 'u.h')} < u.p AS BIGINT)").alias("more"))
-    decided.append(last.select("source", "u.id", "more"))
+    last = left.select("source", "u", F.expr(f"CAST({_draw(str(seed), '-1', 'u.h')} < u.p AS BIGINT)").alias("drawn"))
     decided.append(_settle(last.join(named, F.col("source").eqNullSafe(F.col("__source"))), leaves))
     more = decided[0]
     for part in decided[1:]:

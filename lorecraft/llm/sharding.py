@@ -1,7 +1,7 @@
 """Two-pass external shuffle of whole rows into shards of equal row counts, in DataFrame operations.
 
 Pass one gives every row a seeded hash and scatters the rows uniformly into buckets
-that fit a task's memory. Pass two shuffles each bucket by Fisher-Yates (Spark's
+that fit a task's memory, whatever a row holds: short and empty rows count too. Pass two shuffles each bucket by Fisher-Yates (Spark's
 ``shuffle`` of an array), deals the buckets, one after the other, to the shards and
 writes these as Parquet. The position of a row in the whole shuffled order decides:
 shard = position mod shards, slot = position div shards. So the law is ``rows``:
@@ -12,7 +12,7 @@ so a row repeated for a third of the table still spreads over all buckets. Only
 whose hash is in a slot that holds equal rows take that way, the others move once. The
 result depends on the rows and the seed only, not on how the input was split.
 The input is read several times and must give the same rows each time (else an
-error): checkpoint one that doesn't. Nulls are values like others; an empty table gives
+error): checkpoint one that doesn't. A very long text is a record like others: a bucket is as large as its records, at least one. Nulls are values like others; an empty table gives
 an empty result; input columns named like a result are replaced. Columns must be orderable (no maps).
 """
 
@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 from pyspark.sql.window import Window
 
 from lorecraft.llm.mixing import numbered
@@ -32,13 +33,30 @@ RESULTS = ("law", "shard", "slot", "grown_shard")
 SLOTS = 1 << 16
 
 
+def record_bytes(df: DataFrame) -> Column:
+    """The bytes of a row in a task's memory, about: 64, what texts and bytes hold, and 16 for each value beside."""
+
+    def of(name: str, kind: DataType) -> Column:
+        c = F.col(f"`{name}`")
+        if isinstance(kind, (StringType, BinaryType)):
+            return F.octet_length(c)
+        if isinstance(kind, ArrayType):
+            texts = isinstance(kind.elementType, (StringType, BinaryType))
+            return F.size(c) * 16 + (F.aggregate(c, F.lit(0).cast("bigint"), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0))) if texts else 0)
+        return F.octet_length(F.to_json(F.struct(c))) if isinstance(kind, StructType) else F.lit(16)
+
+    out = F.lit(64).cast("bigint")
+    for field in df.schema.fields:
+        out = out + F.coalesce(of(field.name, field.dataType), F.lit(0)).cast("bigint")
+    return out
+
+
 def external_shuffle(
-    df: DataFrame, *, shards: int = 8, seed: int = 7, size: str = "size", bucket_bytes: int = 32 << 20, path: str | None = None
+    df: DataFrame, *, shards: int = 8, seed: int = 7, bucket_bytes: int = 32 << 20, path: str | None = None
 ) -> DataFrame:
     """``df`` with ``law``, ``shard`` (0 to ``shards`` - 1), ``slot`` and ``grown_shard`` (null here), read from the shards.
 
-    ``size`` names the column with a row's bytes; buckets hold about
-    ``bucket_bytes`` of them (raise it with the input: 1 GiB for 100 TB). The shards are
+    Buckets hold about ``bucket_bytes`` of records (raise it with the input: 1 GiB for 100 TB). The shards are
     folders ``shard=0``, ... of ``path``, a new folder beside the checkpoints if None; a
     shard's files hold its rows by slot, in the order of their names.
     """
@@ -46,7 +64,7 @@ def external_shuffle(
     path = path or f"{ensure_checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
     columns = [c for c in df.columns if c not in RESULTS]
     keyed = df.select(*columns).withColumn("__key", F.xxhash64(F.lit(seed), F.lit(1).cast("bigint"), *columns))
-    total = df.agg(F.coalesce(F.sum(F.coalesce(F.col(size), F.lit(0)).cast("bigint")), F.lit(0))).first()[0]
+    total = df.agg(F.coalesce(F.sum(record_bytes(df.select(*columns))), F.lit(0))).first()[0]
     buckets = max(1, -(-int(total) // bucket_bytes))
     slot_of = F.pmod("__key", F.lit(SLOTS)).alias("__equal")
     # at most SLOTS rows; other rows that share a slot with equal ones are counted too, and are once there

@@ -171,3 +171,25 @@ def test_texts_reach_the_shards(spark, docs, tmp_path):
     assert sum(stored) == rows.count() and max(stored) - min(stored) <= 1
     places = sorted(r["slot"] for r in out.where("doc_id = 901").collect())
     assert places[0] < out.count() / 8 / 4 and places[-1] > out.count() / 8 * 3 / 4  # copies spread over the order
+
+
+def test_record_bytes_count_all_columns(spark):
+    from lorecraft.llm.sharding import record_bytes
+
+    df = spark.createDataFrame([(None, None, None, 1), ("", "é" * 10, ["ab", None], 2)], "a string, b string, c array<string>, d int")
+    assert [r[0] for r in df.select(record_bytes(df)).collect()] == [80, 64 + 20 + 32 + 2 + 16]
+
+
+def test_small_sources_come_near(spark):
+    """Ten documents a source, one of them long: the last one goes the way that leaves less."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lorecraft.llm.mixing import plan_mix
+
+    r = random.Random(12)
+    rows = [(100 * s + i, f"s{s}", " ".join(["w"] * (r.randint(20, 300) if i else 3000))) for s in range(12) for i in range(10)]
+    plan = plan_mix(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    for x in plan.groupBy("source").agg(F.max("target").alias("t"), F.sum("taken").alias("k")).collect():
+        assert abs(x["k"] - x["t"]) <= 0.1 * x["t"]
