@@ -112,7 +112,7 @@ def test_templates(one):
     book = R.TemplateRegistry()
     book.add("d", None, "t", R.verdict("p", "c", "l", ("no", "yes")))
     made = one(book.choose("d", None, "t").apply(p=lit("P"), c=lit("C"), l=lit(1)))
-    assert made["output"] == "yes" and made["input"].startswith("P\nQuestion:")
+    assert made["output"] == "yes" and made["input"] == 'P\nClaim: "C". Does it hold? no, yes.'
     assert list(book.gather("d")) == ["t"]
     qa = R.question_answering("c", "q", "a").apply(c=lit("C"), q=lit("Q"), a=lit("A"))
     assert one(qa)["input"] == "C\n\nQuestion: Q\nAnswer:"
