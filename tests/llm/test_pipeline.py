@@ -48,7 +48,7 @@ def test_query_against_its_sql(spark, name):
     import duckdb
 
     duck = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         duck.sql(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     want = duck.sql(queries.oracle_sql()[name])
     got = queries.queries()[name](spark, FOLDER).select(*want.columns)
@@ -74,9 +74,10 @@ def test_query(spark, name):
     got = queries.queries()[name](spark, FOLDER)
     if name in ("mix_targets", "shard_law"):
         return  # a row a source or shard
-    table = "embeddings" if name in ("op1_vector_dups", "op4_media") else "documents"
+    table = {"op1_vector_dups": "embeddings", "op4_media": "embeddings", "op12_repair": "conversations", "op13_clusters": "embeddings"}.get(name, "documents")
+    key = {"embeddings": "vec_id", "conversations": "conv_id"}.get(table, "doc_id")
     rows = spark.read.parquet(f"{FOLDER}/{table}.parquet")
-    key = "vec_id" if table == "embeddings" else "doc_id"
+    rows = rows.select(key).distinct() if table == "conversations" else rows
     assert got.count() == rows.count() and got.select(key).exceptAll(rows.select(key)).isEmpty()
     scores = [c for c in got.columns if c == "score"]
     assert all(got.where((F.col(c) < 0) | (F.col(c) > 1) | F.col(c).isNull()).isEmpty() for c in scores)
