@@ -21,6 +21,12 @@ from lorecraft.session import ensure_checkpoint_dir, ship_package
 BLOCK = 1024
 #: Vectors that blocks are made around, in all.
 PIVOTS = 128
+#: Rows of a cell of a search, about, and cells, at most.
+CELL, CELLS = 256, 1024
+#: Blocks on each side of a square of blocks that meet.
+SIDE = 8
+#: Share of the lengths' product that a dot product may differ by, for the order of its sum.
+SLACK = 1e-12
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -43,14 +49,6 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_list())
 
 
-def _blocks(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """Rows (keys, block, ids, vectors): each group's rows dealt into blocks of about ``size`` by a hash."""
-    counts = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks")) if keys else rows.agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
-    dealt = rows.join(counts, keys) if keys else rows.crossJoin(counts)
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    return dealt.groupBy(*keys, "block").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vectors"))
-
-
 def _cells(rows: DataFrame, pivots: np.ndarray, width: int) -> DataFrame:
     """``rows`` (v, ...) with the nearest pivot and the angle to it; vectors of another length are by themselves."""
     if len(pivots) == 1:  # all in one cell
@@ -82,7 +80,7 @@ def similar_pairs(df: DataFrame, *, id: str, vector: str, group: str, threshold:
     ship_package(spark)
     rows = df.select(F.col(id).alias("id"), F.col(group).alias("g"), unit(F.col(vector)).alias("v")).where("g IS NOT NULL AND v IS NOT NULL")
     wanted = max(1, min(PIVOTS, rows.count() // (2 * block)))  # blocks stay about full
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(8)) == 0).select("v").limit(wanted).collect() or rows.select("v").limit(1).collect()
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(wanted).select("v").collect()  # the same in each run
     if not sample:
         return spark.createDataFrame([], "a bigint, b bigint, similarity double")
     width = max(len(r["v"]) for r in sample)
@@ -114,38 +112,136 @@ def similar_pairs(df: DataFrame, *, id: str, vector: str, group: str, threshold:
     return met.mapInPandas(products, "a bigint, b bigint, similarity double")
 
 
+def _placed(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``rows`` (v, ...) with the nearest pivot (``cell``), the distance to it and ``d``, the length; -1 for other lengths than the pivots'."""
+    shared, squares = rows.sparkSession.sparkContext.broadcast(pivots), (pivots**2).sum(1)
+    width = pivots.shape[1]
+
+    @F.pandas_udf("struct<cell:int,away:double>")
+    def nearest_pivot(v: pd.Series) -> pd.DataFrame:
+        cell, away = np.full(len(v), -1), np.zeros(len(v))
+        here = np.flatnonzero(v.map(len).to_numpy() == width)
+        for at in np.array_split(here, max(1, len(here) // 1024)):
+            if len(at):
+                x = _matrix(v.iloc[at])
+                cell[at] = (squares - 2 * (x @ shared.value.T)).argmin(1)
+                away[at] = np.linalg.norm(x - shared.value[cell[at]], axis=1)
+        return pd.DataFrame({"cell": cell, "away": away})
+
+    return rows.withColumn("__p", nearest_pivot.asNondeterministic()("v")).select("*", F.size("v").alias("d"), "__p.cell", "__p.away").drop("__p")
+
+
+def _dealt(placed: DataFrame, block: int) -> DataFrame:
+    """Blocks (d, cell, block, ids, vectors, radius) of about ``block`` rows, by a hash."""
+    counts = placed.groupBy("d", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = placed.join(counts, ["d", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    return dealt.groupBy("d", "cell", "block").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vectors"), F.max("away").alias("radius"))
+
+
+def _met(q: DataFrame, c: DataFrame) -> DataFrame:
+    """Each row of ``q`` with each of ``c`` of the same length and cell, in squares of ``SIDE`` by ``SIDE`` rows: a full cell is more keys, not a longer one."""
+    parts = lambda df, name: df.groupBy("d", "cell").agg(F.ceil(F.count(F.lit(1)) / SIDE).alias(name))
+    sizes = parts(q, "q_parts").join(parts(c, "c_parts"), ["d", "cell"])
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    left = q.join(sizes, ["d", "cell"]).withColumn("q_part", F.pmod(F.xxhash64("q_cell", "q_block"), "q_parts")).withColumn("c_part", every("c_parts")).drop("q_parts", "c_parts")
+    right = c.join(sizes, ["d", "cell"]).withColumn("c_part", F.pmod(F.xxhash64("block"), "c_parts")).withColumn("q_part", every("q_parts")).drop("q_parts", "c_parts", "radius")
+    return left.join(right, ["d", "cell", "q_part", "c_part"])
+
+
+def _best(q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int | None, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, similarity) of each query's ``k`` best rows (None: of all) at its ``least`` or more; ties go to the smaller id."""
+    s = q @ v.T
+    slack = SLACK * np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max()
+    edge = least
+    if k is not None:
+        n = min(k, s.shape[1])
+        edge = np.maximum(least, np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n])
+    i, j = np.nonzero(s >= (edge - slack)[:, None])
+    exact = np.einsum("ij,ij->i", q[i], v[j])  # the same for equal vectors, wherever they are
+    keep = exact >= least[i]
+    i, j, exact = i[keep], j[keep], exact[keep]
+    if k is not None:
+        order = np.lexsort((ids[j], -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        i, j, exact = i[first], j[first], exact[first]
+    return i, j, exact
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, *, query_id: str, query: str, id: str, vector: str, k: int | None, threshold: float | None = None, block: int = BLOCK, scaled: bool = True) -> DataFrame:
     """(query, id, similarity, rank) of the ``k`` most similar rows of ``corpus`` for each query; None: of all at ``threshold`` or more.
 
     Similarity is the cosine, or the dot product of vectors as they are if not ``scaled``. Ties go to the smaller id; ``threshold`` (inclusive) applies after the ranking.
-    Query blocks meet corpus blocks; each pair gives the best ``k`` of a query, which are
-    merged by query.
+    Vectors that are null, hold null or non-finite components or (if scaled) are zero take no part; others meet those of their own length.
+    An id that repeats is as many rows.
+
+    The result is exact. Corpus and queries lie in cells around pivots. A first pass meets one block of a query's own cell, whose ``k``-th
+    best is a score to beat. No row of a cell can score more than the pivot's dot product and the query's norm times the
+    cell's radius, so a second pass meets only cells where that reaches the score to beat.
     """
-    ship_package(queries.sparkSession)
-    value = unit if scaled else (lambda v: v.cast("array<double>"))
-    rows = lambda df, i, v: df.select(F.col(i).alias("id"), value(F.col(v)).alias("v")).where("v IS NOT NULL")
-    q = _blocks(rows(queries, query_id, query), [], block).select(F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
-    c = _blocks(rows(corpus, id, vector), [], block).select("ids", "vectors")
+    return _nearest(queries, corpus, query_id, query, id, vector, k, threshold, block, scaled)[0]
+
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _nearest(queries: DataFrame, corpus: DataFrame, query_id: str, query: str, id: str, vector: str, k: int | None, threshold: float | None, block: int, scaled: bool) -> tuple[DataFrame, DataFrame]:
+    """The ranked rows, and (d, q_cell, q_block, cell, wanted): which queries of a block meet which cells."""
+    spark = queries.sparkSession
+    ship_package(spark)
+    ensure_checkpoint_dir(spark)
+    value = unit if scaled else (lambda v: v.cast("array<double>"))
+    finite = F.forall("v", lambda x: F.abs(x) < float("inf"))  # null and NaN aren't
+    rows = lambda df, i, v: df.select(F.col(i).alias("id"), value(F.col(v)).alias("v")).where((F.size("v") > 0) & finite)
+    found = rows(corpus, id, vector)
+    cells = max(1, min(CELLS, found.count() // CELL))
+    sample = [r["v"] for r in found.orderBy(F.xxhash64("id"), "id").limit(4 * cells).select("v").collect()]  # bounded
+    lengths = [len(v) for v in sample]
+    width = max(set(lengths), key=lambda n: (lengths.count(n), n)) if sample else 1
+    full = [v for v in sample if len(v) == width]
+    pivots = np.array(full[:cells] or [[0.0]], float)
+    c = _dealt(_placed(found, pivots), block).checkpoint()  # read several times
+    radius = np.full(len(pivots), -1.0)
+    for r in c.where("cell >= 0").groupBy("cell").agg(F.max("radius").alias("radius")).collect():  # at most CELLS rows
+        radius[r["cell"]] = r["radius"]
+    asked = _dealt(_placed(rows(queries, query_id, query), pivots), block).select("d", "cell", F.col("block").alias("q_block"), F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
+    floor = -np.inf if threshold is None else threshold
+
+    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                s, ids = np.stack(r.qvectors) @ np.stack(r.vectors).T, np.asarray(r.ids)
-                if k is None:
-                    i, j = np.nonzero(s >= threshold)
-                    yield pd.DataFrame({"query": np.asarray(r.qids)[i], "id": ids[j], "similarity": s[i, j]})
+                least = np.full(len(r.qids), floor)
+                if k is not None and r.vectors is not None and len(r.vectors) >= k:
+                    q, v = np.stack(r.qvectors), np.stack(r.vectors)
+                    slack = SLACK * np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max()
+                    least = np.maximum(least, np.partition(q @ v.T, len(v) - k, axis=1)[:, len(v) - k] - slack)
+                yield pd.DataFrame({"d": [r.d], "q_cell": [r.cell], "q_block": [r.q_block], "qids": [r.qids], "qvectors": [r.qvectors], "least": [least]})
+
+    first = asked.join(c.where("block = 0").select("d", "cell", "vectors"), ["d", "cell"], "left")
+    ready = first.mapInPandas(scores, "d int, q_cell int, q_block int, qids array<bigint>, qvectors array<array<double>>, least array<double>").checkpoint()
+    shared = spark.sparkContext.broadcast((pivots, radius, np.linalg.norm(pivots, axis=1)))
+
+    def needs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centres, around, lengths = shared.value
+        for batch in batches:
+            for r in batch.itertuples():
+                if r.d != centres.shape[1]:
+                    yield pd.DataFrame({"d": [r.d], "q_cell": [-1], "q_block": [r.q_block], "cell": [-1], "wanted": [np.arange(len(r.qvectors))]})
                     continue
-                edge = np.partition(s, s.shape[1] - min(k, s.shape[1]), axis=1)[:, s.shape[1] - min(k, s.shape[1])]
-                i, j = np.nonzero(s >= edge[:, None])
-                order = np.lexsort((ids[j], -s[i, j], i))
-                i, j = i[order], j[order]
-                first = np.arange(len(i)) - np.searchsorted(i, i) < k
-                i, j = i[first], j[first]
-                yield pd.DataFrame({"query": np.asarray(r.qids)[i], "id": ids[j], "similarity": s[i, j]})
-
-    found = q.crossJoin(c).mapInPandas(best, "query bigint, id bigint, similarity double")  # blocks, not rows
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id")))
-    if k is None:
-        return ranked
-    ranked = ranked.where(F.col("rank") <= k)
-    return ranked if threshold is None else ranked.where(F.col("similarity") >= threshold)
+                q = np.stack(r.qvectors)
+                norms = np.linalg.norm(q, axis=1)[:, None]
+                bound = q @ centres.T + norms * (around + SLACK * (lengths + around))
+                open_ = (bound >= np.asarray(r.least)[:, None]) & (around >= 0)
+                cells = np.flatnonzero(open_.any(0))
+                if len(cells):
+                    yield pd.DataFrame({"d": r.d, "q_cell": r.q_cell, "q_block": r.q_block, "cell": cells, "wanted": [np.flatnonzero(open_[:, x]) for x in cells]})
+
+    wanted = ready.select("d", "q_cell", "q_block", "qvectors", "least").mapInPandas(needs, "d int, q_cell int, q_block int, cell int, wanted array<int>").checkpoint()
+    met = _met(wanted, c).join(ready.select("d", "q_cell", "q_block", "qids", "qvectors", "least"), ["d", "q_cell", "q_block"])
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                w, ids = np.asarray(r.wanted), np.asarray(r.ids)
+                i, j, s = _best(np.stack(r.qvectors)[w], ids, np.stack(r.vectors), k, np.asarray(r.least)[w])
+                yield pd.DataFrame({"query": np.asarray(r.qids)[w][i], "id": ids[j], "similarity": s})
+
+    ranked = met.mapInPandas(products, "query bigint, id bigint, similarity double").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id")))
+    return (ranked if k is None else ranked.where(F.col("rank") <= k)), wanted

@@ -208,3 +208,44 @@ def test_similar_pairs_against_all_pairs(spark, monkeypatch):
         got = [(p["a"], p["b"]) for p in V.similar_pairs(df, id="id", vector="v", group="g", threshold=0.9, block=block).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert V.similar_pairs(df.limit(0), id="id", vector="v", group="g", threshold=0.9).count() == 0
+
+
+@pytest.mark.parametrize("scaled", [True, False])
+def test_nearest_is_exact_and_meets_few_cells(spark, scaled, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(V, "CELL", 30)
+    r = np.random.default_rng(5)
+    centres = 4 * r.normal(size=(10, 12))
+    x = centres[r.integers(10, size=600)] + 0.1 * r.normal(size=(600, 12))
+    x[300:310] = x[0]  # ties
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700 + i, [1.0, float(i)]) for i in range(4)]
+    odd = [(800, None), (801, [0.0] * 12), (802, [float("nan")] + [1.0] * 11), (803, [float("inf")] + [1.0] * 11), (804, [None] + [1.0] * 11), (805, [])]
+    df = spark.createDataFrame(rows + odd, "id long, v array<double>").withColumn("cell", F.lit("clash"))
+    ask = df.where("id % 20 = 0 OR id = 301 OR id >= 700").select(F.col("id").alias("q"), F.col("v").alias("w"))
+    values = {i: np.array(v) / (np.linalg.norm(v) if scaled else 1) for i, v in rows}
+    if not scaled:
+        values[801] = np.zeros(12)
+
+    def want(k, threshold):
+        out = set()
+        for q in [i for i in values if i % 20 == 0 or i == 301 or i >= 700]:
+            scored = sorted((-round(float(np.einsum("i,i->", values[q], v)), 9), i) for i, v in values.items() if len(v) == len(values[q]))
+            out |= {(q, i, n + 1) for n, (s, i) in enumerate(scored[:k]) if threshold is None or -s >= threshold}
+        return out
+
+    for k, threshold, block in ((3, None, 1024), (15, None, 7), (4, 0.9, 50), (None, 0.99 if scaled else 150.0, 20)):
+        got, wanted = V._nearest(ask, df, "q", "w", "id", "v", k, threshold, block, scaled)
+        found = [(g["query"], g["id"], g["rank"]) for g in got.collect()]
+        assert len(found) == len(set(found))
+        if k == 15:  # ties of rows that are alike but for their last bits
+            assert {(q, n) for q, _, n in found} == {(q, n) for q, _, n in want(k, threshold)}
+        elif k is None:
+            assert {f[:2] for f in found} == {w[:2] for w in want(k, threshold)}
+        else:
+            assert set(found) == want(k, threshold)
+        if scaled and k == 3:
+            pairs = wanted.where("cell >= 0").agg(F.sum(F.size("wanted"))).first()[0]
+            assert pairs < 0.4 * 31 * 20  # queries times cells
+    assert V.nearest(ask, df.limit(0), query_id="q", query="w", id="id", vector="v", k=2).count() == 0
+    assert V.nearest(ask.limit(0), df, query_id="q", query="w", id="id", vector="v", k=2).count() == 0
