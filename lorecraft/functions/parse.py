@@ -15,6 +15,9 @@ GRAPH = T.StructType(
 #: Lines between the records of an interaction log.
 RULE = "=" * 80
 
+#: The heads of numbered questions and answers in a reply.
+QUESTION_HEAD, ANSWER_HEAD = r"\*\*\*Question ([0-9]{1,18})\*\*\*:?", r"\*\*\*Answer [0-9]{1,18}\*\*\*:?"
+
 
 def json_slice(reply: Column) -> Column:
     """The outermost object or list of a reply, without fences and trailing commas; null without one."""
@@ -81,6 +84,24 @@ def question_lines(text: Column) -> Column:
     return F.transform(lines, lambda x: F.trim(F.substring_index(x, "Question:", -1)))
 
 
+def numbered_questions(text: Column) -> Column:
+    """(n, question, answer) of each block headed ``***Question n***:``, in order, trimmed.
+
+    What follows ``***Answer n***:`` in a block is its answer, null without one. A null text has no blocks;
+    text before the first head belongs to none.
+    """
+    given = F.coalesce(text, F.lit(""))
+    numbers = F.regexp_extract_all(given, F.lit(QUESTION_HEAD), 1)
+    bodies = F.split(given, QUESTION_HEAD)
+    edges = F.lit(" \t\r\n")
+
+    def block(n: Column, i: Column) -> Column:
+        halves = F.split(F.get(bodies, i + 1), ANSWER_HEAD, 2)
+        return F.struct(n.cast("bigint").alias("n"), F.btrim(halves[0], edges).alias("question"), F.btrim(F.get(halves, F.lit(1)), edges).alias("answer"))
+
+    return F.transform(numbers, block)
+
+
 def log_record(block: Column) -> Column:
     """(id, type, question, answer) of one block of an interaction log; a refusal is an empty answer."""
     field = lambda name: F.trim(F.regexp_extract(block, rf"(?m)^{name}: (.*)$", 1))

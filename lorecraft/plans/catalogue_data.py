@@ -57,6 +57,22 @@ def io_graph(spark, sf_dir):
     return G.endpoint_names(r, e).select("id", "source", "target", "description")
 
 
+@query("""WITH t AS (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN '***Question ' || turn || '***:' || chr(10) || text WHEN 'assistant' THEN '***Answer ' || turn || '***: ' || text ELSE text END, chr(10) ORDER BY turn, role, text) AS t
+ FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id),
+b AS (SELECT conv_id, unnest(string_split_regex(t, '\\*\\*\\*Question [0-9]+\\*\\*\\*:?')[2:]) AS body, unnest(regexp_extract_all(t, '\\*\\*\\*Question ([0-9]+)\\*\\*\\*:?', 1)) AS n FROM t),
+h AS (SELECT conv_id, n::BIGINT AS n, body, regexp_extract(body, '\\*\\*\\*Answer [0-9]+\\*\\*\\*:?') AS head FROM b),
+p AS (SELECT conv_id, n, trim(CASE WHEN head = '' THEN body ELSE body[:strpos(body, head) - 1] END, ' ' || chr(9) || chr(10) || chr(13)) AS asked, CASE WHEN head <> '' THEN trim(body[strpos(body, head) + len(head):], ' ' || chr(9) || chr(10) || chr(13)) END AS expected FROM h)
+SELECT conv_id, n, md5(asked) AS asked, md5(expected) AS expected FROM p WHERE asked <> ''""")
+def numbered_questions(spark, sf_dir):
+    """Conversations written as replies of numbered questions and answers, and read back as rows."""
+    rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL AND role IS NOT NULL AND turn IS NOT NULL")
+    head = lambda name: F.concat(F.lit(f"***{name} "), F.col("turn").cast("string"), F.lit("***:"))
+    line = F.when(F.col("role") == "user", F.concat(head("Question"), F.lit("\n"), "text")).when(F.col("role") == "assistant", F.concat(head("Answer"), F.lit(" "), "text")).otherwise(F.col("text"))
+    talks = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", line.alias("line")))).alias("m"))
+    replies = talks.select("conv_id", F.array_join("m.line", "\n").alias("question"))
+    return Q.numbered_questions(replies).select("conv_id", "n", digest(F.col("asked")).alias("asked"), digest(F.col("expected")).alias("expected"))
+
+
 @query("SELECT doc_id, md5(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')) AS digest, n FROM documents CROSS JOIN (SELECT unnest([1, 2]) AS n)")
 def io_lines(spark, sf_dir):
     """Gzipped JSON lines, written twice (the second time appended) and read by the tolerant scan."""

@@ -66,6 +66,12 @@ def questions(combos: DataFrame, model: Callable[[], LanguageModel], rules: str
     return complete(rows, "__judge", "verdict", model).withColumn("relevance", P.relevance(F.col("verdict"))).drop("__judge")
 
 
+def numbered_questions(rows: DataFrame, reply: str = "question") -> DataFrame:
+    """``rows`` once for each numbered question of a reply, with ``n``, ``asked`` and ``expected`` (null if the reply has no answer); rows without one go."""
+    each = rows.withColumn("__b", F.explode(P.numbered_questions(F.col(reply))))
+    return each.select(*[F.col(c) for c in rows.columns], F.col("__b.n").alias("n"), F.col("__b.question").alias("asked"), F.col("__b.answer").alias("expected")).where("asked <> ''")
+
+
 def answers(rows: DataFrame, done: DataFrame, model: Callable[[], LanguageModel]) -> DataFrame:
     """Questions with answers: those in ``done`` (file_name, answer) are taken over, the others are asked."""
     todo = I.remaining(rows, done, "file_name").withColumn("__p", W.fill(W.ANSWER, context=F.array_join("sources", "\n\n"), question=F.col("question")))

@@ -32,10 +32,15 @@ def read_corpus(spark: SparkSession, path: str, field: str = "input", limit: int
 
 
 def read_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """(file, line, fields) of JSON lines; control characters are deleted, lines that can't be read are left out."""
+    """(file, line, fields) of JSON lines; control characters are deleted, lines that aren't JSON objects are left out.
+
+    An object stays if all its fields are null or missing, as does one with a field of another type (which becomes null).
+    """
     raw = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"), X.without_controls(F.col("value")).alias("value"))
-    parsed = raw.where(F.length(F.trim("value")) > 0).withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
-    return parsed.where(F.coalesce(*[F.col(f"r.{f.name}").cast("string") for f in schema]).isNotNull()).select("file", "line", "r.*")
+    verdict = T.StructType([*schema, T.StructField("__corrupt", T.StringType())])
+    parsed = raw.where(F.length(F.trim("value")) > 0).withColumn("r", F.from_json("value", verdict, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"}))
+    some = F.coalesce(*[F.col(f"r.{f.name}").cast("string") for f in schema]).isNotNull()
+    return parsed.where("r IS NOT NULL").where(some | F.col("r.__corrupt").isNull()).select("file", "line", *[F.col(f"r.{f.name}") for f in schema])
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:

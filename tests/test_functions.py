@@ -74,6 +74,14 @@ def test_question_answer(one):
     assert one(P.question_lines(lit("Question: a\nx\n2. Question: b"))) == ["a", "b"]
 
 
+def test_numbered_questions(one):
+    text = "Sure.\n***Question 1***:\nIs it?\nYes or no?\n***Answer 1***: Yes.\n\n***Question 3***: And then ***Answer 3***:No. ***Answer 4***: x\n***Question 12***:\n \n***Question 2*** last\n"
+    assert [tuple(b) for b in one(P.numbered_questions(lit(text)))] == [(1, "Is it?\nYes or no?", "Yes."), (3, "And then", "No. ***Answer 4***: x"), (12, "", None), (2, "last", None)]
+    for none in ("", "Question: a", "***Question x***: a"):
+        assert one(P.numbered_questions(lit(none))) == []
+    assert one(P.numbered_questions(lit(None).cast("string"))) == []
+
+
 def test_hash(one):
     assert one(P.content_hash(lit(None).cast("string"), "p-")) == "p-d41d8cd98f00b204e9800998ecf8427e"
 

@@ -17,6 +17,14 @@ def test_lines(spark, tmp_path):
     assert [r["input"] for r in io.read_corpus(spark, str(tmp_path / "a.jsonl"), limit=1).collect()] == ["xy"]
 
 
+def test_lines_without_values_stay(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"a": null}\n{}\n{"c": 1}\n{"a": "x", "b": "no number"}\n{"b": 1\n[1]\n7\nnull\n{"a": "y", "b": 2}\n')
+    got = io.read_lines(spark, str(tmp_path), T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.IntegerType())]))
+    assert got.columns == ["file", "line", "a", "b"]
+    assert [(r["a"], r["b"]) for r in got.orderBy("line").collect()][:4] == [(None, None)] * 3 + [("x", None)]
+    assert got.where("a = 'y' AND b = 2").count() == 1 and got.where("a IS NULL AND b IS NULL").count() == 3
+
+
 def test_chunks_texts_shards(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps([[{"content": "a\x00b"}, {"content": " "}], [{"content": "c"}]]))
     assert [tuple(r) for r in io.read_chunks(spark, str(tmp_path / "c.json")).collect()] == [(0, 0, "ab"), (1, 0, "c")]
