@@ -21,14 +21,22 @@ LEAST_QUALITY = 0.3
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in one of the languages that the labelled documents have: those without a letter go."""
+    """Keeps documents in one of the languages that the labelled documents have: those without a letter go.
+
+    So do null and empty texts. Repeated rows, null ids and null languages stay as they are, if only their text has a letter; texts are read whole.
+    Other columns are untouched, whatever their names; an empty table gives an empty one.
+    """
     model = language_id.train(docs.where(language_id.split_of("doc_id", 5) != 0))
     found = language_id.identify(docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns}), model, text="_text")
     return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*[F.col(f"_{c}").alias(c) for c in docs.columns])
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the quality classifier predicts to be good."""
+    """Keeps documents that the quality classifier predicts to be good.
+
+    Null and empty texts get the score of a text without features; a null id has no label, but is scored; copies of a row score alike and go or stay together.
+    With no labels every document scores alike. Other columns are untouched; an empty table gives an empty one.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     model = quality.train(docs.where(language_id.split_of("doc_id", 5) != 0), labels)
     found = quality.score(docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns}), model, text="_text", threshold=LEAST_QUALITY)
@@ -36,17 +44,28 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near duplicates."""
+    """Keeps one document of each class of near duplicates.
+
+    The smallest id of a class stays, of repeated ids one row. Texts without a word (null, empty) are near nothing and stay, as do rows with a null id.
+    Very long texts are compared whole.
+    Other columns are untouched; an empty table gives an empty one.
+    """
     return near_dups.drop_near_duplicates(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as its source's target weight asks for; copies are rows."""
+    """Takes each document as often as its source's target weight asks for; copies are rows.
+
+    Texts without a word (null, empty) count for no target and come as often as the whole part of their source's rate. A null source is a source. Repeated rows count as many. Other columns are untouched; an empty table gives an empty one.
+    """
     return mixing.mix(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per row: doc_id, source, n_tokens and digests of its ids and of what they decode to."""
+    """Per row: doc_id, source, n_tokens and digests of its ids and of what they decode to.
+
+    A null text counts as empty: no tokens. Rows stay one to one, with null and repeated ids; no text is cut. An empty table gives an empty one.
+    """
     digest = pieces.Pieces(spark, vocabulary("piece_bpe_32k.model")).digest("text")
     return docs.select("doc_id", "source", digest.alias("d")).select("doc_id", "source", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
