@@ -22,9 +22,7 @@ BLOCK = 1024
 #: Vectors that blocks are made around, in all.
 PIVOTS = 128
 #: Rows of a cell of a search, about, and cells, at most.
-CELL, CELLS = 256, 1024
-#: Blocks on each side of a square of blocks that meet.
-SIDE = 8
+CELL, CELLS = 4096, 1024
 #: Share of the lengths' product that a dot product may differ by, for the order of its sum.
 SLACK = 1e-12
 
@@ -138,16 +136,6 @@ def _dealt(placed: DataFrame, block: int) -> DataFrame:
     return dealt.groupBy("d", "cell", "block").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vectors"), F.max("away").alias("radius"))
 
 
-def _met(q: DataFrame, c: DataFrame) -> DataFrame:
-    """Each row of ``q`` with each of ``c`` of the same length and cell, in squares of ``SIDE`` by ``SIDE`` rows: a full cell is more keys, not a longer one."""
-    parts = lambda df, name: df.groupBy("d", "cell").agg(F.ceil(F.count(F.lit(1)) / SIDE).alias(name))
-    sizes = parts(q, "q_parts").join(parts(c, "c_parts"), ["d", "cell"])
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    left = q.join(sizes, ["d", "cell"]).withColumn("q_part", F.pmod(F.xxhash64("q_cell", "q_block"), "q_parts")).withColumn("c_part", every("c_parts")).drop("q_parts", "c_parts")
-    right = c.join(sizes, ["d", "cell"]).withColumn("c_part", F.pmod(F.xxhash64("block"), "c_parts")).withColumn("q_part", every("q_parts")).drop("q_parts", "c_parts", "radius")
-    return left.join(right, ["d", "cell", "q_part", "c_part"])
-
-
 def _best(q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int | None, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, similarity) of each query's ``k`` best rows (None: of all) at its ``least`` or more; ties go to the smaller id."""
     s = q @ v.T
@@ -177,13 +165,13 @@ def nearest(queries: DataFrame, corpus: DataFrame, *, query_id: str, query: str,
 
     The result is exact. Corpus and queries lie in cells around pivots. A first pass meets one block of a query's own cell, whose ``k``-th
     best is a score to beat. No row of a cell can score more than the pivot's dot product and the query's norm times the
-    cell's radius, so a second pass meets only cells where that reaches the score to beat.
+    cell's radius, so a second pass leaves out cells where that reaches the score to beat for no query of a block.
     """
     return _nearest(queries, corpus, query_id, query, id, vector, k, threshold, block, scaled)[0]
 
 
 def _nearest(queries: DataFrame, corpus: DataFrame, query_id: str, query: str, id: str, vector: str, k: int | None, threshold: float | None, block: int, scaled: bool) -> tuple[DataFrame, DataFrame]:
-    """The ranked rows, and (d, q_cell, q_block, cell, wanted): which queries of a block meet which cells."""
+    """The ranked rows, and the blocks of queries with the cells that they meet (``open``)."""
     spark = queries.sparkSession
     ship_package(spark)
     ensure_checkpoint_dir(spark)
@@ -204,44 +192,33 @@ def _nearest(queries: DataFrame, corpus: DataFrame, query_id: str, query: str, i
     asked = _dealt(_placed(rows(queries, query_id, query), pivots), block).select("d", "cell", F.col("block").alias("q_block"), F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
     floor = -np.inf if threshold is None else threshold
 
-    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    shared = spark.sparkContext.broadcast((pivots, radius, np.linalg.norm(pivots, axis=1)))
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centres, around, lengths = shared.value
         for batch in batches:
             for r in batch.itertuples():
-                least = np.full(len(r.qids), floor)
+                q, least, cells = np.stack(r.qvectors), np.full(len(r.qids), floor), [-1]
+                norms = np.linalg.norm(q, axis=1)
                 if k is not None and r.vectors is not None and len(r.vectors) >= k:
-                    q, v = np.stack(r.qvectors), np.stack(r.vectors)
-                    slack = SLACK * np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max()
+                    v = np.stack(r.vectors)
+                    slack = SLACK * norms * np.linalg.norm(v, axis=1).max()
                     least = np.maximum(least, np.partition(q @ v.T, len(v) - k, axis=1)[:, len(v) - k] - slack)
-                yield pd.DataFrame({"d": [r.d], "q_cell": [r.cell], "q_block": [r.q_block], "qids": [r.qids], "qvectors": [r.qvectors], "least": [least]})
+                if r.d == centres.shape[1]:
+                    bound = q @ centres.T + norms[:, None] * (around + SLACK * (lengths + around))
+                    cells = np.flatnonzero(((bound >= least[:, None]) & (around >= 0)).any(0))
+                yield pd.DataFrame({"qids": [r.qids], "qvectors": [r.qvectors], "least": [least], "open": [[(int(r.d), int(x)) for x in cells]]})
 
     first = asked.join(c.where("block = 0").select("d", "cell", "vectors"), ["d", "cell"], "left")
-    ready = first.mapInPandas(scores, "d int, q_cell int, q_block int, qids array<bigint>, qvectors array<array<double>>, least array<double>").checkpoint()
-    shared = spark.sparkContext.broadcast((pivots, radius, np.linalg.norm(pivots, axis=1)))
-
-    def needs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres, around, lengths = shared.value
-        for batch in batches:
-            for r in batch.itertuples():
-                if r.d != centres.shape[1]:
-                    yield pd.DataFrame({"d": [r.d], "q_cell": [-1], "q_block": [r.q_block], "cell": [-1], "wanted": [np.arange(len(r.qvectors))]})
-                    continue
-                q = np.stack(r.qvectors)
-                norms = np.linalg.norm(q, axis=1)[:, None]
-                bound = q @ centres.T + norms * (around + SLACK * (lengths + around))
-                open_ = (bound >= np.asarray(r.least)[:, None]) & (around >= 0)
-                cells = np.flatnonzero(open_.any(0))
-                if len(cells):
-                    yield pd.DataFrame({"d": r.d, "q_cell": r.q_cell, "q_block": r.q_block, "cell": cells, "wanted": [np.flatnonzero(open_[:, x]) for x in cells]})
-
-    wanted = ready.select("d", "q_cell", "q_block", "qvectors", "least").mapInPandas(needs, "d int, q_cell int, q_block int, cell int, wanted array<int>").checkpoint()
-    met = _met(wanted, c).join(ready.select("d", "q_cell", "q_block", "qids", "qvectors", "least"), ["d", "q_cell", "q_block"])
+    ready = first.mapInPandas(opened, "qids array<bigint>, qvectors array<array<double>>, least array<double>, open array<struct<d:int,cell:int>>").checkpoint()
+    met = ready.join(c.select("d", "cell", "ids", "vectors"), F.array_contains("open", F.struct("d", "cell"))).select("qids", "qvectors", "least", "ids", "vectors")  # blocks, not rows
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                w, ids = np.asarray(r.wanted), np.asarray(r.ids)
-                i, j, s = _best(np.stack(r.qvectors)[w], ids, np.stack(r.vectors), k, np.asarray(r.least)[w])
-                yield pd.DataFrame({"query": np.asarray(r.qids)[w][i], "id": ids[j], "similarity": s})
+                ids = np.asarray(r.ids)
+                i, j, s = _best(np.stack(r.qvectors), ids, np.stack(r.vectors), k, np.asarray(r.least))
+                yield pd.DataFrame({"query": np.asarray(r.qids)[i], "id": ids[j], "similarity": s})
 
     ranked = met.mapInPandas(products, "query bigint, id bigint, similarity double").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id")))
-    return (ranked if k is None else ranked.where(F.col("rank") <= k)), wanted
+    return (ranked if k is None else ranked.where(F.col("rank") <= k)), ready
