@@ -41,6 +41,20 @@ def test_names_of_words_and_marks(spark):
     assert ("Über", 3) in folded and len(folded) == 9
 
 
+def test_only_runs_that_can_be_names_move(spark):
+    """Names that share a frequent word don't meet each sentence with that word; long ones are found whole."""
+    lines = [f"The w{i} of the old House" for i in range(300)] + ["one two, three four five six", "one two, three four five Sixes"]
+    s = spark.createDataFrame([(0, i, w) for i, w in enumerate(lines)], "doc long, pos int, sentence string")
+    n = spark.createDataFrame([(f"The w{i}",) for i in range(0, 300, 3)] + [("one two, three four five six",), ("two, three four five Six",)], "name string")
+    keys = n.where("name LIKE 'The%'").selectExpr("replace(name, ' ', '\u0001 \u0001') AS key")
+    for prefix in (False, True):
+        moved = M._runs(s, keys, {3: [2, 3, 4]}, prefix, lambda c: c)
+        assert 100 <= moved.count() <= (200 if not prefix else 500)  # all pairs under The: 30,000
+    word, prefix = (rows(M.link_names(s, n, match=m), "name", "pos") for m in ("word", "prefix"))
+    assert [x for x in word if x[1] >= 300] == [("one two, three four five six", 300)] and len(word) == 101
+    assert [x for x in prefix if x[1] >= 300] == [("one two, three four five six", 300), ("two, three four five Six", 301)] and len(prefix) == 2 + sum(str(i).startswith(str(j)) for i in range(300) for j in range(0, 300, 3))
+
+
 PIECES_ = st.text(alphabet="abs +.(é_ ", max_size=9)
 
 
