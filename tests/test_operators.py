@@ -162,6 +162,17 @@ def test_hops(spark):
     assert G.best_average_path(weighted, 0, 7)[0] == -1.0
 
 
+def test_widest_path_is_found_once(spark, monkeypatch):
+    """The level comes from one pass over the edges and not from components at each level."""
+    import lorecraft.operators.components as C
+
+    monkeypatch.setattr(C, "connected_components", None)
+    e = spark.createDataFrame([(0, 1, 0.9), (1, 2, 0.4), (0, 3, 0.6), (3, 4, 0.7), (4, 2, 0.65), (2, 2, 1.0), (7, 8, 0.9)], "source long, target long, weight double").coalesce(1)
+    assert G.widest_path(e, 0, 2) == 0.6 and G.widest_path(e, 0, 8) is None
+    assert G.best_average_path(e, 0, 2) == (0.5625, [3, 4])
+    assert G.best_average_path(e, 0, 0) == G.best_average_path(e, 0, 8) == (-1.0, [])
+
+
 def test_merging(spark):
     e = spark.createDataFrame([("X", "PERSON", "d1", 0, 0), ("X", "ORG", "d2", 0, 1), ("X", "", None, 1, 0), ("X", "ORG", "d1", 2, 0), ("Y", "", "", 0, 5)], "name string, type string, description string, doc long, pos int")
     m = {r["name"]: r for r in G.merge_entities(e).collect()}
