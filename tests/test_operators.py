@@ -336,3 +336,21 @@ def test_models(spark):
     v = embed(d, "prompt", "v", HashEmbedding).where("id = 0").first()["v"]
     assert sum(x * x for x in v) == pytest.approx(1)
     assert gleaned(d, "prompt", "reply", EchoModel, rounds=2).where("id = 0").first()["reply"].startswith("one two")
+
+
+def test_blanks_of_a_long_text_are_filled_without_looking_ahead(spark):
+    sentences = spark.createDataFrame([(1, k, "s") for k in range(6)], "doc long, pos int, sentence string")
+    links = spark.createDataFrame([(1, 1, "A"), (1, 4, "B")], "doc long, pos int, name string")
+    filled = M.fill_blanks(sentences, links)
+    assert [r["names"] for r in filled.orderBy("pos").collect()] == [["A"], ["A"], ["A", "B"], ["A", "B"], ["B"], ["B"]]
+    assert "unboundedfollowing" not in filled._jdf.queryExecution().toString().lower()  # a frame that is read anew for each row
+
+
+@pytest.mark.parametrize("match", ["word", "prefix"])
+def test_names_of_one_word_meet_only_words_that_are_long_enough(spark, match):
+    lines = ["The Bridges of Anna, Bridge", "an xBridge or Bri-dge", "ABridge's Annals"]
+    sentences = spark.createDataFrame([(1, k, x) for k, x in enumerate(lines)], "doc long, pos int, sentence string")
+    links = M.link_names(sentences, spark.createDataFrame([("Bridge",), ("Anna",)], "name string"), match=match)
+    found = sorted((r["pos"], r["name"]) for r in links.collect())
+    assert found == [(0, "Anna"), (0, "Bridge")] + [(2, "Anna")] * (match == "prefix")
+    assert "{4,}" in links._jdf.queryExecution().toString()  # shorter words and marks aren't rows
