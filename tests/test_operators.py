@@ -354,3 +354,10 @@ def test_names_of_one_word_meet_only_words_that_are_long_enough(spark, match):
     found = sorted((r["pos"], r["name"]) for r in links.collect())
     assert found == [(0, "Anna"), (0, "Bridge")] + [(2, "Anna")] * (match == "prefix")
     assert "{4,}" in links._jdf.queryExecution().toString()  # shorter words and marks aren't rows
+
+
+def test_aliases_of_one_large_group_are_many_tasks(spark):
+    groups = spark.range(1000, numPartitions=1).select(F.lit(7).alias("group"), "id")
+    found = G.aliases(groups, lambda x: x.cast("string")).select("*", F.spark_partition_id().alias("task")).collect()
+    assert len({r["task"] for r in found}) > 1
+    assert {r["id"]: r["alias"] for r in found} == {i: [str(j) for j in range(1000) if j != i] for i in range(1000)}
