@@ -145,6 +145,16 @@ def test_long_paths_converge(spark):
     assert connected_components(e).where("component <> 0").count() == 0
 
 
+def test_estimates_dont_grow_with_rounds(spark):
+    """Of a path of 60 edges the size was estimated at a number of thousands of digits, which the driver multiplied in each round."""
+    bits = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+    e = spark.range(60).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    c = connected_components(e)
+    assert bits(c) < 64 and c.count() == 61
+    again = connected_components(c.join(e, c["id"] == e["src"]).select("src", "dst"))
+    assert bits(again) < 64 and again.where("component = 0").count() == 61
+
+
 def test_hops(spark):
     e = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "source long, target long")
     start = spark.createDataFrame([(1,), (9,)], "root long")
