@@ -93,11 +93,12 @@ def complete(df: DataFrame, prompt: str, out: str, model: Callable[[], LanguageM
 
 
 def complete_once(df: DataFrame, prompt: str, out: str, model: Callable[[], LanguageModel], **options) -> DataFrame:
-    """``df`` with replies, each distinct prompt sent once; replies are kept, so they are the same wherever ``df`` is used."""
+    """``df`` with replies, each distinct prompt sent once; replies are kept by the prompts' SHA-256, so they are the same wherever ``df`` is used."""
     ensure_checkpoint_dir(df.sparkSession)
     asked = df.select(F.col(prompt).alias("__asked")).where("__asked IS NOT NULL").distinct()
-    replies = complete(asked, "__asked", out, model, **options).select("__asked", out).checkpoint()
-    return df.join(replies, F.col(prompt) == F.col("__asked"), "left").drop("__asked")
+    # prompts may be long: replies are kept and found by the prompt's digest
+    replies = complete(asked, "__asked", out, model, **options).select(F.sha2("__asked", 256).alias("__digest"), out).checkpoint()
+    return df.withColumn("__digest", F.sha2(prompt, 256)).join(replies, "__digest", "left").drop("__digest")
 
 
 def embed(df: DataFrame, text: str, out: str, model: Callable[[], EmbeddingModel], *, batch: int = 10, threads: int = 4, tries: int = 3, wait: float = 1.0) -> DataFrame:

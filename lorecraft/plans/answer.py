@@ -48,7 +48,8 @@ def answer(
     The first stage asks with the ``first`` nearest text units. Where the model refuses or gives no answer, the second takes the entities that at least
     the mean number of units name and the ends of relations at ``similar`` or more to the question; of the units that name these
     or their aliases the ``top_k`` nearest, and with ``with_graph`` the entities and the relations among them, are the context. Questions, units and
-    relations that have an ``embedding`` keep it. Units of the frequent entities are one set for all questions, so only what is a question's own is kept by question.
+    relations that have an ``embedding`` keep it. Units of the frequent entities are one set for all questions, so only what is a question's own is kept by question;
+    entities and relations are listed once for all questions with the same ones.
     """
     ensure_checkpoint_dir(questions.sparkSession)
     asked = _with_vectors(questions, "question", embedding)
@@ -76,18 +77,26 @@ def answer(
     shared_ids = frequent.unionByName(frequent.join(alias, "id").select(F.col("other").alias("id"))).distinct()
     shared = names.join(shared_ids, "id", "left_semi").select("__unit").distinct().checkpoint()
     own_ids = own.unionByName(own.join(alias, "id").select(F.col("other").alias("id"), "query")).distinct()
-    pairs = names.join(own_ids, "id").select("query", "__unit").distinct().join(shared, "__unit", "left_anti")
+    pairs = names.join(shared, "__unit", "left_anti").join(own_ids, "id").select("query", "__unit").distinct()
     dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     q = rest.select("query", V.unit(F.col("embedding")).alias("q"))
     scored = pairs.join(units.select("__unit", V.unit(F.col("embedding")).alias("v")), "__unit").join(q, "query").where("q IS NOT NULL AND v IS NOT NULL").select("query", F.col("__unit").alias("id"), dot.alias("similarity"))
     found = near(rest, units.join(shared, "__unit", "left_semi"), top_k).select("query", "id", "similarity").unionByName(scored)
     best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 9)), "id"))).where(F.col("rank") <= top_k)
     if with_graph:
-        vertices = rest.select("query").crossJoin(frequent).unionByName(own.select("query", "id")).checkpoint()  # each is a line of its question's prompt
+        # questions with the same entities share the lines of these and of the relations among them: those are met and sorted once a set
+        none = F.array().cast(f"array<{own.schema['id'].dataType.simpleString()}>")
+        of_query = own.groupBy("query").agg(F.array_sort(F.collect_set("id")).alias("key"))
+        sets = rest.select("query").distinct().join(of_query, "query", "left").select("query", F.coalesce("key", none).alias("key")).checkpoint()
+        each = sets.select("key").distinct()
+        vertices = each.crossJoin(frequent.select("id")).unionByName(each.select("key", F.explode("key").alias("id"))).checkpoint()
         known = graph.entities.select("id", "name", "description")
-        inner = graph.relations.join(vertices.withColumnRenamed("id", "source"), "source").join(vertices.withColumnRenamed("id", "target"), ["query", "target"])
-        context = S.context(vertices.join(known, "id").withColumnRenamed("query", "key"), inner.select(F.col("query").alias("key"), "source", "target", "description"), sources(best))
-        context = context.withColumnRenamed("key", "query")
+        inner = graph.relations.join(vertices.withColumnRenamed("id", "source"), "source").join(vertices.withColumnRenamed("id", "target"), ["key", "target"])
+        heads = S.context(vertices.join(known, "id"), inner.select("key", "source", "target", "description"), each.where("false").select("key", F.lit("").alias("content")))
+        of_set = sets.join(heads, "key").select("query", F.col("context").alias("head"))
+        texts = S.ranked_texts(sources(best), "s").withColumnRenamed("key", "query")
+        head = F.coalesce("head", F.lit("=====Entities=====\n\n=====Relationships=====\n\n=====Sources=====\n"))
+        context = of_set.join(texts, "query", "full").select("query", F.concat(head, F.coalesce("s", F.lit(""))).alias("context"))
     else:
         context = S.ranked_texts(sources(best), "s").select(F.col("key").alias("query"), F.concat(F.lit("=====Sources=====\n"), "s").alias("context"))
     second = _asked(context, rest, model, 2, options)

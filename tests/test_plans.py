@@ -196,3 +196,21 @@ def test_answers_in_two_stages_with_made_vectors(spark):
     assert got[2]["step"] == 2 and got[2]["context"].startswith("=====Entities=====\nwhale: large") and "green frog jumps" in got[2]["context"]
     bare = N.answer(asked, Graph(entities, relations, units), lambda: Scripted(lambda p: "ok"), HashEmbedding, with_graph=False)
     assert {r["step"] for r in bare.collect()} == {1}
+
+
+def test_questions_with_the_same_entities_share_their_lines(spark, monkeypatch):
+    """Every question met every relation among its entities again; what no question shares is still its own."""
+    from lorecraft.functions.clients import Scripted
+    from lorecraft.plans import answer as N
+    from lorecraft.plans.build import Graph
+
+    units = spark.createDataFrame([(0, "a", [0], [1.0, 0.0]), (1, "b", [0, 1], [0.0, 1.0]), (2, "c", [2], [0.6, 0.8])], "id long, content string, entities array<long>, embedding array<double>")
+    entities = spark.createDataFrame([(k, f"e{k}", "x", []) for k in range(3)], "id long, name string, description string, alias array<long>")
+    relations = spark.createDataFrame([(0, 0, 0, "loop", [0.0, -1.0]), (1, 0, 2, "far", [-1.0, 0.0])], "id long, source long, target long, description string, embedding array<double>")
+    asked = spark.createDataFrame([(1, "p", [1.0, 0.0]), (2, "q", [1.0, 0.0]), (3, "r", [-1.0, 0.0])], "query long, question string, embedding array<double>")
+    met, plain = [], N.S.context
+    monkeypatch.setattr(N.S, "context", lambda e, r, s: (met.append(r.count()), plain(e, r, s))[1])
+    got = {r["query"]: r["context"] for r in N.answer(asked, Graph(entities, relations, units), lambda: Scripted(lambda p: "I CANNOT ANSWER"), top_k=1, similar=0.9).collect()}
+    assert met == [3]  # one of questions 1 and 2, two of question 3
+    assert got[1] == got[2] == "=====Entities=====\ne0: x\n=====Relationships=====\n0 -> 0: loop\n=====Sources=====\na"
+    assert got[3] == "=====Entities=====\ne0: x\ne2: x\n=====Relationships=====\n0 -> 0: loop\n0 -> 2: far\n=====Sources=====\nb"
