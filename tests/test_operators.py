@@ -371,3 +371,18 @@ def test_aliases_of_one_large_group_are_many_tasks(spark):
     found = G.aliases(groups, lambda x: x.cast("string")).select("*", F.spark_partition_id().alias("task")).collect()
     assert len({r["task"] for r in found}) > 1
     assert {r["id"]: r["alias"] for r in found} == {i: [str(j) for j in range(1000) if j != i] for i in range(1000)}
+
+
+def test_units_take_their_sentences_from_lists_that_move_once(spark):
+    own = {(1, k): ["ABC"[k % 3]] for k in range(0, 30, 2)} | {(2, 1): ["A"], (2, 6): ["B"]}
+    texts = {(1, k): [f"s{k}."] for k in range(30)} | {(2, 1): ["one", "two"], (2, 2): ["three"], (2, 6): ["six"]}  # the second has gaps and a place twice
+    sentences = spark.createDataFrame([(d, p, s) for (d, p), some in texts.items() for s in some], "doc long, pos int, sentence string")
+    links = spark.createDataFrame([(d, p, n) for (d, p), some in own.items() for n in some], "doc long, pos int, name string")
+    units = M.text_units(sentences, links, ratio=None)
+    got = units.collect()
+    assert len(got) > 5 and {u["doc"] for u in got} == {1, 2}
+    for u in got:
+        inside = [p for d, p in sorted(texts) if d == u["doc"] and u["l"] <= p <= u["r"]]
+        assert u["content"] == " ".join(s for p in inside for s in sorted(texts[u["doc"], p]))
+        assert u["names"] == sorted({n for p in inside for n in own.get((u["doc"], p), [])})
+    assert "sequence(l" not in units._jdf.queryExecution().toString()  # no row for each sentence of each unit
