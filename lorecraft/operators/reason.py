@@ -15,6 +15,8 @@ from lorecraft.session import ensure_checkpoint_dir
 
 #: Rows (query, question, entity, relation), each once, to (query, entity, relation, score).
 Scorer = Callable[[DataFrame], DataFrame]
+#: Rows (query, question, relation, score, names), the sorted entities that a query's relation leads to, to (query, scored), arrays of (next, score).
+EntityScorer = Callable[[DataFrame], DataFrame]
 
 
 def explore(front: DataFrame, edges: DataFrame, score: Callable[..., Column], width: int) -> DataFrame:
@@ -143,17 +145,17 @@ def by_embedding(embedding: Callable[[], EmbeddingModel], width: int = 3) -> Sco
     return score
 
 
-def entities_by_model(model: Callable[[], LanguageModel], **options) -> Callable[[DataFrame], DataFrame]:
-    """Scores of the entities (query, question, relation, score, next) that a relation leads to: a model's shares of the relation's score."""
+def entities_by_model(model: Callable[[], LanguageModel], **options) -> EntityScorer:
+    """A model's shares of a relation's score for the entities that it leads to."""
 
     def score(rows: DataFrame) -> DataFrame:
-        listed = rows.groupBy("query", "question", "relation").agg(F.max("score").alias("score"), known_candidates(F.array_sort(F.collect_set("next"))).alias("names"))
+        listed = rows.withColumn("names", known_candidates(F.col("names"))).checkpoint()  # read for the prompts and for the replies
         prompt = W.fill(W.ENTITIES, question=F.col("question"), relation=F.col("relation"), entities=F.array_join("names", "; "))
-        asked = listed.withColumn("__prompt", F.when(F.size("names") > 1, prompt))  # one alone has all of the score
-        replied = complete_once(asked, "__prompt", "__reply", model, **options)
-        shares = F.when(F.col("__prompt").isNull(), F.array(F.lit(1.0))).otherwise(P.scores(F.coalesce("__reply", F.lit("")), F.size("names")))
-        pairs = replied.select("query", "score", F.explode(F.arrays_zip(F.col("names").alias("next"), shares.alias("share"))).alias("p"))
-        return pairs.groupBy("query", F.col("p.next").alias("next")).agg(F.round(F.max(F.col("score") * F.col("p.share")), 9).alias("score"))
+        several = F.size("names") > 1  # one alone has all of the score
+        replied = complete_once(listed.where(several).withColumn("__prompt", prompt), "__prompt", "__reply", model, **options)
+        shares = P.scores(F.coalesce("__reply", F.lit("")), F.size("names"))
+        scored = lambda s: F.zip_with("names", s, lambda x, y: F.struct(x.alias("next"), F.round(F.col("score") * y, 9).alias("score"))).alias("scored")
+        return replied.select("query", scored(shares)).unionByName(listed.where(~several).select("query", scored(F.array(F.lit(1.0)))))
 
     return score
 
@@ -166,7 +168,7 @@ def reason_with(
     *,
     depth: int = 3,
     width: int = 3,
-    entity_scorer: Callable[[DataFrame], DataFrame] | None = None,
+    entity_scorer: EntityScorer | None = None,
     judge: Callable[[], LanguageModel] | None = None,
     **options,
 ) -> DataFrame:
@@ -178,18 +180,25 @@ def reason_with(
     that its facts so far suffice. Every model call of a step is one job over all queries, and each distinct prompt is sent once.
     """
     ensure_checkpoint_dir(seeds.sparkSession)
+    questions = questions.checkpoint()
     forth, back = edges.select("source", "target", "relation"), edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "relation")
-    both = forth.unionByName(back).select(F.col("source").alias("entity"), "relation", F.col("target").alias("next")).distinct().checkpoint()
+    both = forth.unionByName(back).groupBy(F.col("source").alias("entity"), "relation")
+    lists = both.agg(F.array_sort(F.collect_set("target")).alias("names")).checkpoint()  # what an entity's relation leads to moves as one list
     front, steps = seeds.select("query", "entity").distinct(), None
     for level in range(1, depth + 1):
-        here = front.join(questions, "query").join(both.select("entity", "relation").distinct(), "entity").select("query", "question", "entity", "relation")
+        here = front.join(questions, "query").join(lists.select("entity", "relation"), "entity").select("query", "question", "entity", "relation")
         order = Window.partitionBy("query").orderBy(F.desc("score"), "relation", "entity")
         chosen = scorer(here).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= width).drop("__n").checkpoint()
-        reached = chosen.join(both, ["entity", "relation"]).join(questions, "query").select("query", "question", "relation", "score", "next").distinct()
+        reached = chosen.join(lists, ["entity", "relation"])
+        # a query's best entities are among the best of each list
         if entity_scorer is None:
-            found, first = reached.select("query", "next").distinct(), [F.col("next")]
+            found, first = reached.select("query", F.explode(F.slice("names", 1, width)).alias("next")).distinct(), [F.col("next")]
         else:
-            found, first = entity_scorer(reached), [F.desc("score"), F.col("next")]
+            some = reached.groupBy("query", "relation").agg(F.max("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"))
+            scored = entity_scorer(some.join(questions, "query").select("query", "question", "relation", "score", "names"))
+            ranked = F.array_sort(F.transform("scored", lambda x: F.struct(F.coalesce(-x["score"], F.lit(float("inf"))).alias("n"), x["next"].alias("next"), x["score"].alias("score"))))
+            pairs = scored.select("query", F.explode(F.slice(ranked, 1, width)).alias("p")).select("query", "p.next", "p.score")
+            found, first = pairs.groupBy("query", "next").agg(F.max("score").alias("score")), [F.desc("score"), F.col("next")]
         best = found.withColumn("__n", F.row_number().over(Window.partitionBy("query").orderBy(*first))).where(F.col("__n") <= width).select("query", "next")
         step = chosen.join(best, "query").select("query", F.lit(level).alias("depth"), "entity", "relation", "next", "score").checkpoint()
         steps = step if steps is None else steps.unionByName(step)

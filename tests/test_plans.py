@@ -214,3 +214,28 @@ def test_questions_with_the_same_entities_share_their_lines(spark, monkeypatch):
     assert met == [3]  # one of questions 1 and 2, two of question 3
     assert got[1] == got[2] == "=====Entities=====\ne0: x\n=====Relationships=====\n0 -> 0: loop\n=====Sources=====\na"
     assert got[3] == "=====Entities=====\ne0: x\ne2: x\n=====Relationships=====\n0 -> 0: loop\n0 -> 2: far\n=====Sources=====\nb"
+
+
+def test_a_relation_of_many_entities_is_one_list_in_a_step(spark):
+    from lorecraft.functions.clients import Scripted
+    from lorecraft.operators import reason as Z
+
+    names = [f"n{k:03d}" for k in range(200)]
+    edges = spark.createDataFrame([("hub", n, "r-1") for n in names] + [("hub", "last", "r-2")], "source string, target string, relation string")
+    seeds = spark.createDataFrame([("q", "hub")], "query string, entity string")
+    asked = spark.createDataFrame([("q", "who?")], "query string, question string")
+    seen, sent = [], spark.sparkContext.accumulator(0)
+
+    def share(prompt):
+        sent.add(1)
+        return ", ".join(f"0.{k % 9 + 1}" for k in range(len(prompt.rsplit("Entities: ", 1)[1].split("\n")[0].split("; "))))
+
+    model = Z.entities_by_model(lambda: Scripted(share))
+    scorer = lambda rows: seen.append(sorted((r["relation"], len(r["names"])) for r in rows.collect())) or model(rows)
+    relations = Z.by_model(lambda: Scripted(lambda p: "{r-1 (Score: 0.5)} {r-2 (Score: 0.3)}"))
+    steps = Z.reason_with(asked, seeds, edges, relations, depth=1, width=3, entity_scorer=scorer).collect()
+    assert seen == [[("r-1", 200), ("r-2", 1)]]  # two rows, not 201
+    assert sent.value == 1  # an entity alone isn't asked about
+    assert {r["next"] for r in steps} == {"n008", "n017", "n026"}  # shares of 0.9, ties by name
+    plain = Z.reason_with(asked, seeds, edges, relations, depth=1, width=2).collect()
+    assert {r["next"] for r in plain} == {"last", "n000"}
