@@ -19,6 +19,8 @@ from lorecraft.session import ensure_checkpoint_dir, ship_package
 
 #: Rows of a block; two blocks and their product are what a task holds.
 BLOCK = 1024
+#: Vectors of a part of a group, about; two parts meet in one task, block by block.
+PART = 16384
 #: Vectors that blocks are made around, in all.
 PIVOTS = 128
 #: Rows of a cell of a search, about, and cells, at most.
@@ -87,16 +89,20 @@ def similar_pairs(df: DataFrame, *, id: str, vector: str, group: str, threshold:
     if len(pivots) > 1:
         ensure_checkpoint_dir(spark)
         placed = placed.checkpoint()  # read several times
-    counts = placed.groupBy("g", "d", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = placed.join(counts, ["g", "d", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    counts = placed.groupBy("g", "d", "cell").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = placed.join(counts.drop("n"), ["g", "d", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     left = dealt.groupBy("g", "d", "cell", "block").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vectors"), F.max("angle").alias("radius"))
-    right = left.select("g", "d", F.col("cell").alias("cell2"), F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("vectors").alias("vectors2"), F.col("radius").alias("radius2"))
+    # blocks of a group are dealt to parts and each two parts are a key of the join: a block moves as often as its group has parts, not cells
+    parts = counts.groupBy("g", "d").agg(F.ceil(F.sum("n") / PART).cast("int").alias("parts"))
+    shared = left.join(parts, ["g", "d"]).withColumn("part", F.pmod(F.xxhash64("cell", "block"), "parts").cast("int"))
+    ones = shared.withColumn("part2", F.explode(F.sequence("part", F.col("parts") - 1))).drop("parts")
+    others = shared.select("g", "d", F.explode(F.sequence(F.lit(0), "part")).alias("part"), F.col("part").alias("part2"), F.col("cell").alias("cell2"), F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("vectors").alias("vectors2"), F.col("radius").alias("radius2"))
     angles = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
-    apart = [(-1, -1, 0.0)] + [(i, j, float(angles[i, j])) for i in range(len(pivots)) for j in range(i, len(pivots))]
+    apart = [(-1, -1, 0.0)] + [(i, j, float(angles[i, j])) for i in range(len(pivots)) for j in range(len(pivots))]
     gaps = spark.createDataFrame(apart, "cell int, cell2 int, gap double")  # at most PIVOTS squared rows
     reach = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-9
-    met = left.join(F.broadcast(gaps), "cell").join(right, ["g", "d", "cell2"])
-    met = met.where(((F.col("cell") < F.col("cell2")) | (F.col("block") <= F.col("other"))) & (F.col("gap") - F.col("radius") - F.col("radius2") <= reach))
+    once = (F.col("part") < F.col("part2")) | (F.struct("cell", "block") <= F.struct("cell2", "other"))
+    met = ones.join(others, ["g", "d", "part", "part2"]).where(once).join(F.broadcast(gaps), ["cell", "cell2"]).where(F.col("gap") - F.col("radius") - F.col("radius2") <= reach)
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -257,3 +257,33 @@ def test_nearest_is_exact_and_meets_few_cells(spark, scaled, monkeypatch):
             assert pairs < 0.4 * blocks * 20  # blocks of queries times cells
     assert V.nearest(ask, df.limit(0), query_id="q", query="w", id="id", vector="v", k=2).count() == 0
     assert V.nearest(ask.limit(0), df, query_id="q", query="w", id="id", vector="v", k=2).count() == 0
+
+
+def test_blocks_of_similar_pairs_move_as_often_as_their_group_has_parts(spark, monkeypatch):
+    import numpy as np
+
+    def moved():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the blocks were many
+    r = np.random.default_rng(5)
+    v = r.normal(size=(3000, 64))
+    groups = [k % 20 == 0 for k in range(len(v))]
+    df = spark.createDataFrame([(k, int(g), x.tolist()) for k, (g, x) in enumerate(zip(groups, v))], "id long, g int, v array<double>")
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    near = u @ u.T >= 0.5
+    expected = {(a, b) for a in range(len(v)) for b in range(a + 1, len(v)) if near[a, b] and groups[a] == groups[b]}
+    assert expected
+    try:
+        for part in (V.PART, 800):
+            monkeypatch.setattr(V, "PART", part)
+            before = moved()
+            got = [(p["a"], p["b"]) for p in V.similar_pairs(df, id="id", vector="v", group="g", threshold=0.5, block=64).collect()]
+            assert len(got) == len(set(got)) and set(got) == expected
+            assert sum(n for s, n in moved().items() if s not in before) < 8 * v.nbytes  # there are 23 cells
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
