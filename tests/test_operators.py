@@ -373,6 +373,13 @@ def test_aliases_of_one_large_group_are_many_tasks(spark):
     assert {r["id"]: r["alias"] for r in found} == {i: [str(j) for j in range(1000) if j != i] for i in range(1000)}
 
 
+def test_lists_of_aliases_are_not_sent_through_the_driver(spark):
+    found = G.aliases(spark.range(300).select((F.col("id") % 2).alias("group"), "id"))
+    assert {r["id"]: r["alias"] for r in found.collect()} == {i: [j for j in range(i % 2, 300, 2) if j != i] for i in range(300)}
+    meets = [x for x in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x and ("key#" in x.split("Inner")[0] or "part#" in x.split("Inner")[0])]
+    assert meets and not any("Broadcast" in x for x in meets)
+
+
 def test_units_take_their_sentences_from_lists_that_move_once(spark):
     own = {(1, k): ["ABC"[k % 3]] for k in range(0, 30, 2)} | {(2, 1): ["A"], (2, 6): ["B"]}
     texts = {(1, k): [f"s{k}."] for k in range(30)} | {(2, 1): ["one", "two"], (2, 2): ["three"], (2, 6): ["six"]}  # the second has gaps and a place twice
