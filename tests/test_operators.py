@@ -386,6 +386,20 @@ def test_postings_keep_only_words_that_are_asked_for(spark):
     assert all("parquet" in t._jdf.queryExecution().sparkPlan().toString() for t in (held, asked))  # of the size of their files
 
 
+def test_prefixes_are_found_once_without_moving_links(spark):
+    lines = ["Old Town, old towns and an OLD TOWN", "cold Town old  Town", "Old Town", "the Old, Town of old to", "Town old Town old Townhall", "", None]
+    sentences = spark.createDataFrame([(1, min(k, 4), x) for k, x in enumerate([*lines, "Old Town again"])], "doc long, pos int, sentence string")
+    names = spark.createDataFrame([("Old Town",), ("old to",), ("Town",), ("Old, Town",)], "name string")
+    links = M.link_names(sentences, names, match="prefix", ignore_case=True, apart=True)
+    want = [(0, "Old Town"), (0, "Town"), (0, "old to"), (1, "Town"), (2, "Old Town"), (2, "Town"), (2, "old to"), (3, "Old, Town"), (3, "Town"), (3, "old to")]
+    want += 2 * [(4, "Old Town"), (4, "Town"), (4, "old to")]  # two sentences at one place
+    assert rows(links, "pos", "name") == sorted(want)
+    assert rows(M.link_names(sentences, names, match="prefix", ignore_case=True), "pos", "name") == sorted(set(want))
+    assert "hashpartitioning(doc" not in links._jdf.queryExecution().executedPlan().toString()
+    marked = M.link_names(sentences, spark.createDataFrame([(", old",), ("Old Town",)], "name string"), match="prefix", ignore_case=True, apart=True)
+    assert (0, ", old") in rows(marked, "pos", "name")
+
+
 def test_lists_of_aliases_are_not_sent_through_the_driver(spark):
     found = G.aliases(spark.range(300).select((F.col("id") % 2).alias("group"), "id"))
     assert {r["id"]: r["alias"] for r in found.collect()} == {i: [j for j in range(i % 2, 300, 2) if j != i] for i in range(300)}
